@@ -113,13 +113,13 @@ def select_stores(df: DataFrame, stores: Iterable[str] | DataFrame | None,
 
 
 def tag_periods(spark: SparkSession, df: DataFrame, params: ReportParams,
-                date_col: str = "event_date") -> DataFrame:
+                date_col: str = "event_date", periods: Iterable[str] = PERIODS) -> DataFrame:
     """Range join of rows to the 4-row period dimension.
 
     A row inside two overlapping windows comes out twice, once per period.
     The period side has exactly four rows, so broadcasting it is bounded.
     """
-    pdim = period_dim(spark, params)
+    pdim = period_dim(spark, params).where(F.col("period").isin(*periods))
     return df.join(F.broadcast(pdim),
                    (F.col(date_col) >= F.col("start_date")) & (F.col(date_col) <= F.col("end_date")),
                    "inner")
