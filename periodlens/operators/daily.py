@@ -23,6 +23,8 @@ from .facts import exclude_days, tag_periods, window_filter
 DAILY_VALUES = ("sales", "payouts", "orders")
 # Largest store count accepted for the wide layout (one column per store).
 MAX_PIVOT_STORES = 1000
+# Name of the per-day total column of the wide layout.
+TOTAL = "Total"
 
 
 def daily_cells_dec(fact: DataFrame, params: ReportParams,
@@ -74,13 +76,20 @@ def daily_wide(cells_dec: DataFrame, metric: str = "sales", store_ids: list[str]
                limit: int = MAX_PIVOT_STORES) -> DataFrame:
     """One row per day plus a Total row; one column per store plus Total;
     missing cells are 0.  ``cells_dec`` should already be cut to one platform
-    and one period."""
+    and one period.
+
+    Cell values, per-day totals, per-store totals and the corner are summed
+    exactly (DECIMAL) in long form first, so the pivot only places one DOUBLE
+    per (row, column).  Spark then pivots in two phases (``PivotFirst``) and
+    no expression grows with the number of stores."""
     ids = store_ids if store_ids is not None else pivot_store_ids(cells_dec, limit)
-    body = cells_dec.groupBy("event_date").pivot("store_id", ids).agg(F.sum(metric))
-    total = cells_dec.groupBy().pivot("store_id", ids).agg(F.sum(metric))
-    body = body.unionByName(total.withColumn("event_date", F.lit(None).cast("date")))
-    filled = [F.coalesce(F.col(f"`{s}`"), F.lit(0)).cast(MONEY_SUM).alias(s) for s in ids]
-    body = body.select("event_date", *filled)
-    row_total = sum((F.col(f"`{s}`") for s in ids), F.lit(0).cast(MONEY_SUM))
-    return body.select("event_date", *[F.col(f"`{s}`").cast("double").alias(s) for s in ids],
-                       row_total.cast("double").alias("Total"))
+    cells = cells_dec.select("event_date", "store_id", F.col(metric).alias("v"))
+    no_date = F.lit(None).cast("date").alias("event_date")
+    per_day = cells.groupBy("event_date").agg(F.lit(TOTAL).alias("store_id"), F.sum("v").alias("v"))
+    per_store = cells.groupBy("store_id").agg(F.sum("v").alias("v")).select(no_date, "store_id", "v")
+    corner = cells.agg(F.sum("v").alias("v")).select(no_date, F.lit(TOTAL).alias("store_id"), "v")
+    stacked = cells.unionByName(per_day).unionByName(per_store).unionByName(corner)
+    keys = list(ids) + [TOTAL]
+    wide = (stacked.withColumn("v", F.col("v").cast("double"))
+            .groupBy("event_date").pivot("store_id", keys).agg(F.sum("v")))
+    return wide.na.fill(0.0, subset=keys)

@@ -111,25 +111,35 @@ def _metric_struct(m: str) -> Column:
                     *[vals[k].cast("double").alias(k) for k in SUMMARY_COLS])
 
 
-def _ratio_struct(name: str, num: str, den: str, scale: float) -> Column:
-    """Profitability (payouts/sales*100) or Average Check (sales/orders) from
-    rounded totals, with changes computed on the unrounded ratios (M5, M6)."""
-    def r(m, p):
-        return round1(F.col(f"{m}_{p}")).cast("double")
-
-    def ratio(p):
-        v = ratio_or_zero(r(num, p), r(den, p))
-        return v * F.lit(scale) if scale != 1 else v
-
-    pre, post, ly_pre, ly_post = ratio("pre_25"), ratio("post_25"), ratio("pre_24"), ratio("post_24")
-    prevs_post = post - pre
-    yoy = post - ly_post
+RATIOS = {"profitability": ("payouts", "sales", 100.0), "average_check": ("sales", "orders", 1.0)}
+
+
+def _with_ratios(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add Profitability and Average Check per window, computed from the
+    rounded totals (M5, M6).  Staged as plain columns so that the row
+    expressions built on them stay small."""
+    base = [f"{m}_{c}" for m in BASE_METRICS for c in SUM_COLS]
+    rounded = [round1(F.col(f"{m}_{p}")).cast("double").alias(f"r_{m}_{p}")
+               for m in ("sales", "payouts", "orders") for p in PERIODS]
+    t = totals.select(*keys, *base, *rounded)
+    ratios = []
+    for name, (num, den, scale) in RATIOS.items():
+        for p in PERIODS:
+            v = ratio_or_zero(F.col(f"r_{num}_{p}"), F.col(f"r_{den}_{p}"))
+            ratios.append((v * F.lit(scale) if scale != 1 else v).alias(f"{name}_{p}"))
+    return t.select(*keys, *base, *ratios)
+
+
+def _ratio_struct(name: str) -> Column:
+    """Ratio rows: changes are differences of the unrounded ratios."""
+    pre, post = F.col(f"{name}_pre_25"), F.col(f"{name}_post_25")
+    ly_pre, ly_post = F.col(f"{name}_pre_24"), F.col(f"{name}_post_24")
     vals = {
-        "pre": pre, "post": post, "prevs_post": prevs_post,
+        "pre": pre, "post": post, "prevs_post": post - pre,
         "last_year_pre_vs_post": ly_post - ly_pre,
-        "growth_pct": F.when(pre == 0, F.lit(0.0)).otherwise(prevs_post / pre * F.lit(100.0)),
-        "last_year_post": ly_post, "yoy": yoy,
-        "yoy_pct": F.when(ly_post == 0, F.lit(0.0)).otherwise(yoy / ly_post * F.lit(100.0)),
+        "growth_pct": F.when(pre == 0, F.lit(0.0)).otherwise((post - pre) / pre * F.lit(100.0)),
+        "last_year_post": ly_post, "yoy": post - ly_post,
+        "yoy_pct": F.when(ly_post == 0, F.lit(0.0)).otherwise((post - ly_post) / ly_post * F.lit(100.0)),
     }
     return F.struct(F.lit(METRIC_NAMES[name]).alias("metric"),
                     F.lit(SUMMARY_ORDER.index(name)).alias("metric_order"),
@@ -138,9 +148,8 @@ def _ratio_struct(name: str, num: str, den: str, scale: float) -> Column:
 
 def _summary_rows(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     structs = [_metric_struct(m) for m in BASE_METRICS]
-    structs += [_ratio_struct("profitability", "payouts", "sales", 100.0),
-                _ratio_struct("average_check", "sales", "orders", 1.0)]
-    return totals.select(*keys, F.inline(F.array(*structs)))
+    structs += [_ratio_struct(name) for name in RATIOS]
+    return _with_ratios(totals, keys).select(*keys, F.inline(F.array(*structs)))
 
 
 def platform_summary(compare_dec: DataFrame, stores=None, nc_dec: DataFrame | None = None,
