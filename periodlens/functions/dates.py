@@ -30,11 +30,11 @@ def _strip(c) -> Column:
 
 
 def parse_us(c) -> Column:
-    return F.try_to_date(_strip(c), F.lit(US_DATE))
+    return F.try_to_date(_strip(c), US_DATE)
 
 
 def parse_iso(c) -> Column:
-    return F.try_to_date(_strip(c), F.lit(ISO_DATE))
+    return F.try_to_date(_strip(c), ISO_DATE)
 
 
 def parse_auto(c) -> Column:

@@ -47,11 +47,12 @@ def as_double(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = ("platform", "store_id"),
                   measures: Sequence[str] = ("sales", "payouts"), count_orders: bool = True,
-                  periods: Sequence[str] = PERIODS, rows_filtered: bool = False) -> DataFrame:
+                  periods: Sequence[str] = PERIODS, rows_filtered: bool = False,
+                  date_col: str = "event_date") -> DataFrame:
     """Per-key window totals: ``<measure>__<period>`` DECIMAL(28,4) and
     ``orders__<period>`` (distinct non-null ``order_id``) BIGINT."""
-    rows = fact if rows_filtered else report_rows(fact, params, periods)
-    flags = window_flags(params, periods=periods)
+    rows = fact if rows_filtered else report_rows(fact, params, periods, date_col)
+    flags = window_flags(params, date_col, periods=periods)
     keys = list(keys)
     if not count_orders:
         return rows.groupBy(*keys).agg(*[

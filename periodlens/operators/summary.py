@@ -40,11 +40,14 @@ def _delta_cols() -> list[Column]:
 
 def new_customers_dec(campaign_fact: DataFrame, params: ReportParams,
                       channel: str = "promotion") -> DataFrame:
-    """Per store new customers in the four windows plus changes (no %)."""
+    """Per store new customers in the four windows plus changes (no %).
+
+    Uses ``nc_date`` (one date format per file) when the fact has it."""
+    date_col = "nc_date" if "nc_date" in campaign_fact.columns else "event_date"
     rows = campaign_fact.where((F.col("channel") == channel) & F.col("new_customers").isNotNull()
                                & F.col("store_id").isNotNull())
     t = window_totals(rows, params, keys=["store_id"], measures=["new_customers"],
-                      count_orders=False)
+                      count_orders=False, date_col=date_col)
     return t.select("store_id", *[F.col(f"new_customers__{p}").alias(p) for p in PERIODS],
                     *_delta_cols())
 
