@@ -126,24 +126,20 @@ ORDER_SCHEMA = ("platform string, store_id string, order_id string, event_date d
                 f"{FILE_COL} string")
 
 
-def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> DataFrame:
-    """An order export -> ``order_fact`` (rows without a parsable
-    date or a store are dropped, C14)."""
-    def project(df, cols):
-        return df.select(
-            F.lit(spec.platform).alias("platform"),
-            F.trim(_text(df, cols, "store_id")).alias("store_id"),
-            F.trim(_text(df, cols, "order_id")).alias("order_id"),
-            _text(df, cols, "date").alias("_date_text"),
-            minute_of_day(_text(df, cols, "time")).alias("minute_of_day"),
-            safe_decimal(_text(df, cols, "sales")).alias("sales"),
-            safe_decimal(_text(df, cols, "payouts")).alias("payouts"),
-            safe_decimal(_text(df, cols, "payouts_hist")).alias("payouts_hist"),
-            F.col(FILE_COL))
-
-    df = scan(spark, paths, spec, project)
-    if df is None:
-        return spark.createDataFrame([], ORDER_SCHEMA)
+def _order_projection(df: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
+    return df.select(
+        F.lit(spec.platform).alias("platform"),
+        F.trim(_text(df, cols, "store_id")).alias("store_id"),
+        F.trim(_text(df, cols, "order_id")).alias("order_id"),
+        _text(df, cols, "date").alias("_date_text"),
+        minute_of_day(_text(df, cols, "time")).alias("minute_of_day"),
+        safe_decimal(_text(df, cols, "sales")).alias("sales"),
+        safe_decimal(_text(df, cols, "payouts")).alias("payouts"),
+        safe_decimal(_text(df, cols, "payouts_hist")).alias("payouts_hist"),
+        F.col(FILE_COL))
+
+
+def _order_finish(df: DataFrame, spec: SourceSpec) -> DataFrame:
     df = _dated(df, spec)
     return (df.where(F.col("event_date").isNotNull() & F.col("store_id").isNotNull()
                      & (F.col("store_id") != ""))
@@ -151,6 +147,20 @@ def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> D
                       "sales", "payouts", "payouts_hist", FILE_COL))
 
 
+def clean_orders(named: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
+    """Raw rows with header names (and ``_src_file``) -> ``order_fact`` rows."""
+    return _order_finish(_order_projection(named, cols, spec), spec)
+
+
+def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> DataFrame:
+    """An order export -> ``order_fact`` (rows without a parsable
+    date or a store are dropped, C14)."""
+    df = scan(spark, paths, spec, lambda d, cols: _order_projection(d, cols, spec))
+    if df is None:
+        return spark.createDataFrame([], ORDER_SCHEMA)
+    return _order_finish(df, spec)
+
+
 def dd_orders(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return order_fact(spark, paths, DD_ORDERS)
 
@@ -315,6 +325,6 @@ def profile(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> Data
     return out
 
 
-__all__ = ["order_fact", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
+__all__ = ["order_fact", "clean_orders", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
            "sponsored", "marketing_root", "marketing_files", "legacy_dd_new_customers",
            "legacy_ue_new_customer_totals", "profile", "layouts", "read_layout"]
