@@ -65,13 +65,21 @@ def not_excluded(excluded: Iterable[dt.date], date_col: str = "event_date") -> C
 
 
 def exclude_days(df: DataFrame, excluded: Iterable[dt.date] | DataFrame,
-                 date_col: str = "event_date") -> DataFrame:
+                 date_col: str = "event_date", within: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """Drop excluded calendar days (F3).  Short lists are an IN predicate;
-    long lists and DataFrames become a broadcast anti join (J5)."""
+    long lists and DataFrames become an anti join (J5).
+
+    A DataFrame of days is broadcast only when ``within`` bounds it to a date
+    span (then it holds at most one row per day of the span); otherwise the
+    join is left to adaptive execution."""
     if isinstance(excluded, DataFrame):
-        days = excluded.select(F.col(excluded.columns[0]).cast("date").alias("_xday")).distinct()
+        days = excluded.select(F.col(excluded.columns[0]).cast("date").alias("_xday"))
+        if within is not None:
+            days = days.where(F.col("_xday").between(F.lit(within[0]), F.lit(within[1])))
+        days = days.distinct()
+        side = F.broadcast(days) if within is not None else days
         return (df.where(F.col(date_col).isNotNull())
-                  .join(F.broadcast(days), F.col(date_col) == F.col("_xday"), "left_anti"))
+                  .join(side, F.col(date_col) == F.col("_xday"), "left_anti"))
     days = list(excluded)
     if not days:
         return df

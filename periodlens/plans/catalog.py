@@ -83,7 +83,7 @@ def store_compare_orders(spark, sf):
 @query("store_compare_excluded")
 def store_compare_excluded(spark, sf):
     """R1 for all metrics with excluded days given as a DataFrame."""
-    fact = facts.exclude_days(tv.order_fact(spark, sf), excluded_days_frame(spark))
+    fact = facts.exclude_days(tv.order_fact(spark, sf), excluded_days_frame(spark), within=P.span())
     no_list = type(P)(P.pre_start, P.pre_end, P.post_start, P.post_end, (), None, P.operator)
     return compare.store_compare(fact, no_list)
 
@@ -318,7 +318,7 @@ def excluded_anti_join(spark, sf):
     """Rows and sales per platform and window left after removing the
     excluded days with a broadcast anti join (J5)."""
     rows = facts.window_filter(tv.order_fact(spark, sf), P)
-    kept = facts.exclude_days(rows, excluded_days_frame(spark))
+    kept = facts.exclude_days(rows, excluded_days_frame(spark), within=P.span())
     tagged = facts.tag_periods(spark, kept, P)
     return tagged.groupBy("platform", "period").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("sales").cast("double").alias("sales"))

@@ -49,11 +49,18 @@ def _unique(names: Sequence[str]) -> list[str]:
     return out
 
 
+# Parallel header peeks (one small read per file, metadata only).
+HEADER_THREADS = 16
+
+
 def layouts(spark: SparkSession, paths: Iterable[str], header_line: int) -> dict[tuple, list[str]]:
     """Group files by (header names, banner cells)."""
+    from concurrent.futures import ThreadPoolExecutor
     groups: dict[tuple, list[str]] = {}
-    for p in sorted(set(paths)):
-        lines = fs.head_lines(spark, p, header_line)
+    paths = sorted(set(paths))
+    with ThreadPoolExecutor(max_workers=min(HEADER_THREADS, max(1, len(paths)))) as pool:
+        heads = list(pool.map(lambda p: fs.head_lines(spark, p, header_line), paths))
+    for p, lines in zip(paths, heads):
         if len(lines) < header_line:
             continue  # empty file: nothing to read
         header = tuple(_unique(fs.split_csv_line(lines[header_line - 1])))

@@ -71,6 +71,20 @@ def _drop_banner_and_header(df: DataFrame, header: list[str], banner: list[str])
     return df.where(~(is_header | (rest_null & F.lit(len(banner) < len(header)))))
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """The landed order fact (drop the bookkeeping column)."""
-    return spark.read.parquet(path).drop("batch_id")
+def read_landed(spark: SparkSession, path: str, params=None) -> DataFrame:
+    """The landed order fact.  With report parameters, only the months that
+    hold a report window are read (partition pruning on ``event_month``)."""
+    df = spark.read.parquet(path)
+    if params is not None:
+        months = sorted({f"{d.year:04d}-{d.month:02d}"
+                         for s, e in params.windows.values() for d in _month_starts(s, e)})
+        df = df.where(F.col("event_month").isin(*months))
+    return df.drop("batch_id")
+
+
+def _month_starts(start, end):
+    import datetime as dt
+    d = dt.date(start.year, start.month, 1)
+    while d <= end:
+        yield d
+        d = dt.date(d.year + (d.month == 12), d.month % 12 + 1, 1)

@@ -35,3 +35,18 @@ def test_landing_ue_with_banner(spark, tmpdir_fresh):
     q.awaitTermination(120)
     rows = read_landed(spark, out).collect()
     assert [(r.store_id, r.minute_of_day) for r in rows] == [("s1", 71)]
+
+
+def test_read_landed_prunes_months(spark, tmpdir_fresh):
+    from periodlens import ReportParams
+    src = os.path.join(tmpdir_fresh, "drop")
+    a = fx.dd_file(src, [["11/1/2025", "", "101", "a", "10", "8", "8"],
+                         ["3/1/2025", "", "101", "b", "10", "8", "8"]], name="a.csv")
+    out, ckpt = os.path.join(tmpdir_fresh, "landed"), os.path.join(tmpdir_fresh, "ckpt")
+    land_orders(spark, src, specs.DD_ORDERS, a, out, ckpt).awaitTermination(120)
+    p = ReportParams.of(pre=("11/1/2025", "11/30/2025"), post=("12/1/2025", "12/31/2025"))
+    df = read_landed(spark, out, p)
+    assert [r.order_id for r in df.collect()] == ["a"]
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    line = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters")][0]
+    assert "event_month" in line and "2025-11" in line
