@@ -22,8 +22,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import MONEY_SUM, pct_den_one, pct_or_zero, round1, zero_if_null
-from ..params import PERIODS, ReportParams, window_flags
+from ..functions.numeric import MONEY_SUM
+from ..params import PERIODS, ReportParams, window_flags_sql
 from .facts import report_rows, select_stores
 
 # Metric keys and their display names.
@@ -41,8 +41,8 @@ TABLE2_COLS = ("last_year_post", "post", "yoy", "yoy_pct")
 
 def as_double(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     cols = set(cols)
-    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    return df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in cols else f"`{c}`"
+                           for c in df.columns])
 
 
 def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = ("platform", "store_id"),
@@ -52,43 +52,56 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
     """Per-key window totals: ``<measure>__<period>`` DECIMAL(28,4) and
     ``orders__<period>`` (distinct non-null ``order_id``) BIGINT."""
     rows = fact if rows_filtered else report_rows(fact, params, periods, date_col)
-    flags = window_flags(params, date_col, periods=periods)
+    flags = window_flags_sql(params, date_col, periods)
     keys = list(keys)
     if not count_orders:
         return rows.groupBy(*keys).agg(*[
-            zero_if_null(F.sum(F.when(flag, F.col(m))), MONEY_SUM).alias(f"{m}__{p}")
-            for p, flag in flags.items() for m in measures])
+            F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN `{m}` END), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
+            for p, c in flags.items() for m in measures])
     per_order = rows.groupBy(*keys, "order_id").agg(
-        *[F.sum(F.when(flag, F.col(m))).alias(f"{m}__{p}")
-          for p, flag in flags.items() for m in measures],
-        *[F.max(F.when(flag, F.lit(1))).alias(f"orders__{p}") for p, flag in flags.items()],
+        *[F.expr(f"sum(CASE WHEN {c} THEN `{m}` END) AS `{m}__{p}`")
+          for p, c in flags.items() for m in measures],
+        *[F.expr(f"max(CASE WHEN {c} THEN 1 END) AS `orders__{p}`") for p, c in flags.items()],
     )
-    has_id = F.col("order_id").isNotNull()
     return per_order.groupBy(*keys).agg(
-        *[zero_if_null(F.sum(f"{m}__{p}"), MONEY_SUM).alias(f"{m}__{p}")
+        *[F.expr(f"CAST(coalesce(sum(`{m}__{p}`), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
           for p in flags for m in measures],
-        *[F.count(F.when(has_id, F.col(f"orders__{p}"))).alias(f"orders__{p}") for p in flags],
+        *[F.expr(f"count(CASE WHEN order_id IS NOT NULL THEN `orders__{p}` END) AS `orders__{p}`")
+          for p in flags],
     )
 
 
 def metric_rows(totals: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Wide window totals -> one row per (keys, metric) with the four windows."""
-    structs = [F.struct(F.lit(m).alias("metric"),
-                        *[F.col(f"{m}__{p}").cast(MONEY_SUM).alias(p) for p in PERIODS])
-               for m in metrics]
-    return totals.select(*keys, F.inline(F.array(*structs)))
+    structs = ", ".join(
+        "named_struct('metric', '" + m + "', "
+        + ", ".join(f"'{p}', CAST(`{m}__{p}` AS {MONEY_SUM})" for p in PERIODS) + ")"
+        for m in metrics)
+    return totals.select(*keys, F.expr(f"inline(array({structs}))"))
 
 
-def compare_exprs(rounded_deltas: bool = True) -> list[Column]:
+# Zero-denominator rules as SQL text (see functions.numeric).
+def pct_den_one_sql(delta: str, den: str) -> str:
+    """Store level (M2): a zero denominator is replaced by 1."""
+    return (f"CAST({delta} AS DOUBLE) / CAST(CASE WHEN {den} = 0 THEN 1 ELSE {den} END AS DOUBLE)"
+            f" * 100.0D")
+
+
+def pct_or_zero_sql(delta: str, den: str) -> str:
+    """Summary level (M3, M4): zero when the denominator is zero."""
+    return (f"CASE WHEN {den} = 0 THEN 0.0D ELSE CAST({delta} AS DOUBLE) / CAST({den} AS DOUBLE)"
+            f" * 100.0D END")
+
+
+def compare_exprs() -> list[Column]:
     """Derived comparison columns from unrounded window values (M1, M2, M8)."""
-    pre24, post24, pre25, post25 = (F.col(p) for p in PERIODS)
-    deltas = {"prevs_post": post25 - pre25, "last_year_pre_vs_post": post24 - pre24,
-              "yoy": post25 - post24}
-    out = [round1(F.col(p)).alias(p) for p in PERIODS]
-    out += [(round1(v) if rounded_deltas else v).alias(k) for k, v in deltas.items()]
-    out += [F.bround(pct_den_one(deltas["prevs_post"], pre25), 1).alias("growth_pct"),
-            F.bround(pct_den_one(deltas["yoy"], post24), 1).alias("yoy_pct")]
-    return out
+    deltas = {"prevs_post": "(post_25 - pre_25)", "last_year_pre_vs_post": "(post_24 - pre_24)",
+              "yoy": "(post_25 - post_24)"}
+    out = [f"bround({p}, 1) AS {p}" for p in PERIODS]
+    out += [f"bround({v}, 1) AS {k}" for k, v in deltas.items()]
+    out += [f"bround({pct_den_one_sql(deltas['prevs_post'], 'pre_25')}, 1) AS growth_pct",
+            f"bround({pct_den_one_sql(deltas['yoy'], 'post_24')}, 1) AS yoy_pct"]
+    return [F.expr(e) for e in out]
 
 
 def store_compare_dec(fact: DataFrame, params: ReportParams,
@@ -146,7 +159,7 @@ def combined_store_pre_post(table1_dec: DataFrame) -> DataFrame:
     s = table1_dec.groupBy("store_id").agg(
         *[F.sum(c).alias(c) for c in ("pre", "post", "prevs_post", "last_year_pre_vs_post")])
     out = s.select("store_id", "pre", "post", "prevs_post", "last_year_pre_vs_post",
-                   F.bround(pct_or_zero("prevs_post", "pre"), 1).alias("growth_pct"))
+                   F.expr(f"bround({pct_or_zero_sql('prevs_post', 'pre')}, 1) AS growth_pct"))
     out = out.where(_nonempty_store() & ((F.col("pre") != 0) | (F.col("post") != 0)))
     return as_double(out, TABLE1_COLS)
 
@@ -156,6 +169,6 @@ def combined_store_yoy(table2_dec: DataFrame) -> DataFrame:
     s = table2_dec.groupBy("store_id").agg(
         *[F.sum(c).alias(c) for c in ("last_year_post", "post", "yoy")])
     out = s.select("store_id", "last_year_post", "post", "yoy",
-                   F.bround(pct_or_zero("yoy", "last_year_post"), 1).alias("yoy_pct"))
+                   F.expr(f"bround({pct_or_zero_sql('yoy', 'last_year_post')}, 1) AS yoy_pct"))
     out = out.where(_nonempty_store() & ((F.col("last_year_post") != 0) | (F.col("post") != 0)))
     return as_double(out, TABLE2_COLS)

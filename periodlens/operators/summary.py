@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.numeric import MONEY_SUM, pct_or_zero, ratio_or_zero, round1
+from ..functions.numeric import MONEY_SUM
 from ..params import PERIODS, ReportParams
-from .compare import DELTAS, METRIC_NAMES, as_double, metric_rows, window_totals
+from .compare import DELTAS, METRIC_NAMES, as_double, metric_rows, pct_or_zero_sql, window_totals
 from .facts import select_stores, window_filter
 
 SUM_COLS = PERIODS + DELTAS
@@ -74,17 +74,12 @@ def ue_new_customer_totals(ue_nc_fact: DataFrame, params: ReportParams) -> DataF
 def _long_inputs(compare_dec: DataFrame, stores, nc_dec: DataFrame | None,
                  ue_nc_dec: DataFrame | None) -> DataFrame:
     """Union of the rows that feed the summaries, all on one schema."""
-    sel = select_stores(compare_dec, stores).select(
-        "platform", "metric", *[F.col(c).cast(MONEY_SUM).alias(c) for c in SUM_COLS])
-    parts = [sel]
+    vals = [f"CAST(`{c}` AS {MONEY_SUM}) AS `{c}`" for c in SUM_COLS]
+    parts = [select_stores(compare_dec, stores).selectExpr("platform", "metric", *vals)]
     if nc_dec is not None:  # DD new customers: every store, not only selected ones (G7)
-        parts.append(nc_dec.select(F.lit("DD").alias("platform"),
-                                   F.lit("new_customers").alias("metric"),
-                                   *[F.col(c).cast(MONEY_SUM).alias(c) for c in SUM_COLS]))
+        parts.append(nc_dec.selectExpr("'DD' AS platform", "'new_customers' AS metric", *vals))
     if ue_nc_dec is not None:
-        parts.append(ue_nc_dec.select(F.lit("UE").alias("platform"),
-                                      F.lit("new_customers").alias("metric"),
-                                      *[F.col(c).cast(MONEY_SUM).alias(c) for c in SUM_COLS]))
+        parts.append(ue_nc_dec.selectExpr("'UE' AS platform", "'new_customers' AS metric", *vals))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -93,66 +88,65 @@ def _long_inputs(compare_dec: DataFrame, stores, nc_dec: DataFrame | None,
 
 def _metric_totals(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key with ``<metric>_<col>`` sums for the base metrics."""
-    aggs = [F.coalesce(F.sum(F.when(F.col("metric") == m, F.col(c))), F.lit(0)).cast("decimal(38,4)")
-            .alias(f"{m}_{c}") for m in BASE_METRICS for c in SUM_COLS]
+    aggs = [F.expr(f"CAST(coalesce(sum(CASE WHEN metric = '{m}' THEN `{c}` END), 0) AS decimal(38,4))"
+                   f" AS `{m}_{c}`") for m in BASE_METRICS for c in SUM_COLS]
     return long.groupBy(*keys).agg(*aggs)
 
 
-def _metric_struct(m: str) -> Column:
-    def c(x):
-        return F.col(f"{m}_{x}")
-    vals = {
-        "pre": round1(c("pre_25")), "post": round1(c("post_25")),
-        "prevs_post": round1(c("prevs_post")),
-        "last_year_pre_vs_post": round1(c("last_year_pre_vs_post")),
-        "growth_pct": F.bround(pct_or_zero(c("prevs_post"), c("pre_25")), 1),
-        "last_year_post": round1(c("post_24")), "yoy": round1(c("yoy")),
-        "yoy_pct": F.bround(pct_or_zero(c("yoy"), c("post_24")), 1),
-    }
-    return F.struct(F.lit(METRIC_NAMES[m]).alias("metric"),
-                    F.lit(SUMMARY_ORDER.index(m)).alias("metric_order"),
-                    *[vals[k].cast("double").alias(k) for k in SUMMARY_COLS])
-
-
 RATIOS = {"profitability": ("payouts", "sales", 100.0), "average_check": ("sales", "orders", 1.0)}
 
 
 def _with_ratios(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add Profitability and Average Check per window, computed from the
-    rounded totals (M5, M6).  Staged as plain columns so that the row
-    expressions built on them stay small."""
-    base = [f"{m}_{c}" for m in BASE_METRICS for c in SUM_COLS]
-    rounded = [round1(F.col(f"{m}_{p}")).cast("double").alias(f"r_{m}_{p}")
+    rounded totals (M5, M6), as plain columns so the row expressions built
+    on them stay small."""
+    base = [f"`{m}_{c}`" for m in BASE_METRICS for c in SUM_COLS]
+    rounded = [f"CAST(bround(`{m}_{p}`, 1) AS DOUBLE) AS `r_{m}_{p}`"
                for m in ("sales", "payouts", "orders") for p in PERIODS]
-    t = totals.select(*keys, *base, *rounded)
+    t = totals.selectExpr(*keys, *base, *rounded)
     ratios = []
     for name, (num, den, scale) in RATIOS.items():
         for p in PERIODS:
-            v = ratio_or_zero(F.col(f"r_{num}_{p}"), F.col(f"r_{den}_{p}"))
-            ratios.append((v * F.lit(scale) if scale != 1 else v).alias(f"{name}_{p}"))
-    return t.select(*keys, *base, *ratios)
+            v = f"CASE WHEN `r_{den}_{p}` = 0 THEN 0.0D ELSE `r_{num}_{p}` / `r_{den}_{p}` END"
+            ratios.append(f"({v}) * {scale}D AS `{name}_{p}`" if scale != 1 else f"{v} AS `{name}_{p}`")
+    return t.selectExpr(*keys, *base, *ratios)
+
+
+def _metric_struct(m: str) -> str:
+    def c(x):
+        return f"`{m}_{x}`"
+    vals = {
+        "pre": f"bround({c('pre_25')}, 1)", "post": f"bround({c('post_25')}, 1)",
+        "prevs_post": f"bround({c('prevs_post')}, 1)",
+        "last_year_pre_vs_post": f"bround({c('last_year_pre_vs_post')}, 1)",
+        "growth_pct": f"bround({pct_or_zero_sql(c('prevs_post'), c('pre_25'))}, 1)",
+        "last_year_post": f"bround({c('post_24')}, 1)", "yoy": f"bround({c('yoy')}, 1)",
+        "yoy_pct": f"bround({pct_or_zero_sql(c('yoy'), c('post_24'))}, 1)",
+    }
+    fields = ", ".join(f"'{k}', CAST({vals[k]} AS DOUBLE)" for k in SUMMARY_COLS)
+    return (f"named_struct('metric', '{METRIC_NAMES[m]}', 'metric_order', {SUMMARY_ORDER.index(m)}, "
+            f"{fields})")
 
 
-def _ratio_struct(name: str) -> Column:
+def _ratio_struct(name: str) -> str:
     """Ratio rows: changes are differences of the unrounded ratios."""
-    pre, post = F.col(f"{name}_pre_25"), F.col(f"{name}_post_25")
-    ly_pre, ly_post = F.col(f"{name}_pre_24"), F.col(f"{name}_post_24")
+    pre, post = f"`{name}_pre_25`", f"`{name}_post_25`"
+    ly_pre, ly_post = f"`{name}_pre_24`", f"`{name}_post_24`"
     vals = {
-        "pre": pre, "post": post, "prevs_post": post - pre,
-        "last_year_pre_vs_post": ly_post - ly_pre,
-        "growth_pct": F.when(pre == 0, F.lit(0.0)).otherwise((post - pre) / pre * F.lit(100.0)),
-        "last_year_post": ly_post, "yoy": post - ly_post,
-        "yoy_pct": F.when(ly_post == 0, F.lit(0.0)).otherwise((post - ly_post) / ly_post * F.lit(100.0)),
+        "pre": pre, "post": post, "prevs_post": f"({post} - {pre})",
+        "last_year_pre_vs_post": f"({ly_post} - {ly_pre})",
+        "growth_pct": f"CASE WHEN {pre} = 0 THEN 0.0D ELSE ({post} - {pre}) / {pre} * 100.0D END",
+        "last_year_post": ly_post, "yoy": f"({post} - {ly_post})",
+        "yoy_pct": f"CASE WHEN {ly_post} = 0 THEN 0.0D ELSE ({post} - {ly_post}) / {ly_post} * 100.0D END",
     }
-    return F.struct(F.lit(METRIC_NAMES[name]).alias("metric"),
-                    F.lit(SUMMARY_ORDER.index(name)).alias("metric_order"),
-                    *[F.bround(vals[k], 1).alias(k) for k in SUMMARY_COLS])
+    fields = ", ".join(f"'{k}', bround({vals[k]}, 1)" for k in SUMMARY_COLS)
+    return (f"named_struct('metric', '{METRIC_NAMES[name]}', 'metric_order', "
+            f"{SUMMARY_ORDER.index(name)}, {fields})")
 
 
 def _summary_rows(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    structs = [_metric_struct(m) for m in BASE_METRICS]
-    structs += [_ratio_struct(name) for name in RATIOS]
-    return _with_ratios(totals, keys).select(*keys, F.inline(F.array(*structs)))
+    structs = [_metric_struct(m) for m in BASE_METRICS] + [_ratio_struct(n) for n in RATIOS]
+    return _with_ratios(totals, keys).select(*keys, F.expr(f"inline(array({', '.join(structs)}))"))
 
 
 def platform_summary(compare_dec: DataFrame, stores=None, nc_dec: DataFrame | None = None,

@@ -97,6 +97,23 @@ class ReportParams:
 
 
 # ---------------------------------------------------------------- expressions
+# Window predicates are built as SQL expression text: one JVM object per
+# predicate instead of one per sub-expression (building a plan from many
+# small Column objects costs a py4j round trip each).
+
+def date_sql(d: dt.date) -> str:
+    return f"DATE'{d.isoformat()}'"
+
+
+def window_sql(params: ReportParams, period: str, date_col: str = "event_date") -> str:
+    s, e = params.windows[period]
+    return f"(`{date_col}` BETWEEN {date_sql(s)} AND {date_sql(e)})"
+
+
+def window_flags_sql(params: ReportParams, date_col: str = "event_date",
+                     periods: Iterable[str] = PERIODS) -> dict[str, str]:
+    return {p: window_sql(params, p, date_col) for p in periods}
+
 
 def in_window(date_col: Column | str, start: dt.date, end: dt.date) -> Column:
     """Inclusive calendar-date membership (F2)."""
@@ -106,17 +123,12 @@ def in_window(date_col: Column | str, start: dt.date, end: dt.date) -> Column:
 
 def window_flags(params: ReportParams, date_col: str = "event_date",
                  periods: Iterable[str] = PERIODS) -> dict[str, Column]:
-    w = params.windows
-    return {p: in_window(date_col, *w[p]) for p in periods}
+    return {p: F.expr(sql) for p, sql in window_flags_sql(params, date_col, periods).items()}
 
 
 def in_any_window(params: ReportParams, date_col: str = "event_date",
                   periods: Iterable[str] = PERIODS) -> Column:
-    flags = list(window_flags(params, date_col, periods).values())
-    out = flags[0]
-    for f in flags[1:]:
-        out = out | f
-    return out
+    return F.expr(" OR ".join(window_flags_sql(params, date_col, periods).values()))
 
 
 # ---------------------------------------------------------------- dimension

@@ -604,3 +604,33 @@ ORACLE["dataset_profile"] = (
       "COUNT(DISTINCT store_id) AS stores, "
       "'l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
       "l_tax, l_returnflag, l_linestatus' AS columns, TRUE AS date_column_found FROM f GROUP BY platform")
+
+
+# ====================================================================== sign of zero
+# DuckDB's round_even keeps a negative zero (round_even(-0.01, 1) = -0.0);
+# Spark's bround goes through BigDecimal, which has none.  Adding 0.0 turns
+# -0.0 into +0.0 and changes no other value, so every rounding is wrapped.
+
+def _wrap_round(sql: str) -> str:
+    out, i, key = [], 0, "round_even("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _wrap_round(sql[j + len(key):k])
+        out.append(sql[i:j] + f"(round_even({inner}) + 0.0)")
+        i = k + 1
+
+
+for _k in list(ORACLE):
+    ORACLE[_k] = _wrap_round(ORACLE[_k])
