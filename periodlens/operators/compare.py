@@ -48,12 +48,21 @@ def as_double(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = ("platform", "store_id"),
                   measures: Sequence[str] = ("sales", "payouts"), count_orders: bool = True,
                   periods: Sequence[str] = PERIODS, rows_filtered: bool = False,
-                  date_col: str = "event_date") -> DataFrame:
+                  date_col: str = "event_date", approx_orders: bool = False) -> DataFrame:
     """Per-key window totals: ``<measure>__<period>`` DECIMAL(28,4) and
-    ``orders__<period>`` (distinct non-null ``order_id``) BIGINT."""
+    ``orders__<period>`` (distinct non-null ``order_id``) BIGINT.
+
+    ``approx_orders`` counts orders with HyperLogLog++ sketches instead
+    (one shuffle instead of two, fixed memory per group, ~2% error)."""
     rows = fact if rows_filtered else report_rows(fact, params, periods, date_col)
     flags = window_flags_sql(params, date_col, periods)
     keys = list(keys)
+    if approx_orders and count_orders:
+        return rows.groupBy(*keys).agg(
+            *[F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN `{m}` END), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
+              for p, c in flags.items() for m in measures],
+            *[F.expr(f"approx_count_distinct(CASE WHEN {c} THEN order_id END) AS `orders__{p}`")
+              for p, c in flags.items()])
     if not count_orders:
         return rows.groupBy(*keys).agg(*[
             F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN `{m}` END), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
@@ -105,22 +114,22 @@ def compare_exprs() -> list[Column]:
 
 
 def store_compare_dec(fact: DataFrame, params: ReportParams,
-                      metrics: Sequence[str] = METRICS) -> DataFrame:
+                      metrics: Sequence[str] = METRICS, approx_orders: bool = False) -> DataFrame:
     """R1 with DECIMAL values: platform, store_id, metric, windows, deltas, pcts.
 
     A store is listed when it has at least one row in any window.
     """
     money = [m for m in metrics if m != "orders"]
     totals = window_totals(fact, params, measures=money or ["sales"],
-                           count_orders="orders" in metrics)
+                           count_orders="orders" in metrics, approx_orders=approx_orders)
     long = metric_rows(totals, metrics, ["platform", "store_id"])
     return long.select("platform", "store_id", "metric", *compare_exprs())
 
 
 def store_compare(fact: DataFrame, params: ReportParams,
-                  metrics: Sequence[str] = METRICS) -> DataFrame:
+                  metrics: Sequence[str] = METRICS, approx_orders: bool = False) -> DataFrame:
     """Per platform, store and metric, the four windows and their changes."""
-    return as_double(store_compare_dec(fact, params, metrics), COMPARE_COLS)
+    return as_double(store_compare_dec(fact, params, metrics, approx_orders), COMPARE_COLS)
 
 
 def _nonempty_store(c: str = "store_id") -> Column:

@@ -29,12 +29,22 @@ TOTAL = "Total"
 
 def daily_cells_dec(fact: DataFrame, params: ReportParams,
                     periods: Sequence[str] = PERIODS) -> DataFrame:
-    """Per platform, period, day and store: sums and distinct orders."""
-    rows = exclude_days(window_filter(fact, params, periods), params.excluded)
-    tagged = tag_periods(fact.sparkSession, rows, params, periods=periods)
+    """Per platform, period, day and store: sums and distinct orders.
+
+    A fact that already has a ``period`` column (one file per window, S11)
+    keeps it; otherwise rows are tagged by date (J7)."""
+    if "period" in fact.columns:
+        tagged = exclude_days(fact.where(F.col("period").isin(*periods)), params.excluded)
+    else:
+        rows = exclude_days(window_filter(fact, params, periods), params.excluded)
+        tagged = tag_periods(fact.sparkSession, rows, params, periods=periods)
+    payouts = F.col("payouts")
+    if "payouts_hist" in fact.columns:
+        # Last-year blocks of the date export take the historical payout column
+        payouts = F.expr("CASE WHEN period IN ('pre_24', 'post_24') THEN payouts_hist ELSE payouts END")
     return tagged.groupBy("platform", "period", "event_date", "store_id").agg(
         zero_if_null(F.sum("sales"), MONEY_SUM).alias("sales"),
-        zero_if_null(F.sum("payouts"), MONEY_SUM).alias("payouts"),
+        zero_if_null(F.sum(payouts), MONEY_SUM).alias("payouts"),
         F.count_distinct("order_id").alias("orders"))
 
 

@@ -146,8 +146,14 @@ def _order_projection(df: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
         F.col(FILE_COL))
 
 
-def _order_finish(df: DataFrame, spec: SourceSpec) -> DataFrame:
+def _order_finish(df: DataFrame, spec: SourceSpec, observation=None) -> DataFrame:
     df = _dated(df, spec)
+    if observation is not None:
+        # How many rows were read and how many had no usable date or store
+        df = df.observe(observation, F.count(F.lit(1)).alias("rows_read"),
+                        F.count(F.when(F.col("event_date").isNull(), 1)).alias("rows_without_date"),
+                        F.count(F.when(F.col("store_id").isNull() | (F.col("store_id") == ""), 1))
+                        .alias("rows_without_store"))
     return (df.where(F.col("event_date").isNotNull() & F.col("store_id").isNotNull()
                      & (F.col("store_id") != ""))
               .select("platform", "store_id", "order_id", "event_date", "minute_of_day",
@@ -159,13 +165,27 @@ def clean_orders(named: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
     return _order_finish(_order_projection(named, cols, spec), spec)
 
 
-def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> DataFrame:
+def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec,
+               observation=None) -> DataFrame:
     """An order export -> ``order_fact`` (rows without a parsable
-    date or a store are dropped, C14)."""
+    date or a store are dropped, C14).  Pass a ``pyspark.sql.Observation``
+    to learn how many rows were dropped once the result has been computed."""
     df = scan(spark, paths, spec, lambda d, cols: _order_projection(d, cols, spec))
     if df is None:
         return spark.createDataFrame([], ORDER_SCHEMA)
-    return _order_finish(df, spec)
+    return _order_finish(df, spec, observation)
+
+
+def orders_by_period_files(spark: SparkSession, files_by_period: dict[str, str],
+                           spec: SourceSpec) -> DataFrame:
+    """One export file per window; the window is taken from the file
+    (``period`` column) rather than from the date."""
+    parts = [order_fact(spark, [path], spec).withColumn("period", F.lit(period))
+             for period, path in files_by_period.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def dd_orders(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -332,6 +352,6 @@ def profile(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> Data
     return out
 
 
-__all__ = ["order_fact", "clean_orders", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
+__all__ = ["order_fact", "clean_orders", "orders_by_period_files", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
            "sponsored", "marketing_root", "marketing_files", "legacy_dd_new_customers",
            "legacy_ue_new_customer_totals", "profile", "layouts", "read_layout"]

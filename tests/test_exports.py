@@ -187,3 +187,30 @@ def test_upload_grouping():
         "marketing_2025-11-01_2025-11-30"
     assert files.upload_group("MARKETING_PROMOTION_x.csv") == "marketing_MARKETING_PROMOTION_x"
     assert files.upload_group("notes.csv") == "marketing_uploaded"
+
+
+def test_observation_counts_dropped_rows(spark, tmpdir_fresh):
+    from pyspark.sql import Observation
+    path = fx.dd_file(tmpdir_fresh, [["11/1/2025", "", "1", "a", "1", "1", "1"],
+                                     ["not a date", "", "1", "b", "1", "1", "1"],
+                                     ["11/2/2025", "", "", "c", "1", "1", "1"]])
+    obs = Observation("parse")
+    assert exports.order_fact(spark, [path], specs.DD_ORDERS, obs).count() == 1
+    got = obs.get
+    assert (got["rows_read"], got["rows_without_date"], got["rows_without_store"]) == (3, 1, 1)
+
+
+def test_period_files_and_historical_payouts(spark, tmpdir_fresh):
+    from periodlens.operators import daily
+    a = fx.dd_file(tmpdir_fresh, [["11/3/2024", "", "1", "a", "10", "8", "7"]], name="pre24.csv")
+    b = fx.dd_file(tmpdir_fresh, [["11/3/2025", "", "1", "b", "10", "8", "7"]], name="pre25.csv")
+    f = exports.orders_by_period_files(spark, {"pre_24": a, "pre_25": b}, specs.DD_ORDERS)
+    assert rows(f, "period", "order_id") == [("pre_24", "a"), ("pre_25", "b")]
+    cells = {r.period: float(r.payouts) for r in daily.daily_cells_dec(f, P).collect()}
+    assert cells == {"pre_24": 7.0, "pre_25": 8.0}          # C6
+
+
+def test_approx_orders_option(spark, tmpdir_fresh):
+    path = fx.dd_file(tmpdir_fresh, [["11/3/2025", "", "1", o, "1", "1", "1"] for o in "abcab"])
+    c = compare.store_compare(exports.dd_orders(spark, [path]), P, ["orders"], approx_orders=True)
+    assert c.collect()[0].pre_25 == 3.0
