@@ -60,6 +60,8 @@ def to_double(c) -> Column:
     return col_(c).cast("double")
 
 
+# Three zero-denominator rules exist, one per level (G1): see the next three.
+
 def pct_den_one(delta, den) -> Column:
     """Store-level percentage: a zero denominator is replaced by 1 (M2)."""
     den = col_(den)

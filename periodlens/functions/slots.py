@@ -17,7 +17,7 @@ SLOT_NAMES = ("Overnight", "Breakfast", "Lunch", "Afternoon", "Dinner", "Late ni
 # Cut points (minutes after midnight) between consecutive slots.
 # STANDARD is the documented table: 5:00, 11:00, 14:00, 17:00, 20:00.
 STANDARD = (300, 660, 840, 1020, 1200)
-# DD_AS_CODED is the table the DD slot report actually applies:
+# DD_AS_CODED is the table the DD slot report actually applies (G4):
 # 5:00, 10:59, 13:59, 15:59, 19:19.
 DD_AS_CODED = (300, 659, 839, 959, 1159)
 

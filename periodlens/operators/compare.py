@@ -81,7 +81,8 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
 
 
 def metric_rows(totals: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Wide window totals -> one row per (keys, metric) with the four windows."""
+    """Wide window totals -> one row per (keys, metric) with the four windows
+    (metrics to rows, D5)."""
     structs = ", ".join(
         "named_struct('metric', '" + m + "', "
         + ", ".join(f"'{p}', CAST(`{m}__{p}` AS {MONEY_SUM})" for p in PERIODS) + ")"

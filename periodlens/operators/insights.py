@@ -117,7 +117,7 @@ def best_worst_dates(fact: DataFrame, params: ReportParams, k: int = 5) -> DataF
 
 
 def store_directory(compare_dec: DataFrame, stores=None) -> DataFrame:
-    """Distinct selected store ids, DD stores first then UE-only ones,
+    """Distinct selected store ids, DD stores first then UE-only ones,
     each group sorted, with an empty Markups column."""
     s = select_stores(compare_dec.where(F.col("metric") == "sales"), stores)
     d = s.groupBy("store_id").agg(

@@ -44,8 +44,9 @@ def campaign_table(campaign_fact: DataFrame, params: ReportParams, channel: str)
 
 def campaign_combined(campaign_fact: DataFrame, params: ReportParams,
                       channels=("promotion", "sponsored")) -> DataFrame:
-    """Both channels summed by campaign key, ratios recomputed."""
+    """Both channels summed by campaign key, ratios recomputed (J4; the key
+    union U2 is the group-by itself).  Rows come ordered by key (G16)."""
     rows = _post_rows(campaign_fact, params).where(F.col("channel").isin(*channels))
     agg = rows.groupBy("campaign_key").agg(
         *[zero_if_null(F.sum(c), MONEY_SUM).alias(c) for c in CAMPAIGN_VALUES])
-    return _finish(agg, ["campaign_key"])
+    return _finish(agg, ["campaign_key"]).orderBy("campaign_key")

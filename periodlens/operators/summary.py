@@ -42,6 +42,9 @@ def new_customers_dec(campaign_fact: DataFrame, params: ReportParams,
                       channel: str = "promotion") -> DataFrame:
     """Per store new customers in the four windows plus changes (no %).
 
+    The four windows come from one conditional aggregation (J2), so a missing
+    window is 0 and never disturbs the others (G8).
+
     Uses ``nc_date`` (one date format per file) when the fact has it."""
     date_col = "nc_date" if "nc_date" in campaign_fact.columns else "event_date"
     rows = campaign_fact.where((F.col("channel") == channel) & F.col("new_customers").isNotNull()

@@ -68,7 +68,7 @@ class ReportParams:
            operator: str = "") -> "ReportParams":
         p = cls(
             _as_date(pre[0]), _as_date(pre[1]), _as_date(post[0]), _as_date(post[1]),
-            tuple(sorted({_as_date(x) for x in excluded})),
+            tuple(sorted({_as_date(x) for x in excluded})),  # union of day lists (U4)
             None if stores is None else tuple(str(s).strip() for s in stores),
             operator,
         )

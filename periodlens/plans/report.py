@@ -1,5 +1,9 @@
 """One request -> every report table.
 
+Every table is produced for every request, whichever front end asks (G19),
+and a platform without rows still yields its (empty) tables (G20).  Nothing
+is cached across runs (G18): each run materialises its own inputs.
+
 ``run_report`` builds all tables of a report from the canonical facts.  The
 inputs are cut to the report windows once and written as a Parquet table in
 the cluster's shared ``spark.checkpoint.dir``; every table then reads that

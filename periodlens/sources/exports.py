@@ -105,8 +105,9 @@ def _text(df: DataFrame, cols: dict, key: str) -> Column:
 
 
 def scan(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, project) -> DataFrame | None:
-    """Read every layout, resolve it against ``spec``, project with
-    ``project(df, cols)`` and union the layouts by name."""
+    """Read every layout, resolve it against ``spec`` (per layout, so header
+    variants across files each resolve, G10), project with ``project(df,
+    cols)`` and union the layouts by name (U1)."""
     parts = []
     for (header, banner), group in layouts(spark, paths, spec.header_line).items():
         cols = spec.resolve(list(header))
@@ -253,7 +254,8 @@ def marketing_files(spark: SparkSession, root: str, kind: str = "PROMOTION",
     """``MARKETING_<kind>*.csv`` in the root itself, in its
     ``marketing_*`` folders, and (when the root is itself a ``marketing_*``
     folder) directly inside it; each path once (G9).  ``first_per_folder``
-    keeps only the first file per folder (the campaign tables' behaviour)."""
+    keeps only the first file per folder (the campaign tables' behaviour);
+    by default every file is read (G17)."""
     root = root.rstrip("/")
     found = set(fs.glob(spark, f"{root}/MARKETING_{kind}*.csv"))
     found |= set(fs.glob(spark, f"{root}/marketing_*/MARKETING_{kind}*.csv"))

@@ -88,6 +88,10 @@ class SourceSpec:
 
 
 # Header names the exports use, in the priority order they are tried.
+# Store tables take ``Net total`` first, the date export the historical column
+# first for last-year windows (G11).  One spec serves every report of a source,
+# so the DD store fallback applies to the date export too (G21); sales and
+# dates are declared, never guessed from names (G12); ids stay text.
 DD_DATE_NAMES = ("Timestamp local date", "Timestamp Local Date", "Timestamp Local date",
                  "timestamp local date", "Date", "date", "Timestamp", "timestamp")
 DD_TIME_NAMES = ("Timestamp local time", "Timestamp Local Time", "timestamp local time",
