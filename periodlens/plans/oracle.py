@@ -453,7 +453,7 @@ ORACLE["daily_store_cube"] = (
              "CAST(grouping(event_date) AS INTEGER) AS is_total_row, "
              "CAST(grouping(store_id) AS INTEGER) AS is_total_col, "
              "CAST(SUM(sales) AS DOUBLE) AS sales, CAST(SUM(payouts) AS DOUBLE) AS payouts, "
-             "SUM(orders) AS orders FROM cells GROUP BY GROUPING SETS ("
+             "CAST(SUM(orders) AS BIGINT) AS orders FROM cells GROUP BY GROUPING SETS ("
              "(platform, period, event_date, store_id), (platform, period, event_date), "
              "(platform, period, store_id), (platform, period))")
 
