@@ -39,6 +39,23 @@ def build_session(master: str | None = None, app: str = "periodlens",
     return spark
 
 
+# Suggested settings for a large cluster (100 TB class inputs).  Shuffles
+# start with many partitions and adaptive execution coalesces them to about
+# ``advisoryPartitionSizeInBytes`` each, so one setting fits small and large
+# runs; skewed partitions are split.  Scan splits stay near 256 MB.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
     (local runs, tests) fall back to a fresh scratch folder."""

@@ -32,3 +32,17 @@ def test_entry_runs(spark):
     df = ent.entry(spark)
     assert df.columns[:3] == ["platform", "store_id", "metric"]
     assert df.count() >= 0
+
+
+SPARK_TO_SQL = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+                "date": "DATE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_types_match_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    got = {f.name: SPARK_TO_SQL.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in df.schema.fields}
+    rel = con.sql(SQLS[name])
+    want = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert got == want
