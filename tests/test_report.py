@@ -74,3 +74,20 @@ def test_report_from_csv_and_sinks(spark, tmpdir_fresh):
 
 def daily_cells_dec(spark, t):
     return t["daily_cells"]
+
+
+def test_command_line_report(spark, tmpdir_fresh):
+    from periodlens.__main__ import main
+    d = tmpdir_fresh
+    fx.dd_file(d, [["11/2/2025", "1:30 PM", "101", "a", "10", "8", "8"],
+                   ["12/2/2025", "7:00 PM", "101", "b", "30", "20", "20"]])
+    fx.ue_file(d, [fx.ue_row("102", "u1", "12/3/2025", "11:15 AM", "4", "3")])
+    _marketing_tree(d)
+    out = os.path.join(d, "out")
+    assert main(["--dd", os.path.join(d, "dd-*.csv"), "--ue", os.path.join(d, "ue-*.csv"),
+                 "--marketing", os.path.join(d, "marketing_data"), "--pre", "11/1/2025-11/30/2025",
+                 "--post", "12/1/2025-12/31/2025", "--exclude", "12/25/2025", "--operator", "alpha",
+                 "--out", out]) == 0
+    s = spark.getActiveSession() or spark
+    got = {r.metric: r for r in s.read.parquet(os.path.join(out, "combined_summary_pre_post")).collect()}
+    assert got["Sales"].post == 34.0 and got["Sales"].operator == "alpha"
