@@ -21,8 +21,14 @@ CAMPAIGN_COLS = ("orders", "sales", "spend", "roas", "cost_per_order")
 
 
 def _post_rows(campaign_fact: DataFrame, params: ReportParams) -> DataFrame:
-    return report_rows(campaign_fact, params, periods=("post_25",)).where(
-        F.col("campaign_key").isNotNull())
+    """Post-window rows with a campaign key; rows of undated files (kept only
+    with ``undated="keep"``) pass whatever the window (F6)."""
+    if "undated" in campaign_fact.columns:
+        dated = report_rows(campaign_fact.where(~F.col("undated")), params, periods=("post_25",))
+        rows = dated.unionByName(campaign_fact.where(F.col("undated")))
+    else:
+        rows = report_rows(campaign_fact, params, periods=("post_25",))
+    return rows.where(F.col("campaign_key").isNotNull())
 
 
 def _finish(df: DataFrame, keys) -> DataFrame:

@@ -206,20 +206,29 @@ def orders(spark: SparkSession, dd_paths: Iterable[str] = (), ue_paths: Iterable
 
 CAMPAIGN_SCHEMA = ("channel string, store_id string, campaign_key string, event_date date, "
                    f"nc_date date, orders {MONEY}, sales {MONEY}, spend {MONEY}, "
-                   f"new_customers {MONEY}, {FILE_COL} string")
+                   f"new_customers {MONEY}, undated boolean, {FILE_COL} string")
 
 
 def campaign_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec,
-                  channel: str) -> DataFrame:
+                  channel: str, undated: str = "error") -> DataFrame:
     """Promotion or sponsored files -> ``campaign_fact``.
 
     ``event_date`` follows the campaign-table rule (per row, C13) and
     ``nc_date`` the new-customer rule (one format per file, C12).  Missing
     metric values are 0 (C18); a missing new-customer value stays null.
+
+    A file without a ``Date`` column is an error by default; with
+    ``undated="keep"`` its rows are kept with ``undated = true`` and the
+    campaign tables count them whatever the window (F6 parity).
     """
+    if undated == "keep":
+        from dataclasses import replace
+        spec = replace(spec, required=tuple(r for r in spec.required if r != "date"))
+
     def project(df, cols):
         return df.select(
             F.lit(channel).alias("channel"),
+            F.lit(cols.get("date") is None).alias("undated"),
             F.trim(_text(df, cols, "store_id")).alias("store_id"),
             _text(df, cols, "campaign_key").alias("campaign_key"),
             _text(df, cols, "date").alias("_date_text"),
@@ -235,7 +244,7 @@ def campaign_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec,
     df = parse_date_per_file(df, "_date_text", "nc_date", FILE_COL)
     df = df.withColumn("event_date", parse_date_per_row(F.col("_date_text")))
     return df.select("channel", "store_id", "campaign_key", "event_date", "nc_date",
-                     "orders", "sales", "spend", "new_customers", FILE_COL)
+                     "orders", "sales", "spend", "new_customers", "undated", FILE_COL)
 
 
 def marketing_root(spark: SparkSession, base: str) -> str | None:
@@ -268,14 +277,16 @@ def marketing_files(spark: SparkSession, root: str, kind: str = "PROMOTION",
     return paths
 
 
-def promotions(spark: SparkSession, root: str, first_per_folder: bool = False) -> DataFrame:
+def promotions(spark: SparkSession, root: str, first_per_folder: bool = False,
+               undated: str = "error") -> DataFrame:
     return campaign_fact(spark, marketing_files(spark, root, "PROMOTION", first_per_folder),
-                         PROMOTION, "promotion")
+                         PROMOTION, "promotion", undated)
 
 
-def sponsored(spark: SparkSession, root: str, first_per_folder: bool = False) -> DataFrame:
+def sponsored(spark: SparkSession, root: str, first_per_folder: bool = False,
+              undated: str = "error") -> DataFrame:
     return campaign_fact(spark, marketing_files(spark, root, "SPONSORED_LISTING", first_per_folder),
-                         SPONSORED, "sponsored")
+                         SPONSORED, "sponsored", undated)
 
 
 # ---------------------------------------------------------------- legacy per-period files

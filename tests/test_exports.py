@@ -214,3 +214,15 @@ def test_approx_orders_option(spark, tmpdir_fresh):
     path = fx.dd_file(tmpdir_fresh, [["11/3/2025", "", "1", o, "1", "1", "1"] for o in "abcab"])
     c = compare.store_compare(exports.dd_orders(spark, [path]), P, ["orders"], approx_orders=True)
     assert c.collect()[0].pre_25 == 3.0
+
+
+def test_undated_campaign_files(spark, tmpdir_fresh):
+    path = fx.write_csv(os.path.join(tmpdir_fresh, "MARKETING_PROMOTION_x.csv"),
+                        [["101", "True", "2", "20", "5"]],
+                        ["Store ID", "Is self serve campaign", "Orders", "Sales",
+                         "Customer discounts from marketing | (Funded by you)"])
+    with pytest.raises(specs.MissingColumn):
+        exports.campaign_fact(spark, [path], specs.PROMOTION, "promotion")
+    kept = exports.campaign_fact(spark, [path], specs.PROMOTION, "promotion", undated="keep")
+    t = marketing.campaign_table(kept, P, "promotion").collect()
+    assert [(r.campaign_key, r.sales) for r in t] == [("True", 20.0)]
