@@ -3,14 +3,19 @@
 One pass over the fact computes every window total for every store:
 
 1. rows outside all windows or on excluded days are dropped (pushed filters);
-2. ``groupBy(platform, store_id, order_id)`` folds order lines into one row
-   per order with per-window sums and per-window presence flags (the map
-   side pre-aggregates; a hot store is spread over its many orders);
-3. ``groupBy(platform, store_id)`` adds the per-order rows up; distinct
-   orders per window are the count of presence flags.
+2. money: ``groupBy(platform, store_id)`` with one conditional sum per
+   window; map-side partial aggregation collapses every task to one row per
+   store before the shuffle, so a store holding a third of all rows costs
+   nothing extra;
+3. orders: ``groupBy(platform, store_id, order_id)`` keeps one row per order
+   with a bit mask of the windows it falls in (a hot store is spread over
+   its many orders), then ``groupBy(platform, store_id)`` counts each bit;
+4. the two per-store results are joined on the store key (both sides are
+   already partitioned by it).
 
 This replaces four full outer joins per metric and avoids the ``Expand``
-that several ``count(DISTINCT ...)`` aggregates in one group-by would add.
+that several ``count(DISTINCT ...)`` aggregates in one group-by would add;
+the order-level shuffle carries keys and one integer, not the money sums.
 Money stays DECIMAL until the very end so totals are exact; values are
 rounded half-to-even at one decimal, as the reports show them.
 """
@@ -52,6 +57,8 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
     """Per-key window totals: ``<measure>__<period>`` DECIMAL(28,4) and
     ``orders__<period>`` (distinct non-null ``order_id``) BIGINT.
 
+    ``keys`` must be non-empty when orders are counted.
+
     ``approx_orders`` counts orders with HyperLogLog++ sketches instead
     (one shuffle instead of two, fixed memory per group, ~2% error)."""
     rows = fact if rows_filtered else report_rows(fact, params, periods, date_col)
@@ -63,21 +70,24 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
               for p, c in flags.items() for m in measures],
             *[F.expr(f"approx_count_distinct(CASE WHEN {c} THEN order_id END) AS `orders__{p}`")
               for p, c in flags.items()])
+    sums = [F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN `{m}` END), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
+            for p, c in flags.items() for m in measures]
     if not count_orders:
-        return rows.groupBy(*keys).agg(*[
-            F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN `{m}` END), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
-            for p, c in flags.items() for m in measures])
-    per_order = rows.groupBy(*keys, "order_id").agg(
-        *[F.expr(f"sum(CASE WHEN {c} THEN `{m}` END) AS `{m}__{p}`")
-          for p, c in flags.items() for m in measures],
-        *[F.expr(f"max(CASE WHEN {c} THEN 1 END) AS `orders__{p}`") for p, c in flags.items()],
-    )
-    return per_order.groupBy(*keys).agg(
-        *[F.expr(f"CAST(coalesce(sum(`{m}__{p}`), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
-          for p in flags for m in measures],
-        *[F.expr(f"count(CASE WHEN order_id IS NOT NULL THEN `orders__{p}` END) AS `orders__{p}`")
-          for p in flags],
-    )
+        return rows.groupBy(*keys).agg(*sums)
+    # Money: summed straight per key; map-side partial aggregation leaves one
+    # row per key and task, so this shuffle is tiny whatever the skew.
+    money = rows.groupBy(*keys).agg(*sums)
+    # Orders: one row per (key, order) carrying only a bit mask of the windows
+    # the order appears in, then a count per window bit.  The wide money sums
+    # never ride on this (largest) shuffle.
+    bits = " | ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(flags.values()))
+    per_order = rows.groupBy(*keys, "order_id").agg(F.expr(f"bit_or({bits}) AS _mask"))
+    orders = per_order.groupBy(*keys).agg(*[
+        F.expr(f"count(CASE WHEN order_id IS NOT NULL AND (_mask & {1 << i}) <> 0 THEN 1 END)"
+               f" AS `orders__{p}`") for i, p in enumerate(flags)])
+    # Both sides hold exactly the keys that have rows and are already
+    # partitioned by them, so the join adds no exchange.
+    return money.join(orders, keys, "inner")
 
 
 def metric_rows(totals: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
