@@ -16,6 +16,15 @@ CORPORATE = "Corporate"
 TODC = "TODC"
 # Mover directions.
 GAIN, LOSS, NO_CHANGE = "Gain", "Loss", "No Change"
+# Platform display names, and the mover sources in priority order.
+PLATFORM_NAMES = {"DD": "DoorDash", "UE": "UberEats"}
+MOVER_SOURCES = ("Combined", "DoorDash", "UberEats")
+# Row labels of the summary metrics table, in display order.
+SUMMARY_METRIC_ROWS = (
+    "Active Stores", "Pre Period", "Post Period", "Sales Growth (Pre→Post)", "Sales Growth (YoY)",
+    "Order Growth", "New Customer Growth", "Payout Lift per Store", "Average Markup",
+    "Pre TODC Growth YoY",
+)
 
 
 def campaign_label(key) -> Column:

@@ -230,19 +230,21 @@ def summary_metrics(kpi: DataFrame, counts: DataFrame, params: ReportParams) ->
     def rng(a, b):
         return f"{a.month:02d}/{a.day:02d}/{a.year} - {b.month:02d}/{b.day:02d}/{b.year}"
 
-    rows = [
-        ("Active Stores", F.concat(F.lit("DoorDash: "), F.col("dd").cast("string"),
-                                   F.lit("  |  UberEats: "), F.col("ue").cast("string"))),
-        ("Pre Period", F.lit(rng(params.pre_start, params.pre_end))),
-        ("Post Period", F.lit(rng(params.post_start, params.post_end))),
-        ("Sales Growth (Pre→Post)", labels.pct_text("sales_growth_pct")),
-        ("Sales Growth (YoY)", labels.pct_text("sales_yoy_pct")),
-        ("Order Growth", labels.pct_text("order_growth_pct")),
-        ("New Customer Growth", labels.pct_text("new_customer_growth_pct")),
-        ("Payout Lift per Store", labels.money_text("payout_lift_per_store")),
-        ("Average Markup", F.lit("")),
-        ("Pre TODC Growth YoY", F.lit("")),
+    dd_name, ue_name = labels.PLATFORM_NAMES["DD"], labels.PLATFORM_NAMES["UE"]
+    values = [
+        F.concat(F.lit(f"{dd_name}: "), F.col("dd").cast("string"),
+                 F.lit(f"  |  {ue_name}: "), F.col("ue").cast("string")),
+        F.lit(rng(params.pre_start, params.pre_end)),
+        F.lit(rng(params.post_start, params.post_end)),
+        labels.pct_text("sales_growth_pct"),
+        labels.pct_text("sales_yoy_pct"),
+        labels.pct_text("order_growth_pct"),
+        labels.pct_text("new_customer_growth_pct"),
+        labels.money_text("payout_lift_per_store"),
+        F.lit(""),
+        F.lit(""),
     ]
+    rows = list(zip(labels.SUMMARY_METRIC_ROWS, values))
     structs = [F.struct(F.lit(i).alias("row_order"), F.lit(name).alias("metric"), v.alias("value"))
                for i, (name, v) in enumerate(rows)]
     return k.select(F.inline(F.array(*structs)))

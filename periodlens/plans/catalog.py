@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.slots import STANDARD
+from ..functions import labels
 from ..operators import compare, daily, facts, insights, marketing, slots, summary
 from ..params import PERIODS, period_dim
 from ..sources import testviews as tv
@@ -259,7 +260,7 @@ def store_movers_top20(spark, sf):
     comb = compare.combined_store_pre_post(t1)
     dd = t1.where(F.col("platform") == "DD").drop("platform")
     ue = t1.where(F.col("platform") == "UE").drop("platform")
-    return insights.store_movers([("Combined", comb), ("DoorDash", dd), ("UberEats", ue)], 20)
+    return insights.store_movers(list(zip(labels.MOVER_SOURCES, [comb, dd, ue])), 20)
 
 
 @query("slot_movers")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY_SUM
+from ..functions import labels
 from ..operators import compare, daily, facts, insights, marketing, slots, summary
 from ..params import PERIODS, ReportParams
 from ..session import checkpoint_dir
@@ -139,9 +140,10 @@ def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs,
     t["store_directory"] = insights.store_directory(cmp_dec, stores).drop("source_rank")
     t["summary_movers"] = insights.summary_movers(summary.table1(comb))
     t["store_movers"] = insights.store_movers(
-        [("Combined", t["combined_store_pre_post"]),
-         ("DoorDash", t1.where(F.col("platform") == "DD").drop("platform")),
-         ("UberEats", t1.where(F.col("platform") == "UE").drop("platform"))], 20)
+        list(zip(labels.MOVER_SOURCES,
+                  [t["combined_store_pre_post"],
+                   t1.where(F.col("platform") == "DD").drop("platform"),
+                   t1.where(F.col("platform") == "UE").drop("platform")])), 20)
     t["platform_movers"] = insights.platform_movers(cmp_dec)
     t["platform_growth"] = insights.platform_growth(cmp_dec)
     t["best_worst_stores"] = insights.best_worst_stores(t["store_compare"])
