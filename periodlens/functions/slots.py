@@ -51,3 +51,17 @@ def slot_by_platform(minute, platform, bounds_by_platform: dict | None = None) -
         expr = (F.when(p == plat, slot_of(minute, bounds)) if expr is None
                 else expr.when(p == plat, slot_of(minute, bounds)))
     return expr.otherwise(slot_of(minute, STANDARD))
+
+
+def slot_sql(minute: str, bounds: tuple[int, ...] = STANDARD) -> str:
+    """The same rule as ``slot_of`` as SQL text."""
+    arms = " ".join(f"WHEN {minute} < {cut} THEN '{name}'" for name, cut in zip(SLOT_NAMES, bounds))
+    return (f"CASE WHEN {minute} IS NULL OR {minute} < 0 THEN CAST(NULL AS STRING) {arms} "
+            f"ELSE '{SLOT_NAMES[-1]}' END")
+
+
+def slot_by_platform_sql(minute: str = "minute_of_day", platform: str = "platform",
+                         bounds_by_platform: dict | None = None) -> str:
+    b = bounds_by_platform or PLATFORM_BOUNDS
+    arms = " ".join(f"WHEN {platform} = '{p}' THEN {slot_sql(minute, bounds)}" for p, bounds in b.items())
+    return f"CASE {arms} ELSE {slot_sql(minute, STANDARD)} END"

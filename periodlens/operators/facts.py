@@ -36,8 +36,8 @@ def coarse_range(df: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     if "event_ts" not in df.columns:
         return df
     lo, hi = _ts_range(start, end)
-    return df.where((F.col("event_ts") >= F.lit(lo).cast("timestamp_ntz"))
-                    & (F.col("event_ts") < F.lit(hi).cast("timestamp_ntz")))
+    return df.where(f"event_ts >= TIMESTAMP_NTZ'{lo:%Y-%m-%d %H:%M:%S}' "
+                    f"AND event_ts < TIMESTAMP_NTZ'{hi:%Y-%m-%d %H:%M:%S}'")
 
 
 def window_filter(df: DataFrame, params: ReportParams, periods: Iterable[str] = PERIODS,
@@ -61,7 +61,8 @@ def not_excluded(excluded: Iterable[dt.date], date_col: str = "event_date") -> C
     days = list(excluded)
     if not days:
         return F.lit(True)
-    return F.col(date_col).isNotNull() & ~F.col(date_col).isin(*[F.lit(d) for d in days])
+    lits = ", ".join(f"DATE'{d.isoformat()}'" for d in days)
+    return F.expr(f"`{date_col}` IS NOT NULL AND `{date_col}` NOT IN ({lits})")
 
 
 def exclude_days(df: DataFrame, excluded: Iterable[dt.date] | DataFrame,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.numeric import MONEY_SUM, pct_or_zero, zero_if_null
 from ..params import ReportParams
-from .compare import as_double
+from .compare import as_double, pct_or_zero_sql
 from .facts import report_rows, select_stores
 
 MOVER_COLS = ("pre", "post", "change", "change_pct")
@@ -23,14 +23,14 @@ MOVER_COLS = ("pre", "post", "change", "change_pct")
 
 def _movers(df: DataFrame, keys, pre: str, post: str) -> DataFrame:
     """Change, Change % and Direction between two numeric columns."""
-    chg = F.col(post).cast("double") - F.col(pre).cast("double")
-    out = df.select(*keys,
-                    F.bround(F.col(pre).cast("double"), 1).alias("pre"),
-                    F.bround(F.col(post).cast("double"), 1).alias("post"),
-                    F.bround(chg, 1).alias("change"),
-                    F.bround(pct_or_zero(chg, F.col(pre).cast("double")), 1).alias("change_pct"),
-                    labels.direction(chg).alias("direction"))
-    return out
+    p, q = f"CAST(`{pre}` AS DOUBLE)", f"CAST(`{post}` AS DOUBLE)"
+    chg = f"({q} - {p})"
+    return df.selectExpr(
+        *[f"`{k}`" for k in keys],
+        f"bround({p}, 1) AS pre", f"bround({q}, 1) AS post", f"bround({chg}, 1) AS change",
+        f"bround({pct_or_zero_sql(chg, p)}, 1) AS change_pct",
+        f"CASE WHEN {chg} > 0 THEN '{labels.GAIN}' WHEN {chg} < 0 THEN '{labels.LOSS}' "
+        f"ELSE '{labels.NO_CHANGE}' END AS direction")
 
 
 def order_by_change(df: DataFrame, name_col: str) -> DataFrame:

@@ -32,19 +32,22 @@ def _post_rows(campaign_fact: DataFrame, params: ReportParams) -> DataFrame:
 
 
 def _finish(df: DataFrame, keys) -> DataFrame:
-    return as_double(df.select(
-        *keys, labels.campaign_label("campaign_key").alias("campaign_label"),
-        *CAMPAIGN_VALUES,
-        ratio_or_zero("sales", "spend").alias("roas"),
-        ratio_or_zero("spend", "orders").alias("cost_per_order"),
-    ), CAMPAIGN_VALUES)
+    k = "lower(trim(CAST(campaign_key AS STRING)))"
+    label = (f"CASE WHEN {k} IN ('false', '0') THEN '{labels.CORPORATE}' "
+             f"WHEN {k} IN ('true', '1') THEN '{labels.TODC}' ELSE CAST(campaign_key AS STRING) END")
+    return df.selectExpr(
+        *keys, f"{label} AS campaign_label",
+        *[f"CAST({c} AS DOUBLE) AS {c}" for c in CAMPAIGN_VALUES],
+        "CASE WHEN spend = 0 THEN 0.0D ELSE CAST(sales AS DOUBLE) / CAST(spend AS DOUBLE) END AS roas",
+        "CASE WHEN orders = 0 THEN 0.0D ELSE CAST(spend AS DOUBLE) / CAST(orders AS DOUBLE) END"
+        " AS cost_per_order")
 
 
 def campaign_table(campaign_fact: DataFrame, params: ReportParams, channel: str) -> DataFrame:
     """Promotion or sponsored-listing table: one row per campaign key."""
     rows = _post_rows(campaign_fact, params).where(F.col("channel") == channel)
     agg = rows.groupBy("campaign_key").agg(
-        *[zero_if_null(F.sum(c), MONEY_SUM).alias(c) for c in CAMPAIGN_VALUES])
+        *[F.expr(f"CAST(coalesce(sum({c}), 0) AS {MONEY_SUM}) AS {c}") for c in CAMPAIGN_VALUES])
     return _finish(agg.withColumn("channel", F.lit(channel)), ["channel", "campaign_key"])
 
 
@@ -54,5 +57,5 @@ def campaign_combined(campaign_fact: DataFrame, params: ReportParams,
     union U2 is the group-by itself).  Rows come ordered by key (G16)."""
     rows = _post_rows(campaign_fact, params).where(F.col("channel").isin(*channels))
     agg = rows.groupBy("campaign_key").agg(
-        *[zero_if_null(F.sum(c), MONEY_SUM).alias(c) for c in CAMPAIGN_VALUES])
+        *[F.expr(f"CAST(coalesce(sum({c}), 0) AS {MONEY_SUM}) AS {c}") for c in CAMPAIGN_VALUES])
     return _finish(agg, ["campaign_key"]).orderBy("campaign_key")

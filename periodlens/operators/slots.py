@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import MONEY_SUM, pct_or_zero, zero_if_null
-from ..functions.slots import PLATFORM_BOUNDS, SLOT_NAMES, slot_by_platform
-from ..params import ReportParams, window_flags
+from ..functions.numeric import MONEY_SUM
+from ..functions.slots import PLATFORM_BOUNDS, SLOT_NAMES, slot_by_platform_sql
+from ..params import ReportParams, window_flags_sql
+from .compare import pct_or_zero_sql
 from .facts import report_rows
 
 SLOT_PERIODS = ("pre_25", "post_25", "post_24")
@@ -31,33 +32,33 @@ def slot_totals(fact: DataFrame, params: ReportParams, bounds_by_platform: dict
                 platforms=PLATFORMS) -> DataFrame:
     """Per (platform, slot): sales and payouts in pre, post and last-year post."""
     rows = report_rows(fact, params, SLOT_PERIODS)
-    rows = rows.withColumn("slot", slot_by_platform("minute_of_day", "platform",
-                                                    bounds_by_platform or PLATFORM_BOUNDS))
-    flags = window_flags(params, periods=SLOT_PERIODS)
-    agg = rows.where(F.col("slot").isNotNull()).groupBy("platform", "slot").agg(
-        *[F.sum(F.when(flag, F.col(m))).alias(f"{m}__{p}")
-          for p, flag in flags.items() for m in ("sales", "payouts")])
+    rows = rows.withColumn("slot", F.expr(slot_by_platform_sql(
+        bounds_by_platform=bounds_by_platform or PLATFORM_BOUNDS)))
+    flags = window_flags_sql(params, periods=SLOT_PERIODS)
+    agg = rows.where("slot IS NOT NULL").groupBy("platform", "slot").agg(
+        *[F.expr(f"sum(CASE WHEN {c} THEN {m} END) AS {m}__{p}")
+          for p, c in flags.items() for m in ("sales", "payouts")])
     grid = slot_grid(fact.sparkSession, platforms)
     # the grid has a fixed 6 rows per platform; the aggregate at most as many
     out = grid.join(F.broadcast(agg), ["platform", "slot"], "left")
-    return out.select("platform", "slot", "slot_order",
-                      *[zero_if_null(f"{m}__{p}", MONEY_SUM).alias(f"{m}__{p}")
-                        for p in SLOT_PERIODS for m in ("sales", "payouts")])
+    return out.selectExpr("platform", "slot", "slot_order",
+                          *[f"CAST(coalesce({m}__{p}, 0) AS {MONEY_SUM}) AS {m}__{p}"
+                            for p in SLOT_PERIODS for m in ("sales", "payouts")])
 
 
 def slot_pre_post(totals: DataFrame, measure: str = "sales") -> DataFrame:
-    pre, post = F.col(f"{measure}__pre_25"), F.col(f"{measure}__post_25")
-    return totals.select(
+    pre, post = f"{measure}__pre_25", f"{measure}__post_25"
+    return totals.selectExpr(
         "platform", "slot", "slot_order",
-        pre.cast("double").alias("pre"), post.cast("double").alias("post"),
-        (post - pre).cast("double").alias("pre_vs_post"),
-        F.bround(pct_or_zero(post - pre, pre), 1).alias("growth_pct"))
+        f"CAST({pre} AS DOUBLE) AS pre", f"CAST({post} AS DOUBLE) AS post",
+        f"CAST({post} - {pre} AS DOUBLE) AS pre_vs_post",
+        f"bround({pct_or_zero_sql(f'({post} - {pre})', pre)}, 1) AS growth_pct")
 
 
 def slot_yoy(totals: DataFrame, measure: str = "sales") -> DataFrame:
-    ly, post = F.col(f"{measure}__post_24"), F.col(f"{measure}__post_25")
-    return totals.select(
+    ly, post = f"{measure}__post_24", f"{measure}__post_25"
+    return totals.selectExpr(
         "platform", "slot", "slot_order",
-        ly.cast("double").alias("last_year_post"), post.cast("double").alias("post"),
-        (post - ly).cast("double").alias("yoy"),
-        F.bround(pct_or_zero(post - ly, ly), 1).alias("growth_pct"))
+        f"CAST({ly} AS DOUBLE) AS last_year_post", f"CAST({post} AS DOUBLE) AS post",
+        f"CAST({post} - {ly} AS DOUBLE) AS yoy",
+        f"bround({pct_or_zero_sql(f'({post} - {ly})', ly)}, 1) AS growth_pct")

@@ -25,7 +25,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import minute_of_day_ts
 from ..functions.numeric import MONEY
 from ..params import ReportParams
 
@@ -49,70 +48,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# The projections are SQL expression text: one JVM object per column.
+_PRICE = f"CAST(l_extendedprice AS {MONEY})"
+
+
 def order_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     # filter on the raw status code so the predicate reaches the Parquet scan
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus").isin("F", "O"))
-    price = F.col("l_extendedprice").cast(MONEY)
-    return li.select(
-        F.when(F.col("l_linestatus") == "F", F.lit("DD"))
-         .otherwise(F.lit("UE")).alias("platform"),
-        F.col("l_suppkey").cast("string").alias("store_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_shipdate").alias("event_ts"),
-        F.col("l_shipdate").cast("date").alias("event_date"),
-        price.alias("sales"),
-        (price * (F.lit(1) - F.col("l_discount").cast(MONEY))).cast(MONEY).alias("payouts"),
+    li = table(spark, sf_dir, "lineitem").where("l_linestatus IN ('F', 'O')")
+    return li.selectExpr(
+        "CASE WHEN l_linestatus = 'F' THEN 'DD' ELSE 'UE' END AS platform",
+        "CAST(l_suppkey AS STRING) AS store_id",
+        "l_orderkey AS order_id",
+        "l_shipdate AS event_ts",
+        "CAST(l_shipdate AS DATE) AS event_date",
+        f"{_PRICE} AS sales",
+        f"CAST({_PRICE} * (1 - CAST(l_discount AS {MONEY})) AS {MONEY}) AS payouts",
     )
 
 
 def campaign_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus").isin("F", "O"))
-    price = F.col("l_extendedprice").cast(MONEY)
-    return li.select(
-        F.when(F.col("l_linestatus") == "F", F.lit("promotion"))
-         .otherwise(F.lit("sponsored")).alias("channel"),
-        F.col("l_suppkey").cast("string").alias("store_id"),
-        F.when(F.col("l_returnflag") == "R", F.lit("True"))
-         .when(F.col("l_returnflag") == "A", F.lit("false"))
-         .otherwise(F.col("l_returnflag")).alias("campaign_key"),
-        F.col("l_shipdate").alias("event_ts"),
-        F.col("l_shipdate").cast("date").alias("event_date"),
-        F.col("l_quantity").cast(MONEY).alias("orders"),
-        price.alias("sales"),
-        (price * F.col("l_discount").cast(MONEY)).cast(MONEY).alias("spend"),
-        F.when(F.col("l_linenumber") == 1, F.lit(1)).otherwise(F.lit(0)).cast(MONEY)
-         .alias("new_customers"),
+    li = table(spark, sf_dir, "lineitem").where("l_linestatus IN ('F', 'O')")
+    return li.selectExpr(
+        "CASE WHEN l_linestatus = 'F' THEN 'promotion' ELSE 'sponsored' END AS channel",
+        "CAST(l_suppkey AS STRING) AS store_id",
+        "CASE l_returnflag WHEN 'R' THEN 'True' WHEN 'A' THEN 'false' ELSE l_returnflag END"
+        " AS campaign_key",
+        "l_shipdate AS event_ts",
+        "CAST(l_shipdate AS DATE) AS event_date",
+        f"CAST(l_quantity AS {MONEY}) AS orders",
+        f"{_PRICE} AS sales",
+        f"CAST({_PRICE} * CAST(l_discount AS {MONEY}) AS {MONEY}) AS spend",
+        f"CAST(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS {MONEY}) AS new_customers",
     )
 
 
 def ue_new_customer_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_linestatus") == "O").select(
-        F.col("l_shipdate").alias("event_ts"),
-        F.col("l_shipdate").cast("date").alias("event_date"),
-        F.when(F.col("l_linenumber") == 1, F.lit(1)).otherwise(F.lit(0)).cast(MONEY)
-         .alias("new_customers"),
+    li = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'")
+    return li.selectExpr(
+        "l_shipdate AS event_ts",
+        "CAST(l_shipdate AS DATE) AS event_date",
+        f"CAST(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS {MONEY}) AS new_customers",
     )
 
 
 def slot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    sales = F.col("value").cast(MONEY)
-    return ev.select(
-        F.when(F.col("event_type").isin("purchase", "view"), F.lit("DD"))
-         .otherwise(F.lit("UE")).alias("platform"),
-        F.col("user_id").cast("string").alias("store_id"),
-        F.col("event_id").alias("order_id"),
-        F.col("ts").alias("event_ts"),
-        F.col("ts").cast("date").alias("event_date"),
-        minute_of_day_ts("ts").alias("minute_of_day"),
-        sales.alias("sales"),
-        (sales * F.lit(EVENT_PAYOUT_SHARE).cast("decimal(3,2)")).cast(MONEY).alias("payouts"),
+    return ev.selectExpr(
+        "CASE WHEN event_type IN ('purchase', 'view') THEN 'DD' ELSE 'UE' END AS platform",
+        "CAST(user_id AS STRING) AS store_id",
+        "event_id AS order_id",
+        "ts AS event_ts",
+        "CAST(ts AS DATE) AS event_date",
+        "CAST(hour(ts) * 60 + minute(ts) AS INT) AS minute_of_day",
+        f"CAST(value AS {MONEY}) AS sales",
+        f"CAST(CAST(value AS {MONEY}) * CAST({EVENT_PAYOUT_SHARE} AS DECIMAL(3,2)) AS {MONEY})"
+        " AS payouts",
     )
 
 
 def selected_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store selection as data: suppliers with a positive account balance."""
-    return (table(spark, sf_dir, "supplier")
-            .where(F.col("s_acctbal") > 0)
-            .select(F.col("s_suppkey").cast("string").alias("store_id")))
+    return (table(spark, sf_dir, "supplier").where("s_acctbal > 0")
+            .selectExpr("CAST(s_suppkey AS STRING) AS store_id"))
