@@ -42,17 +42,14 @@ def daily_cells_dec(fact: DataFrame, params: ReportParams,
     if "payouts_hist" in fact.columns:
         # Last-year blocks of the date export take the historical payout column
         payouts = F.expr("CASE WHEN period IN ('pre_24', 'post_24') THEN payouts_hist ELSE payouts END")
-    keys = ["platform", "period", "event_date", "store_id"]
-    # money per cell (partial aggregation keeps its shuffle small) and distinct
-    # orders per cell (keys + order id only) are two aggregates joined on the
-    # cell key, so the order-level shuffle does not carry the money sums
-    money = tagged.groupBy(*keys).agg(
+    # one aggregate: Spark's single-distinct plan groups by (cell, order) with
+    # the money partial sums riding along, then by cell.  Splitting money from
+    # the distinct count was measured slower here (a second scan and range join
+    # cost more than the two sums saved on the shuffle).
+    return tagged.groupBy("platform", "period", "event_date", "store_id").agg(
         zero_if_null(F.sum("sales"), MONEY_SUM).alias("sales"),
-        zero_if_null(F.sum(payouts), MONEY_SUM).alias("payouts"))
-    orders = (tagged.where(F.col("order_id").isNotNull()).select(*keys, "order_id").distinct()
-              .groupBy(*keys).agg(F.count(F.lit(1)).alias("orders")))
-    return (money.join(orders, keys, "left")
-            .select(*keys, "sales", "payouts", F.coalesce("orders", F.lit(0)).alias("orders")))
+        zero_if_null(F.sum(payouts), MONEY_SUM).alias("payouts"),
+        F.count_distinct("order_id").alias("orders"))
 
 
 def daily_store(fact: DataFrame, params: ReportParams, metric: str) -> DataFrame:
