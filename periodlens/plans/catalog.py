@@ -8,7 +8,6 @@ SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -345,4 +344,3 @@ def dataset_profile(spark, sf):
 
 
 __all__ = ["QUERIES", "PERIODS", "excluded_days_frame"]
-_ = dt

@@ -23,7 +23,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY
 from ..params import ReportParams
