@@ -225,28 +225,38 @@ def campaign_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec,
         from dataclasses import replace
         spec = replace(spec, required=tuple(r for r in spec.required if r != "date"))
 
-    def project(df, cols):
-        return df.select(
-            F.lit(channel).alias("channel"),
-            F.lit(cols.get("date") is None).alias("undated"),
-            F.trim(_text(df, cols, "store_id")).alias("store_id"),
-            _text(df, cols, "campaign_key").alias("campaign_key"),
-            _text(df, cols, "date").alias("_date_text"),
-            F.coalesce(safe_decimal(_text(df, cols, "orders")), F.lit(0).cast(MONEY)).alias("orders"),
-            F.coalesce(safe_decimal(_text(df, cols, "sales")), F.lit(0).cast(MONEY)).alias("sales"),
-            F.coalesce(safe_decimal(_text(df, cols, "spend")), F.lit(0).cast(MONEY)).alias("spend"),
-            safe_decimal(_text(df, cols, "new_customers")).alias("new_customers"),
-            F.col(FILE_COL))
-
-    df = scan(spark, paths, spec, project)
+    df = scan(spark, paths, spec, lambda d, cols: _campaign_projection(d, cols, channel))
     if df is None:
         return spark.createDataFrame([], CAMPAIGN_SCHEMA)
+    return _campaign_finish(df)
+
+
+def _campaign_projection(df: DataFrame, cols: dict, channel: str) -> DataFrame:
+    return df.select(
+        F.lit(channel).alias("channel"),
+        F.lit(cols.get("date") is None).alias("undated"),
+        F.trim(_text(df, cols, "store_id")).alias("store_id"),
+        _text(df, cols, "campaign_key").alias("campaign_key"),
+        _text(df, cols, "date").alias("_date_text"),
+        F.coalesce(safe_decimal(_text(df, cols, "orders")), F.lit(0).cast(MONEY)).alias("orders"),
+        F.coalesce(safe_decimal(_text(df, cols, "sales")), F.lit(0).cast(MONEY)).alias("sales"),
+        F.coalesce(safe_decimal(_text(df, cols, "spend")), F.lit(0).cast(MONEY)).alias("spend"),
+        safe_decimal(_text(df, cols, "new_customers")).alias("new_customers"),
+        F.col(FILE_COL))
+
+
+def _campaign_finish(df: DataFrame) -> DataFrame:
     df = parse_date_per_file(df, "_date_text", "nc_date", FILE_COL)
     df = df.withColumn("event_date", parse_date_per_row(F.col("_date_text")))
     return df.select("channel", "store_id", "campaign_key", "event_date", "nc_date",
                      "orders", "sales", "spend", "new_customers", "undated", FILE_COL)
 
 
+def clean_campaigns(named: DataFrame, cols: dict, channel: str) -> DataFrame:
+    """Raw rows with header names (and ``_src_file``) -> ``campaign_fact`` rows."""
+    return _campaign_finish(_campaign_projection(named, cols, channel))
+
+
 def marketing_root(spark: SparkSession, base: str) -> str | None:
     """``base`` if it holds ``marketing_*`` folders, else the first child that does."""
     base = base.rstrip("/")
@@ -365,6 +375,6 @@ def profile(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> Data
     return out
 
 
-__all__ = ["order_fact", "clean_orders", "orders_by_period_files", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
+__all__ = ["order_fact", "clean_orders", "clean_campaigns", "orders_by_period_files", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
            "sponsored", "marketing_root", "marketing_files", "legacy_dd_new_customers",
            "legacy_ue_new_customer_totals", "profile", "layouts", "read_layout"]

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import files as fs
-from ..sources.exports import FILE_COL, clean_orders
+from ..sources.exports import FILE_COL, clean_campaigns, clean_orders
 from ..sources.specs import SourceSpec
 
 
@@ -32,11 +32,9 @@ def _layout(spark: SparkSession, sample_file: str, spec: SourceSpec) -> tuple[li
     return header, banner
 
 
-def land_orders(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_file: str,
-                out_path: str, checkpoint: str, max_files_per_trigger: int = 100,
-                available_now: bool = True) -> StreamingQuery:
-    """Start the landing stream for one export family (all files in
-    ``source_dir`` share the layout of ``sample_file``)."""
+def _land(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_file: str, out_path: str,
+          checkpoint: str, clean, partition_cols: list[str], max_files_per_trigger: int,
+          available_now: bool) -> StreamingQuery:
     header, banner = _layout(spark, sample_file, spec)
     cols = spec.resolve(header)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
@@ -50,17 +48,37 @@ def land_orders(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_f
         named = batch.select(*[F.col(f"_c{i}").alias(h) for i, h in enumerate(header)], F.col(FILE_COL))
         if spec.header_line == 2:
             named = _drop_banner_and_header(named, header, banner)
-        cleaned = clean_orders(named, cols, spec)
+        cleaned = clean(named, cols)
         (cleaned.withColumn("event_month", F.date_format("event_date", "yyyy-MM"))
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("platform", "event_month", "batch_id").parquet(out_path))
+         .partitionBy(*partition_cols, "event_month", "batch_id").parquet(out_path))
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+def land_orders(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_file: str,
+                out_path: str, checkpoint: str, max_files_per_trigger: int = 100,
+                available_now: bool = True) -> StreamingQuery:
+    """Start the landing stream for one order-export family (all files in
+    ``source_dir`` share the layout of ``sample_file``)."""
+    return _land(spark, source_dir, spec, sample_file, out_path, checkpoint,
+                 lambda named, cols: clean_orders(named, cols, spec), ["platform"],
+                 max_files_per_trigger, available_now)
+
+
+def land_campaigns(spark: SparkSession, source_dir: str, spec: SourceSpec, channel: str,
+                   sample_file: str, out_path: str, checkpoint: str,
+                   max_files_per_trigger: int = 100, available_now: bool = True) -> StreamingQuery:
+    """The same for promotion or sponsored-listing files (partitioned by
+    channel and the month of the campaign date)."""
+    return _land(spark, source_dir, spec, sample_file, out_path, checkpoint,
+                 lambda named, cols: clean_campaigns(named, cols, channel), ["channel"],
+                 max_files_per_trigger, available_now)
+
+
 def _drop_banner_and_header(df: DataFrame, header: list[str], banner: list[str]) -> DataFrame:
     is_header = F.lit(True)
     for h in header:

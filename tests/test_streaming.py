@@ -50,3 +50,19 @@ def test_read_landed_prunes_months(spark, tmpdir_fresh):
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     line = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters")][0]
     assert "event_month" in line and "2025-11" in line
+
+
+def test_landing_campaign_files(spark, tmpdir_fresh):
+    from periodlens import ReportParams
+    from periodlens.operators import marketing
+    from periodlens.streaming.landing import land_campaigns
+    src = os.path.join(tmpdir_fresh, "promo")
+    a = fx.write_csv(os.path.join(src, "MARKETING_PROMOTION_a.csv"),
+                     [["12/2/2025", "101", "True", "2", "20", "5", "3"],
+                      ["12/3/2025", "102", "false", "1", "10", "0", "1"]], fx.PROMO_HEADER)
+    out, ckpt = os.path.join(tmpdir_fresh, "landed"), os.path.join(tmpdir_fresh, "ckpt")
+    land_campaigns(spark, src, specs.PROMOTION, "promotion", a, out, ckpt).awaitTermination(120)
+    landed = spark.read.parquet(out).drop("batch_id")
+    p = ReportParams.of(pre=("11/1/2025", "11/30/2025"), post=("12/1/2025", "12/31/2025"))
+    t = {r.campaign_key: r for r in marketing.campaign_table(landed, p, "promotion").collect()}
+    assert (t["True"].sales, t["false"].campaign_label) == (20.0, "Corporate")
