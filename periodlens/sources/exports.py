@@ -53,11 +53,22 @@ def _unique(names: Sequence[str]) -> list[str]:
 HEADER_THREADS = 16
 
 
-def layouts(spark: SparkSession, paths: Iterable[str], header_line: int) -> dict[tuple, list[str]]:
-    """Group files by (header names, banner cells)."""
+def layouts(spark: SparkSession, paths: Iterable[str], header_line: int,
+            same_layout: bool = False) -> dict[tuple, list[str]]:
+    """Group files by (header names, banner cells).
+
+    ``same_layout=True`` peeks at the first file only and reads every file with
+    its layout (one export format, very many files: no per-file driver read)."""
     from concurrent.futures import ThreadPoolExecutor
     groups: dict[tuple, list[str]] = {}
     paths = sorted(set(paths))
+    if same_layout and paths:
+        lines = fs.head_lines(spark, paths[0], header_line)
+        if len(lines) < header_line:
+            return groups
+        header = tuple(_unique(fs.split_csv_line(lines[header_line - 1])))
+        banner = tuple(fs.split_csv_line(lines[0])) if header_line == 2 else ()
+        return {(header, banner): paths}
     with ThreadPoolExecutor(max_workers=min(HEADER_THREADS, max(1, len(paths)))) as pool:
         heads = list(pool.map(lambda p: fs.head_lines(spark, p, header_line), paths))
     for p, lines in zip(paths, heads):
@@ -104,12 +115,13 @@ def _text(df: DataFrame, cols: dict, key: str) -> Column:
     return na_to_null(F.col(f"`{name}`"))
 
 
-def scan(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, project) -> DataFrame | None:
+def scan(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, project,
+         same_layout: bool = False) -> DataFrame | None:
     """Read every layout, resolve it against ``spec`` (per layout, so header
     variants across files each resolve, G10), project with ``project(df,
     cols)`` and union the layouts by name (U1)."""
     parts = []
-    for (header, banner), group in layouts(spark, paths, spec.header_line).items():
+    for (header, banner), group in layouts(spark, paths, spec.header_line, same_layout).items():
         cols = spec.resolve(list(header))
         df = read_layout(spark, group, header, banner, spec.header_line)
         parts.append(project(df, cols))
@@ -167,11 +179,11 @@ def clean_orders(named: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
 
 
 def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec,
-               observation=None) -> DataFrame:
+               observation=None, same_layout: bool = False) -> DataFrame:
     """An order export -> ``order_fact`` (rows without a parsable
     date or a store are dropped, C14).  Pass a ``pyspark.sql.Observation``
     to learn how many rows were dropped once the result has been computed."""
-    df = scan(spark, paths, spec, lambda d, cols: _order_projection(d, cols, spec))
+    df = scan(spark, paths, spec, lambda d, cols: _order_projection(d, cols, spec), same_layout)
     if df is None:
         return spark.createDataFrame([], ORDER_SCHEMA)
     return _order_finish(df, spec, observation)

@@ -226,3 +226,11 @@ def test_undated_campaign_files(spark, tmpdir_fresh):
     kept = exports.campaign_fact(spark, [path], specs.PROMOTION, "promotion", undated="keep")
     t = marketing.campaign_table(kept, P, "promotion").collect()
     assert [(r.campaign_key, r.sales) for r in t] == [("True", 20.0)]
+
+
+def test_same_layout_reads_one_header(spark, tmpdir_fresh):
+    a = fx.dd_file(tmpdir_fresh, [["11/4/2025", "", "1", "a", "1", "1", "1"]], name="a.csv")
+    b = fx.dd_file(tmpdir_fresh, [["11/5/2025", "", "2", "b", "2", "2", "2"]], name="b.csv")
+    assert len(exports.layouts(spark, [a, b], 1, same_layout=True)) == 1
+    f = exports.order_fact(spark, [a, b], specs.DD_ORDERS, same_layout=True)
+    assert rows(f, "order_id") == [("a",), ("b",)]
