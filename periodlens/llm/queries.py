@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a vocabulary file of a public tokenizer lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=2, keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
 }
 
