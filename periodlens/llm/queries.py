@@ -8,13 +8,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash
+from . import decontam, langid, packing, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both text tables as one: documents declare a language and a source; pages
+    declare one in their markup and have an address."""
+    docs = read(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("origin"), "doc_id", F.lit(None).cast("long").alias("page_id"), "text",
+        F.col("lang").alias("declared"), F.lit(None).cast("string").alias("url"), F.col("source").alias("host"))
+    pages = read(spark, sf_dir, "pages").select(
+        F.lit("pages").alias("origin"), F.lit(None).cast("long").alias("doc_id"), "page_id", langid.visible_text("html").alias("text"),
+        langid.markup_language("html").alias("declared"), "url", F.lit(None).cast("string").alias("host"))
+    found = langid.identify(docs.unionByName(pages), "text", "declared", "url", "host", min_posterior=0.5)
+    return found.select("origin", "doc_id", "page_id", "declared", *langid.RESULT, F.col("accepted").alias("kept"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -37,6 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op10_decontamination": op10_decontamination,
