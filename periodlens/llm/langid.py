@@ -251,6 +251,15 @@ def identify(rows: DataFrame, text_col: str, declared_col: str | None, url_col:
         (F.col("__lid_readable") & (F.col("__lid_posterior") >= min_posterior)).alias("accepted"))
 
 
+def accepted_rows(docs: DataFrame, text_col: str, declared_col: str | None, url_col: str | None = None, host_col: str | None = None,
+                  min_posterior: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is identified; columns unchanged, whatever their names."""
+    names = docs.columns
+    own = {c: f"__lid_in{i}" for i, c in enumerate(names)}
+    found = identify(docs.toDF(*own.values()), *[own[c] if c else None for c in (text_col, declared_col, url_col, host_col)], min_posterior)
+    return found.where("accepted").select(*[F.col(v).alias(c) for c, v in own.items()])
+
+
 def _host_priors(counts: DataFrame, size: int, stages: Stages) -> DataFrame:
     """(host, log prior per language), smoothed host -> domain -> suffix -> all rows.
 

@@ -212,8 +212,9 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
     best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("content").alias("content")))
     kept = stages.put(found.groupBy(group.alias("g")).agg(best.alias("best")).select(
-        F.col("best.id").alias("__keep_id"), F.col("best.content").alias("__keep_content")).distinct())
-    row = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_content": F.xxhash64(text_col)})
-    same = row["__row_id"].eqNullSafe(kept["__keep_id"]) & (row["__row_content"] == kept["__keep_content"])
-    out = row.join(kept, same, "left_semi").dropDuplicates(["__row_id", "__row_content"])
+        F.coalesce("best.id", F.lit(0)).alias("__row_id"), F.col("best.none").alias("__row_none"), F.col("best.content").alias("__row_content")).distinct())
+    keys = ["__row_id", "__row_none", "__row_content"]
+    row_id = F.col(id_col).cast("long")
+    row = docs.withColumns({"__row_id": F.coalesce(row_id, F.lit(0)), "__row_none": row_id.isNull(), "__row_content": F.xxhash64(text_col)})
+    out = row.join(kept, keys, "left_semi").dropDuplicates(keys)  # one shuffle: both group by the same keys
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
