@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, simhash
+from . import decontam, fertility, langid, packing, pii, simhash, spans
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(read(spark, sf_dir, "documents"), tokenizer_path()).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "lang", "n_tokens", *fertility.MEASURES, "reasons")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both text tables as one: documents declare a language and a source; pages
     declare one in their markup and have an address."""
@@ -59,15 +65,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_repeats(read(spark, sf_dir, "documents"), run=3)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), min_score=0.5)
 
 
 QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -30,6 +30,18 @@ class ByteBpe:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
 
+    def fragments(self) -> np.ndarray:
+        """By id: 1 for tokens that are not whole characters by themselves."""
+        out = np.zeros(self.whole.get_vocab_size(), np.uint8)
+        for i in range(len(out)):
+            try:
+                self.fast.decode_single_token_bytes(i).decode()
+            except UnicodeDecodeError:
+                out[i] = 1
+            except KeyError:  # a special token
+                pass
+        return out
+
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
