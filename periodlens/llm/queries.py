@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmlcut, langid, packing, pii, simhash, spans
+from . import decontam, fertility, htmlcut, langid, maxent, packing, pii, simhash, spans
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -80,6 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_main_text": op1_main_text,
+    "op2_language_model": op2_language_model,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_language": op6_language,
