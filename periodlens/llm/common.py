@@ -8,6 +8,7 @@ Spark shuffle or a table in the shared folder of ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,12 @@ class Stages:
         self.paths[id(out)] = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's
+        references to them are collected, which may otherwise take half an hour."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:

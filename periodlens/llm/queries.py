@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmlcut, langid, maxent, packing, pii, simhash, spans
+from . import decontam, fertility, htmlcut, langid, maxent, packing, pii, simhash, spans, substring
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang", "n_tokens", *fertility.MEASURES, "reasons")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate(read(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both text tables as one: documents declare a language and a source; pages
     declare one in their markup and have an address."""
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_model": op2_language_model,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_substrings": op5_substrings,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
