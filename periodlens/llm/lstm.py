@@ -68,63 +68,80 @@ class Tagger:
         return out.transpose(1, 0, 2), both, kept
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """The emissions again (characters, windows, tags), without what training needs and in reused memory."""
+        """The emissions again (tags, characters, windows), without what training needs: one direction
+        after the other, windows along the rows, in reused memory."""
         n, t = ids.shape
         h, p = self.hidden, self.p
-        x, u = p["x"].copy(), p["u"].copy()
-        x[..., : 3 * h] *= 0.5  # half angles, so that one tanh serves all gates
-        u[..., : 3 * h] *= 0.5
-        table = x.reshape(2 * VOCABULARY, 4 * h)
-        index = np.stack([ids.T, ids.T[::-1]], axis=1).astype(np.intp)
-        index[:, 1] += VOCABULARY
-        states = np.zeros((t + 1, 2, n, h), np.float32)
-        cell, product = np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
-        z, y = np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
-        for s in range(t):
-            np.take(table, index[s], axis=0, out=z, mode="clip")
-            np.matmul(states[s], u, out=y)
-            z += y
-            np.tanh(z, out=z)
-            gates = z[..., : 3 * h]
-            gates *= 0.5
-            gates += 0.5
-            cell *= z[..., h : 2 * h]
-            np.multiply(z[..., :h], z[..., 3 * h :], out=product)
-            cell += product
-            np.tanh(cell, out=product)
-            np.multiply(product, z[..., 2 * h : 3 * h], out=states[s + 1])
-        e = states[1:, 0] @ p["o"][0]
-        e += states[:0:-1, 1] @ p["o"][1]
-        e += p["b"]
-        return e
+        half = np.ones(4 * h, np.float32)
+        half[: 3 * h] = 0.5  # half angles, so that one tanh serves all gates
+        out = np.empty((self.tags, t, n), np.float32)
+        out[:] = p["b"][:, None, None]
+        steps = np.ascontiguousarray(ids.T).astype(np.intp)
+        z, y = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32)
+        product = np.empty((h, n), np.float32)
+        gates = z[: 3 * h]
+        for d, order in enumerate((range(t), range(t - 1, -1, -1))):
+            table = np.ascontiguousarray((p["x"][d] * half).T)
+            u, o = np.ascontiguousarray((p["u"][d] * half).T), np.ascontiguousarray(p["o"][d].T)
+            state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+            for s in order:
+                np.take(table, steps[s], axis=1, out=z, mode="clip")
+                np.matmul(u, state, out=y)
+                z += y
+                np.tanh(z, out=z)
+                gates *= 0.5
+                gates += 0.5
+                cell *= z[h : 2 * h]
+                np.multiply(z[:h], z[3 * h :], out=product)
+                cell += product
+                np.tanh(cell, out=product)
+                np.multiply(product, z[2 * h : 3 * h], out=state)
+                out[:, s] += o @ state
+        return out
 
     # ----------------------------------------------------------- decoding
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Best tags of each window.  Windows in which no character's best tag can
-        make up for the dearest way out of tag 0 are all 0 and need no search."""
-        e = self.scores(ids)
-        a = self.transitions()
-        best = e[..., 1:].max(axis=2)
-        best -= e[..., 0]
-        gain = best.max(axis=0) + 2 * max(0.0, float(a[self.allowed].max() - a[0, 0]))
+        """Best tags of each window, (windows, characters)."""
+        e, a = self.scores(ids), self.transitions()
         tags = np.zeros(ids.shape, np.int8)
-        some = np.flatnonzero(gain > 0)
+        some = np.flatnonzero(self._leaves(e, a))
         if len(some):
-            tags[some] = self._viterbi(e[:, some].transpose(1, 0, 2), a)
+            tags[some] = self._viterbi(e[:, :, some], a)
         return tags
 
+    def _leaves(self, e: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Windows whose best path may hold another tag than 0.  Scores are taken relative to tag 0 throughout;
+        a kind's inner tag follows its own kind, as in the search, and a first tag after another kind
+        gets that step's best case.  Windows in which nothing comes out above 0 need no search."""
+        first, inner = e[1::2] - e[:1], e[2::2] - e[:1]
+        k = np.arange(self.kinds)
+        b, i = 2 * k + 1, 2 * k + 2
+        into = (a[0, b] - a[0, 0])[:, None]
+        other = (a[1:, b].max(axis=0) - a[0, 0])[:, None]
+        go, stay = (a[b, i] - a[0, 0])[:, None], (a[i, i] - a[0, 0])[:, None]
+        out = np.maximum(a[b, 0], a[i, 0])[:, None] - a[0, 0]
+        outside = np.zeros(e.shape[2], np.float32)
+        begun, inside = first[:, 0], inner[:, 0]  # a window may begin inside a span
+        for s in range(1, e.shape[1]):
+            held = np.maximum(begun, inside)
+            best = held.max(axis=0)
+            inside = np.maximum(begun + go, inside + stay) + inner[:, s]
+            begun = np.maximum(outside + into, best + other) + first[:, s]
+            outside = np.maximum(outside, (held + out).max(axis=0))
+        return np.maximum(outside, np.maximum(begun, inside).max(axis=0)) > 0
+
     def _viterbi(self, e: np.ndarray, a: np.ndarray) -> np.ndarray:
-        n, t, k = e.shape
-        best, back = e[:, 0].copy(), np.zeros((t, n, k), np.int8)
+        k, t, n = e.shape
+        best, back = e[:, 0].copy(), np.zeros((t, k, n), np.int8)
         for s in range(1, t):
-            ways = best[:, :, None] + a
-            back[s] = ways.argmax(axis=1)
-            best = ways.max(axis=1) + e[:, s]
+            ways = best[:, None, :] + a[:, :, None]
+            back[s] = ways.argmax(axis=0)
+            best = ways.max(axis=0) + e[:, s]
         tags = np.empty((n, t), np.int8)
-        tags[:, -1] = best.argmax(axis=1)
+        tags[:, -1] = best.argmax(axis=0)
         rows = np.arange(n)
         for s in range(t - 1, 0, -1):
-            tags[:, s - 1] = back[s, rows, tags[:, s]]
+            tags[:, s - 1] = back[s, tags[:, s], rows]
         return tags
 
     # ----------------------------------------------------------- training

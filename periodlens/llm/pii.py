@@ -28,9 +28,9 @@ from .lstm import PAD, Tagger, char_ids
 KINDS = ["email", "ip", "card", "phone"]
 #: Rows at most that give windows to the tagger's training, the least hashes first.
 TRAIN_ROWS = 400
-WINDOW, MARGIN = 192, 16
+WINDOW, MARGIN = 256, 16
 STRIDE = WINDOW - 2 * MARGIN
-BATCH = 512
+BATCH = 2048
 TRAIN_WINDOW, TRAIN_WINDOWS, STEPS = 80, 1536, 300
 
 Span = tuple[int, int, int]  # kind, start, end
