@@ -8,8 +8,12 @@ Example::
         --stores 101,102 --operator alpha --out out/ --format parquet
 
 Every report table is written under ``--out/<table>`` (partitioned by
-``run_id`` and ``operator``), the date export under ``--out/daily``, and the
-summary line is printed.
+``run_id`` and ``operator``), the date export under ``--out/daily``, display
+text of the summaries under ``--out/<table>_text``, and the summary line is
+printed.  ``--dd-stores`` and ``--ue-stores`` select per platform, ``--stores``
+on both.  Legacy new-customer files are named ``dd-mkt-<window>.csv`` and
+``ue-mkt-<window>.csv`` in the ``--legacy`` folder, with the window written as
+``pre-24``, ``post-24``, ``pre-25`` or ``post-25``.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from __future__ import annotations
 import argparse
 import uuid
 
-from .params import ReportParams
-from .plans.report import ReportInputs, run_report
+from .params import PERIODS, ReportParams
+from .plans.report import ReportInputs, drop_staging, run_report
 from .session import build_session
 from .sources import exports, sinks
 from .sources import files as fs
@@ -38,6 +42,11 @@ def main(argv=None) -> int:
     ap.add_argument("--post", required=True, help="M/D/YYYY-M/D/YYYY")
     ap.add_argument("--exclude", default="", help="comma separated M/D/YYYY days")
     ap.add_argument("--stores", default="", help="comma separated store ids (empty = all)")
+    ap.add_argument("--dd-stores", default="", help="the same for DD only")
+    ap.add_argument("--ue-stores", default="", help="the same for UE only")
+    ap.add_argument("--legacy", help="folder of per-window new-customer files")
+    ap.add_argument("--end-at-midnight", action="store_true", help="windows end at midnight of their last day")
+    ap.add_argument("--staging", default=None, help="folder shared by the cluster for the run's shared inputs")
     ap.add_argument("--operator", default="")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
@@ -47,22 +56,37 @@ def main(argv=None) -> int:
     from pyspark.sql import SparkSession
     created = SparkSession.getActiveSession() is None
     spark = build_session(a.master)
-    params = ReportParams.of(pre=_range(a.pre), post=_range(a.post),
-                             excluded=[d for d in a.exclude.split(",") if d.strip()],
-                             stores=[s for s in a.stores.split(",") if s.strip()] or None,
-                             operator=a.operator)
+
+    def ids(text):
+        return [s for s in text.split(",") if s.strip()] or None
+
+    stores = ids(a.stores)
+    if a.dd_stores or a.ue_stores:
+        stores = {"DD": ids(a.dd_stores) or stores, "UE": ids(a.ue_stores) or stores}
+    params = ReportParams.of(pre=_range(a.pre), post=_range(a.post), excluded=ids(a.exclude) or [],
+                             stores=stores, operator=a.operator, end_at_midnight=a.end_at_midnight)
     dd = [p for g in a.dd for p in fs.glob(spark, g)]
     ue = [p for g in a.ue for p in fs.glob(spark, g)]
     campaigns = None
     if a.marketing:
         root = exports.marketing_root(spark, a.marketing) or a.marketing
         campaigns = exports.promotions(spark, root).unionByName(exports.sponsored(spark, root))
+    legacy = {}
+    if a.legacy:
+        for side in ("dd", "ue"):
+            named = {p: fs.glob(spark, f"{a.legacy.rstrip('/')}/{side}-mkt-{p.replace('_', '-')}.csv") for p in PERIODS}
+            legacy[side] = {p: found[0] for p, found in named.items() if found}
+    inputs = ReportInputs(
+        orders=exports.orders(spark, dd, ue), campaigns=campaigns,
+        dd_new_customers=exports.legacy_dd_new_customers(spark, legacy["dd"], params.excluded) if legacy.get("dd") else None,
+        ue_new_customers=exports.legacy_ue_new_customer_totals(spark, legacy["ue"]) if legacy.get("ue") else None)
     run_id = uuid.uuid4().hex[:12]
-    tables = run_report(spark, params, ReportInputs(orders=exports.orders(spark, dd, ue),
-                                                    campaigns=campaigns),
-                        stores=list(params.stores) if params.stores else None, run_id=run_id)
+    tables = run_report(spark, params, inputs, run_id=run_id, staging=a.staging)
     line = tables["summary_line"].collect()
     sinks.write_report(tables, a.out, run_id, a.operator, a.format)
+    sinks.write_report(sinks.display_tables(tables), a.out, run_id, a.operator, a.format)
+    sinks.write_daily(tables["daily_cells"], a.out, run_id, a.operator, a.format)
+    drop_staging(spark, run_id, a.staging)
     for r in line:
         print(r.summary)
     print(f"run_id={run_id} out={a.out}")

@@ -23,6 +23,15 @@ from .numeric import col_
 # ``M/d/yyyy`` also accepts zero-padded ``MM/dd/yyyy``.
 US_DATE = "M/d/yyyy"
 ISO_DATE = "yyyy-M-d"
+# A clock time, alone or behind a date: hours, minutes, seconds, AM or PM.
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([AaPp][Mm])?"
+_DATE_AND_CLOCK = r"^(.*?)(?:[\sT,]+" + _CLOCK + ")?$"
+# Other spellings of a date and what they are rewritten to, so
+# that three formats cover all: compact and slashed ISO, month names.
+_REWRITES = ((r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+             (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$2 $1 $3"),
+             (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})$", "$1 $2 $3"))
+NAMED_DATE = "d MMM yyyy"
 
 
 def _strip(c) -> Column:
@@ -37,9 +46,32 @@ def parse_iso(c) -> Column:
     return F.try_to_date(_strip(c), ISO_DATE)
 
 
+def _clock_seconds(s: Column, pattern: str, group: int) -> Column:
+    """Seconds after midnight from the clock groups of ``pattern``; null if there is no valid clock."""
+    h, m, sec, half = (F.regexp_extract(s, pattern, group + i) for i in range(4))
+    hour = h.cast("int")
+    afternoon = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0))
+    total = afternoon * 3600 + m.cast("int") * 60 + F.coalesce(F.nullif(sec, F.lit("")).cast("int"), F.lit(0))
+    return F.when((h != "") & (afternoon < 24) & (m.cast("int") < 60), total)
+
+
+def parse_timestamp(c) -> Column:
+    """Date or date-time text in any accepted spelling, as a timestamp without
+    zone (midnight for a date): ISO and compact dates, US dates, named months,
+    each with or without a 12- or 24-hour clock time.  Other text is null."""
+    s = _strip(c)
+    day = F.regexp_extract(s, _DATE_AND_CLOCK, 1)
+    for pattern, to in _REWRITES:
+        day = F.regexp_replace(day, pattern, to)
+    date = F.coalesce(F.try_to_date(day, US_DATE), F.try_to_date(day, ISO_DATE), F.try_to_date(F.initcap(day), NAMED_DATE))
+    clock = F.coalesce(_clock_seconds(s, _DATE_AND_CLOCK, 2), F.lit(0))
+    spelled = date.cast("timestamp_ntz") + F.make_dt_interval(secs=clock)
+    return F.coalesce(spelled, F.when(~s.rlike(r"^\d+$"), s.try_cast("timestamp_ntz")))
+
+
 def parse_auto(c) -> Column:
-    """Generic parser: ISO dates and timestamps (with a time part)."""
-    return F.to_date(_strip(c).try_cast("timestamp_ntz"))
+    """Generic parser: the date of any accepted spelling, with or without a time."""
+    return F.to_date(parse_timestamp(c))
 
 
 def parse_date_per_row(c) -> Column:
@@ -51,9 +83,8 @@ def parse_date_per_file(df: DataFrame, c: str, out: str = "event_date",
                         file_col: str = "_src_file") -> DataFrame:
     """File-level cascade.
 
-    One format is chosen per input file.  The choice table has one row per
-    input file, a size the driver already holds in its file listing, so it is
-    broadcast explicitly.
+    One format is chosen per input file; the choice table (one row per file) is
+    joined back, and adaptive execution broadcasts it when it is small.
     """
     cand = df.select(
         F.col(file_col),
@@ -62,7 +93,7 @@ def parse_date_per_file(df: DataFrame, c: str, out: str = "event_date",
     )
     choice = (cand.groupBy(file_col)
               .agg(F.max("_us").alias("_any_us"), F.max("_iso").alias("_any_iso")))
-    joined = df.join(F.broadcast(choice), on=file_col, how="left")
+    joined = df.join(choice, on=file_col, how="left")
     parsed = (F.when(F.col("_any_us") == 1, parse_us(c))
               .when(F.col("_any_iso") == 1, parse_iso(c))
               .otherwise(parse_auto(c)))
@@ -70,18 +101,9 @@ def parse_date_per_file(df: DataFrame, c: str, out: str = "event_date",
 
 
 def minute_of_day(c) -> Column:
-    """Minutes after midnight of a clock time (``1:11 AM``) or timestamp."""
+    """Minutes after midnight of a clock time (``1:11 AM``, ``1:11:05 AM``,
+    ``13:11``) or of a date-time in any accepted spelling (M15)."""
     s = _strip(c)
-    ts = F.coalesce(
-        F.try_to_timestamp(s, F.lit("h:mm a")),
-        F.try_to_timestamp(s, F.lit("h:mma")),
-        F.try_to_timestamp(s, F.lit("H:mm")),
-        s.try_cast("timestamp"),
-    )
-    return (F.hour(ts) * 60 + F.minute(ts)).cast("int")
-
-
-def minute_of_day_ts(c) -> Column:
-    """Minutes after midnight of a timestamp column."""
-    c = col_(c)
-    return (F.hour(c) * 60 + F.minute(c)).cast("int")
+    ts = parse_timestamp(c)
+    alone = _clock_seconds(s, f"^{_CLOCK}$", 1)
+    return F.coalesce(F.floor(alone / 60), F.hour(ts) * 60 + F.minute(ts)).cast("int")

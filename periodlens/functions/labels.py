@@ -27,19 +27,6 @@ SUMMARY_METRIC_ROWS = (
 )
 
 
-def campaign_label(key) -> Column:
-    """``Is self serve campaign`` value -> label."""
-    k = F.lower(F.trim(col_(key).cast("string")))
-    return (F.when(k.isin("false", "0"), F.lit(CORPORATE))
-            .when(k.isin("true", "1"), F.lit(TODC))
-            .otherwise(col_(key).cast("string")))
-
-
-def direction(change) -> Column:
-    c = col_(change)
-    return F.when(c > 0, F.lit(GAIN)).when(c < 0, F.lit(LOSS)).otherwise(F.lit(NO_CHANGE))
-
-
 def pct_text(c) -> Column:
     """``12.3%`` from an already rounded number (M9)."""
     return F.concat(F.format_string("%.1f", F.bround(col_(c), 1)), F.lit("%"))

@@ -51,31 +51,14 @@ def zero_if_null(c, dtype: str | None = None) -> Column:
     return out.cast(dtype) if dtype else out
 
 
-def round1(c) -> Column:
-    """Round half to even at one decimal (M8).  Use on decimals where exact."""
-    return F.bround(col_(c), 1)
-
-
 def to_double(c) -> Column:
     return col_(c).cast("double")
 
 
-# Three zero-denominator rules exist, one per level (G1): see the next three.
-
-def pct_den_one(delta, den) -> Column:
-    """Store-level percentage: a zero denominator is replaced by 1 (M2)."""
-    den = col_(den)
-    safe = F.when(den == 0, F.lit(1)).otherwise(den)
-    return to_double(delta) / to_double(safe) * F.lit(100.0)
-
+# Three zero-denominator rules exist, one per level (G1): this one, and as SQL
+# text those of ``operators.compare`` and ``operators.summary``.
 
 def pct_or_zero(delta, den) -> Column:
     """Summary-level percentage: zero when the denominator is zero (M3, M4)."""
     den = col_(den)
     return F.when(den == 0, F.lit(0.0)).otherwise(to_double(delta) / to_double(den) * F.lit(100.0))
-
-
-def ratio_or_zero(num, den) -> Column:
-    """Plain ratio, zero when the denominator is zero (M5-M7)."""
-    den = col_(den)
-    return F.when(den == 0, F.lit(0.0)).otherwise(to_double(num) / to_double(den))

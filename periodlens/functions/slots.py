@@ -6,11 +6,6 @@ A minute ``m`` belongs to slot ``i`` when ``cut[i-1] <= m < cut[i]``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .numeric import col_
-
 # Slot names in business order.
 SLOT_NAMES = ("Overnight", "Breakfast", "Lunch", "Afternoon", "Dinner", "Late night")
 
@@ -25,36 +20,8 @@ DD_AS_CODED = (300, 659, 839, 959, 1159)
 PLATFORM_BOUNDS = {"DD": DD_AS_CODED, "UE": STANDARD}
 
 
-def slot_of(minute, bounds: tuple[int, ...] = STANDARD) -> Column:
-    """Slot name for a minute-of-day column; null minute -> null slot."""
-    m = col_(minute)
-    expr = F.when(m.isNull() | (m < 0), F.lit(None).cast("string"))
-    for name, cut in zip(SLOT_NAMES, bounds):
-        expr = expr.when(m < cut, F.lit(name))
-    return expr.otherwise(F.lit(SLOT_NAMES[-1]))
-
-
-def slot_order(slot) -> Column:
-    s = col_(slot)
-    expr = F.when(s.isNull(), F.lit(None).cast("int"))
-    for i, name in enumerate(SLOT_NAMES):
-        expr = expr.when(s == name, F.lit(i))
-    return expr
-
-
-def slot_by_platform(minute, platform, bounds_by_platform: dict | None = None) -> Column:
-    """Slot with per-platform bounds (DD as coded, UE standard by default)."""
-    b = bounds_by_platform or PLATFORM_BOUNDS
-    p = col_(platform)
-    expr = None
-    for plat, bounds in b.items():
-        expr = (F.when(p == plat, slot_of(minute, bounds)) if expr is None
-                else expr.when(p == plat, slot_of(minute, bounds)))
-    return expr.otherwise(slot_of(minute, STANDARD))
-
-
 def slot_sql(minute: str, bounds: tuple[int, ...] = STANDARD) -> str:
-    """The same rule as ``slot_of`` as SQL text."""
+    """Slot name of a minute of day as SQL text; a null or negative minute has none."""
     arms = " ".join(f"WHEN {minute} < {cut} THEN '{name}'" for name, cut in zip(SLOT_NAMES, bounds))
     return (f"CASE WHEN {minute} IS NULL OR {minute} < 0 THEN CAST(NULL AS STRING) {arms} "
             f"ELSE '{SLOT_NAMES[-1]}' END")

@@ -64,6 +64,8 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
     rows = fact if rows_filtered else report_rows(fact, params, periods, date_col)
     flags = window_flags_sql(params, date_col, periods)
     keys = list(keys)
+    for k in keys:  # groups without a key are dropped once, before both aggregates (G22)
+        rows = rows.where(F.col(k).isNotNull())
     if approx_orders and count_orders:
         return rows.groupBy(*keys).agg(
             *[F.expr(f"CAST(coalesce(sum(CASE WHEN {c} THEN `{m}` END), 0) AS {MONEY_SUM}) AS `{m}__{p}`")
@@ -74,9 +76,6 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
             for p, c in flags.items() for m in measures]
     if not count_orders:
         return rows.groupBy(*keys).agg(*sums)
-    # Money: summed straight per key; map-side partial aggregation leaves one
-    # row per key and task, so this shuffle is tiny whatever the skew.
-    money = rows.groupBy(*keys).agg(*sums)
     # Orders: one row per (key, order) carrying only a bit mask of the windows
     # the order appears in, then a count per window bit.  The wide money sums
     # never ride on this (largest) shuffle.
@@ -85,7 +84,12 @@ def window_totals(fact: DataFrame, params: ReportParams, keys: Sequence[str] = (
     orders = per_order.groupBy(*keys).agg(*[
         F.expr(f"count(CASE WHEN order_id IS NOT NULL AND (_mask & {1 << i}) <> 0 THEN 1 END)"
                f" AS `orders__{p}`") for i, p in enumerate(flags)])
-    # Both sides hold exactly the keys that have rows and are already
+    if not measures:
+        return orders
+    # Money: summed straight per key; map-side partial aggregation leaves one
+    # row per key and task, so this shuffle is tiny whatever the skew.
+    money = rows.groupBy(*keys).agg(*sums)
+    # Both sides hold exactly the (non-null) keys that have rows and are already
     # partitioned by them, so the join adds no exchange.
     return money.join(orders, keys, "inner")
 
@@ -131,7 +135,7 @@ def store_compare_dec(fact: DataFrame, params: ReportParams,
     A store is listed when it has at least one row in any window.
     """
     money = [m for m in metrics if m != "orders"]
-    totals = window_totals(fact, params, measures=money or ["sales"],
+    totals = window_totals(fact, params, measures=money,
                            count_orders="orders" in metrics, approx_orders=approx_orders)
     long = metric_rows(totals, metrics, ["platform", "store_id"])
     return long.select("platform", "store_id", "metric", *compare_exprs())

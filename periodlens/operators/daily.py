@@ -5,8 +5,8 @@ sales, payouts and distinct orders per cell.  Rows are tagged with every
 window they fall in by a range join against the 4-row period dimension, so
 overlapping windows work.  Totals are grouping sets over the cells (summing
 cell values, as the export does; a distinct count across cells would give a
-different number).  A wide date x store pivot is produced only for a
-bounded number of stores.
+different number).  The wide date x store layout has one column per store that the
+caller lists, one for all other stores and one for the day's total.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ from ..params import PERIODS, ReportParams
 from .facts import exclude_days, tag_periods, window_filter
 
 DAILY_VALUES = ("sales", "payouts", "orders")
-# Largest store count accepted for the wide layout (one column per store).
-MAX_PIVOT_STORES = 1000
-# Name of the per-day total column of the wide layout.
-TOTAL = "Total"
+# Columns of the wide layout beside the listed stores.
+TOTAL, OTHER = "Total", "Other"
 
 
 def daily_cells_dec(fact: DataFrame, params: ReportParams,
@@ -37,7 +35,7 @@ def daily_cells_dec(fact: DataFrame, params: ReportParams,
         tagged = exclude_days(fact.where(F.col("period").isin(*periods)), params.excluded)
     else:
         rows = exclude_days(window_filter(fact, params, periods), params.excluded)
-        tagged = tag_periods(fact.sparkSession, rows, params, periods=periods)
+        tagged = tag_periods(rows, params, periods=periods)
     payouts = F.col("payouts")
     if "payouts_hist" in fact.columns:
         # Last-year blocks of the date export take the historical payout column
@@ -78,32 +76,25 @@ def daily_cube(cells_dec: DataFrame) -> DataFrame:
                       "orders")
 
 
-def pivot_store_ids(cells: DataFrame, limit: int = MAX_PIVOT_STORES) -> list[str]:
-    """Distinct store ids for the wide layout, refusing more than ``limit``."""
-    ids = [r[0] for r in cells.select("store_id").distinct().limit(limit + 1).collect()]
-    if len(ids) > limit:
-        raise ValueError(f"more than {limit} stores: use the long or cube layout")
-    return sorted(ids)
-
-
-def daily_wide(cells_dec: DataFrame, metric: str = "sales", store_ids: list[str] | None = None,
-               limit: int = MAX_PIVOT_STORES) -> DataFrame:
-    """One row per day plus a Total row; one column per store plus Total;
-    missing cells are 0.  ``cells_dec`` should already be cut to one platform
-    and one period.
-
-    Cell values, per-day totals, per-store totals and the corner are summed
-    exactly (DECIMAL) in long form first, so the pivot only places one DOUBLE
-    per (row, column).  Spark then pivots in two phases (``PivotFirst``) and
-    no expression grows with the number of stores."""
-    ids = store_ids if store_ids is not None else pivot_store_ids(cells_dec, limit)
-    cells = cells_dec.select("event_date", "store_id", F.col(metric).alias("v"))
-    no_date = F.lit(None).cast("date").alias("event_date")
-    per_day = cells.groupBy("event_date").agg(F.lit(TOTAL).alias("store_id"), F.sum("v").alias("v"))
-    per_store = cells.groupBy("store_id").agg(F.sum("v").alias("v")).select(no_date, "store_id", "v")
-    corner = cells.agg(F.sum("v").alias("v")).select(no_date, F.lit(TOTAL).alias("store_id"), "v")
-    stacked = cells.unionByName(per_day).unionByName(per_store).unionByName(corner)
-    keys = list(ids) + [TOTAL]
-    wide = (stacked.withColumn("v", F.col("v").cast("double"))
-            .groupBy("event_date").pivot("store_id", keys).agg(F.sum("v")))
-    return wide.na.fill(0.0, subset=keys)
+def daily_wide(cells_dec: DataFrame, store_ids: Sequence[str],
+               metrics: Sequence[str] = DAILY_VALUES) -> DataFrame:
+    """Per platform, period and metric one row per day plus a Total row
+    (``event_date`` null); one column per listed store, ``Other`` for all other
+    stores and ``Total``; missing cells are 0.
+
+    Sums are exact (DECIMAL) until the last cast.  One pass over the cells: the
+    metrics become rows and grouping sets add the totals.  The plan depends on
+    the listed stores only, not on how many the data has."""
+    structs = ", ".join(f"named_struct('metric', '{m}', 'v', CAST(`{m}` AS {MONEY_SUM}))" for m in metrics)
+    long = cells_dec.selectExpr("platform", "period", "event_date", "store_id", f"inline(array({structs}))")
+    listed = list(dict.fromkeys(str(s) for s in store_ids))
+    column = {i: "'" + i.replace("'", "\\'") + "'" for i in listed}
+    other = f"store_id NOT IN ({', '.join(column.values())})" if listed else "TRUE"
+
+    def total(condition: str, name: str):
+        return F.expr(f"CAST(coalesce(sum(CASE WHEN {condition} THEN v END), 0) AS DOUBLE)").alias(name)
+
+    keys = ["platform", "period", "metric"]
+    wide = long.groupingSets([[*keys, "event_date"], keys], *keys, "event_date").agg(
+        *[total(f"store_id = {sql}", i) for i, sql in column.items()], total(other, OTHER), total("TRUE", TOTAL))
+    return wide.select(*keys, "event_date", *[F.col(f"`{c}`") for c in (*listed, OTHER, TOTAL)])

@@ -14,15 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..params import PERIODS, ReportParams, in_any_window, period_dim
-
-# Excluded-day lists longer than this are applied as a broadcast anti join
-# instead of an IN list (the list is a request parameter, so its size is
-# known on the driver).
-MAX_INLINE_DAYS = 256
-# Store selections given as Python lists longer than this become a
-# broadcast semi join; the list is already on the driver, so its size is known.
-MAX_INLINE_STORES = 1000
+from ..params import PERIODS, ReportParams, in_any_window, window_flags_sql
 
 
 def _ts_range(start: dt.date, end: dt.date) -> tuple:
@@ -48,15 +40,6 @@ def window_filter(df: DataFrame, params: ReportParams, periods: Iterable[str] =
     return df.where(in_any_window(params, date_col, periods))
 
 
-def strict_midnight_filter(df: DataFrame, start: dt.date, end: dt.date,
-                           ts_col: str = "event_ts") -> DataFrame:
-    """Window filter on the raw timestamp with the end at midnight."""
-    lo = dt.datetime.combine(start, dt.time())
-    hi = dt.datetime.combine(end, dt.time())
-    return df.where(F.col(ts_col).between(F.lit(lo).cast("timestamp_ntz"),
-                                          F.lit(hi).cast("timestamp_ntz")))
-
-
 def not_excluded(excluded: Iterable[dt.date], date_col: str = "event_date") -> Column:
     days = list(excluded)
     if not days:
@@ -67,8 +50,8 @@ def not_excluded(excluded: Iterable[dt.date], date_col: str = "event_date") -> C
 
 def exclude_days(df: DataFrame, excluded: Iterable[dt.date] | DataFrame,
                  date_col: str = "event_date", within: tuple[dt.date, dt.date] | None = None) -> DataFrame:
-    """Drop excluded calendar days (F3).  Short lists are an IN predicate;
-    long lists and DataFrames become an anti join (J5).
+    """Drop excluded calendar days (F3): a list is an IN predicate of any
+    length, a DataFrame an anti join (J5).
 
     A DataFrame of days is broadcast only when ``within`` bounds it to a date
     span (then it holds at most one row per day of the span); otherwise the
@@ -82,14 +65,7 @@ def exclude_days(df: DataFrame, excluded: Iterable[dt.date] | DataFrame,
         return (df.where(F.col(date_col).isNotNull())
                   .join(side, F.col(date_col) == F.col("_xday"), "left_anti"))
     days = list(excluded)
-    if not days:
-        return df
-    if len(days) <= MAX_INLINE_DAYS:
-        return df.where(not_excluded(days, date_col))
-    spark = df.sparkSession
-    xdf = spark.createDataFrame([(d,) for d in days], "_xday date")
-    return (df.where(F.col(date_col).isNotNull())
-              .join(F.broadcast(xdf), F.col(date_col) == F.col("_xday"), "left_anti"))
+    return df.where(not_excluded(days, date_col)) if days else df
 
 
 def report_rows(df: DataFrame, params: ReportParams, periods: Iterable[str] = PERIODS,
@@ -98,37 +74,67 @@ def report_rows(df: DataFrame, params: ReportParams, periods: Iterable[str] = PE
     return exclude_days(window_filter(df, params, periods, date_col), params.excluded, date_col)
 
 
-def select_stores(df: DataFrame, stores: Iterable[str] | DataFrame | None,
-                  store_col: str = "store_id") -> DataFrame:
+def _in_list(store_col: str, ids: Iterable[str]) -> str:
+    listed = ", ".join("'" + str(i).replace("\\", "\\\\").replace("'", "\\'") + "'" for i in ids)
+    return f"`{store_col}` IN ({listed})" if listed else "FALSE"
+
+
+def select_stores(df: DataFrame, stores: Iterable[str] | dict | DataFrame | None,
+                  store_col: str = "store_id", platform_col: str = "platform") -> DataFrame:
     """Keep selected stores.
 
-    ``None`` keeps all.  A Python list is an IN predicate (or a broadcast semi
-    join beyond ``MAX_INLINE_STORES``; the list is on the driver so its size
-    is checked).  A DataFrame selection is data whose size is not known in
-    advance: it is a plain ``left_semi`` join, and adaptive execution turns it
-    into a broadcast join only if the materialised selection is small.
+    ``None`` keeps all.  A list selects on every platform; a dict gives a list
+    (or ``None`` for all) per platform, and platforms it does not name keep all
+    their stores.  Lists are IN predicates of any length.  A DataFrame selection
+    has one column of store ids, or two (platform, store id); its size is not
+    known in advance, so it is a plain ``left_semi`` join that adaptive
+    execution turns into a broadcast join only if the selection is small.
     """
     if stores is None:
         return df
     if isinstance(stores, DataFrame):
-        sel = stores.select(F.col(stores.columns[0]).cast("string").alias("_sel_store")).distinct()
-        return df.join(sel, F.col(store_col) == F.col("_sel_store"), "left_semi")
-    ids = [str(s) for s in stores]
-    if len(ids) <= MAX_INLINE_STORES:
-        return df.where(F.col(store_col).isin(*ids))
-    spark = df.sparkSession
-    sel = spark.createDataFrame([(s,) for s in ids], "_sel_store string")
-    return df.join(F.broadcast(sel), F.col(store_col) == F.col("_sel_store"), "left_semi")
-
-
-def tag_periods(spark: SparkSession, df: DataFrame, params: ReportParams,
+        names = ["_sel_platform", "_sel_store"][-len(stores.columns):]
+        sel = stores.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(stores.columns, names)]).distinct()
+        on = F.col(store_col) == F.col("_sel_store")
+        if len(names) == 2:
+            on = on & (F.col(platform_col) == F.col("_sel_platform"))
+        return df.join(sel, on, "left_semi")
+    if isinstance(stores, dict):
+        parts = [f"(`{platform_col}` = '{p}' AND {_in_list(store_col, ids)})" for p, ids in stores.items() if ids is not None]
+        limited = ", ".join(f"'{p}'" for p, ids in stores.items() if ids is not None)
+        if not parts:
+            return df
+        return df.where(F.expr(" OR ".join([f"`{platform_col}` NOT IN ({limited})", *parts])))
+    return df.where(F.expr(_in_list(store_col, stores)))
+
+
+def selection_rows(compare_rows: DataFrame, stores, platforms: Iterable[str] = ("DD", "UE")) -> DataFrame:
+    """The selection itself as distinct (platform, store_id) rows, whether or not
+    the stores have data; where nothing is selected, the stores of
+    ``compare_rows`` (platform, store_id)."""
+    spark = compare_rows.sparkSession
+    schema = "platform string, store_id string"
+    if stores is None:
+        return compare_rows.select("platform", "store_id").distinct()
+    if isinstance(stores, DataFrame):
+        ids = stores.select(F.col(f"`{stores.columns[-1]}`").cast("string").alias("store_id"),
+                            (F.array(F.col(f"`{stores.columns[0]}`").cast("string")) if len(stores.columns) == 2
+                             else F.array(*map(F.lit, platforms))).alias("p"))
+        return ids.where("store_id IS NOT NULL AND store_id <> ''").select(F.explode("p").alias("platform"), "store_id").distinct()
+    by = stores if isinstance(stores, dict) else dict.fromkeys(platforms, stores)
+    listed = spark.createDataFrame(sorted({(p, str(i)) for p, ids in by.items() if ids is not None for i in ids}), schema)
+    open_ = [p for p in platforms if by.get(p) is None]
+    if not open_:
+        return listed
+    return listed.unionByName(compare_rows.where(F.col("platform").isin(open_)).select("platform", "store_id").distinct())
+
+
+def tag_periods(df: DataFrame, params: ReportParams,
                 date_col: str = "event_date", periods: Iterable[str] = PERIODS) -> DataFrame:
-    """Range join of rows to the 4-row period dimension.
+    """Range join of rows to the windows (J7) as a ``period`` column.
 
-    A row inside two overlapping windows comes out twice, once per period.
-    The period side has exactly four rows, so broadcasting it is bounded.
-    """
-    pdim = period_dim(spark, params).where(F.col("period").isin(*periods))
-    return df.join(F.broadcast(pdim),
-                   (F.col(date_col) >= F.col("start_date")) & (F.col(date_col) <= F.col("end_date")),
-                   "inner")
+    A row inside two overlapping windows comes out twice, once per period, and
+    a row in none not at all.  The windows are request parameters, so each row
+    explodes the array of the windows it matches; no join is needed."""
+    flags = ", ".join(f"CASE WHEN {sql} THEN '{p}' END" for p, sql in window_flags_sql(params, date_col, periods).items())
+    return df.withColumn("period", F.explode(F.expr(f"array_compact(array({flags}))")))

@@ -16,7 +16,7 @@ from ..functions import labels
 from ..functions.numeric import MONEY_SUM, pct_or_zero, zero_if_null
 from ..params import ReportParams
 from .compare import as_double, pct_or_zero_sql
-from .facts import report_rows, select_stores
+from .facts import report_rows, select_stores, selection_rows
 
 MOVER_COLS = ("pre", "post", "change", "change_pct")
 
@@ -42,6 +42,12 @@ def summary_movers(combined: DataFrame) -> DataFrame:
     return order_by_change(_movers(combined, ["metric"], "pre", "post"), "metric")
 
 
+def platform_summary_movers(platform_summary: DataFrame) -> DataFrame:
+    """R13 per platform: its summary metrics (table 1) by absolute change."""
+    moved = _movers(platform_summary, ["platform", "metric"], "pre", "post")
+    return moved.orderBy("platform", F.abs(F.col("change")).desc(), "metric")
+
+
 def store_movers(sources: list[tuple[str, DataFrame]], k: int = 20) -> DataFrame:
     """Top ``k`` stores by absolute sales change, taken from the first
     non-empty source in priority order (Combined, DoorDash, UberEats)."""
@@ -117,9 +123,10 @@ def best_worst_dates(fact: DataFrame, params: ReportParams, k: int = 5) -> DataF
 
 
 def store_directory(compare_dec: DataFrame, stores=None) -> DataFrame:
-    """Distinct selected store ids, DD stores first then UE-only ones,
-    each group sorted, with an empty Markups column."""
-    s = select_stores(compare_dec.where(F.col("metric") == "sales"), stores)
+    """Distinct ids of the selection (all stores with data if nothing
+    is selected), DD stores first then UE-only ones, each group sorted, with an
+    empty Markups column."""
+    s = selection_rows(compare_dec.where(F.col("metric") == "sales"), stores)
     d = s.groupBy("store_id").agg(
         F.min(F.when(F.col("platform") == "DD", F.lit(0)).otherwise(F.lit(1))).alias("source_rank"))
     return (d.select("store_id", F.when(F.col("source_rank") == 0, F.lit("DD"))
@@ -128,6 +135,6 @@ def store_directory(compare_dec: DataFrame, stores=None) -> DataFrame:
             .orderBy("source_rank", "store_id"))
 
 
-__all__ = ["summary_movers", "store_movers", "slot_movers", "platform_movers",
+__all__ = ["summary_movers", "platform_summary_movers", "store_movers", "slot_movers", "platform_movers",
            "platform_growth", "best_worst_stores", "best_worst_dates", "store_directory",
            "daily_sales", "as_double", "select_stores"]

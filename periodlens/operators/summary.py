@@ -18,7 +18,7 @@ from ..functions import labels
 from ..functions.numeric import MONEY_SUM
 from ..params import PERIODS, ReportParams
 from .compare import DELTAS, METRIC_NAMES, as_double, metric_rows, pct_or_zero_sql, window_totals
-from .facts import select_stores, window_filter
+from .facts import select_stores, selection_rows, window_filter
 
 SUM_COLS = PERIODS + DELTAS
 BASE_METRICS = ("sales", "payouts", "orders", "new_customers")
@@ -184,12 +184,12 @@ def table2(summary: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ KPIs
 
-def kpis(combined: DataFrame, compare_dec: DataFrame, stores=None) -> DataFrame:
+def kpis(combined: DataFrame, counts: DataFrame) -> DataFrame:
     """Headline growth numbers and payout lift per selected DD store.
 
-    The combined summary rows and the per-platform store counts are stacked
-    and folded by one global aggregate (no join)."""
-    counts = store_counts(compare_dec, stores)
+    ``counts`` has (platform, selected_stores), from ``selected_counts`` or
+    ``store_counts``.  The combined summary rows and the counts are stacked and
+    folded by one global aggregate (no join)."""
     long = combined.select("metric", "growth_pct", "yoy_pct", "prevs_post").unionByName(
         counts.select("platform", "selected_stores"), allowMissingColumns=True)
 
@@ -197,7 +197,10 @@ def kpis(combined: DataFrame, compare_dec: DataFrame, stores=None) -> DataFrame:
         return F.coalesce(F.max(F.when(F.col("metric") == METRIC_NAMES[metric], F.col(col))),
                           F.lit(0.0))
 
-    n = F.coalesce(F.max(F.when(F.col("platform") == "DD", F.col("selected_stores"))), F.lit(0))
+    def stores(platform):
+        return F.coalesce(F.max(F.when(F.col("platform") == platform, F.col("selected_stores"))), F.lit(0))
+
+    n = stores("DD")
     return long.agg(
         pick("sales", "growth_pct").alias("sales_growth_pct"),
         pick("sales", "yoy_pct").alias("sales_yoy_pct"),
@@ -205,27 +208,31 @@ def kpis(combined: DataFrame, compare_dec: DataFrame, stores=None) -> DataFrame:
         pick("new_customers", "growth_pct").alias("new_customer_growth_pct"),
         n.alias("dd_selected_stores"),
         (pick("payouts", "prevs_post") / F.greatest(F.lit(1), n).cast("double"))
-        .alias("payout_lift_per_store"))
+        .alias("payout_lift_per_store"),
+        stores("UE").alias("ue_selected_stores"))
+
+
+def selected_counts(compare_dec: DataFrame, stores=None) -> DataFrame:
+    """Stores of the selection per platform, whether or not they have rows.  A
+    selection is counted by itself; the comparison is read only where nothing
+    is selected."""
+    base = compare_dec.where(F.col("metric") == "sales").select("platform", "store_id")
+    return selection_rows(base, stores).groupBy("platform").agg(F.count("*").alias("selected_stores"))
 
 
 def store_counts(compare_dec: DataFrame, stores=None) -> DataFrame:
-    """Selected and total stores per platform."""
-    base = compare_dec.where(F.col("metric") == F.lit("sales")).select("platform", "store_id")
-    total = base.groupBy("platform").agg(F.count_distinct("store_id").alias("total_stores"))
-    sel = (select_stores(base, stores).groupBy("platform")
-           .agg(F.count_distinct("store_id").alias("selected_stores")))
-    return (total.join(sel, "platform", "left")
-            .select("platform", F.coalesce("selected_stores", F.lit(0)).alias("selected_stores"),
-                    "total_stores"))
-
-
-def summary_metrics(kpi: DataFrame, counts: DataFrame, params: ReportParams) -> DataFrame:
-    """The ten-row Metric / Value table (text values)."""
-    long = kpi.unionByName(counts.select("platform", "selected_stores"), allowMissingColumns=True)
-    k = long.agg(
-        *[F.max(c).alias(c) for c in kpi.columns],
-        F.coalesce(F.max(F.when(F.col("platform") == "DD", F.col("selected_stores"))), F.lit(0)).alias("dd"),
-        F.coalesce(F.max(F.when(F.col("platform") == "UE", F.col("selected_stores"))), F.lit(0)).alias("ue"))
+    """Stores selected and stores with data per platform, in one aggregate."""
+    base = compare_dec.where(F.col("metric") == "sales").select("platform", "store_id")
+    if stores is None:
+        return base.groupBy("platform").agg(F.count("*").alias("selected_stores"), F.count("*").alias("total_stores"))
+    marked = base.select("platform", F.lit(0).alias("s"), F.lit(1).alias("t")).unionByName(
+        selection_rows(base, stores).select("platform", F.lit(1).alias("s"), F.lit(0).alias("t")))
+    return marked.groupBy("platform").agg(F.sum("s").alias("selected_stores"), F.sum("t").alias("total_stores"))
+
+
+def summary_metrics(kpi: DataFrame, params: ReportParams) -> DataFrame:
+    """The ten-row Metric / Value table (text values) of one ``kpis`` row."""
+    k = kpi.withColumnsRenamed({"dd_selected_stores": "dd", "ue_selected_stores": "ue"})
 
     def rng(a, b):
         return f"{a.month:02d}/{a.day:02d}/{a.year} - {b.month:02d}/{b.day:02d}/{b.year}"
@@ -251,5 +258,5 @@ def summary_metrics(kpi: DataFrame, counts: DataFrame, params: ReportParams) ->
 
 
 __all__ = ["new_customers_by_store", "ue_new_customer_totals", "platform_summary",
-           "combined_summary", "table1", "table2", "kpis", "store_counts", "summary_metrics",
+           "combined_summary", "table1", "table2", "kpis", "selected_counts", "store_counts", "summary_metrics",
            "metric_rows"]

@@ -49,9 +49,15 @@ def _as_date(v) -> dt.date:
 class ReportParams:
     """Typed report request: two ranges, excluded days, store selection.
 
-    ``stores`` is ``None`` for "all stores"; a selection that is itself data
-    (for example derived from a table) is passed to the operators as a
-    DataFrame instead.
+    ``stores`` is ``None`` for "all stores", a tuple for one selection on both
+    platforms, or ``{platform: tuple or None}`` for one selection per platform
+    (a platform that is not named, or named with ``None``, keeps all its
+    stores).  A selection that is itself data (for example derived from a
+    table) is passed to the operators as a DataFrame instead.
+
+    ``end_at_midnight`` compares raw timestamps with the end of a window at
+    midnight, so rows later on the last day fall out (F1, G3); it needs facts
+    with ``event_ts``.  By default windows compare calendar days.
     """
 
     pre_start: dt.date
@@ -59,18 +65,22 @@ class ReportParams:
     post_start: dt.date
     post_end: dt.date
     excluded: tuple[dt.date, ...] = ()
-    stores: tuple[str, ...] | None = None
+    stores: tuple[str, ...] | dict | None = None
     operator: str = ""
     extra: dict = field(default_factory=dict, compare=False)
+    end_at_midnight: bool = False
 
     @classmethod
-    def of(cls, pre: tuple, post: tuple, excluded: Iterable = (), stores: Iterable | None = None,
-           operator: str = "") -> "ReportParams":
+    def of(cls, pre: tuple, post: tuple, excluded: Iterable = (), stores: Iterable | dict | None = None,
+           operator: str = "", end_at_midnight: bool = False) -> "ReportParams":
+        def ids(xs):
+            return None if xs is None else tuple(str(s).strip() for s in xs)
+
         p = cls(
             _as_date(pre[0]), _as_date(pre[1]), _as_date(post[0]), _as_date(post[1]),
             tuple(sorted({_as_date(x) for x in excluded})),  # union of day lists (U4)
-            None if stores is None else tuple(str(s).strip() for s in stores),
-            operator,
+            {p: ids(xs) for p, xs in stores.items()} if isinstance(stores, dict) else ids(stores),
+            operator, end_at_midnight=end_at_midnight,
         )
         p.validate()
         return p
@@ -89,8 +99,14 @@ class ReportParams:
             "post_25": (self.post_start, self.post_end),
         }
 
+    @property
+    def suggested_download(self) -> tuple[dt.date, dt.date]:
+        """Dates an export must cover for this report: from last year's pre
+        start to the post end (P3)."""
+        return last_year(self.pre_start), self.post_end
+
     def span(self, periods: Iterable[str] = PERIODS) -> tuple[dt.date, dt.date]:
-        """Smallest date range holding the given windows (the download span, P3)."""
+        """Smallest date range holding the given windows (the scan range, P3)."""
         w = self.windows
         sel = [w[p] for p in periods]
         return min(s for s, _ in sel), max(e for _, e in sel)
@@ -107,6 +123,8 @@ def date_sql(d: dt.date) -> str:
 
 def window_sql(params: ReportParams, period: str, date_col: str = "event_date") -> str:
     s, e = params.windows[period]
+    if params.end_at_midnight and date_col == "event_date":
+        return f"(event_ts BETWEEN TIMESTAMP_NTZ'{s} 00:00:00' AND TIMESTAMP_NTZ'{e} 00:00:00')"
     return f"(`{date_col}` BETWEEN {date_sql(s)} AND {date_sql(e)})"
 
 
@@ -115,17 +133,6 @@ def window_flags_sql(params: ReportParams, date_col: str = "event_date",
     return {p: window_sql(params, p, date_col) for p in periods}
 
 
-def in_window(date_col: Column | str, start: dt.date, end: dt.date) -> Column:
-    """Inclusive calendar-date membership (F2)."""
-    c = F.col(date_col) if isinstance(date_col, str) else date_col
-    return c.between(F.lit(start), F.lit(end))
-
-
-def window_flags(params: ReportParams, date_col: str = "event_date",
-                 periods: Iterable[str] = PERIODS) -> dict[str, Column]:
-    return {p: F.expr(sql) for p, sql in window_flags_sql(params, date_col, periods).items()}
-
-
 def in_any_window(params: ReportParams, date_col: str = "event_date",
                   periods: Iterable[str] = PERIODS) -> Column:
     return F.expr(" OR ".join(window_flags_sql(params, date_col, periods).values()))

@@ -17,6 +17,7 @@ from ..functions.slots import STANDARD
 from ..functions import labels
 from ..operators import compare, daily, facts, insights, marketing, slots, summary
 from ..params import PERIODS, period_dim
+from ..sources import exports
 from ..sources import testviews as tv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,24 +217,25 @@ def daily_store_cube(spark, sf):
 
 @query("daily_store_wide")
 def daily_store_wide(spark, sf):
-    """DD post-window sales, one column per store (bounded store count)."""
-    fact = tv.order_fact(spark, sf).where(F.col("platform") == "DD")
-    cells = daily.daily_cells_dec(fact, P, periods=("post_25",))
-    return daily.daily_wide(cells, "sales")
+    """All blocks of the date report (platform x window x metric): ten listed
+    stores, all others together, totals by day and by window."""
+    return daily.daily_wide(daily.daily_cells_dec(tv.order_fact(spark, sf), P), tv.WIDE_STORES)
 
 
 # ------------------------------------------------------------------ R10-R19, R22
 
+def _kpi(spark, sf):
+    return summary.kpis(_combined(spark, sf), summary.selected_counts(_cmp(spark, sf, ["sales"]), _sel(spark, sf)))
+
+
 @query("kpis")
 def kpis(spark, sf):
-    return summary.kpis(_combined(spark, sf), _cmp(spark, sf, ["sales"]), _sel(spark, sf))
+    return _kpi(spark, sf).drop("ue_selected_stores")
 
 
 @query("summary_metrics")
 def summary_metrics(spark, sf):
-    c = _cmp(spark, sf, ["sales"])
-    k = summary.kpis(_combined(spark, sf), c, _sel(spark, sf))
-    return summary.summary_metrics(k, summary.store_counts(c, _sel(spark, sf)), P)
+    return summary.summary_metrics(_kpi(spark, sf), P)
 
 
 @query("store_coverage")
@@ -251,6 +253,13 @@ def summary_movers(spark, sf):
     return insights.summary_movers(summary.table1(_combined(spark, sf)))
 
 
+@query("summary_movers_platform")
+def summary_movers_platform(spark, sf):
+    """R13 per platform, with one store selection per platform."""
+    plat = summary.platform_summary(_cmp(spark, sf), tv.selected_by_platform(spark, sf), _nc(spark, sf))
+    return insights.platform_summary_movers(summary.table1(plat))
+
+
 @query("store_movers_top20")
 def store_movers_top20(spark, sf):
     c = _cmp(spark, sf, ["sales"])
@@ -295,20 +304,22 @@ def period_dim_q(spark, sf):
     """Period dimension with its coverage in the data."""
     pdim = period_dim(spark, P)
     rows = facts.report_rows(tv.order_fact(spark, sf), P)
-    tagged = facts.tag_periods(spark, rows, P)
+    tagged = facts.tag_periods(rows, P)
     cov = tagged.groupBy("period").agg(F.count(F.lit(1)).alias("rows"),
                                        F.min("event_date").alias("first_date"),
                                        F.max("event_date").alias("last_date"))
     return (pdim.join(cov, "period", "left")
             .select("period", "period_order", "start_date", "end_date",
                     (F.datediff("end_date", "start_date") + 1).alias("days"),
-                    F.coalesce("rows", F.lit(0)).alias("rows"), "first_date", "last_date"))
+                    F.coalesce("rows", F.lit(0)).alias("rows"), "first_date", "last_date",
+                    F.lit(P.suggested_download[0]).alias("download_from"),
+                    F.lit(P.suggested_download[1]).alias("download_to")))
 
 
 @query("period_tag_range_join")
 def period_tag_range_join(spark, sf):
     rows = facts.report_rows(tv.order_fact(spark, sf), P)
-    tagged = facts.tag_periods(spark, rows, P)
+    tagged = facts.tag_periods(rows, P)
     return tagged.groupBy("platform", "period").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("sales").cast("double").alias("sales"))
 
@@ -319,7 +330,7 @@ def excluded_anti_join(spark, sf):
     excluded days with a broadcast anti join (J5)."""
     rows = facts.window_filter(tv.order_fact(spark, sf), P)
     kept = facts.exclude_days(rows, excluded_days_frame(spark), within=P.span())
-    tagged = facts.tag_periods(spark, kept, P)
+    tagged = facts.tag_periods(kept, P)
     return tagged.groupBy("platform", "period").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("sales").cast("double").alias("sales"))
 
@@ -332,15 +343,12 @@ def selected_semi_join(spark, sf):
 
 @query("dataset_profile")
 def dataset_profile(spark, sf):
-    """Rows, date range and store count per platform of the order source."""
-    src = tv.table(spark, sf, "lineitem")
-    head = ", ".join(src.columns[:10])
+    """Rows, date range, first column names and store count per platform of the order source."""
+    names = tv.table(spark, sf, "lineitem").columns
     f = tv.order_fact(spark, sf)
-    return f.groupBy("platform").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("event_date").alias("start_date"), F.max("event_date").alias("end_date"),
-        F.count_distinct("store_id").alias("stores"),
-    ).withColumn("columns", F.lit(head)).withColumn("date_column_found", F.lit(True))
+    profile = exports.profile_rows(f, ["platform"], names, F.col("event_date"))
+    stores = f.groupBy("platform").agg(F.count_distinct("store_id").alias("stores"))
+    return profile.join(stores, "platform")
 
 
 __all__ = ["QUERIES", "PERIODS", "excluded_days_frame"]

@@ -202,9 +202,9 @@ NAMES = {"sales": "Sales", "payouts": "Payouts", "orders": "Orders", "new_custom
 ORDER = ("sales", "payouts", "orders", "new_customers", "profitability", "average_check")
 
 
-def long_cte(with_ue_nc: bool) -> str:
+def long_cte(with_ue_nc: bool, keep: str | None = None) -> str:
     cols = ", ".join(SUMC)
-    parts = [f"SELECT platform, metric, {cols} FROM c WHERE {sel_filter()}",
+    parts = [f"SELECT platform, metric, {cols} FROM c WHERE {keep or sel_filter()}",
              f"SELECT 'DD' AS platform, 'new_customers' AS metric, {cols} FROM nc"]
     if with_ue_nc:
         parts.append(f"SELECT 'UE' AS platform, 'new_customers' AS metric, {cols} FROM uenc")
@@ -258,8 +258,8 @@ def summary_rows(keys: str) -> str:
     return "sm AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
-def platform_summary_ctes() -> str:
-    return with_(compare_ctes(), nc_cte(), long_cte(False), totals_by("platform"),
+def platform_summary_ctes(keep: str | None = None) -> str:
+    return with_(compare_ctes(), nc_cte(), long_cte(False, keep), totals_by("platform"),
                  summary_rows("platform"))
 
 
@@ -457,27 +457,28 @@ ORACLE["daily_store_cube"] = (
              "(platform, period, event_date, store_id), (platform, period, event_date), "
              "(platform, period, store_id), (platform, period))")
 
-_WIDE_SRC = (f"SELECT event_date, store_id, SUM(sales) AS sales FROM ({ORDER_FACT}) "
-             f"WHERE platform = 'DD' AND {between('event_date', P, 'post_25')} "
-             f"AND {not_excluded('event_date', P)} GROUP BY event_date, store_id")
-# DuckDB's dynamic PIVOT cannot see CTEs, so its source is spelled out inline.
+_WIDE_COLS = ", ".join(
+    [f"CAST(COALESCE(SUM(CASE WHEN store_id = '{i}' THEN v END), 0) AS DOUBLE) AS \"{i}\"" for i in tv.WIDE_STORES]
+    + ["CAST(COALESCE(SUM(CASE WHEN store_id NOT IN (" + ", ".join(f"'{i}'" for i in tv.WIDE_STORES)
+       + ") THEN v END), 0) AS DOUBLE) AS \"Other\"", "CAST(COALESCE(SUM(v), 0) AS DOUBLE) AS \"Total\""])
 ORACLE["daily_store_wide"] = (
-    with_(f"cells AS ({_WIDE_SRC})",
-          "tot AS (SELECT event_date, SUM(sales) AS total FROM cells GROUP BY event_date "
-          "UNION ALL SELECT NULL AS event_date, SUM(sales) AS total FROM cells)",
-          f"body AS (PIVOT ({_WIDE_SRC}) ON store_id USING SUM(sales) GROUP BY event_date)",
-          f"corner AS (PIVOT (SELECT store_id, sales FROM ({_WIDE_SRC})) ON store_id USING SUM(sales))",
-          "wide AS (SELECT * FROM body UNION ALL BY NAME SELECT NULL AS event_date, * FROM corner)",
-          "filled AS (SELECT event_date, CAST(COALESCE(COLUMNS(* EXCLUDE (event_date)), 0) AS DOUBLE) "
-          "FROM wide)")
-    + "SELECT filled.*, CAST(tot.total AS DOUBLE) AS \"Total\" FROM filled "
-      "JOIN tot ON filled.event_date IS NOT DISTINCT FROM tot.event_date")
+    _CELLS.rstrip("\n") + ",\nlong AS ("
+    + " UNION ALL ".join(f"SELECT platform, period, event_date, store_id, '{m}' AS metric, CAST({m} AS DECIMAL(28,4)) AS v FROM cells"
+                         for m in ("sales", "payouts", "orders"))
+    + f")\nSELECT platform, period, metric, event_date, {_WIDE_COLS} FROM long "
+      "GROUP BY platform, period, metric, event_date "
+      f"UNION ALL SELECT platform, period, metric, CAST(NULL AS DATE) AS event_date, {_WIDE_COLS} FROM long "
+      "GROUP BY platform, period, metric")
 
 # ====================================================================== R10-R19, R22
 
-_COUNTS = (f"cnt AS (SELECT platform, COUNT(DISTINCT CASE WHEN {sel_filter()} THEN store_id END) "
-           f"AS selected_stores, COUNT(DISTINCT store_id) AS total_stores FROM c "
-           f"WHERE metric = 'sales' GROUP BY platform)")
+# the selection counts and is listed by itself, whether or not a store has rows
+_SEL_BOTH = (f"SELECT p.platform, s.store_id FROM (SELECT DISTINCT store_id FROM ({SELECTED})) s, "
+             "(VALUES ('DD'), ('UE')) AS p(platform)")
+_COUNTS = (f"selected AS ({_SEL_BOTH}), cnt AS (SELECT p.platform, "
+           "(SELECT COUNT(*) FROM selected WHERE selected.platform = p.platform) AS selected_stores, "
+           "(SELECT COUNT(DISTINCT store_id) FROM c WHERE metric = 'sales' AND c.platform = p.platform) AS total_stores "
+           "FROM (VALUES ('DD'), ('UE')) AS p(platform))")
 _KPI = ("kpi AS (SELECT "
         "COALESCE((SELECT growth_pct FROM sm WHERE metric = 'Sales'), 0.0) AS sales_growth_pct, "
         "COALESCE((SELECT yoy_pct FROM sm WHERE metric = 'Sales'), 0.0) AS sales_yoy_pct, "
@@ -518,10 +519,8 @@ ORACLE["summary_metrics"] = _KPI_CTES + (
 ORACLE["store_coverage"] = (with_(compare_ctes(P, ("sales",)), _COUNTS)
                             + "SELECT platform, selected_stores, total_stores FROM cnt")
 ORACLE["store_directory"] = (
-    with_(compare_ctes(P, ("sales",)))
-    + f"SELECT store_id, CASE WHEN MIN(CASE WHEN platform = 'DD' THEN 0 ELSE 1 END) = 0 THEN 'DD' "
-      f"ELSE 'UE' END AS first_platform, '' AS markups FROM c WHERE metric = 'sales' AND {sel_filter()} "
-      f"GROUP BY store_id")
+    f"SELECT store_id, CASE WHEN MIN(CASE WHEN platform = 'DD' THEN 0 ELSE 1 END) = 0 THEN 'DD' "
+    f"ELSE 'UE' END AS first_platform, '' AS markups FROM ({_SEL_BOTH}) GROUP BY store_id")
 
 
 def _mover_cols(pre: str, post: str) -> str:
@@ -534,6 +533,12 @@ def _mover_cols(pre: str, post: str) -> str:
 
 ORACLE["summary_movers"] = combined_summary_ctes() + f"SELECT metric, {_mover_cols('pre', 'post')} FROM sm"
 
+# one selection per platform
+ORACLE["summary_movers_platform"] = (
+    platform_summary_ctes(f"((platform = 'DD' AND {sel_filter()}) OR (platform = 'UE' AND store_id IN "
+                          "(SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 2 = 0)))")
+    + f"SELECT platform, metric, {_mover_cols('pre', 'post')} FROM sm WHERE metric <> 'New Customers' OR platform = 'DD'")
+
 _COMB_T1 = ("s AS (SELECT store_id, SUM(pre) AS pre, SUM(post) AS post FROM t1 GROUP BY store_id), "
             "comb AS (SELECT store_id, CAST(pre AS DOUBLE) AS pre, CAST(post AS DOUBLE) AS post FROM s "
             "WHERE store_id <> '' AND (pre <> 0 OR post <> 0))")
@@ -585,7 +590,8 @@ ORACLE["period_dim"] = (
           "GROUP BY period)")
     + "SELECT pd.period, CAST(pd.period_order AS INTEGER) AS period_order, pd.start_date, pd.end_date, "
       "CAST(date_diff('day', pd.start_date, pd.end_date) + 1 AS INTEGER) AS days, "
-      "COALESCE(cov.rows, 0) AS rows, cov.first_date, cov.last_date "
+      "COALESCE(cov.rows, 0) AS rows, cov.first_date, cov.last_date, "
+      f"{d(P.suggested_download[0])} AS download_from, {d(P.suggested_download[1])} AS download_to "
       "FROM pd LEFT JOIN cov ON pd.period = cov.period")
 ORACLE["period_tag_range_join"] = (
     with_(rows_cte(P), _period_values())

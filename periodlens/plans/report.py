@@ -4,14 +4,13 @@ Every table is produced for every request, whichever front end asks (G19),
 and a platform without rows still yields its (empty) tables (G20).  Nothing
 is cached across runs (G18): each run materialises its own inputs.
 
-``run_report`` builds all tables of a report from the canonical facts.  The
-inputs are cut to the report windows once and written as a Parquet table in
-the cluster's shared ``spark.checkpoint.dir``; every table then reads that
-table, so the raw exports (CSV parsing, date cascades) are processed once,
-and a lost executor only re-reads the written table instead of recomputing
-the lineage.  The per-store comparison (one row per store and metric) and
-the day x store cells are written the same way because most tables are
-built from them.
+``run_report`` builds all tables of a report from the canonical facts.  Before
+it returns it writes what several tables share as Parquet in a staging folder
+that all executors see: order rows cut to the windows, campaign rows, the store
+comparison, the day x store cells, the slot totals and the combined summary.
+Each raw export is scanned once, every table reads the staged data, and a lost
+executor only re-reads it.  ``drop_staging`` removes the folder when the tables
+have been written.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import MONEY_SUM
 from ..functions import labels
 from ..operators import compare, daily, facts, insights, marketing, slots, summary
-from ..params import PERIODS, ReportParams
+from ..params import PERIODS, ReportParams, period_dim
 from ..session import checkpoint_dir
 
 
@@ -47,12 +46,24 @@ class ReportInputs:
     ue_new_customers: DataFrame | None = None
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, run_id: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back
+def staging_path(spark: SparkSession, run_id: str, staging: str | None = None) -> str:
+    """Folder of a run's shared inputs: under ``staging``, else under the cluster's
+    ``spark.checkpoint.dir``."""
+    return f"{(staging or checkpoint_dir(spark)).rstrip('/')}/periodlens/{run_id}"
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, run_id: str, staging: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the run's staging folder and read it back
     (cuts lineage; survives executor loss)."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/periodlens/{run_id}/{name}"
+    path = f"{staging_path(spark, run_id, staging)}/{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staging(spark: SparkSession, run_id: str, staging: str | None = None) -> None:
+    """Remove the run's staging folder; its lazy tables cannot be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_path(spark, run_id, staging))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _periods_to_row(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,25 +79,29 @@ def _periods_to_row(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs, stores=None,
-               run_id: str | None = None, reuse: bool = True) -> dict[str, DataFrame]:
+               run_id: str | None = None, reuse: bool = True, staging: str | None = None) -> dict[str, DataFrame]:
     """Every table of the report as lazy DataFrames (write them with
-    ``sources.sinks.write_report``)."""
+    ``sources.sinks.write_report``).  The shared inputs are written first, see
+    above; ``reuse=False`` writes nothing and every table computes its own.
+    ``stores`` is any selection of ``facts.select_stores`` (default: that of
+    ``params``)."""
     run_id = run_id or uuid.uuid4().hex[:12]
-    fact = facts.report_rows(inputs.orders, params)
-    if reuse:
-        fact = materialize(spark, fact, "order_fact", run_id)
+    stores = params.stores if stores is None else stores
+
+    def shared(df: DataFrame, name: str) -> DataFrame:
+        return materialize(spark, df, name, run_id, staging) if reuse else df
 
-    cmp_dec = compare.store_compare_dec(fact, params)
-    cells = daily.daily_cells_dec(fact, params)
-    if reuse:
-        cmp_dec = materialize(spark, cmp_dec, "store_compare", run_id)
-        cells = materialize(spark, cells, "daily_cells", run_id)
+    fact = shared(facts.report_rows(inputs.orders, params), "order_fact")
+    cmp_dec = shared(compare.store_compare_dec(fact, params), "store_compare")
+    cells = shared(daily.daily_cells_dec(fact, params), "daily_cells")
+    campaigns = None if inputs.campaigns is None else shared(inputs.campaigns, "campaign_fact")
 
-    # new customers: DD per store, UE platform totals
+    # new customers: DD per store, UE platform totals.  The legacy per-period
+    # files stand in when there is no campaign folder or it gave none at all.
     nc_dec = None
-    if inputs.campaigns is not None:
-        nc_dec = summary.new_customers_dec(inputs.campaigns, params)
-    elif inputs.dd_new_customers is not None:
+    if campaigns is not None:
+        nc_dec = shared(summary.new_customers_dec(campaigns, params), "new_customers")
+    if inputs.dd_new_customers is not None and (nc_dec is None or nc_dec.isEmpty()):
         nc_dec = _periods_to_row(inputs.dd_new_customers, ["store_id"])
     ue_nc_dec = None
     if inputs.ue_new_customers is not None:
@@ -104,7 +119,7 @@ def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs,
     t["combined_store_yoy"] = compare.combined_store_yoy(t2)
 
     plat = summary.platform_summary(cmp_dec, stores, nc_dec)
-    comb = summary.combined_summary(cmp_dec, stores, nc_dec, ue_nc_dec)
+    comb = shared(summary.combined_summary(cmp_dec, stores, nc_dec, ue_nc_dec), "combined_summary")
     t["platform_summary_pre_post"] = summary.table1(plat)
     t["platform_summary_yoy"] = summary.table2(plat)
     t["combined_summary_pre_post"] = summary.table1(comb)
@@ -114,13 +129,13 @@ def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs,
     if ue_nc_dec is not None:
         t["ue_new_customer_totals"] = compare.as_double(ue_nc_dec, summary.SUM_COLS)
 
-    if inputs.campaigns is not None:
-        t["campaign_promotion"] = marketing.campaign_table(inputs.campaigns, params, "promotion")
-        t["campaign_sponsored"] = marketing.campaign_table(inputs.campaigns, params, "sponsored")
-        t["campaign_combined"] = marketing.campaign_combined(inputs.campaigns, params)
+    if campaigns is not None:
+        t["campaign_promotion"] = marketing.campaign_table(campaigns, params, "promotion")
+        t["campaign_sponsored"] = marketing.campaign_table(campaigns, params, "sponsored")
+        t["campaign_combined"] = marketing.campaign_combined(campaigns, params)
 
     if "minute_of_day" in fact.columns:
-        st = slots.slot_totals(fact, params)
+        st = shared(slots.slot_totals(fact, params), "slot_totals")
         for m in ("sales", "payouts"):
             t[f"slot_{m}_pre_post"] = slots.slot_pre_post(st, m)
             t[f"slot_{m}_yoy"] = slots.slot_yoy(st, m)
@@ -133,12 +148,13 @@ def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs,
     t["daily_cube"] = daily.daily_cube(cells)
 
     counts = summary.store_counts(cmp_dec, stores)
-    kpi = summary.kpis(comb, cmp_dec, stores)
-    t["kpis"] = kpi
-    t["summary_metrics"] = summary.summary_metrics(kpi, counts, params)
+    kpi = summary.kpis(comb, summary.selected_counts(cmp_dec, stores))
+    t["kpis"] = kpi.drop("ue_selected_stores")
+    t["summary_metrics"] = summary.summary_metrics(kpi, params)
     t["store_coverage"] = counts
     t["store_directory"] = insights.store_directory(cmp_dec, stores).drop("source_rank")
     t["summary_movers"] = insights.summary_movers(summary.table1(comb))
+    t["platform_summary_movers"] = insights.platform_summary_movers(summary.table1(plat))
     t["store_movers"] = insights.store_movers(
         list(zip(labels.MOVER_SOURCES,
                   [t["combined_store_pre_post"],
@@ -151,6 +167,9 @@ def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs,
         F.sum("sales").cast("double").alias("sales"))
     t["best_worst_dates"] = insights.top_bottom(post_days, "platform", "sales", "event_date", 5).select(
         "platform", "kind", "rank", "event_date", "sales")
+    lo, hi = params.suggested_download
+    t["report_windows"] = period_dim(spark, params).select(
+        "*", (F.datediff("end_date", "start_date") + 1).alias("days"), F.lit(lo).alias("download_from"), F.lit(hi).alias("download_to"))
     t["summary_line"] = summary_line(summary.table1(comb), params.operator)
     return t
 

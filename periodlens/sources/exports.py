@@ -9,7 +9,7 @@ casts, and the two date rules (per row, or one format per file).
 
 Canonical outputs::
 
-    order_fact    platform, store_id, order_id, event_date, minute_of_day,
+    order_fact    platform, store_id, order_id, event_ts, event_date, minute_of_day,
                   sales, payouts, payouts_hist, _src_file
     campaign_fact channel, store_id, campaign_key, event_date, nc_date,
                   orders, sales, spend, new_customers, _src_file
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import minute_of_day, parse_date_per_file, parse_date_per_row
+from ..functions.dates import minute_of_day, parse_date_per_file, parse_date_per_row, parse_timestamp
 from ..functions.numeric import MONEY, na_to_null, safe_decimal
 from . import files as fs
 from .specs import (DD_ORDERS, LEGACY_DD_MARKETING, LEGACY_UE_MARKETING, PROMOTION, SPONSORED,
@@ -53,35 +53,23 @@ def _unique(names: Sequence[str]) -> list[str]:
 HEADER_THREADS = 16
 
 
-def layouts(spark: SparkSession, paths: Iterable[str], header_line: int,
-            same_layout: bool = False) -> dict[tuple, list[str]]:
-    """Group files by (header names, banner cells).
-
-    ``same_layout=True`` peeks at the first file only and reads every file with
-    its layout (one export format, very many files: no per-file driver read)."""
+def layouts(spark: SparkSession, paths: Iterable[str], header_line: int) -> dict[tuple, list[str]]:
+    """Group files by header names.  The header of every file is read (one small
+    read each, on a few driver threads), because two files of one family may
+    order their columns differently.  A banner line above the header plays no
+    part: its row is dropped by content."""
     from concurrent.futures import ThreadPoolExecutor
     groups: dict[tuple, list[str]] = {}
     paths = sorted(set(paths))
-    if same_layout and paths:
-        lines = fs.head_lines(spark, paths[0], header_line)
-        if len(lines) < header_line:
-            return groups
-        header = tuple(_unique(fs.split_csv_line(lines[header_line - 1])))
-        banner = tuple(fs.split_csv_line(lines[0])) if header_line == 2 else ()
-        return {(header, banner): paths}
     with ThreadPoolExecutor(max_workers=min(HEADER_THREADS, max(1, len(paths)))) as pool:
-        heads = list(pool.map(lambda p: fs.head_lines(spark, p, header_line), paths))
-    for p, lines in zip(paths, heads):
-        if len(lines) < header_line:
-            continue  # empty file: nothing to read
-        header = tuple(_unique(fs.split_csv_line(lines[header_line - 1])))
-        banner = tuple(fs.split_csv_line(lines[0])) if header_line == 2 else ()
-        groups.setdefault((header, banner), []).append(p)
+        heads = pool.map(lambda p: fs.head_lines(spark, p, header_line), paths)
+        for p, lines in zip(paths, heads):
+            if len(lines) >= header_line:  # an empty file has nothing to read
+                groups.setdefault(tuple(_unique(fs.split_csv_line(lines[header_line - 1]))), []).append(p)
     return groups
 
 
-def read_layout(spark: SparkSession, paths: list[str], header: tuple, banner: tuple,
-                header_line: int) -> DataFrame:
+def read_layout(spark: SparkSession, paths: list[str], header: tuple, header_line: int) -> DataFrame:
     """All-string read of files sharing one layout, with stripped header names
     (C1) and the source file path kept for per-file rules."""
     n = len(header)
@@ -90,9 +78,10 @@ def read_layout(spark: SparkSession, paths: list[str], header: tuple, banner: tu
     if header_line == 1:
         df = reader.option("header", True).csv(paths)
     else:
-        # Banner on line 1, header on line 2: read both as data, then drop
-        # rows equal to the header, and the banner row (only the first cell
-        # set).  Done by content, so it is correct however files are split.
+        # Banner on line 1, header on line 2: read both as data, then drop rows
+        # equal to the header and rows with no value beyond the first cell (a
+        # data row has a date, which is never the first cell).  Done by content,
+        # so it is correct however files are split.
         df = reader.option("header", False).csv(paths)
         is_header = F.lit(True)
         for i, h in enumerate(header):
@@ -100,9 +89,7 @@ def read_layout(spark: SparkSession, paths: list[str], header: tuple, banner: tu
         rest_null = F.lit(True)
         for i in range(1, n):
             rest_null = rest_null & F.col(f"_c{i}").isNull()
-        first = F.lit(banner[0]) if banner else F.lit(None)
-        is_banner = rest_null & (F.col("_c0").eqNullSafe(first) | F.lit(len(banner) < n))
-        df = df.where(~(is_header | is_banner))
+        df = df.where(~(is_header | rest_null))
     df = df.select(*[F.col(f"_c{i}").alias(h) for i, h in enumerate(header)],
                    F.col("_metadata.file_path").alias(FILE_COL))
     return df
@@ -115,15 +102,14 @@ def _text(df: DataFrame, cols: dict, key: str) -> Column:
     return na_to_null(F.col(f"`{name}`"))
 
 
-def scan(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, project,
-         same_layout: bool = False) -> DataFrame | None:
+def scan(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, project) -> DataFrame | None:
     """Read every layout, resolve it against ``spec`` (per layout, so header
     variants across files each resolve, G10), project with ``project(df,
     cols)`` and union the layouts by name (U1)."""
     parts = []
-    for (header, banner), group in layouts(spark, paths, spec.header_line, same_layout).items():
+    for header, group in layouts(spark, paths, spec.header_line).items():
         cols = spec.resolve(list(header))
-        df = read_layout(spark, group, header, banner, spec.header_line)
+        df = read_layout(spark, group, header, spec.header_line)
         parts.append(project(df, cols))
     if not parts:
         return None
@@ -141,7 +127,7 @@ def _dated(df: DataFrame, spec: SourceSpec, out: str = "event_date") -> DataFram
 
 # ---------------------------------------------------------------- order exports
 
-ORDER_SCHEMA = ("platform string, store_id string, order_id string, event_date date, "
+ORDER_SCHEMA = ("platform string, store_id string, order_id string, event_ts timestamp_ntz, event_date date, "
                 f"minute_of_day int, sales {MONEY}, payouts {MONEY}, payouts_hist {MONEY}, "
                 f"{FILE_COL} string")
 
@@ -160,7 +146,9 @@ def _order_projection(df: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
 
 
 def _order_finish(df: DataFrame, spec: SourceSpec, observation=None) -> DataFrame:
-    df = _dated(df, spec)
+    # the raw timestamp of the date column: midnight unless its text has a time
+    df = _dated(df, spec).withColumn("event_ts", F.when(
+        F.col("event_date").isNotNull(), F.coalesce(parse_timestamp("_date_text"), F.col("event_date").cast("timestamp_ntz"))))
     if observation is not None:
         # How many rows were read and how many had no usable date or store
         df = df.observe(observation, F.count(F.lit(1)).alias("rows_read"),
@@ -169,21 +157,16 @@ def _order_finish(df: DataFrame, spec: SourceSpec, observation=None) -> DataFram
                         .alias("rows_without_store"))
     return (df.where(F.col("event_date").isNotNull() & F.col("store_id").isNotNull()
                      & (F.col("store_id") != ""))
-              .select("platform", "store_id", "order_id", "event_date", "minute_of_day",
+              .select("platform", "store_id", "order_id", "event_ts", "event_date", "minute_of_day",
                       "sales", "payouts", "payouts_hist", FILE_COL))
 
 
-def clean_orders(named: DataFrame, cols: dict, spec: SourceSpec) -> DataFrame:
-    """Raw rows with header names (and ``_src_file``) -> ``order_fact`` rows."""
-    return _order_finish(_order_projection(named, cols, spec), spec)
-
-
 def order_fact(spark: SparkSession, paths: Iterable[str], spec: SourceSpec,
-               observation=None, same_layout: bool = False) -> DataFrame:
+               observation=None) -> DataFrame:
     """An order export -> ``order_fact`` (rows without a parsable
     date or a store are dropped, C14).  Pass a ``pyspark.sql.Observation``
     to learn how many rows were dropped once the result has been computed."""
-    df = scan(spark, paths, spec, lambda d, cols: _order_projection(d, cols, spec), same_layout)
+    df = scan(spark, paths, spec, lambda d, cols: _order_projection(d, cols, spec))
     if df is None:
         return spark.createDataFrame([], ORDER_SCHEMA)
     return _order_finish(df, spec, observation)
@@ -264,11 +247,6 @@ def _campaign_finish(df: DataFrame) -> DataFrame:
                      "orders", "sales", "spend", "new_customers", "undated", FILE_COL)
 
 
-def clean_campaigns(named: DataFrame, cols: dict, channel: str) -> DataFrame:
-    """Raw rows with header names (and ``_src_file``) -> ``campaign_fact`` rows."""
-    return _campaign_finish(_campaign_projection(named, cols, channel))
-
-
 def marketing_root(spark: SparkSession, base: str) -> str | None:
     """``base`` if it holds ``marketing_*`` folders, else the first child that does."""
     base = base.rstrip("/")
@@ -365,28 +343,31 @@ def legacy_ue_new_customer_totals(spark: SparkSession, files_by_period: dict[str
 
 # ---------------------------------------------------------------- profile
 
+def profile_rows(df: DataFrame, keys: list[str], header: Iterable[str], date: Column | None) -> DataFrame:
+    """S10 of one layout: rows, first and last date per key, the first ten
+    column names and whether a date column was found."""
+    d = date if date is not None else F.lit(None).cast("date")
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(d).alias("start_date"), F.max(d).alias("end_date")).withColumn(
+        "columns", F.lit(", ".join(list(header)[:10]))).withColumn("date_column_found", F.lit(date is not None))
+
+
 def profile(spark: SparkSession, paths: Iterable[str], spec: SourceSpec) -> DataFrame:
     """Per file: rows, first and last parsed date, the first ten column
     names and whether a date column was found."""
-    rows = []
-    for (header, banner), group in layouts(spark, paths, spec.header_line).items():
+    out = None
+    for header, group in layouts(spark, paths, spec.header_line).items():
         date_rule = spec.columns.get("date")
         date_col = date_rule.find(list(header)) if date_rule is not None else None
-        df = read_layout(spark, group, header, banner, spec.header_line)
-        d = (parse_date_per_row(F.col(f"`{date_col}`")) if date_col else F.lit(None).cast("date"))
-        rows.append(df.groupBy(FILE_COL).agg(
-            F.count(F.lit(1)).alias("rows"), F.min(d).alias("start_date"), F.max(d).alias("end_date"))
-            .withColumn("columns", F.lit(", ".join(header[:10])))
-            .withColumn("date_column_found", F.lit(date_col is not None)))
-    if not rows:
+        df = read_layout(spark, group, header, spec.header_line)
+        part = profile_rows(df, [FILE_COL], header, parse_date_per_row(F.col(f"`{date_col}`")) if date_col else None)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         return spark.createDataFrame([], f"{FILE_COL} string, rows bigint, start_date date, "
                                          "end_date date, columns string, date_column_found boolean")
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
     return out
 
 
-__all__ = ["order_fact", "clean_orders", "clean_campaigns", "orders_by_period_files", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
+__all__ = ["order_fact", "orders_by_period_files", "dd_orders", "ue_orders", "orders", "campaign_fact", "promotions",
            "sponsored", "marketing_root", "marketing_files", "legacy_dd_new_customers",
-           "legacy_ue_new_customer_totals", "profile", "layouts", "read_layout"]
+           "legacy_ue_new_customer_totals", "profile", "profile_rows", "layouts", "read_layout"]

@@ -100,3 +100,16 @@ def format_store_table(df: DataFrame) -> DataFrame:
         else:
             out.append(F.col(c))
     return df.select(*out)
+
+
+def display_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """K4: the display text of a report's tables, as ``<table>_text``."""
+    out = {}
+    for name, df in tables.items():
+        if name.startswith(("platform_summary_pre", "platform_summary_yoy", "combined_summary_")):
+            out[f"{name}_text"] = format_summary(df)
+        elif name.startswith("campaign_"):
+            out[f"{name}_text"] = format_campaign(df)
+        elif name.startswith(("store_table_", "combined_store_")):
+            out[f"{name}_text"] = format_store_table(df)
+    return out

@@ -129,7 +129,7 @@ UE_ORDERS = SourceSpec(
         "payouts": Names(("Total payout",), case_insensitive=False),
         "payouts_hist": Names(("Total payout",), case_insensitive=False),
     },
-    required=("store_id", "date", "sales", "payouts"),
+    required=("store_id", "order_id", "date", "sales", "payouts"),
 )
 
 PROMOTION = SourceSpec(
@@ -143,7 +143,7 @@ PROMOTION = SourceSpec(
         "spend": Names((PROMOTION_SPEND,), case_insensitive=False),
         "new_customers": Contains(("new customers acquired",)),
     },
-    required=("date",),
+    required=("date", "campaign_key", "orders", "sales", "spend"),
 )
 
 SPONSORED = SourceSpec(
@@ -157,7 +157,7 @@ SPONSORED = SourceSpec(
         "spend": Names((SPONSORED_SPEND,), case_insensitive=False),
         "new_customers": Contains(("new customers acquired",)),
     },
-    required=("date",),
+    required=("date", "campaign_key", "orders", "sales", "spend"),
 )
 
 LEGACY_DD_MARKETING = SourceSpec(

@@ -109,3 +109,16 @@ def selected_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store selection as data: suppliers with a positive account balance."""
     return (table(spark, sf_dir, "supplier").where("s_acctbal > 0")
             .selectExpr("CAST(s_suppkey AS STRING) AS store_id"))
+
+
+# Stores that have a column of their own in the wide date report; the rest share ``Other``.
+WIDE_STORES = tuple(str(i) for i in range(1, 11))
+
+
+def selected_by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One selection per platform as data: suppliers with a positive balance for
+    DD, with an even key for UE."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey AS STRING) AS store_id",
+        "explode(array_compact(array(CASE WHEN s_acctbal > 0 THEN 'DD' END, CASE WHEN s_suppkey % 2 = 0 THEN 'UE' END))) AS platform"
+    ).select("platform", "store_id")

@@ -2,11 +2,12 @@
 
 Uploaded exports arrive as files in a folder.  A Structured Streaming file
 source picks up each new file once (its progress lives in the query's
-checkpoint), every micro-batch is cleaned with the same batch functions as
-``sources.exports`` (a micro-batch holds whole files, so the one-format-per-
-file date rule still applies), and the rows are written to a Parquet table
-partitioned by platform and month.  Reports then read that table with
-partition pruning and pushed date filters instead of re-parsing CSV.
+checkpoint).  A micro-batch is a set of whole files, which the batch scans of
+``sources.exports`` read: every file's own header is resolved, so files whose
+columns differ in order land correctly, and the one-format-per-file date rule
+applies.  The rows go to a Parquet table partitioned by platform (or channel)
+and month; reports then read that table with partition pruning and pushed date
+filters instead of re-parsing CSV.
 
 Writes are idempotent: each batch overwrites only its own ``batch_id``
 partition (dynamic partition overwrite), so a batch replayed after a
@@ -15,41 +16,34 @@ failure replaces its earlier output instead of duplicating it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import files as fs
-from ..sources.exports import FILE_COL, clean_campaigns, clean_orders
+from ..sources.exports import campaign_fact, order_fact
 from ..sources.specs import SourceSpec
 
 
-def _layout(spark: SparkSession, sample_file: str, spec: SourceSpec) -> tuple[list[str], list[str]]:
-    lines = fs.head_lines(spark, sample_file, spec.header_line)
-    header = [h.strip() for h in fs.split_csv_line(lines[spec.header_line - 1])]
-    banner = fs.split_csv_line(lines[0]) if spec.header_line == 2 else []
-    return header, banner
+# Columns of Spark's binary file source; all but the path are pruned.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _land(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_file: str, out_path: str,
-          checkpoint: str, clean, partition_cols: list[str], max_files_per_trigger: int,
-          available_now: bool) -> StreamingQuery:
-    header, banner = _layout(spark, sample_file, spec)
-    cols = spec.resolve(header)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
-    stream = (spark.readStream.schema(schema)
-              .option("header", spec.header_line == 1)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .csv(source_dir)
-              .select("*", F.col("_metadata.file_path").alias(FILE_COL)))
+def _land(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
+          scan: Callable[[SparkSession, list[str]], DataFrame], partition_cols: list[str],
+          max_files_per_trigger: int, available_now: bool) -> StreamingQuery:
+    # only the paths of new files are read from the stream, at most
+    # ``max_files_per_trigger`` at a time
+    stream = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+              .load(source_dir).select("path"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        named = batch.select(*[F.col(f"_c{i}").alias(h) for i, h in enumerate(header)], F.col(FILE_COL))
-        if spec.header_line == 2:
-            named = _drop_banner_and_header(named, header, banner)
-        cleaned = clean(named, cols)
-        (cleaned.withColumn("event_month", F.date_format("event_date", "yyyy-MM"))
+        paths = sorted(r.path for r in batch.collect())
+        if not paths:
+            return
+        (scan(batch.sparkSession, paths)
+         .withColumn("event_month", F.date_format("event_date", "yyyy-MM"))
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_cols, "event_month", "batch_id").parquet(out_path))
@@ -59,44 +53,32 @@ def _land(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_file: s
     return w.start()
 
 
-def land_orders(spark: SparkSession, source_dir: str, spec: SourceSpec, sample_file: str,
-                out_path: str, checkpoint: str, max_files_per_trigger: int = 100,
-                available_now: bool = True) -> StreamingQuery:
-    """Start the landing stream for one order-export family (all files in
-    ``source_dir`` share the layout of ``sample_file``)."""
-    return _land(spark, source_dir, spec, sample_file, out_path, checkpoint,
-                 lambda named, cols: clean_orders(named, cols, spec), ["platform"],
-                 max_files_per_trigger, available_now)
+def land_orders(spark: SparkSession, source_dir: str, spec: SourceSpec, out_path: str, checkpoint: str,
+                max_files_per_trigger: int = 100, available_now: bool = True) -> StreamingQuery:
+    """Start the landing stream for one order-export family."""
+    return _land(spark, source_dir, out_path, checkpoint, lambda s, paths: order_fact(s, paths, spec),
+                 ["platform"], max_files_per_trigger, available_now)
 
 
 def land_campaigns(spark: SparkSession, source_dir: str, spec: SourceSpec, channel: str,
-                   sample_file: str, out_path: str, checkpoint: str,
-                   max_files_per_trigger: int = 100, available_now: bool = True) -> StreamingQuery:
+                   out_path: str, checkpoint: str, max_files_per_trigger: int = 100,
+                   available_now: bool = True, undated: str = "error") -> StreamingQuery:
     """The same for promotion or sponsored-listing files (partitioned by
     channel and the month of the campaign date)."""
-    return _land(spark, source_dir, spec, sample_file, out_path, checkpoint,
-                 lambda named, cols: clean_campaigns(named, cols, channel), ["channel"],
-                 max_files_per_trigger, available_now)
-
-
-def _drop_banner_and_header(df: DataFrame, header: list[str], banner: list[str]) -> DataFrame:
-    is_header = F.lit(True)
-    for h in header:
-        is_header = is_header & F.trim(F.col(f"`{h}`")).eqNullSafe(F.lit(h))
-    rest_null = F.lit(True)
-    for h in header[1:]:
-        rest_null = rest_null & F.col(f"`{h}`").isNull()
-    return df.where(~(is_header | (rest_null & F.lit(len(banner) < len(header)))))
+    return _land(spark, source_dir, out_path, checkpoint,
+                 lambda s, paths: campaign_fact(s, paths, spec, channel, undated),
+                 ["channel"], max_files_per_trigger, available_now)
 
 
 def read_landed(spark: SparkSession, path: str, params=None) -> DataFrame:
-    """The landed order fact.  With report parameters, only the months that
-    hold a report window are read (partition pruning on ``event_month``)."""
+    """The landed fact.  With report parameters, only the months that hold a
+    report window are read (partition pruning on ``event_month``), and rows
+    without a date (campaign files landed with ``undated="keep"``)."""
     df = spark.read.parquet(path)
     if params is not None:
         months = sorted({f"{d.year:04d}-{d.month:02d}"
                          for s, e in params.windows.values() for d in _month_starts(s, e)})
-        df = df.where(F.col("event_month").isin(*months))
+        df = df.where(F.col("event_month").isin(*months) | F.col("event_month").isNull())
     return df.drop("batch_id")
 
 

@@ -228,9 +228,58 @@ def test_undated_campaign_files(spark, tmpdir_fresh):
     assert [(r.campaign_key, r.sales) for r in t] == [("True", 20.0)]
 
 
-def test_same_layout_reads_one_header(spark, tmpdir_fresh):
-    a = fx.dd_file(tmpdir_fresh, [["11/4/2025", "", "1", "a", "1", "1", "1"]], name="a.csv")
-    b = fx.dd_file(tmpdir_fresh, [["11/5/2025", "", "2", "b", "2", "2", "2"]], name="b.csv")
-    assert len(exports.layouts(spark, [a, b], 1, same_layout=True)) == 1
-    f = exports.order_fact(spark, [a, b], specs.DD_ORDERS, same_layout=True)
-    assert rows(f, "order_id") == [("a",), ("b",)]
+def test_files_with_other_column_order_keep_their_values(spark, tmpdir_fresh):
+    a = fx.dd_file(tmpdir_fresh, [["11/4/2025", "", "1", "a", "100", "80", "80"]], name="a.csv")
+    swapped = [*fx.DD_HEADER[:4], fx.DD_HEADER[5], fx.DD_HEADER[4], fx.DD_HEADER[6]]
+    b = fx.dd_file(tmpdir_fresh, [["11/5/2025", "", "2", "b", "80", "100", "80"]], name="b.csv", header=swapped)
+    f = exports.order_fact(spark, [a, b], specs.DD_ORDERS)
+    assert sorted((r.order_id, float(r.sales), float(r.payouts)) for r in f.collect()) == [("a", 100.0, 80.0), ("b", 100.0, 80.0)]
+
+
+def test_banner_text_makes_no_layout_of_its_own(spark, tmpdir_fresh):
+    paths = [fx.write_csv(os.path.join(tmpdir_fresh, f"ue-{i}.csv"), [fx.ue_row("s", f"u{i}", "11/2/2025", "1:11 AM", "10", "7")],
+                          fx.UE_HEADER, [f"Report {i}", *["x"] * (i % 2)]) for i in range(4)]
+    assert len(exports.layouts(spark, paths, 2)) == 1
+    assert exports.ue_orders(spark, paths).count() == 4
+
+
+@pytest.mark.parametrize("text,date", [
+    ("11/1/2025 13:05", "2025-11-01"), ("11/01/2025 1:05 PM", "2025-11-01"), ("Nov 1, 2025", "2025-11-01"), ("2025/11/01", "2025-11-01"),
+    ("20251101", "2025-11-01"), ("November 1, 2025 1:05 pm", "2025-11-01"), ("1 Nov 2025", "2025-11-01"), ("2025-11-01T13:05:00", "2025-11-01"),
+    ("2025-11-01 1:05 PM", "2025-11-01"), ("11/1/2025", "2025-11-01"), ("soon", None), ("1101", None), ("13/45/2025", None), ("", None)])
+def test_generic_dates(spark, text, date):
+    from pyspark.sql import functions as F
+
+    from periodlens.functions import dates
+    df = spark.createDataFrame([(text,)], "t string")
+    r = df.select(dates.parse_date_per_row("t").alias("d"), F.date_format(dates.parse_timestamp("t"), "HH:mm").alias("c")).first()
+    assert (r.d.isoformat() if r.d else None) == date
+    if date and ":" in text:
+        assert r.c == "13:05"
+
+
+@pytest.mark.parametrize("text,minute", [("1:11 AM", 71), ("1:11:05 AM", 71), ("11/1/2025 1:05 PM", 785), ("11/1/2025 13:05", 785), ("13:05", 785),
+                                         ("2025-11-01 13:05:09", 785), ("1:05pm", 785), ("noon", None), (None, None)])
+def test_clock_times(spark, text, minute):
+    from periodlens.functions import dates
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(dates.minute_of_day("t").alias("m")).first().m == minute
+
+
+def test_required_columns(spark, tmpdir_fresh):
+    no_id = [h for h in fx.UE_HEADER if h != "Order ID"] + ["Extra"]
+    ue = fx.write_csv(os.path.join(tmpdir_fresh, "ue.csv"), [["x"] * len(no_id)], no_id, fx.UE_BANNER)
+    with pytest.raises(specs.MissingColumn):
+        exports.ue_orders(spark, [ue])
+    no_spend = fx.write_csv(os.path.join(tmpdir_fresh, "sp.csv"), [["12/2/2025", "1", "True", "2", "20"]], fx.SPONSORED_HEADER[:5])
+    with pytest.raises(specs.MissingColumn):
+        exports.campaign_fact(spark, [no_spend], specs.SPONSORED, "sponsored")
+
+
+def test_end_at_midnight_on_an_export(spark, tmpdir_fresh):
+    path = fx.ue_file(tmpdir_fresh, [fx.ue_row("1", "a", "12/31/2025 6:30 PM", "6:30 PM", "10", "8"), fx.ue_row("1", "b", "12/31/2025", "", "1", "1")])
+    f = exports.ue_orders(spark, [path])
+    days = dict(pre=("11/1/2025", "11/30/2025"), post=("12/1/2025", "12/31/2025"))
+    both = compare.store_compare(f, ReportParams.of(**days), ["sales"]).first()
+    strict = compare.store_compare(f, ReportParams.of(**days, end_at_midnight=True), ["sales"]).first()
+    assert (both.post_25, strict.post_25) == (11.0, 1.0)

@@ -1,6 +1,7 @@
 """One pinned test per remaining gotcha row of the survey."""
 
 import datetime as dt
+from dataclasses import replace
 import os
 from decimal import Decimal
 
@@ -27,8 +28,8 @@ def test_g3_calendar_date_by_default_strict_midnight_on_request(spark):
     late = dt.datetime(2025, 12, 31, 18, 30)
     f = fact(spark, [("DD", "1", "a", late.date(), late, 5)])
     assert compare.store_compare(f, P, ["sales"]).collect()[0].post_25 == 5.0
-    strict = facts.strict_midnight_filter(f, P.post_start, P.post_end)
-    assert strict.count() == 0
+    strict = replace(P, end_at_midnight=True)
+    assert facts.report_rows(f, strict).count() == 0
 
 
 def test_g7_dd_new_customers_ignore_store_selection(spark):

@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as ent
 from periodlens.plans import verify
+from periodlens.plans.catalog import QUERIES as CATALOG
 
 SF = os.environ.get("PERIODLENS_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = ent.queries()
-SQLS = ent.oracle_sql()
+# the library's own queries; the optional training-data queries have their own tests
+QUERIES = CATALOG
+SQLS = {k: v for k, v in ent.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +20,28 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(QUERIES) == set(SQLS)
-    assert len(QUERIES) >= 43
+    assert set(QUERIES) == set(SQLS) and set(QUERIES) <= set(ent.queries())
+    assert len(QUERIES) >= 44
+
+
+@pytest.mark.parametrize("name", sorted(SQLS))
+def test_oracle_fits_in_a_view(con, name):
+    con.execute(f"CREATE OR REPLACE TEMP VIEW v_{name} AS {SQLS[name]}")
+    con.execute(f"SELECT COUNT(*) FROM v_{name}").fetchall()
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    """The registered library queries do not need the training-data operators or the pipeline."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(ent.__file__))
+    shutil.copytree(os.path.join(root, "periodlens"), tmp_path / "periodlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), set(e.queries()) == set(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert out.stdout.split() == [str(len(QUERIES)), "True"], out.stderr[-500:]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as ent
+from periodlens.plans.catalog import QUERIES as CATALOG
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ent.queries()
+QUERIES = CATALOG
 
 
 def plan(df) -> str:
@@ -41,6 +41,24 @@ def test_rankings_use_group_limit(spark):
     assert "WindowGroupLimit" in plan(QUERIES["best_worst_stores"](spark, SF))
 
 
-def test_period_join_broadcasts_fixed_dimension(spark):
+def scans(p: str) -> int:
+    return p.count("FileScan parquet")
+
+
+@pytest.mark.parametrize("name,most", [("period_tag_range_join", 1), ("daily_store_cube", 1), ("daily_store_wide", 1), ("store_compare_orders", 1),
+                                       ("store_coverage", 2), ("kpis", 5), ("summary_metrics", 5)])
+def test_scans(spark, name, most):
+    """No fact is read more often than the report needs: two scans for a full
+    comparison, one for each of the campaign rows, the UE totals and the selection twice."""
+    assert scans(plan(QUERIES[name](spark, SF))) <= most + (name in ("kpis", "summary_metrics"))
+
+
+def test_period_tags_need_no_join(spark):
     p = plan(QUERIES["period_tag_range_join"](spark, SF))
-    assert "BroadcastNestedLoopJoin" in p or "BroadcastExchange" in p
+    assert "Join" not in p and "Generate" in p
+
+
+def test_only_totals_over_cells_expand(spark):
+    for name in QUERIES:
+        p = plan(QUERIES[name](spark, SF))
+        assert ("Expand" in p) <= (name in ("daily_store_cube", "daily_store_wide")), name

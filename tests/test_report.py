@@ -91,3 +91,41 @@ def test_command_line_report(spark, tmpdir_fresh):
     s = spark.getActiveSession() or spark
     got = {r.metric: r for r in s.read.parquet(os.path.join(out, "combined_summary_pre_post")).collect()}
     assert got["Sales"].post == 34.0 and got["Sales"].operator == "alpha"
+
+
+def test_legacy_files_stand_in_for_empty_campaigns(spark, tmpdir_fresh):
+    dd = fx.dd_file(tmpdir_fresh, [["11/2/2025", "1:30 PM", "101", "a", "10", "8", "8"]])
+    p = ReportParams.of(pre=("11/1/2025", "11/30/2025"), post=("12/1/2025", "12/31/2025"))
+    legacy = spark.createDataFrame([("pre_25", "101", 4)], "period string, store_id string, new_customers int")
+    none = spark.createDataFrame([], exports.CAMPAIGN_SCHEMA)
+    orders = exports.orders(spark, [dd], [])
+    for campaigns in (None, none):
+        t = run_report(spark, p, ReportInputs(orders=orders, campaigns=campaigns, dd_new_customers=legacy))
+        assert [(r.store_id, r.pre_25) for r in t["new_customers_by_store"].collect()] == [("101", 4.0)]
+    path = fx.write_csv(os.path.join(tmpdir_fresh, "MARKETING_PROMOTION_x.csv"), [["11/3/2025", "7", "True", "2", "20", "5", "3"]], fx.PROMO_HEADER)
+    some = exports.campaign_fact(spark, [path], exports.PROMOTION, "promotion")
+    t = run_report(spark, p, ReportInputs(orders=orders, campaigns=some, dd_new_customers=legacy))
+    assert [(r.store_id, r.pre_25) for r in t["new_customers_by_store"].collect()] == [("7", 3.0)]
+
+
+def test_command_line_per_platform_selection_and_daily_export(spark, tmpdir_fresh):
+    from periodlens.__main__ import main
+    d = tmpdir_fresh
+    fx.dd_file(d, [["11/2/2025", "1:30 PM", "101", "a", "10", "8", "8"], ["12/2/2025", "7:00 PM", "102", "b", "30", "20", "20"]])
+    fx.ue_file(d, [fx.ue_row("101", "u1", "12/3/2025", "11:15 AM", "4", "3"), fx.ue_row("102", "u2", "12/3/2025", "11:15 AM", "5", "3")])
+    fx.write_csv(os.path.join(d, "legacy", "dd-mkt-post-25.csv"), [["12/2/2025", "101", "6"]], ["Date", "Store ID", "New customers acquired"])
+    fx.write_csv(os.path.join(d, "legacy", "ue-mkt-post-25.csv"), [["9"]], ["New customers"])
+    out, staging = os.path.join(d, "out"), os.path.join(d, "staging")
+    assert main(["--dd", os.path.join(d, "dd-*.csv"), "--ue", os.path.join(d, "ue-*.csv"), "--pre", "11/1/2025-11/30/2025",
+                 "--post", "12/1/2025-12/31/2025", "--dd-stores", "101", "--ue-stores", "102,900", "--legacy", os.path.join(d, "legacy"),
+                 "--staging", staging, "--out", out]) == 0
+    s = spark.getActiveSession() or spark
+    got = {r.metric: r for r in s.read.parquet(os.path.join(out, "combined_summary_pre_post")).collect()}
+    assert (got["Sales"].pre, got["Sales"].post, got["New Customers"].post) == (10.0, 5.0, 15.0)
+    daily = s.read.parquet(os.path.join(out, "daily")).where("metric = 'Sales'")
+    assert sorted(r.value for r in daily.collect()) == [4.0, 5.0, 10.0, 30.0]
+    counts = {r.platform: r.selected_stores for r in s.read.parquet(os.path.join(out, "store_coverage")).collect()}
+    assert counts == {"DD": 1, "UE": 2}
+    text = {r.metric: r.post for r in s.read.parquet(os.path.join(out, "combined_summary_pre_post_text")).collect()}
+    assert text["Sales"] == "$5.0"
+    assert not os.listdir(os.path.join(staging, "periodlens"))

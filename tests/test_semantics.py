@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from periodlens import ReportParams, last_year
-from periodlens.functions.slots import DD_AS_CODED, STANDARD, slot_of
+from periodlens.functions.slots import DD_AS_CODED, STANDARD, slot_sql
 from periodlens.operators import compare, daily, facts, insights, slots, summary
 
 D = dt.date
@@ -42,7 +42,7 @@ def test_overlapping_windows_count_row_in_both(spark):
     r = by_key(compare.store_compare(f, p), "metric")
     assert r[("sales",)].pre_25 == 10.0 and r[("sales",)].post_25 == 10.0
     assert r[("orders",)].pre_25 == 1.0 and r[("orders",)].post_25 == 1.0
-    tagged = facts.tag_periods(spark, f, p).select("period").collect()
+    tagged = facts.tag_periods(f, p).select("period").collect()
     assert sorted(x.period for x in tagged) == ["post_25", "pre_25"]
 
 
@@ -125,16 +125,11 @@ def test_combined_store_sums_platforms(spark):
 ])
 def test_slot_bounds(spark, hhmm, dd, std):
     h, m = map(int, hhmm.split(":"))
-    r = spark.range(1).select(slot_of(F_lit(h * 60 + m), DD_AS_CODED).alias("dd"),
-                              slot_of(F_lit(h * 60 + m), STANDARD).alias("std")).collect()[0]
+    r = spark.range(1).selectExpr(f"{slot_sql(str(h * 60 + m), DD_AS_CODED)} AS dd",
+                                  f"{slot_sql(str(h * 60 + m), STANDARD)} AS std").collect()[0]
     assert (r.dd, r.std) == (dd, std)
 
 
-def F_lit(v):
-    from pyspark.sql import functions as F
-    return F.lit(v)
-
-
 def test_slot_tables_have_six_rows_and_post_without_pre(spark):
     f = fact(spark, [("DD", "1", "a", D(2025, 12, 2), 12 * 60, 10, 8)])   # no pre rows at all (G5)
     t = slots.slot_totals(f, P)
@@ -153,14 +148,39 @@ def test_daily_cube_totals_add_cells(spark):
     assert rows[(D(2025, 12, 2), None)].orders == 2     # sum of per-store distinct counts
 
 
-def test_daily_wide_pivot(spark):
-    f = fact(spark, [("DD", "1", "a", D(2025, 12, 2), 0, 1, 1), ("DD", "2", "b", D(2025, 12, 3), 0, 2, 1)])
-    w = daily.daily_wide(daily.daily_cells_dec(f, P, periods=("post_25",)), "sales")
-    got = by_key(w, "event_date")
+def test_daily_wide_lists_stores_and_the_rest(spark):
+    f = fact(spark, [("DD", "1", "a", D(2025, 12, 2), 0, 1, 1), ("DD", "2", "b", D(2025, 12, 3), 0, 2, 1)]
+             + [("DD", str(i), f"c{i}", D(2025, 12, 3), 0, 1, 1) for i in range(10, 1500)])
+    w = daily.daily_wide(daily.daily_cells_dec(f, P, periods=("post_25",)), ["1", "2", "absent"])
+    assert w.columns == ["platform", "period", "metric", "event_date", "1", "2", "absent", "Other", "Total"]
+    got = by_key(w.where("metric = 'sales'"), "event_date")
     assert got[(D(2025, 12, 2),)]["2"] == 0.0 and got[(D(2025, 12, 2),)]["Total"] == 1.0
-    assert got[(None,)]["Total"] == 3.0
-    with pytest.raises(ValueError):
-        daily.daily_wide(daily.daily_cells_dec(f, P), "sales", limit=1)
+    assert got[(D(2025, 12, 3),)]["Other"] == 1490.0 and got[(None,)]["absent"] == 0.0
+    assert got[(None,)]["Total"] == 1493.0 and w.count() == 9
+
+
+def test_rows_without_a_store_are_dropped_whatever_the_metrics(spark):
+    f = fact(spark, [("DD", "1", "a", D(2025, 11, 2), 0, 1, 1), ("DD", None, "b", D(2025, 11, 2), 0, 2, 1)])
+    for metrics in (["sales"], ["orders"], list(compare.METRICS)):
+        assert {r.store_id for r in compare.store_compare(f, P, metrics).collect()} == {"1"}
+
+
+def test_one_selection_per_platform(spark):
+    f = fact(spark, [(p, s, f"{p}{s}", D(2025, 11, 2), 0, v, 1) for p, s, v in
+                     [("DD", "1", 1), ("DD", "2", 2), ("UE", "1", 4), ("UE", "2", 8)]])
+    c = compare.store_compare_dec(f, P)
+    frame = spark.createDataFrame([("DD", "1"), ("UE", "2"), ("UE", "9")], "platform string, store_id string")
+    for sel, dd, ue in [({"DD": ["1"], "UE": ["2"]}, 1, 8), ({"DD": ["1"]}, 1, 12), ({"DD": None, "UE": ["1"]}, 3, 4), (["2"], 2, 8), (frame, 1, 8), ({"UE": []}, 3, 0)]:
+        got = {(r.platform, r.metric): r.pre for r in summary.platform_summary(c, sel).collect()}
+        assert (got.get(("DD", "Sales"), 0), got.get(("UE", "Sales"), 0)) == (dd, ue), sel
+    # counts and directory come from the selection, not from the stores with data
+    sel = {"DD": ["1", "7"], "UE": ["9"]}
+    counts = by_key(summary.store_counts(c, sel), "platform")
+    assert [(counts[(p,)].selected_stores, counts[(p,)].total_stores) for p in ("DD", "UE")] == [(2, 2), (1, 2)]
+    assert [(r.store_id, r.first_platform) for r in insights.store_directory(c, sel).collect()] == [("1", "DD"), ("7", "DD"), ("9", "UE")]
+    odd = ["it's", "back\\slash"]
+    f2 = fact(spark, [("DD", s, s, D(2025, 11, 2), 0, 1, 1) for s in odd])
+    assert facts.select_stores(f2, odd).count() == 2
 
 
 def test_store_selection_list_and_frame(spark):
