@@ -40,6 +40,7 @@ class Stages:
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        self.tables: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -49,6 +50,17 @@ class Stages:
         self.paths[id(out)] = path
         return out
 
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """A table in ``buckets`` by ``column``: grouping by it later needs no shuffle of this table."""
+        self.n += 1
+        path, name = f"{self.base}/{self.n}", f"llm_{uuid.uuid4().hex}"
+        (df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column)
+         .option("path", path).option("compression", "zstd").saveAsTable(name))
+        out = self.spark.table(name)
+        self.paths[id(out)] = path
+        self.tables[id(out)] = name
+        return out
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's
         references to them are collected, which may otherwise take half an hour."""
@@ -58,6 +70,8 @@ class Stages:
     def drop(self, *dfs: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in dfs:
+            if id(df) in self.tables:
+                self.spark.sql(f"DROP TABLE {self.tables.pop(id(df))}")
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
             path.getFileSystem(conf).delete(path, True)
 

@@ -4,7 +4,8 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a
 text of a smaller id.  The suffixes of the whole corpus are too many to send
 around, so equal strings are brought together by content first:
 
-1.  Of several equal texts one with the least id is searched; the others go whole.
+1.  The texts are dealt into parts, written once as a bucketed table.  Of several
+    equal texts one with the least id is searched; the others go whole.
 2.  The least hash of the 20-byte strings inside a string of ``LENGTH`` bytes is
     its key.  Neighbouring strings mostly have the same key; such a run of
     strings is a window.  Only the keys of each part of the corpus are
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,48 +142,36 @@ def windows(data: np.ndarray, starts: np.ndarray, shared: np.ndarray, many: np.n
 
 
 # --------------------------------------------------------------------- parts
-def _parts(docs: DataFrame) -> DataFrame:
-    """(id, sha, bytes) with the number of a part of the corpus, about ``PART_BYTES`` each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId() << 24, 0
-        for b in slices(batches, "bytes"):
-            size = len(joined(b.column("bytes"))[0])
-            if held and held + size > PART_BYTES:
-                part, held = part + 1, 0
-            held += size
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), *b.columns], ["part", *b.schema.names])
-
-    return docs.mapInArrow(run, "part long, id long, sha binary, bytes binary")
-
-
-def _keys(parts: DataFrame, buckets: int) -> DataFrame:
+def _searched(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The texts of a part that are searched: of equal texts the first row of the least id."""
+    listed = right.filter(right.column("sha").is_valid())
+    least = dict(zip(listed.column("sha").to_pylist(), listed.column("id").to_pylist()))
+    keep = []
+    for row, (sha, i) in enumerate(zip(left.column("sha").to_pylist(), left.column("id").to_pylist())):
+        if least.get(sha) == i:
+            keep.append(row)
+            del least[sha]
+    return left.take(pa.array(keep, pa.int64())) if len(keep) < left.num_rows else left
+
+
+def _keys(buckets: int):
     """(part, bucket, keys, times): the sorted keys of a part's windows that fall in a bucket, packed, and in how many."""
+    names, types = ["part", "bucket", "keys", "times"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
-    def out(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        key, times = np.unique(np.concatenate(held), return_counts=True)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = _searched(left, right)
+        held = [runs(*joined(b.column("bytes")))[3] for b in slices(iter(left.combine_chunks().to_batches()), "bytes")]
+        key, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         key, times = key[order], np.minimum(times[order], 1 << 30).astype(np.uint32)
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        blob = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some.tolist()], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part)), pa.array(some, pa.int32()), blob(key), blob(times)], ["part", "bucket", "keys", "times"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-        for b in slices(batches, "bytes"):
-            for p in np.unique(b.column("part").to_numpy()).tolist():
-                own = b.filter(pa.array(b.column("part").to_numpy() == p))
-                if p != part and held:
-                    yield out(part, held)
-                    held = []
-                part = p
-                held.append(runs(*joined(own.column("bytes")))[3])
-        if held:
-            yield out(part, held)
-
-    return parts.select("part", "bytes").mapInArrow(run, "part long, bucket int, keys binary, times binary")
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        part = left.column("part")[0].as_py() if left.num_rows else 0
+        blob = lambda x: [x[cuts[i] : cuts[i + 1]].tobytes() for i in some]
+        return pa.table([pa.array(c, t) for c, t in zip(([part] * len(some), some, blob(key), blob(times)), types)], names)
+
+    return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -230,6 +218,7 @@ def _least(keys: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.n
 def _distinct_windows(left: pa.Table, right: pa.Table) -> pa.Table:
     """The different windows of a part, each with the least id that has it."""
     shared, many = _known(right)
+    left = _searched(left, right)
     kept: list[tuple] = []
     texts: list[bytes] = []
     for data, _, ids, (text, at, own, key, content) in _in_part(left, shared, many) if len(shared) else ():
@@ -301,6 +290,7 @@ CUT = "part long, id long, sha binary, n_bytes long, n_removed long, n_spans lon
 def _cutter(keep: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """Cuts a part's texts.  A window of a larger id than the part's least for it goes whole, that of the least goes by its mask."""
+        left = _searched(left, right)
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in types], names)
         shared, many = _known(right)
@@ -366,28 +356,27 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stages = Stages(spark, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), as_bytes(text_col).alias("bytes"))
     keyed = rows.withColumn("sha", F.unhex(F.sha2("bytes", 256)))
-    least = stages.put(keyed.groupBy("sha").agg(F.min("id").alias("id")))
-    # of each different text the row of its least id; the pair is as good as unique, so no task gets more than others
-    once = keyed.join(least, ["id", "sha"], "left_semi").select("id", "sha", "bytes")
-    parts = stages.put(_parts(once))
+    total = rows.agg(F.coalesce(F.sum(F.length("bytes").cast("long")), F.lit(0))).first()[0]
+    # the texts in parts, once: every later step finds its part in place.  A part has no key of the
+    # data, so no text, id or source makes one larger than the others.
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_BYTES))
+    part = F.pmod(F.xxhash64("id", "sha"), F.lit(count).cast("long")).alias("part")
+    least = stages.put(keyed.groupBy("sha").agg(F.min("id").alias("id")).select(part, "id", "sha"))
+    parts = stages.bucketed(keyed.select(part, "id", "sha", "bytes"), "part", count)
     stages.release()
-    total = parts.agg(F.coalesce(F.sum(F.length("bytes").cast("long")), F.lit(0))).first()[0]
-    keys = _keys(parts, max(32, math.ceil(total / BUCKET_BYTES)))
+    parted = parts.groupBy("part")
+    keys = parted.cogroup(least.groupBy("part")).applyInArrow(_keys(max(32, math.ceil(total / BUCKET_BYTES))), "part long, bucket int, keys binary, times binary")
     shared = stages.put(keys.groupBy("bucket").applyInArrow(_shared, "part long, keys binary, many binary"))
     stages.release()
-    found = parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
+    right = least.unionByName(shared, allowMissingColumns=True)
+    found = parted.cogroup(right.groupBy("part")).applyInArrow(
         _distinct_windows, "part long, key long, content long, own int, least long, window binary")
     marks = stages.put(found.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "part long, key long, content long, mask long"))
     stages.release()
-    none = F.lit(None)
-    right = shared.select("part", "keys", "many", *[none.cast("long").alias(c) for c in ("key", "content", "mask")]).unionByName(
-        marks.select("part", none.cast("binary").alias("keys"), none.cast("binary").alias("many"), "key", "content", "mask"))
-    cut = stages.put(parts.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_cutter(keep_text), CUT))
-    stages.release()
+    first = stages.put(parted.cogroup(right.unionByName(marks, allowMissingColumns=True).groupBy("part")).applyInArrow(_cutter(keep_text), CUT))
     stages.drop(parts, shared, marks, least)
-    first = cut.dropDuplicates(["sha"]).withColumnsRenamed({"id": "first_id", "n_bytes": "first_bytes"})
-    first = stages.put(first)
-    stages.drop(cut)
+    stages.release()
+    first = first.withColumnsRenamed({"id": "first_id", "n_bytes": "first_bytes"})
     every = keyed.select("doc", "id", "sha", F.length("bytes").cast("long").alias("n_bytes"))
     out = every.join(first, "sha")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH)  # every string of it starts in the first text too
