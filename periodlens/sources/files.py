@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -71,13 +71,18 @@ UPLOAD_RANGE_RE = r"(\d{4}-\d{2}-\d{2}_\d{4}-\d{2}-\d{2})"
 UPLOAD_FALLBACK = "marketing_uploaded"
 
 
-def upload_group(file_name: str) -> str:
-    """Folder name an uploaded marketing file is filed under."""
-    if "MARKETING_" in file_name.upper():
-        m = re.search(UPLOAD_RANGE_RE, file_name)
-        if m:
-            return f"marketing_{m.group(1)}"
-        parts = file_name.split("_")
-        if len(parts) > 1:
-            return "marketing_" + "_".join(parts[:min(4, len(parts))]).replace(".csv", "")
-    return UPLOAD_FALLBACK
+def upload_group(path) -> Column:
+    """Name of the group an uploaded marketing file belongs to, from its
+    path: its date range, else the first four parts of its name; the fallback
+    for other files."""
+    name = F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1)
+    dates = F.regexp_extract(name, UPLOAD_RANGE_RE, 1)
+    parts = F.replace(F.substring_index(name, F.lit("_"), 4), F.lit(".csv"), F.lit(""))
+    own = F.concat(F.lit("marketing_"), F.when(dates != "", dates).otherwise(parts))
+    return F.when(F.upper(name).contains("MARKETING_"), own).otherwise(UPLOAD_FALLBACK)
+
+
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of an upload folder with their groups; files are not moved and not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return listed.select("path", upload_group("path").alias("upload_group"))

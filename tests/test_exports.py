@@ -182,11 +182,13 @@ def test_profile(spark, tmpdir_fresh):
     assert r.columns.startswith("Timestamp local date, Timestamp local time, Merchant store ID")
 
 
-def test_upload_grouping():
-    assert files.upload_group("MARKETING_PROMOTION_2025-11-01_2025-11-30.csv") == \
-        "marketing_2025-11-01_2025-11-30"
-    assert files.upload_group("MARKETING_PROMOTION_x.csv") == "marketing_MARKETING_PROMOTION_x"
-    assert files.upload_group("notes.csv") == "marketing_uploaded"
+def test_upload_grouping(spark, tmpdir_fresh):
+    names = ["MARKETING_PROMOTION_2025-11-01_2025-11-30.csv", "MARKETING_PROMOTION_x.csv", "notes.csv", "marketing_a_b_c_d_e.csv"]
+    for n in names:
+        fx.write_csv(os.path.join(tmpdir_fresh, "up", n), [["x"]])
+    got = {r.path.rsplit("/", 1)[1]: r.upload_group for r in files.uploads(spark, os.path.join(tmpdir_fresh, "up")).collect()}
+    assert [got[n] for n in names] == ["marketing_2025-11-01_2025-11-30", "marketing_MARKETING_PROMOTION_x", "marketing_uploaded",
+                                       "marketing_marketing_a_b_c"]
 
 
 def test_observation_counts_dropped_rows(spark, tmpdir_fresh):
