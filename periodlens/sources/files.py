@@ -77,7 +77,7 @@ def upload_group(path) -> Column:
     for other files."""
     name = F.substring_index(F.col(path) if isinstance(path, str) else path, "/", -1)
     dates = F.regexp_extract(name, UPLOAD_RANGE_RE, 1)
-    parts = F.replace(F.substring_index(name, F.lit("_"), 4), F.lit(".csv"), F.lit(""))
+    parts = F.replace(F.substring_index(name, "_", 4), F.lit(".csv"), F.lit(""))
     own = F.concat(F.lit("marketing_"), F.when(dates != "", dates).otherwise(parts))
     return F.when(F.upper(name).contains("MARKETING_"), own).otherwise(UPLOAD_FALLBACK)
 
