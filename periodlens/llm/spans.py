@@ -1,10 +1,12 @@
 """Repeated sentence spans (operator 9).
 
 A text is cut into sentences; one of more than ``MOST_WORDS`` words counts as
-several, cut every so many words from its start.  Every run of ``run`` consecutive sentences with
-at least ``MIN_WORDS`` words is hashed, runs are grouped over the whole table,
-and sentences covered by any occurrence of a repeated run but the first are
-removed.  First is the least (id, row, place), rows without id last.
+several, cut behind its commas, semicolons and colons, and a clause that is
+still longer every so many words.  From each sentence on, the shortest run of
+at least ``run`` consecutive sentences with at least ``MIN_WORDS`` words is
+hashed.  Runs are grouped over the whole table, and sentences covered by any
+occurrence of a repeated run but the first are removed.  First is the least
+(id, row, place), rows without id last.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .common import Stages, as_bytes, slices
 MOST_WORDS = 20
 MIN_WORDS = 10
 _END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
+_CLAUSE = re.compile(r"[,;:]\s+")
 _WORD = re.compile(r"\S+")
 
 
@@ -39,26 +42,50 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
                 start = end
             continue
         if len(own) > MOST_WORDS:
-            places = [start + m.start() for m in _WORD.finditer(text[start:end])]
-            cuts = [start, *places[MOST_WORDS::MOST_WORDS], end]
-            out += [(a, b, own[i * MOST_WORDS : (i + 1) * MOST_WORDS]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            out += _pieces(text, start, end)
         else:
             out.append((start, end, own))
         start = end
     return out
 
 
-def run_hashes(parts: list[tuple[int, int, list[str]]], run: int) -> list[int | None]:
-    """A signed 64-bit hash of each run of sentences, case ignored; None for one of too few words."""
+def _pieces(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
+    """The clauses of a long sentence; where one is cut does not depend on what stands in the others."""
+    out = []
+    cuts = [start, *(start + m.end() for m in _CLAUSE.finditer(text[start:end])), end]
+    for a, b in zip(cuts, cuts[1:]):
+        own = text[a:b].split()
+        if not own:
+            if out and b > a:
+                out[-1] = (out[-1][0], b, out[-1][2])
+            continue
+        places = [a + m.start() for m in _WORD.finditer(text[a:b])] if len(own) > MOST_WORDS else []
+        inner = [a, *places[MOST_WORDS::MOST_WORDS], b]
+        out += [(x, y, own[i * MOST_WORDS : (i + 1) * MOST_WORDS]) for i, (x, y) in enumerate(zip(inner, inner[1:]))]
+    return out
+
+
+def run_ends(parts: list[tuple[int, int, list[str]]], run: int) -> list[int]:
+    """For each sentence the sentence after its run; shorter than ``parts`` where the text ends too soon for a run."""
+    out, end, held = [], 0, 0
+    for i in range(len(parts)):
+        while end < len(parts) and (end - i < run or held < MIN_WORDS):
+            held += len(parts[end][2])
+            end += 1
+        if end - i < run or held < MIN_WORDS:
+            break
+        out.append(end)
+        held -= len(parts[i][2])
+    return out
+
+
+def run_hashes(parts: list[tuple[int, int, list[str]]], run: int) -> list[int]:
+    """A signed 64-bit hash of each run of sentences, case ignored."""
     lines = [" ".join(w).lower() for _, _, w in parts]
-    sizes = [len(w) for _, _, w in parts]
-    out: list[int | None] = []
-    for i in range(len(parts) - run + 1):
-        if sum(sizes[i : i + run]) < MIN_WORDS:
-            out.append(None)
-        else:
-            h = xxhash.xxh64_intdigest("\n".join(lines[i : i + run]).encode("utf-8", "surrogatepass"))
-            out.append(h - (1 << 64) if h >> 63 else h)
+    out = []
+    for i, end in enumerate(run_ends(parts, run)):
+        h = xxhash.xxh64_intdigest("\n".join(lines[i:end]).encode("utf-8", "surrogatepass"))
+        out.append(h - (1 << 64) if h >> 63 else h)
     return out
 
 
@@ -88,7 +115,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     stages = Stages(docs.sparkSession, "spans")
     whole = stages.put(_cut(docs, id_col, text_col, run))
-    runs = whole.select("row", "id", F.posexplode("runs").alias("place", "hash")).where("hash is not null")
+    runs = whole.select("row", "id", F.posexplode("runs").alias("place", "hash"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
     first = stages.put(runs.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(
         "hash", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place")))
@@ -102,7 +129,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, places in zip(b.column("bytes").to_pylist(), b.column("places").to_pylist()):
                 text = text.decode("utf-8", "replace")
                 parts = sentences(text)
-                gone = {p + k for p in places or () for k in range(run)}
+                ends = run_ends(parts, run) if places else []
+                gone = {k for p in places or () for k in range(p, ends[p])}
                 kept = "".join(text[a:e] for i, (a, e, _) in enumerate(parts) if i not in gone) if gone else text
                 out.append((kept, len(parts), len(gone), sum(i - 1 not in gone for i in gone)))
             yield pa.RecordBatch.from_arrays(

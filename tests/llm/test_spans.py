@@ -9,14 +9,16 @@ def brute(docs, run=3):
     parts = [spans.sentences(t or "") for _, t in docs]
     where = {}
     for d, own in enumerate(parts):
-        for i in range(len(own) - run + 1):
-            key = tuple(tuple(w.lower() for w in x[2]) for x in own[i : i + run])
-            if sum(map(len, key)) >= spans.MIN_WORDS:
-                where.setdefault(key, []).append((docs[d][0] is None, docs[d][0] or 0, d, i))
+        for i in range(len(own)):
+            for j in range(i + run, len(own) + 1):  # the shortest run with enough words
+                key = tuple(tuple(w.lower() for w in x[2]) for x in own[i:j])
+                if sum(map(len, key)) >= spans.MIN_WORDS:
+                    where.setdefault(key, []).append((docs[d][0] is None, docs[d][0] or 0, d, i))
+                    break
     gone = [set() for _ in docs]
-    for places in where.values():
+    for key, places in where.items():
         for _, _, d, i in sorted(places)[1:]:
-            gone[d] |= set(range(i, i + run))
+            gone[d] |= set(range(i, i + len(key)))
     return [(i, (t or "") if not g else "".join((t or "")[a:e] for k, (a, e, _) in enumerate(own) if k not in g), len(own), len(g)) for (i, t), own, g in zip(docs, parts, gone)]
 
 
@@ -44,7 +46,7 @@ def test_edge_rows(spark):
     line = lambda n: " ".join(word() for _ in range(n)).capitalize() + ". "
     shared, long = "".join(line(n) for n in (3, 9, 14, 2, 30)), line(60)
     docs = [(4, line(9) + shared + line(8)), (2, shared), (None, shared + "tail of it"), (7, long), (6, line(5) + "\n" + long), (8, None), (9, ""), (10, " \n "),
-            (11, shared + line(12) + shared), (12, "No. No. No. No. No."), (13, "z" * 200_000 + ". " + shared.upper()), (14, line(11) * 50_0)]
+            (11, shared + line(12) + shared), (12, "No. No. No. No. No."), (17, "A. B. C. D, e. F. G. H. I. J. K. L. " * 2), (13, "z" * 200_000 + ". " + shared.upper()), (14, line(11) * 50_0)]
     df = spark.createDataFrame([("c", i, t, 1) for i, t in docs], "row string, doc_id long, text string, place int").repartition(4)
     got = spans.without_repeats(df).collect()
     assert sorted((tuple(r)[:4] for r in got), key=str) == sorted(brute(docs), key=str)
@@ -58,3 +60,13 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string").repartition(2)
     assert sorted(r.n_removed for r in spans.without_repeats(df).collect()) == [0, 3, 3]
     assert spans.without_repeats(df.limit(0)).count() == 0
+
+
+def test_long_sentences_and_short_ones_repeat_wherever_they_stand(spark):
+    """Passages of more than 50 words: clauses of one sentence after an edit, and sentences of one word."""
+    tail = ", ".join(" ".join(f"w{i}x{k}" for k in range(6)) for i in range(12)) + "."
+    tiny = " ".join(f"T{i}." for i in range(60))
+    docs = [(1, f"Start of it, {tail}"), (2, f"Another one begins here quite differently, and longer too, {tail}"), (3, f"Lead. {tiny}"), (4, f"Some words before the passage. {tiny}")]
+    got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2].text == "Another one begins here quite differently, and longer too, " and got[4].text == "Some words before the passage. "
+    assert got[1].n_removed == got[3].n_removed == 0
