@@ -25,7 +25,8 @@ MEASURES = ["chars_per_token", "fallback_share", "entropy"]
 #: A band reaches so many quartile distances beyond the quartiles, and at least
 #: so far (in the measure's own unit): no spread in the corpus, no narrow band.
 REACH = 4.0
-LEAST_REACH = {"chars_per_token": 0.4, "fallback_share": 0.05, "entropy": 0.12}
+LEAST_REACH = {"chars_per_token": 0.2, "fallback_share": 0.05, "entropy": 0.04}
+FULL_TOKENS = 1024  # a text of fewer tokens measures less surely: its band is wider by the root of the shortfall
 LEAST_ROWS = 20  # texts of a language; below, the band of all languages holds
 
 #: Words without folding case.
@@ -131,10 +132,11 @@ def judge(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         F.col("lang").alias("band_lang"), *[F.col(m).alias(f"q_{m}") for m in MEASURES]))
     out = rows.join(of_lang, rows["lang"] == of_lang["band_lang"], "left")
     reasons = []
+    unsure = F.sqrt(F.greatest(F.lit(1.0), FULL_TOKENS / F.greatest(F.col("n_tokens"), F.lit(1))))
     for m in MEASURES:
         general = F.array(*[F.lit(x) for x in of_all[m]]) if of_all[m] else F.array(F.lit(0.0), F.lit(0.0))
         q = F.coalesce(F.col(f"q_{m}"), general)
-        reach = F.greatest(REACH * (q[1] - q[0]), F.lit(LEAST_REACH[m]))
+        reach = F.greatest(REACH * (q[1] - q[0]), F.lit(LEAST_REACH[m])) * unsure
         # few fallbacks and much variety are no fault
         low = F.col(m) < q[0] - reach if m != "fallback_share" else F.lit(False)
         high = F.col(m) > q[1] + reach if m != "entropy" else F.lit(False)
