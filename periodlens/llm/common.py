@@ -9,8 +9,10 @@ Spark shuffle or a table in the shared folder of ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,16 @@ from periodlens.session import checkpoint_dir
 SLICE_BYTES = 2 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python tasks find this package where the driver found it, from whatever folder the driver runs."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
@@ -36,6 +47,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
