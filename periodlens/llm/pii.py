@@ -189,14 +189,24 @@ def examples(texts: list[str], windows: int, seed: int) -> tuple[np.ndarray, np.
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Tagger:
-    """Train on the rows with the least content hashes: at most ``TRAIN_ROWS`` / 2 of those that the
-    base rules may label, and as many of all rows."""
+    """Train on the texts with the least content hashes: at most ``TRAIN_ROWS`` / 2 of those that the
+    base rules may label, and as many of all texts.
+
+    The hashes are chosen first, so that only the chosen texts leave their tasks."""
     text = F.col(text_col)
     rows = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).where("t is not null")
     half = TRAIN_ROWS // 2
-    likely = rows.where(text_like("t")).orderBy("h", "t").limit(half).select(_part("t").alias("t"))
-    plain = rows.orderBy("h", "t").limit(half).select(_part("t").alias("t"))
-    texts = sorted({r["t"] for r in likely.unionAll(plain).collect()})
+
+    def last(chosen: DataFrame) -> int | None:
+        return chosen.select("h").distinct().orderBy("h").limit(half).agg(F.max("h")).first()[0]
+
+    plain, likely = last(rows), last(rows.where(text_like("t")))
+    chosen = F.lit(False)
+    if plain is not None:
+        chosen = F.col("h") <= plain
+    if likely is not None:
+        chosen = chosen | ((F.col("h") <= likely) & text_like("t"))
+    texts = sorted(r["t"] for r in rows.where(chosen).groupBy("h").agg(F.min(_part("t")).alias("t")).collect())
     tagger = Tagger(len(KINDS))
     ids, tags = examples(texts, TRAIN_WINDOWS, seed=5)
     tagger.train(ids, tags, STEPS, batch=48)
