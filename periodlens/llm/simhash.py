@@ -4,7 +4,7 @@ A fingerprint has 64 bits in six blocks.  Two fingerprints that differ in at
 most three bits agree on at least three whole blocks, so they share one of the
 20 block triples.  Fingerprints are grouped by triple (about 32 bits, so chance
 meetings are rare at any size), and the Hamming distance is verified inside a
-group.  A group gives the links of a spanning forest only, never its pairs.
+group.  A group gives one link per member only, never its pairs.
 Groups above ``GROUP`` members are split anew on the bits that the triple left
 open; after the third split a group has at most 2**9 members, so no group is
 unbounded and none is dropped.
@@ -101,14 +101,14 @@ def _keyed(level: int, max_bits: int):
 
 
 def forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph of values at most ``max_bits`` bits apart."""
+    """Links of each connected part of the graph of values at most ``max_bits`` bits apart: from its first value to every other."""
     links, left = [], np.arange(len(fp))
     while len(left) > 1:
-        edge, left = left[:1], left[1:]
+        first, edge, left = left[0], left[:1], left[1:]
         while len(edge) and len(left):
             near = np.bitwise_count(fp[left] ^ fp[edge[0]]) <= max_bits
             found = left[near]
-            links += [(int(fp[edge[0]]), int(x)) for x in fp[found]]
+            links += [(int(fp[first]), int(x)) for x in fp[found]]
             edge, left = np.concatenate([edge[1:], found]), left[~near]
     return links
 
