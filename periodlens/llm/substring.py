@@ -40,7 +40,7 @@ BLOCK = 4  # neighbouring strings under one key where windows are many
 MANY = 1000  # windows of a key from which it is replaced
 MOST_OWN = 63  # strings of a window
 PART_BYTES = 8 << 20
-BUCKET_BYTES = 512 << 20  # of text, whose keys one task compares
+BUCKET_BYTES = 128 << 20  # of text, whose keys one task compares
 CHUNK_BYTES = 2 << 20  # of windows, sorted at a time
 NO_ID = (1 << 63) - 1  # stands for a null id, so that it is the largest
 
