@@ -137,5 +137,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [b.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64())))],
                 ["id", "text", "n_sentences", "n_removed", "n_spans"])
 
-    marked = whole.join(marks, "row", "left").select("id", F.col("text").cast("binary").alias("bytes"), "places")
+    # hashed by row at every size: no broadcast of small inputs only, and no sort of the texts
+    marked = whole.join(marks.hint("shuffle_hash"), "row", "left").select("id", F.col("text").cast("binary").alias("bytes"), "places")
     return marked.mapInArrow(remove, "id long, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
