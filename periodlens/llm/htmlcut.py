@@ -43,7 +43,8 @@ PLAIN_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "promo", "prom
 STRONG, WEAK = 8.0, 3.0  # log-odds of a hint of the tree; of lying outside the article of a page that has one
 TEXT_LIMIT = 2.5  # at most so much from the text's shape
 ADJACENT, KIN = 0.6, 0.5  # smoothness between neighbours in page order; between neighbours in one parent or grandparent
-SAMPLE_PAGES = 400
+#: Pages, and characters of each, that teach the model of text shapes at most.
+SAMPLE_PAGES, SAMPLE_CHARS = 400, 200_000
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
@@ -189,9 +190,12 @@ PRIOR = np.array([-1.0, 0.6, 0.6, -3.0, 0.6, 0.4, -2.0, 0.8, 0.4, -0.6])
 def fit(pages: DataFrame, html_col: str = "html") -> np.ndarray:
     """Weights of ``shape``: logistic regression, pulled towards ``PRIOR``, on the ``SAMPLE_PAGES`` pages with
     the least content hashes.  Labels are the hints of the tree; blocks without a hint have no label."""
-    rows = pages.select(F.col(html_col).alias("h")).where("h is not null").orderBy(F.xxhash64("h"), "h").limit(SAMPLE_PAGES)
+    rows = pages.select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("x")).where("h is not null")
+    # the hashes first, so that only the chosen pages leave their tasks
+    last = rows.select("x").distinct().orderBy("x").limit(SAMPLE_PAGES).agg(F.max("x")).first()[0]
+    sample = rows.where(F.col("x") <= (last or 0)).groupBy("x").agg(F.min(F.substring("h", 1, SAMPLE_CHARS)).alias("h")).orderBy("x")
     x, y = [], []
-    for r in rows.select(F.substring("h", 1, 200_000).alias("h")).collect():
+    for r in sample.collect():
         for b in blocks(r["h"]):
             if b.node.hint:
                 x.append(shape(b))
