@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment (operator 10).
+"""Benchmark decontamination: n-gram seeds, then local alignment (operator 10).
 
 Test items come in blocks of bounded size, and each block is shared with all
-tasks; the training texts are never shuffled.  A first pass counts, over all
-documents, every word n-gram of the block.  The rarer half of an item's
-n-grams (at least ``MIN_SEEDS``) are its seeds.  A second pass finds the seeds
-in each document; seeds whose positions imply the same alignment make one
-candidate passage, which Smith-Waterman over words scores against the item.
+tasks; the training texts are never shuffled.  Every word n-gram of an item is
+a seed, however frequent, so that an edited copy is found by whichever of its
+n-grams the edits left.  One pass finds the seeds in each document; seeds whose
+positions imply the same alignment make one candidate passage.  Candidates that
+hold too few of the item's words to reach the score are dropped, and
+Smith-Waterman over words scores the others against the item.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORDS, as_bytes, joined, slices, windows_hash, words
+from .common import MULT, PLAIN_WORDS, as_bytes, joined, mix, slices, windows_hash, words
 
 NGRAM = 3
-MIN_SEEDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20  # words of test items shared with all tasks at a time
 ALIGN_CELLS = 1 << 18
+FOUND_ROWS = 1 << 20  # seeds found in a slice of texts that are held at a time, and words of passages
 
 
 def _items(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,16 +71,21 @@ class Block:
         self.item, self.place = (np.concatenate(x) if x else none for x in (item, place))
         self.lengths = sorted({min(NGRAM, len(w)) for w in self.words})
 
-    def seeds(self, count: dict[int, int]) -> Seeds:
-        """The rarer half of each item's n-grams, ``MIN_SEEDS`` at least; ties in frequency stay together."""
-        n = np.array([count.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        keep = np.zeros(len(n), bool)
-        cuts = np.flatnonzero(np.diff(self.item, prepend=-1, append=-1)) if len(n) else []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = np.sort(n[a:b])
-            keep[a:b] = n[a:b] <= own[min(len(own) - 1, max(MIN_SEEDS - 1, (len(own) - 1) // 2))]
-        order = np.argsort(self.gram[keep], kind="stable")
-        return Seeds(self.gram[keep][order], self.item[keep][order], self.place[keep][order], self)
+        own = [np.unique(_own(w, k), return_counts=True) for k, w in enumerate(self.words)]
+        bag = np.concatenate([x for x, _ in own]) if own else none.astype(np.uint64)
+        order = np.argsort(bag, kind="stable")
+        self.bag = bag[order]  # the words of each item, and how often each is in it
+        self.times = np.concatenate([n for _, n in own])[order] if own else none
+
+    def seeds(self) -> Seeds:
+        order = np.argsort(self.gram, kind="stable")
+        return Seeds(self.gram[order], self.item[order], self.place[order], self)
+
+
+def _own(h: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+    """Hash of a word as one of an item's."""
+    with np.errstate(over="ignore"):
+        return mix(h + np.asarray(item, np.uint64) * MULT)
 
 
 class Seeds:
@@ -112,49 +118,60 @@ def _found(g: np.ndarray, at: np.ndarray, known: np.ndarray, maybe: np.ndarray)
     return at[same], g[same]
 
 
-def _counts(rows: DataFrame, block: Block) -> dict[int, int]:
-    """How often each n-gram of the block occurs in the documents; at most one row per n-gram of the block."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((np.unique(block.gram), block.lengths, _maybe(block.gram)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lengths, maybe = shared.value
-        total = np.zeros(len(known), np.int64)
-        for b in slices(batches, "bytes"):
-            data, starts = joined(b.column("bytes"))
-            _, _, row, h = words(data, starts, PLAIN_WORDS)
-            for n in lengths:
-                _, g = _found(*_grams(h, row, n), known, maybe)
-                total += np.bincount(np.searchsorted(known, g), minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    got = rows.select("bytes").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    shared.unpersist()
-    return {r["gram"]: r["n"] for r in got}
-
-
-def candidates(seeds: Seeds, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Rows (text, item, first word, word after the last): passages that an item may align with."""
-    out = []
-    for n in seeds.block.lengths:
-        at, g = _found(*_grams(h, row, n), seeds.gram, seeds.maybe)
-        left = np.searchsorted(seeds.gram, g, side="left")
-        many = np.searchsorted(seeds.gram, g, side="right") - left
-        which = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out.append(np.column_stack([row[np.repeat(at, many)], seeds.item[which], np.repeat(at, many) - seeds.place[which]]))
-    found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    if not len(found):
-        return np.zeros((0, 4), np.int64)
-    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+def candidates(seeds: Seeds, h: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (text, item, first word, word after the last): passages that an item may align with, some items at a time."""
+    hits = [_found(*_grams(h, row, n), seeds.gram, seeds.maybe) for n in seeds.block.lengths]
+    at, g = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not len(g):
+        return
     size = np.array([len(w) for w in seeds.block.words])
-    slack = size[found[:, 1]] // 2 + 2
-    same = np.all(found[1:, :2] == found[:-1, :2], axis=1) & (found[1:, 2] - found[:-1, 2] <= slack[1:])
-    new = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    last = np.concatenate([new[1:], [len(found)]]) - 1
-    first_word, after = np.searchsorted(row, found[new, 0]), np.searchsorted(row, found[new, 0], side="right")
-    return np.column_stack([found[new, 0], found[new, 1], np.maximum(first_word, found[new, 2] - slack[new]),
-                            np.minimum(after, found[last, 2] + size[found[new, 1]] + slack[new])])
+    each, n = np.unique(g, return_counts=True)
+    often = np.zeros(len(seeds.gram) + 1, np.int64)
+    often[np.searchsorted(seeds.gram, each, side="left")] += n
+    often[np.searchsorted(seeds.gram, each, side="right")] -= n
+    often = np.cumsum(often)[:-1]
+    of_item = np.cumsum(np.bincount(seeds.item, weights=often, minlength=len(size)).astype(np.int64))
+    low = 0
+    while low < len(size):
+        done = of_item[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(of_item, done + FOUND_ROWS, side="right")))
+        some = np.flatnonzero((often > 0) & (seeds.item >= low) & (seeds.item < high))
+        low = high
+        gram = seeds.gram[some]
+        left = np.searchsorted(gram, g, side="left")
+        many = np.searchsorted(gram, g, side="right") - left
+        which = some[np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        found = np.column_stack([row[np.repeat(at, many)], seeds.item[which], np.repeat(at, many) - seeds.place[which]])
+        if not len(found):
+            continue
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        slack = size[found[:, 1]] // 2 + 2
+        same = np.all(found[1:, :2] == found[:-1, :2], axis=1) & (found[1:, 2] - found[:-1, 2] <= slack[1:])
+        new = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        last = np.concatenate([new[1:], [len(found)]]) - 1
+        first_word, after = np.searchsorted(row, found[new, 0]), np.searchsorted(row, found[new, 0], side="right")
+        yield np.column_stack([found[new, 0], found[new, 1], np.maximum(first_word, found[new, 2] - slack[new]),
+                               np.minimum(after, found[last, 2] + size[found[new, 1]] + slack[new])])
+
+
+def _enough(block: Block, h: np.ndarray, found: np.ndarray, min_score: float) -> np.ndarray:
+    """Which candidates hold the share ``min_score`` of their item's words in any order: no alignment of the others reaches it."""
+    least = np.array([len(w) for w in block.words])[found[:, 1]] * min_score - 1e-6
+    length = found[:, 3] - found[:, 2]
+    before = np.concatenate([[0], np.cumsum(length)])
+    out, a = np.zeros(len(found), bool), 0
+    while a < len(found):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + FOUND_ROWS, side="right")) - 1)
+        which = np.repeat(np.arange(b - a), length[a:b])
+        at = np.arange(len(which)) - (before[a:b] - before[a])[which] + found[a:b, 2][which]
+        key = _own(h[at], found[a:b, 1][which])
+        place = np.minimum(np.searchsorted(block.bag, key), len(block.bag) - 1)
+        mine = block.bag[place] == key
+        pairs = np.unique(which[mine] * len(block.bag) + place[mine])
+        held = np.bincount(pairs // len(block.bag), weights=block.times[pairs % len(block.bag)], minlength=b - a)
+        out[a:b] = held >= least[a:b]
+        a = b
+    return out
 
 
 def align(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
@@ -176,9 +193,12 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def scores(seeds: Seeds, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, word after the last) of every candidate; a full copy scores 1."""
-    found = candidates(seeds, h, row)
+def scores(seeds: Seeds, h: np.ndarray, row: np.ndarray, min_score: float) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, word after the last) of every passage that reaches ``min_score``; a full copy scores 1."""
+    return [x for found in candidates(seeds, h, row) for x in _scored(seeds, h, found[_enough(seeds.block, h, found, min_score)]) if x[2] >= min_score]
+
+
+def _scored(seeds: Seeds, h: np.ndarray, found: np.ndarray) -> list[tuple[int, int, float, int, int]]:
     found = found[np.argsort(found[:, 1], kind="stable")]
     out = []
     cuts = np.flatnonzero(np.diff(found[:, 1], prepend=-1, append=-1))
@@ -196,10 +216,9 @@ def scores(seeds: Seeds, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int,
     return out
 
 
-def _seeded(rows: DataFrame, items: DataFrame, item_id: str, item_text: str) -> Iterator[Seeds]:
+def _seeded(items: DataFrame, item_id: str, item_text: str) -> Iterator[Seeds]:
     for ids, hashes in _items(items, item_id, item_text):
-        block = Block(ids, hashes)
-        yield block.seeds(_counts(rows, block))
+        yield Block(ids, hashes).seeds()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
@@ -210,7 +229,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     The score is the Smith-Waterman score over the score of a full copy;
     ``start_word`` and ``end_word`` bound the searched passage around the best
     alignment, ``n_passages`` counts the passages that reach the score.  Words are runs of letters
-    and digits in ASCII lower case.  Null and empty texts match nothing; items
+    and digits in ASCII lower case.  A passage must share a run of
+    ``NGRAM`` words with the item.  Null and empty texts match nothing; items
     without words or id are skipped; items of fewer than three words must match
     by all their words' run.  Repeated rows each give their rows.
     """
@@ -218,7 +238,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("bytes"))
     schema = "id long, item_id long, score double, n_passages int, start_word long, end_word long"
     out = spark.createDataFrame([], schema)
-    for seeds in _seeded(rows, items, item_id, item_text):
+    for seeds in _seeded(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -227,14 +247,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 data, starts = joined(b.column("bytes"))
                 _, _, row, h = words(data, starts, PLAIN_WORDS)
                 best: dict[tuple[int, int], list] = {}
-                for text, item, score, first, last in scores(own, h, row):
-                    if score >= min_score:
-                        offset = int(np.searchsorted(row, text))
-                        key, here = (text, int(own.block.ids[item])), [score, 1, first - offset, last - offset]
-                        if key in best:
-                            old = best[key]
-                            here = (here if score > old[0] else old)[:1] + [old[1] + 1] + (here if score > old[0] else old)[2:]
-                        best[key] = here
+                for text, item, score, first, last in scores(own, h, row, min_score):
+                    offset = int(np.searchsorted(row, text))
+                    key, here = (text, int(own.block.ids[item])), [score, 1, first - offset, last - offset]
+                    if key in best:
+                        old = best[key]
+                        here = (here if score > old[0] else old)[:1] + [old[1] + 1] + (here if score > old[0] else old)[2:]
+                    best[key] = here
                 ids = b.column("id")
                 table = [(ids[text].as_py(), item, *x) for (text, item), x in sorted(best.items())]
                 if table:
@@ -250,7 +269,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """The rows of ``docs`` that hold no test item (see ``contamination``), columns unchanged."""
     spark = docs.sparkSession
     schema, names = docs.schema, docs.columns
-    for seeds in _seeded(docs.select(as_bytes(text_col).alias("bytes")), items, item_id, item_text):
+    for seeds in _seeded(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(seeds)
         keyed = docs.withColumn("__bytes", as_bytes(text_col))
 
@@ -259,7 +278,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
             for b in slices(batches, "__bytes"):
                 data, starts = joined(b.column(b.schema.get_field_index("__bytes")))
                 _, _, row, h = words(data, starts, PLAIN_WORDS)
-                bad = {text for text, _, score, _, _ in scores(own, h, row) if score >= min_score}
+                bad = {text for text, *_ in scores(own, h, row, min_score)}
                 keep = [i for i in range(b.num_rows) if i not in bad]
                 if keep:
                     yield b.select(list(range(len(names)))).take(pa.array(keep))

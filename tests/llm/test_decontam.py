@@ -89,3 +89,45 @@ def test_empty_tables(spark, edited):
     assert decontam.contamination(df.limit(0), bench).count() == 0
     assert decontam.contamination(df, bench.limit(0)).count() == 0
     assert decontam.clean(df, bench.limit(0)).count() == len(docs)
+
+
+@pytest.mark.parametrize("exact_beside", [False, True])
+def test_copies_with_many_words_replaced_or_inserted(spark, exact_beside):
+    """Edits that destroy more than half of an item's 3-grams."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    items = [(i, " ".join(word() for _ in range(36))) for i in range(12)]
+    edits = [
+        lambda w: [word() if k % 4 == 3 else x for k, x in enumerate(w)],
+        lambda w: [word() if k % 5 == 4 else x for k, x in enumerate(w)],
+        lambda w: [y for k, x in enumerate(w) for y in ((x, word()) if k % 3 == 2 else (x,))],
+        lambda w: [word() if k in replaced else x for k, x in enumerate(w)],
+    ]
+    docs = []
+    for i, t in items:
+        replaced = set(rng.sample(range(36), 9))
+        around = [" ".join(word() for _ in range(80)) for _ in range(2)]
+        docs.append((i, f"{around[0]} {' '.join(edits[i % 4](t.split()))} {around[1]}"))
+    if exact_beside:
+        docs += [(100 + i, f"{t}. {docs[0][1]}") for i, t in items for _ in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {(i, i) for i in range(12)} <= set(want)
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contamination(df, bench).collect()} == pytest.approx(want)
+    assert decontam.clean(df, bench).count() == 0
+
+
+def test_few_seeds_held_at_a_time(spark, edited, monkeypatch):
+    docs, items = edited
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.contamination(df, bench).collect()), key=str)
+    h, row = [], []
+    for k, (_, t) in enumerate(docs):
+        own = decontam.words(*decontam._one((t or "").encode()), decontam.PLAIN_WORDS)[3]
+        h.append(own)
+        row += [k] * len(own)
+    seeds = next(decontam._seeded(bench, "item_id", "text"))
+    all_at_once = sorted(decontam.scores(seeds, decontam.np.concatenate(h), decontam.np.array(row), 0.5))
+    monkeypatch.setattr(decontam, "FOUND_ROWS", 5)
+    assert sorted(decontam.scores(seeds, decontam.np.concatenate(h), decontam.np.array(row), 0.5)) == all_at_once and len(all_at_once) >= len(want)
