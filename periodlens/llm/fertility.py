@@ -3,8 +3,8 @@
 A public vocabulary measures each text: characters per token, share of tokens
 that are fragments of a character (the bytes that a byte-level vocabulary
 falls back to), and entropy of the tokens, as a share of the most it could be, within pieces of
-``PIECE`` tokens so that it does not depend on the text's length.  Per
-language, quartiles over all texts that pass the base rules set a band for
+``PIECE`` tokens (the last one ends with the text) so that it does not depend
+on the text's length.  Per language, quartiles over all texts that pass the base rules set a band for
 each measure; a text outside a band is rejected.
 """
 
@@ -68,7 +68,7 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def entropy(ids: np.ndarray) -> float:
-    """Mean over pieces of ``PIECE`` tokens (the whole text if it is shorter) of token entropy over its maximum."""
+    """Mean over full pieces of ``PIECE`` tokens (the whole text if it is shorter) of token entropy over its maximum."""
     n = len(ids)
     if n < 2:
         return 1.0
@@ -80,6 +80,14 @@ def entropy(ids: np.ndarray) -> float:
     return float(1 - (runs * np.log2(runs)).sum() / (pieces.size * np.log2(size)))
 
 
+def text_entropy(ids: np.ndarray) -> float:
+    """``entropy`` of all tokens: what follows the last full piece counts, by its length, as the last ``PIECE`` tokens do."""
+    rest = len(ids) % PIECE if len(ids) > PIECE else 0
+    if not rest:
+        return entropy(ids)
+    return ((len(ids) - rest) * entropy(ids) + rest * entropy(ids[-PIECE:])) / len(ids)
+
+
 def measure(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("bytes"),
                        (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col else F.lit("")).alias("lang"))
@@ -104,7 +112,7 @@ def measure(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lang_co
             out["n_tokens"] = tokens
             out["chars_per_token"] = np.diff(every[starts]) / np.maximum(tokens, 1)
             out["fallback_share"] = np.array([fragment[x].sum() for x in ids]) / np.maximum(tokens, 1)
-            out["entropy"] = np.array([entropy(x) for x in ids])
+            out["entropy"] = np.array([text_entropy(x) for x in ids])
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *(pa.array(out[c], t) for c, t in kinds)], ["id", "lang", *(c for c, _ in kinds)])
 
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens"]

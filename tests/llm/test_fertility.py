@@ -66,3 +66,26 @@ def test_entropy():
     assert fertility.entropy(ids) == pytest.approx(want)
     assert fertility.entropy(np.arange(50, dtype=np.uint32)) == pytest.approx(1.0)
     assert fertility.entropy(np.zeros(300, np.uint32)) == pytest.approx(0.0)
+
+
+def test_every_token_counts_in_the_entropy(spark):
+    """Texts that end in a repetitive tail behind the last full piece."""
+    rng = np.random.default_rng(1)
+    for n in (260, 300, 511, 520, 1000):
+        ids = rng.integers(0, 5000, n).astype(np.uint32)
+        rest, flat = n % 256, ids.copy()
+        flat[n - rest :] = 7
+        share = lambda x: 1 - sum(k * math.log2(k) for k in Counter(x.tolist()).values()) / 2048
+        full = sum(share(flat[k : k + 256]) for k in range(0, n - rest, 256))
+        assert fertility.text_entropy(flat) == pytest.approx((256 * full + rest * share(flat[-256:])) / n)
+        assert fertility.text_entropy(flat) < fertility.text_entropy(ids)
+    for n in (0, 1, 2, 100, 256, 512):
+        assert fertility.text_entropy(ids[:n]) == fertility.entropy(ids[:n])
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    head = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 400).tolist())
+    head = t.decode(t.encode(head, add_special_tokens=False).ids[:256])
+    texts = {1: head + " the cat sat on the mat" * 34, 2: head}
+    rows = fertility.judge(spark.createDataFrame([(i, x, "en") for i, x in texts.items()], "doc_id long, text string, lang string"), queries.tokenizer_path()).collect()
+    got = {r.doc_id: r.entropy for r in rows}
+    assert 256 < len(t.encode(texts[1], add_special_tokens=False).ids) < 512 and got[1] < got[2] - 0.1
