@@ -39,6 +39,10 @@ PLAIN_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "promo", "prom
                "related", "recommended", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter",
                "subscribe", "signup", "login", "search", "searchbox", "pagination", "pager", "widget", "copyright", "disclaimer", "toolbar", "skip", "complementary",
                "contentinfo", "hidden", "teaser", "outbrain", "taboola", "disqus", "trending", "form", "aside"}
+#: Plain elements that no page puts its article in; any other may wrap the whole page.
+NEVER_WRAP = {"nav", "footer", "aside", "menu", "address"}
+#: A name that begins or ends so says what else the page has, or which page it is: 'has-sidebar', 'search-page'.
+STATES, PAGE_STATES = {"has", "have", "no", "not", "non", "with", "without"}, {"page", "layout", "ok", "accepted", "enabled", "disabled"}
 
 STRONG, WEAK = 8.0, 3.0  # log-odds of a hint of the tree; of lying outside the article of a page that has one
 TEXT_LIMIT = 2.5  # at most so much from the text's shape
@@ -59,6 +63,9 @@ class Node:
     parent: Node | None
     hint: float = 0.0  # of this element and those above it
     article: bool = False
+    plain: bool = False  # by its own name and attributes
+    content: bool = False
+    fresh: bool = False  # content, and nothing about it is plain
 
 
 @dataclass(slots=True)
@@ -69,27 +76,68 @@ class Block:
     cells: list = field(default_factory=list)
 
 
-def _hint(tag: str, attributes: str, parent: Node) -> tuple[float, bool]:
-    """Log-odds of an element by its name and attributes, below what lies above it: a plain element inside the article
-    is plain, an article inside a plain element is not content."""
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is plain, is content, and is content without a plain word, by its name and attributes."""
     plain, content = tag in PLAIN_TAGS, tag in CONTENT_TAGS
-    if attributes and not (plain or content):
-        for m in _NAMES.finditer(attributes):
-            names = set(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-            plain |= bool(names & PLAIN_NAMES)
-            content |= bool(names & CONTENT_NAMES)
-        plain |= bool(_HIDDEN.search(attributes))
     if tag in ("body", "html"):  # their classes describe the whole page
-        plain = content = False
+        return False, False, False
+    if not attributes or plain:
+        return plain, content, content and not plain
+    plain_word = content_word = False
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _WORDS.findall(name)
+            if not parts or parts[0] in STATES:
+                continue
+            plain_word |= parts[-1] not in PAGE_STATES and not PLAIN_NAMES.isdisjoint(parts)
+            content_word |= not CONTENT_NAMES.isdisjoint(parts)
+    plain_word |= bool(_HIDDEN.search(attributes))
+    if content:
+        return False, True, not plain_word
+    return plain_word, content_word, content_word and not plain_word
+
+
+def _hint(node: Node, plain: bool) -> tuple[float, bool]:
+    """Log-odds of an element, below what lies above it: a plain element inside the article is plain, an article
+    inside a plain element is not content."""
+    parent = node.parent
     if parent.hint < 0 or plain:
         return -STRONG, parent.article
-    return (STRONG if content or parent.hint > 0 else 0.0), parent.article or content
+    return (STRONG if node.content or parent.hint > 0 else 0.0), parent.article or node.content
+
+
+def _unwrap(nodes: list[Node], out: list[Block]) -> None:
+    """If nothing is content because a plain element wraps the page, the wrapper gives no hint.
+
+    A wrapper holds more than half of the text (menus, footers and links aside), and is a form or has a content
+    element in it that is not plain itself (as comments in a list of comments are)."""
+    weight: dict[int, int] = {}  # by element: text in it
+    fresh: set[int] = set()
+    never: set[int] = set()
+    for x in nodes:  # outer elements come first
+        if id(x.parent) in never or x.plain and (x.tag in NEVER_WRAP):
+            never.add(id(x))
+    total = 0
+    for b in out:
+        if id(b.node) not in never:
+            own = max(0, len(b.text) - b.link_chars)
+            weight[id(b.node)] = weight.get(id(b.node), 0) + own
+            total += own
+    for x in reversed(nodes):
+        if id(x) in weight:
+            weight[id(x.parent)] = weight.get(id(x.parent), 0) + weight[id(x)]
+        if x.fresh or id(x) in fresh:
+            fresh.add(id(x.parent))
+    for x in nodes:
+        wraps = x.plain and not x.parent.article and 2 * weight.get(id(x), 0) > total and (x.tag == "form" or id(x) in fresh)
+        x.hint, x.article = _hint(x, x.plain and not wraps)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     root = Node("", None)
     node, out, parts = root, [], []
+    nodes: list[Node] = []
     link, link_chars = 0, 0
     at, n, last = 0, len(page), page.rfind(">")
 
@@ -165,9 +213,12 @@ def blocks(page: str) -> list[Block]:
             if up.tag == tag:
                 node = up.parent
         if not attributes.rstrip().endswith("/") or tag not in VOID:
-            hint, article = _hint(tag, attributes, node)
-            node = Node(tag, node, hint, article)
+            node = Node(tag, node, 0.0, False, *_kind(tag, attributes))
+            node.hint, node.article = _hint(node, node.plain)
+            nodes.append(node)
     flush()
+    if out and not any(b.node.hint > 0 for b in out) and any(x.plain for x in nodes):
+        _unwrap(nodes, out)
     return out
 
 

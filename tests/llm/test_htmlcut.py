@@ -79,3 +79,36 @@ def test_edge_rows(spark, weights):
     assert (None, "A b") in got and got.count((None, "A b")) == 2 and got.count((1, "")) == 2 and (5, "") in got
     assert len(next(t for i, t in got if i == 6)) == 60_000 * 5 + 1
     assert htmlcut.extract(df.limit(0)).count() == 0
+
+
+ARTICLE = f"<h1>Title of it</h1><p>{LONG}</p><p>{LONG} More.</p>"
+AROUND = f'<nav><a href=1>One</a> <a href=2>Two</a></nav>%s<div class="ad"><p>Buy now. {LONG}</p></div><footer><p>&copy; 2020 all rights</p></footer>'
+WANT = ["Title of it", LONG, f"{LONG} More."]
+
+
+@pytest.mark.parametrize("wrapper", ["form action=x method=post", 'div class="site-content has-sidebar"', 'div class="no-sidebar"', 'div class=with-header', 'div id="search-page"',
+                                     'div class="cookie-ok"', 'div class="banner"', 'form><div class="search"'])
+@pytest.mark.parametrize("inner", ["article", "main", 'div class="entry-content"'])
+def test_plain_wrapper_of_the_whole_page(weights, wrapper, inner):
+    body = AROUND % f"<{inner}>{ARTICLE}</{inner.split()[0]}>"
+    page = f"<html><body><{wrapper}>{body}</div></form></body></html>"
+    assert htmlcut.main_text(page, weights)[0].split("\n") == WANT
+
+
+def test_form_around_a_page_without_article(weights):
+    page = f"<body><form><nav><a href=1>One</a></nav><div>{ARTICLE}</div><footer>&copy; 2020</footer></form></body>"
+    assert htmlcut.main_text(page, weights)[0].split("\n") == WANT
+
+
+def test_plain_elements_that_wrap_no_page(weights):
+    comments = "".join(f'<article class="comment"><p>{LONG}</p></article>' for _ in range(9))
+    page = f'<body><article>{ARTICLE}</article><div id="comments">{comments}</div><form class="signup"><p>{LONG}</p></form></body>'
+    assert htmlcut.main_text(page, weights)[0].split("\n") == WANT
+    assert htmlcut.main_text(f'<body><div id="comments">{comments}</div></body>', weights)[0] == ""
+    assert htmlcut.main_text(f"<body><aside><article><p>{LONG}</p></article></aside></body>", weights)[0] == ""
+
+
+def test_many_wrappers_are_linear(weights):
+    t = time.time()
+    assert "Title of it" in htmlcut.main_text("<form>" * 30_000 + ARTICLE, weights)[0]
+    assert time.time() - t < 10
