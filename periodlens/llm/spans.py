@@ -2,7 +2,9 @@
 
 A text is cut into sentences; one of more than ``MOST_WORDS`` words counts as
 several, cut behind its commas, semicolons and colons, and a clause that is
-still longer every so many words.  From each sentence on, the shortest run of
+still longer every so many words.  In scripts without spaces the characters
+count: two of Han or kana are a word, four of Thai and its like; the sentence
+marks of such scripts end a sentence whatever follows them.  From each sentence on, the shortest run of
 at least ``run`` consecutive sentences with at least ``MIN_WORDS`` words is
 hashed.  Runs are grouped over the whole table, and sentences covered by any
 occurrence of a repeated run but the first are removed.  First is the least
@@ -27,15 +29,27 @@ MIN_WORDS = 10
 _END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
 _CLAUSE = re.compile(r"[,;:]\s+")
 _WORD = re.compile(r"\S+")
+#: Scripts written without spaces: Han and kana; Thai, Lao, Tibetan, Burmese, Khmer.
+_HAN = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_THAI = "\u0e01-\u0fff\u1000-\u109f\u1780-\u17ff"
+_UNSPACED = re.compile(f"[{_HAN}{_THAI}]")
+_UNITS = re.compile(rf"(?:[{_HAN}]{{1,2}}|[{_THAI}]{{1,4}})[、，；：。！？｡」』”’）》〉】]*|[^\s{_HAN}{_THAI}]+")
+#: The same ends and clauses with the marks of other scripts; white space between characters of unspaced scripts parts clauses.
+_WIDE_END = re.compile(_END.pattern + r"|[。！？｡।॥؟۔።။។]+[」』”’）》〉】]*\s*")
+_WIDE_CLAUSE = re.compile(_CLAUSE.pattern + rf"|[、，；：､،؛]\s*|(?<=[{_HAN}{_THAI}])\s+")
+
+
+def _words(text: str) -> list[str]:
+    return text.split() if text.isascii() or not _UNSPACED.search(text) else _UNITS.findall(text)
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each sentence, white space after it included; those without words join the one before."""
     out: list[tuple[int, int, list[str]]] = []
-    ends = [m.end() for m in _END.finditer(text)]
+    ends = [m.end() for m in (_END if text.isascii() else _WIDE_END).finditer(text)]
     start = 0
     for end in [*ends, len(text)]:
-        own = text[start:end].split()
+        own = _words(text[start:end])
         if not own:
             if out and end > start:
                 out[-1] = (out[-1][0], end, out[-1][2])
@@ -52,14 +66,15 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 def _pieces(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
     """The clauses of a long sentence; where one is cut does not depend on what stands in the others."""
     out = []
-    cuts = [start, *(start + m.end() for m in _CLAUSE.finditer(text[start:end])), end]
+    cuts = [start, *(start + m.end() for m in (_CLAUSE if text.isascii() else _WIDE_CLAUSE).finditer(text[start:end])), end]
     for a, b in zip(cuts, cuts[1:]):
-        own = text[a:b].split()
+        own = _words(text[a:b])
         if not own:
             if out and b > a:
                 out[-1] = (out[-1][0], b, out[-1][2])
             continue
-        places = [a + m.start() for m in _WORD.finditer(text[a:b])] if len(own) > MOST_WORDS else []
+        word = _UNITS if _UNSPACED.search(text[a:b]) else _WORD
+        places = [a + m.start() for m in word.finditer(text[a:b])] if len(own) > MOST_WORDS else []
         inner = [a, *places[MOST_WORDS::MOST_WORDS], b]
         out += [(x, y, own[i * MOST_WORDS : (i + 1) * MOST_WORDS]) for i, (x, y) in enumerate(zip(inner, inner[1:]))]
     return out

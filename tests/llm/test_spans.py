@@ -70,3 +70,36 @@ def test_long_sentences_and_short_ones_repeat_wherever_they_stand(spark):
     got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[2].text == "Another one begins here quite differently, and longer too, " and got[4].text == "Some words before the passage. "
     assert got[1].n_removed == got[3].n_removed == 0
+
+
+def test_sentences_of_unspaced_scripts_cover_the_text():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["词", "語文字", "ไทย", "かな", "。", "！」", "，", " ", "\n", "word. ", "１", "؟"]) for _ in range(rng.randint(0, 150)))
+        own = spans.sentences(text)
+        if own:
+            assert own[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert "".join(w for _, _, ws in own for w in ws) == "".join(text.split())
+        assert all(0 < len(ws) <= spans.MOST_WORDS and "".join(text[a:b].split()) == "".join(ws) for a, b, ws in own)
+
+
+def test_unspaced_scripts(spark):
+    """Passages on one line, without white space or with it between phrases only."""
+    rng = random.Random(9)
+    char = lambda low, n: "".join(chr(low + rng.randrange(200)) for _ in range(n))
+    han = "".join(char(0x4E00, n) + m for n, m in ((14, "，"), (9, "。"), (31, "！」"), (6, "。"), (70, "。")))
+    kana = "".join("".join(chr(0x3042 + rng.randrange(80)) for _ in range(n)) + "。" for n in (12, 25, 9, 18))
+    thai = " ".join("".join(chr(0x0E01 + rng.randrange(40)) for _ in range(n)) for n in (30, 22, 41, 18, 25)) + " "
+    hindi = "".join(" ".join("".join(chr(0x0915 + rng.randrange(30)) for _ in range(4)) for _ in range(n)) + "। " for n in (6, 9, 7))
+    docs = []
+    for i, x in enumerate((han, kana, thai, hindi)):
+        lead, tail = (char(0x5E00, 11) + "。", char(0x5E00, 12) + "。") if x is not thai else ("ก" * 13 + " ", "ข" * 17)
+        docs += [(10 * i, x), (10 * i + 1, lead + x + tail)]
+    got = {r.doc_id: r for r in spans.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, x in enumerate((han, kana, thai, hindi)):
+        assert got[10 * i].text == x and got[10 * i].n_removed == 0
+        assert got[10 * i + 1].text == docs[2 * i + 1][1].replace(x, "") and got[10 * i + 1].n_spans == 1
+    assert sorted(tuple(r)[:4] for r in got.values()) == sorted(brute(docs))
+    short = "是的。好的。谢谢。"  # too little for a passage
+    few = spark.createDataFrame([(1, short), (2, short)], "doc_id long, text string")
+    assert [r.n_removed for r in spans.without_repeats(few).collect()] == [0, 0]
