@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmlcut, langid, maxent, packing, pii, simhash, spans, substring
+from . import decontam, fertility, htmlcut, langid, maxent, merkle, packing, pii, simhash, spans, substring
 from .common import read
+from .sql import MERKLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +88,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), min_score=0.5)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, altered={"text": text}).withColumn("folded_root", merkle.folded("altered"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest().alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_main_text": op1_main_text,
     "op2_language_model": op2_language_model,
@@ -98,6 +108,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle": op12_merkle,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op12_merkle": MERKLE_SQL,
+}
