@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmlcut, langid, maxent, merkle, packing, pii, simhash, spans, substring
+from . import decontam, fertility, htmlcut, langid, maxent, merkle, packing, pii, simhash, spans, substring, warc
 from .common import read
-from .sql import MERKLE_SQL
+from .sql import MERKLE_SQL, WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).select(
+        warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_main_text": op1_main_text,
     "op2_language_model": op2_language_model,
@@ -109,8 +116,10 @@ QUERIES: dict[str, Query] = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_decontamination": op10_decontamination,
     "op12_merkle": op12_merkle,
+    "op13_warc": op13_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op12_merkle": MERKLE_SQL,
+    "op13_warc": WARC_SQL,
 }

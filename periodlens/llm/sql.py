@@ -58,3 +58,13 @@ done AS (SELECT * FROM climb QUALIFY row_number() OVER (PARTITION BY i ORDER BY
 SELECT doc_id, leaf, tops.h AS subroot, upper.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = upper.h AS verified
 FROM done JOIN tops ON tops.pos = done.g JOIN upper ON upper.total = 1
 """
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS payload FROM pages),
+q AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+        MIN(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM q
+"""

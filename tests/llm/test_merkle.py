@@ -90,7 +90,7 @@ def test_against_plain_python(spark, every, shared):
     assert any(not r[-1] for r in got) and any(r[-1] for r in got)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 81, 82])
+@pytest.mark.parametrize("n", [1, 3, 82])
 def test_sizes_around_a_subtree(spark, n):
     rows = [(i, "s", "en", i, f"t{i}\n") for i in range(n)]
     assert sorted(run(spark, spark.createDataFrame(rows, SCHEMA))) == sorted(brute(rows))
