@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, htmlcut, langid, maxent, merkle, packing, pii, simhash, spans, substring, warc
+from . import decontam, fertility, htmlcut, langid, maxent, merkle, packing, pii, simhash, spans, substring, warc, whitening
 from .common import read
 from .sql import MERKLE_SQL, WARC_SQL
 
@@ -88,6 +88,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), min_score=0.5)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=32, scale=64, shift=1_000_000)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -115,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
     "op12_merkle": op12_merkle,
     "op13_warc": op13_warc,
 }
