@@ -9,8 +9,8 @@ Example::
 
 Every report table is written under ``--out/<table>`` (partitioned by
 ``run_id`` and ``operator``), the date export under ``--out/daily``, display
-text of the summaries under ``--out/<table>_text``, and the summary line is
-printed.  ``--dd-stores`` and ``--ue-stores`` select per platform, ``--stores``
+text of the summaries under ``--out/<table>_text``, rows that were rejected by file
+and reason under ``--out/rejected_rows``, and the summary line is printed.  ``--dd-stores`` and ``--ue-stores`` select per platform, ``--stores``
 on both.  Legacy new-customer files are named ``dd-mkt-<window>.csv`` and
 ``ue-mkt-<window>.csv`` in the ``--legacy`` folder, with the window written as
 ``pre-24``, ``post-24``, ``pre-25`` or ``post-25``.
@@ -22,10 +22,11 @@ import argparse
 import uuid
 
 from .params import PERIODS, ReportParams
-from .plans.report import ReportInputs, drop_staging, run_report
+from .plans.report import ReportInputs, drop_staging, run_report, staging_path
 from .session import build_session
 from .sources import exports, sinks
 from .sources import files as fs
+from .staging import Staging
 
 
 def _range(text: str) -> tuple[str, str]:
@@ -67,20 +68,24 @@ def main(argv=None) -> int:
                              stores=stores, operator=a.operator, end_at_midnight=a.end_at_midnight)
     dd = [p for g in a.dd for p in fs.glob(spark, g)]
     ue = [p for g in a.ue for p in fs.glob(spark, g)]
-    campaigns = None
+    run_id = uuid.uuid4().hex[:12]
+    staging = Staging(spark, staging_path(spark, run_id, a.staging))
+    orders = exports.all_order_rows(spark, dd, ue, staging)
+    rejected, campaigns = exports.rejects(orders), None
     if a.marketing:
         root = exports.marketing_root(spark, a.marketing) or a.marketing
-        campaigns = exports.promotions(spark, root).unionByName(exports.sponsored(spark, root))
+        rows = [exports.marketing_rows(spark, root, kind, staging=staging) for kind in exports.KINDS]
+        campaigns = rows[0].unionByName(rows[1])
+        rejected, campaigns = rejected.unionByName(exports.rejects(campaigns)), campaigns.drop("reject_reason")
     legacy = {}
     if a.legacy:
         for side in ("dd", "ue"):
             named = {p: fs.glob(spark, f"{a.legacy.rstrip('/')}/{side}-mkt-{p.replace('_', '-')}.csv") for p in PERIODS}
             legacy[side] = {p: found[0] for p, found in named.items() if found}
     inputs = ReportInputs(
-        orders=exports.orders(spark, dd, ue), campaigns=campaigns,
-        dd_new_customers=exports.legacy_dd_new_customers(spark, legacy["dd"], params.excluded) if legacy.get("dd") else None,
-        ue_new_customers=exports.legacy_ue_new_customer_totals(spark, legacy["ue"]) if legacy.get("ue") else None)
-    run_id = uuid.uuid4().hex[:12]
+        orders=exports.facts_of(orders), campaigns=campaigns, rejects=rejected,
+        dd_new_customers=exports.legacy_dd_new_customers(spark, legacy["dd"], params.excluded, staging) if legacy.get("dd") else None,
+        ue_new_customers=exports.legacy_ue_new_customer_totals(spark, legacy["ue"], staging) if legacy.get("ue") else None)
     tables = run_report(spark, params, inputs, run_id=run_id, staging=a.staging)
     line = tables["summary_line"].collect()
     sinks.write_report(tables, a.out, run_id, a.operator, a.format)

@@ -8,8 +8,9 @@ Exports carry dates as text.  Two parsing rules exist:
   the first of ``M/d/yyyy`` / ISO / generic that parses *any* row of that
   file.  Rows of that file in another format are dropped.
 
-The per-file rule is evaluated lazily: one small aggregate (a row per input
-file) is joined back on the file path.
+The candidates of all formats are parsed once and staged as columns; the
+per-file rule then is one small aggregate (a row per input file) over the
+staged columns, joined back on the file path.
 """
 
 from __future__ import annotations
@@ -46,29 +47,51 @@ def parse_iso(c) -> Column:
     return F.try_to_date(_strip(c), ISO_DATE)
 
 
-def _clock_seconds(s: Column, pattern: str, group: int) -> Column:
-    """Seconds after midnight from the clock groups of ``pattern``; null if there is no valid clock."""
-    h, m, sec, half = (F.regexp_extract(s, pattern, group + i) for i in range(4))
+def _clock_groups(s: Column, pattern: str, group: int) -> list[Column]:
+    """Hours, minutes, seconds and half of the day from the clock groups of ``pattern``."""
+    return [F.regexp_extract(s, pattern, group + i) for i in range(4)]
+
+
+def _clock_seconds(h: Column, m: Column, sec: Column, half: Column) -> Column:
+    """Seconds after midnight; null if the groups are no valid clock."""
     hour = h.cast("int")
     afternoon = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0))
     total = afternoon * 3600 + m.cast("int") * 60 + F.coalesce(F.nullif(sec, F.lit("")).cast("int"), F.lit(0))
     return F.when((h != "") & (afternoon < 24) & (m.cast("int") < 60), total)
 
 
-def parse_timestamp(c) -> Column:
-    """Date or date-time text in any accepted spelling, as a timestamp without
-    zone (midnight for a date): ISO and compact dates, US dates, named months,
-    each with or without a 12- or 24-hour clock time.  Other text is null."""
-    s = _strip(c)
+def _day_text(s: Column) -> Column:
+    """The date part of a text, other spellings rewritten to the three formats."""
     day = F.regexp_extract(s, _DATE_AND_CLOCK, 1)
     for pattern, to in _REWRITES:
         day = F.regexp_replace(day, pattern, to)
+    return day
+
+
+def _timestamp(s: Column, day: Column, clock: Column) -> Column:
     date = F.coalesce(F.try_to_date(day, US_DATE), F.try_to_date(day, ISO_DATE), F.try_to_date(F.initcap(day), NAMED_DATE))
-    clock = F.coalesce(_clock_seconds(s, _DATE_AND_CLOCK, 2), F.lit(0))
-    spelled = date.cast("timestamp_ntz") + F.make_dt_interval(secs=clock)
+    spelled = date.cast("timestamp_ntz") + F.make_dt_interval(secs=F.coalesce(clock, F.lit(0)))
     return F.coalesce(spelled, F.when(~s.rlike(r"^\d+$"), s.try_cast("timestamp_ntz")))
 
 
+def parse_timestamp(c) -> Column:
+    """Date or date-time text in any accepted spelling, as a timestamp without
+    zone (midnight for a date): ISO and compact dates, US dates, named months,
+    each with or without a 12- or 24-hour clock time.  Other text is null."""
+    s = _strip(c)
+    return _timestamp(s, _day_text(s), _clock_seconds(*_clock_groups(s, _DATE_AND_CLOCK, 2)))
+
+
+def with_timestamp(df: DataFrame, c: str, out: str) -> DataFrame:
+    """``parse_timestamp`` as a column, step by step: each part is computed once, so the
+    generated code stays small."""
+    parts = ("_day", "_h", "_m", "_sec", "_half")
+    df = df.withColumn("_s", _strip(c))
+    df = df.withColumns(dict(zip(parts, [_day_text(F.col("_s")), *_clock_groups(F.col("_s"), _DATE_AND_CLOCK, 2)])))
+    df = df.withColumn("_clock", _clock_seconds(*map(F.col, parts[1:])))
+    return df.withColumn(out, _timestamp(F.col("_s"), F.col("_day"), F.col("_clock"))).drop("_s", "_clock", *parts)
+
+
 def parse_auto(c) -> Column:
     """Generic parser: the date of any accepted spelling, with or without a time."""
     return F.to_date(parse_timestamp(c))
@@ -79,31 +102,43 @@ def parse_date_per_row(c) -> Column:
     return F.coalesce(parse_us(c), parse_iso(c), parse_auto(c))
 
 
-def parse_date_per_file(df: DataFrame, c: str, out: str = "event_date",
-                        file_col: str = "_src_file") -> DataFrame:
-    """File-level cascade.
+def date_candidates(df: DataFrame, c: str) -> DataFrame:
+    """``c`` parsed once: ``_us`` and ``_iso`` (the two exact formats) and ``_ts``
+    (the generic parser's timestamp)."""
+    return with_timestamp(df.withColumns({"_us": parse_us(c), "_iso": parse_iso(c)}), c, "_ts")
+
+
+def date_of_row() -> Column:
+    """The per-row cascade over staged candidates."""
+    return F.expr("coalesce(_us, _iso, to_date(_ts))")
+
+
+def date_of_file(df: DataFrame, out: str = "event_date", file_col: str = "_src_file") -> DataFrame:
+    """File-level cascade (C10, C12) over candidates (see ``date_candidates``): each
+    file votes for the first format that parses any of its rows.
 
-    One format is chosen per input file; the choice table (one row per file) is
-    joined back, and adaptive execution broadcasts it when it is small.
-    """
-    cand = df.select(
-        F.col(file_col),
-        parse_us(c).isNotNull().cast("int").alias("_us"),
-        parse_iso(c).isNotNull().cast("int").alias("_iso"),
-    )
-    choice = (cand.groupBy(file_col)
-              .agg(F.max("_us").alias("_any_us"), F.max("_iso").alias("_any_iso")))
-    joined = df.join(choice, on=file_col, how="left")
-    parsed = (F.when(F.col("_any_us") == 1, parse_us(c))
-              .when(F.col("_any_iso") == 1, parse_iso(c))
-              .otherwise(parse_auto(c)))
-    return joined.withColumn(out, parsed).drop("_any_us", "_any_iso")
+    The vote reads two staged columns and has one row per file; adaptive
+    execution broadcasts it when it is small."""
+    vote = df.groupBy(F.col(file_col).alias("_vote_file")).agg(
+        F.max(F.col("_us").isNotNull()).alias("_any_us"), F.max(F.col("_iso").isNotNull()).alias("_any_iso"))
+    chosen = F.expr("CASE WHEN _any_us THEN _us WHEN _any_iso THEN _iso ELSE to_date(_ts) END")
+    return (df.join(vote, F.col(file_col).eqNullSafe(F.col("_vote_file")), "left")
+            .withColumn(out, chosen).drop("_any_us", "_any_iso", "_vote_file"))
+
+
+def _minute(alone: Column, ts: Column) -> Column:
+    return F.coalesce(F.floor(alone / 60), F.hour(ts) * 60 + F.minute(ts)).cast("int")
 
 
 def minute_of_day(c) -> Column:
     """Minutes after midnight of a clock time (``1:11 AM``, ``1:11:05 AM``,
     ``13:11``) or of a date-time in any accepted spelling (M15)."""
-    s = _strip(c)
-    ts = parse_timestamp(c)
-    alone = _clock_seconds(s, f"^{_CLOCK}$", 1)
-    return F.coalesce(F.floor(alone / 60), F.hour(ts) * 60 + F.minute(ts)).cast("int")
+    return _minute(_clock_seconds(*_clock_groups(_strip(c), f"^{_CLOCK}$", 1)), parse_timestamp(c))
+
+
+def with_minute_of_day(df: DataFrame, c: str, out: str) -> DataFrame:
+    """``minute_of_day`` as a column, step by step (see ``with_timestamp``)."""
+    parts = ("_h", "_m", "_sec", "_half")
+    df = with_timestamp(df, c, "_minute_ts").withColumns(dict(zip(parts, _clock_groups(_strip(c), f"^{_CLOCK}$", 1))))
+    df = df.withColumn("_alone", _clock_seconds(*map(F.col, parts)))
+    return df.withColumn(out, _minute(F.col("_alone"), F.col("_minute_ts"))).drop("_minute_ts", "_alone", *parts)

@@ -1,0 +1,7 @@
+"""All registered queries and their SQL."""
+
+from . import text_oracle  # noqa: F401  (with text_catalog: queries over export text)
+from .catalog import QUERIES
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -39,11 +39,13 @@ class ReportInputs:
     new-customer data.
     ``ue_new_customers``: UE platform totals, either ``(period,
     new_customers)`` or a dated fact ``(event_date, new_customers)``.
+    ``rejects``: rejected rows by file and reason (``sources.exports.rejects``).
     """
     orders: DataFrame
     campaigns: DataFrame | None = None
     dd_new_customers: DataFrame | None = None
     ue_new_customers: DataFrame | None = None
+    rejects: DataFrame | None = None
 
 
 def staging_path(spark: SparkSession, run_id: str, staging: str | None = None) -> str:
@@ -170,6 +172,8 @@ def run_report(spark: SparkSession, params: ReportParams, inputs: ReportInputs,
     lo, hi = params.suggested_download
     t["report_windows"] = period_dim(spark, params).select(
         "*", (F.datediff("end_date", "start_date") + 1).alias("days"), F.lit(lo).alias("download_from"), F.lit(hi).alias("download_to"))
+    if inputs.rejects is not None:
+        t["rejected_rows"] = inputs.rejects
     t["summary_line"] = summary_line(summary.table1(comb), params.operator)
     return t
 

@@ -1,15 +1,12 @@
-"""File listing and header peeking through the Hadoop FileSystem API.
+"""File listing and renaming through the Hadoop FileSystem API.
 
 Only metadata passes through the driver here: path listings (which Spark's
-own file index also holds on the driver) and the first line or two of a
-file, to learn a CSV layout.  Works for any filesystem Spark can read.
+own file index also holds on the driver) and renames; no file is opened.
+Works for any filesystem Spark can read.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,32 +34,23 @@ def dirs(spark: SparkSession, pattern: str) -> list[str]:
     return sorted({s.getPath().toString() for s in st if s.isDirectory()})
 
 
-def basename(path: str) -> str:
-    return path.rstrip("/").rsplit("/", 1)[-1]
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file sources spell it: with its scheme, special characters escaped."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toUri().toString()
 
 
-def head_lines(spark: SparkSession, path: str, n: int = 2) -> list[str]:
-    """The first ``n`` lines of a file (opened through Hadoop, so any FS)."""
-    jvm = spark._jvm
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        out = []
-        for _ in range(n):
-            line = reader.readLine()
-            if line is None:
-                break
-            out.append(line)
-        return out
-    finally:
-        stream.close()
-
-
-def split_csv_line(line: str) -> list[str]:
-    """One CSV record into cells (quotes honoured); BOM and header spaces stripped."""
-    line = line.lstrip("﻿")
-    return next(csv.reader(io.StringIO(line)), [])
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a file or folder; missing folders above the target are made."""
+    fs, src = _fs(spark, source)
+    dst = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def basename(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
 
 
 # The date-range pattern in uploaded marketing file names and

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.exports import campaign_fact, order_fact
 from ..sources.specs import SourceSpec
+from ..staging import Staging
 
 
 # Columns of Spark's binary file source; all but the path are pruned.
@@ -31,7 +32,7 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 
 def _land(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
-          scan: Callable[[SparkSession, list[str]], DataFrame], partition_cols: list[str],
+          scan: Callable[[SparkSession, list[str], Staging], DataFrame], partition_cols: list[str],
           max_files_per_trigger: int, available_now: bool) -> StreamingQuery:
     # only the paths of new files are read from the stream, at most
     # ``max_files_per_trigger`` at a time
@@ -42,11 +43,13 @@ def _land(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
         paths = sorted(r.path for r in batch.collect())
         if not paths:
             return
-        (scan(batch.sparkSession, paths)
+        staging = Staging(batch.sparkSession)
+        (scan(batch.sparkSession, paths, staging)
          .withColumn("event_month", F.date_format("event_date", "yyyy-MM"))
          .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_cols, "event_month", "batch_id").parquet(out_path))
+        staging.drop()
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -56,7 +59,7 @@ def _land(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
 def land_orders(spark: SparkSession, source_dir: str, spec: SourceSpec, out_path: str, checkpoint: str,
                 max_files_per_trigger: int = 100, available_now: bool = True) -> StreamingQuery:
     """Start the landing stream for one order-export family."""
-    return _land(spark, source_dir, out_path, checkpoint, lambda s, paths: order_fact(s, paths, spec),
+    return _land(spark, source_dir, out_path, checkpoint, lambda s, paths, staging: order_fact(s, paths, spec, staging=staging),
                  ["platform"], max_files_per_trigger, available_now)
 
 
@@ -66,7 +69,7 @@ def land_campaigns(spark: SparkSession, source_dir: str, spec: SourceSpec, chann
     """The same for promotion or sponsored-listing files (partitioned by
     channel and the month of the campaign date)."""
     return _land(spark, source_dir, out_path, checkpoint,
-                 lambda s, paths: campaign_fact(s, paths, spec, channel, undated),
+                 lambda s, paths, staging: campaign_fact(s, paths, spec, channel, undated, staging),
                  ["channel"], max_files_per_trigger, available_now)
 
 

@@ -285,3 +285,53 @@ def test_end_at_midnight_on_an_export(spark, tmpdir_fresh):
     both = compare.store_compare(f, ReportParams.of(**days), ["sales"]).first()
     strict = compare.store_compare(f, ReportParams.of(**days, end_at_midnight=True), ["sales"]).first()
     assert (both.post_25, strict.post_25) == (11.0, 1.0)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_is_read_once(spark, tmpdir_fresh):
+    """Both layouts come from one CSV scan; facts, votes and headers read the staged cells."""
+    a = fx.dd_file(tmpdir_fresh, [["11/4/2025", "", "1", "a", "100", "80", "80"]], name="a.csv")
+    b = fx.dd_file(tmpdir_fresh, [["5", "2025-11-05", "2", "b", "80", "100", "80"]], name="b.csv", header=["Net total", *fx.DD_HEADER[:1], *fx.DD_HEADER[2:5], "x", "y"])
+    assert _plan(exports.raw_cells(spark, [a, b])).count("FileScan csv") == 1
+    p = _plan(exports.order_fact(spark, [a, b], specs.DD_ORDERS))
+    assert "FileScan csv" not in p and p.count("FileScan parquet") == 2  # typed rows, and the vote over their date columns
+
+
+def test_rejected_rows_by_reason(spark, tmpdir_fresh):
+    path = fx.dd_file(tmpdir_fresh, [["11/1/2025", "", "1", "a", "1", "1", "1"], ["2025-11-01", "", "1", "b", "1", "1", "1"], ["soon", "", "", "c", "1", "1", "1"],
+                                     ["", "", "1", "d", "1", "1", "1"], ["NA", "", "1", "e", "1", "1", "1"], ["11/2/2025", "", "null", "f", "1", "1", "1"]])
+    rows_ = exports.order_rows(spark, [path], specs.DD_ORDERS)
+    assert rows(exports.rejects(rows_), "reject_reason", "rows") == [
+        (exports.OTHER_FORMAT, 1), (exports.NO_DATE, 2), (exports.NO_STORE, 1), (exports.UNREADABLE_DATE, 1)]
+    assert exports.facts_of(rows_).count() == 1 and exports.rejects(exports.order_rows(spark, [], specs.DD_ORDERS)).count() == 0
+
+
+def test_wide_header_only_files_and_marks(spark, tmpdir_fresh):
+    """A header wider than expected is read again with more columns; a byte-order mark is no part of a name;
+    empty files and files of headers alone give no rows."""
+    wide = [f"h{i}" for i in range(150)]
+    a = fx.write_csv(os.path.join(tmpdir_fresh, "wide.csv"), [["x"] * 150 + ["11/4/2025", "1", "a", "1", "1", "1"]],
+                     [*wide, "﻿Timestamp local date", *fx.DD_HEADER[2:]])
+    b = fx.write_csv(os.path.join(tmpdir_fresh, "bom.csv"), [["11/5/2025", "", "2", "b", "2", "2", "2"]], ["﻿" + fx.DD_HEADER[0].strip(), *fx.DD_HEADER[1:]])
+    c = fx.dd_file(tmpdir_fresh, [], name="head.csv")
+    open(os.path.join(tmpdir_fresh, "empty.csv"), "w").close()
+    f = exports.order_fact(spark, [a, b, c, os.path.join(tmpdir_fresh, "empty.csv")], specs.DD_ORDERS)
+    assert rows(f, "order_id") == [("a",), ("b",)]
+    prof = {r._src_file.rsplit("/", 1)[1]: r.rows for r in exports.profile(spark, [b, c], specs.DD_ORDERS).collect()}
+    assert prof == {"bom.csv": 1, "head.csv": 0}
+
+
+def test_large_file_in_many_splits(spark, tmpdir_fresh):
+    """Header lines are the first lines of the file, whatever the splits."""
+    path = fx.ue_file(tmpdir_fresh, [fx.ue_row(f"s{i % 7}", f"u{i}", "11/2/2025", "1:11 AM", str(i), "7") for i in range(30_000)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert exports.raw_cells(spark, [path]).rdd.getNumPartitions() > 5
+        f = exports.ue_orders(spark, [path])
+        assert f.count() == 30_000 and int(f.agg({"sales": "sum"}).first()[0]) == sum(range(30_000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as ent
 from periodlens.plans import verify
-from periodlens.plans.catalog import QUERIES as CATALOG
+from periodlens.plans import QUERIES as CATALOG
 
 SF = os.environ.get("PERIODLENS_TEST_SF", "/root/testdata/sf0.001")
 # the library's own queries; the optional training-data queries have their own tests

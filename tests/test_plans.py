@@ -2,7 +2,7 @@
 
 import pytest
 
-from periodlens.plans.catalog import QUERIES as CATALOG
+from periodlens.plans import QUERIES as CATALOG
 
 SF = "/root/testdata/sf0.001"
 QUERIES = CATALOG
