@@ -8,7 +8,7 @@ Example::
         --stores 101,102 --operator alpha --out out/ --format parquet
 
 Every report table is written under ``--out/<table>`` (partitioned by
-``run_id`` and ``operator``), the date export under ``--out/daily``, display
+``run_id`` and ``operator``) when all of them are there, the date export under ``--out/daily``, display
 text of the summaries under ``--out/<table>_text``, rows that were rejected by file
 and reason under ``--out/rejected_rows``, and the summary line is printed.  ``--dd-stores`` and ``--ue-stores`` select per platform, ``--stores``
 on both.  Legacy new-customer files are named ``dd-mkt-<window>.csv`` and
@@ -88,9 +88,8 @@ def main(argv=None) -> int:
         ue_new_customers=exports.legacy_ue_new_customer_totals(spark, legacy["ue"], staging) if legacy.get("ue") else None)
     tables = run_report(spark, params, inputs, run_id=run_id, staging=a.staging)
     line = tables["summary_line"].collect()
-    sinks.write_report(tables, a.out, run_id, a.operator, a.format)
-    sinks.write_report(sinks.display_tables(tables), a.out, run_id, a.operator, a.format)
-    sinks.write_daily(tables["daily_cells"], a.out, run_id, a.operator, a.format)
+    sinks.write_run(spark, {**tables, **sinks.display_tables(tables), "daily": sinks.daily_long(tables["daily_cells"])}, a.out, run_id,
+                    a.operator, a.format, {"daily": ("platform", "metric", "period")})
     drop_staging(spark, run_id, a.staging)
     for r in line:
         print(r.summary)

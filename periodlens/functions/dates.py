@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import col_
-
 # The accepted date formats, in the order they are tried.
 # ``M/d/yyyy`` also accepts zero-padded ``MM/dd/yyyy``.
 US_DATE = "M/d/yyyy"
@@ -34,78 +32,84 @@ _REWRITES = ((r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), (r"^(\d{4})/(\d{1,2})/(\d
              (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})$", "$1 $2 $3"))
 NAMED_DATE = "d MMM yyyy"
 
+# The parsers are SQL text over a column name or SQL expression ``c``: one JVM
+# object per expression, and the same text serves as one expression or step by step.
+
 
-def _strip(c) -> Column:
-    return F.trim(col_(c).cast("string"))
+def _strip(c: str) -> str:
+    return f"trim(CAST({c} AS STRING))"
 
 
-def parse_us(c) -> Column:
-    return F.try_to_date(_strip(c), US_DATE)
+def _us(c: str) -> str:
+    return f"try_to_date({_strip(c)}, '{US_DATE}')"
 
 
-def parse_iso(c) -> Column:
-    return F.try_to_date(_strip(c), ISO_DATE)
+def _iso(c: str) -> str:
+    return f"try_to_date({_strip(c)}, '{ISO_DATE}')"
 
 
-def _clock_groups(s: Column, pattern: str, group: int) -> list[Column]:
+def _clock_groups(s: str, pattern: str, group: int) -> list[str]:
     """Hours, minutes, seconds and half of the day from the clock groups of ``pattern``."""
-    return [F.regexp_extract(s, pattern, group + i) for i in range(4)]
+    return [f"regexp_extract({s}, r'{pattern}', {group + i})" for i in range(4)]
 
 
-def _clock_seconds(h: Column, m: Column, sec: Column, half: Column) -> Column:
+def _clock_seconds(h: str, m: str, sec: str, half: str) -> str:
     """Seconds after midnight; null if the groups are no valid clock."""
-    hour = h.cast("int")
-    afternoon = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0))
-    total = afternoon * 3600 + m.cast("int") * 60 + F.coalesce(F.nullif(sec, F.lit("")).cast("int"), F.lit(0))
-    return F.when((h != "") & (afternoon < 24) & (m.cast("int") < 60), total)
+    hour = (f"CASE WHEN {half} = '' THEN CAST({h} AS INT) WHEN CAST({h} AS INT) BETWEEN 1 AND 12 "
+            f"THEN CAST({h} AS INT) % 12 + IF(upper({half}) = 'PM', 12, 0) END")
+    return (f"CASE WHEN {h} <> '' AND CAST({m} AS INT) < 60 AND ({hour}) < 24 "
+            f"THEN ({hour}) * 3600 + CAST({m} AS INT) * 60 + coalesce(CAST(nullif({sec}, '') AS INT), 0) END")
 
 
-def _day_text(s: Column) -> Column:
+def _day_text(s: str) -> str:
     """The date part of a text, other spellings rewritten to the three formats."""
-    day = F.regexp_extract(s, _DATE_AND_CLOCK, 1)
+    day = f"regexp_extract({s}, r'{_DATE_AND_CLOCK}', 1)"
     for pattern, to in _REWRITES:
-        day = F.regexp_replace(day, pattern, to)
+        day = f"regexp_replace({day}, r'{pattern}', '{to}')"
     return day
 
 
-def _timestamp(s: Column, day: Column, clock: Column) -> Column:
-    date = F.coalesce(F.try_to_date(day, US_DATE), F.try_to_date(day, ISO_DATE), F.try_to_date(F.initcap(day), NAMED_DATE))
-    spelled = date.cast("timestamp_ntz") + F.make_dt_interval(secs=F.coalesce(clock, F.lit(0)))
-    return F.coalesce(spelled, F.when(~s.rlike(r"^\d+$"), s.try_cast("timestamp_ntz")))
+def _timestamp(s: str, day: str, clock: str) -> str:
+    date = f"coalesce(try_to_date({day}, '{US_DATE}'), try_to_date({day}, '{ISO_DATE}'), try_to_date(initcap({day}), '{NAMED_DATE}'))"
+    return (f"coalesce(CAST({date} AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, coalesce({clock}, 0)), "
+            f"CASE WHEN NOT {s} RLIKE r'^\\d+$' THEN try_cast({s} AS TIMESTAMP_NTZ) END)")
 
 
-def parse_timestamp(c) -> Column:
-    """Date or date-time text in any accepted spelling, as a timestamp without
-    zone (midnight for a date): ISO and compact dates, US dates, named months,
-    each with or without a 12- or 24-hour clock time.  Other text is null."""
+def _minute(alone: str, ts: str) -> str:
+    return f"CAST(coalesce(floor({alone} / 60), hour({ts}) * 60 + minute({ts})) AS INT)"
+
+
+def _any(c: str) -> str:
     s = _strip(c)
     return _timestamp(s, _day_text(s), _clock_seconds(*_clock_groups(s, _DATE_AND_CLOCK, 2)))
 
 
-def with_timestamp(df: DataFrame, c: str, out: str) -> DataFrame:
-    """``parse_timestamp`` as a column, step by step: each part is computed once, so the
-    generated code stays small."""
-    parts = ("_day", "_h", "_m", "_sec", "_half")
-    df = df.withColumn("_s", _strip(c))
-    df = df.withColumns(dict(zip(parts, [_day_text(F.col("_s")), *_clock_groups(F.col("_s"), _DATE_AND_CLOCK, 2)])))
-    df = df.withColumn("_clock", _clock_seconds(*map(F.col, parts[1:])))
-    return df.withColumn(out, _timestamp(F.col("_s"), F.col("_day"), F.col("_clock"))).drop("_s", "_clock", *parts)
+def parse_timestamp(c: str) -> Column:
+    """Date or date-time text in any accepted spelling, as a timestamp without
+    zone (midnight for a date): ISO and compact dates, US dates, named months,
+    each with or without a 12- or 24-hour clock time.  Other text is null."""
+    return F.expr(_any(c))
 
 
-def parse_auto(c) -> Column:
-    """Generic parser: the date of any accepted spelling, with or without a time."""
-    return F.to_date(parse_timestamp(c))
+def parse_date_per_row(c: str) -> Column:
+    """Row-level cascade."""
+    return F.expr(f"coalesce({_us(c)}, {_iso(c)}, to_date({_any(c)}))")
 
 
-def parse_date_per_row(c) -> Column:
-    """Row-level cascade."""
-    return F.coalesce(parse_us(c), parse_iso(c), parse_auto(c))
+def with_timestamp(df: DataFrame, c: str, out: str) -> DataFrame:
+    """``parse_timestamp`` as a column, step by step: each part is computed once, so the
+    generated code stays small."""
+    parts = ("_h", "_m", "_sec", "_half")
+    df = df.selectExpr("*", f"{_strip(c)} AS _s")
+    df = df.selectExpr("*", f"{_day_text('_s')} AS _day", *[f"{x} AS {n}" for x, n in zip(_clock_groups("_s", _DATE_AND_CLOCK, 2), parts)])
+    df = df.selectExpr("*", f"{_clock_seconds(*parts)} AS _clock")
+    return df.selectExpr("*", f"{_timestamp('_s', '_day', '_clock')} AS {out}").drop("_s", "_clock", "_day", *parts)
 
 
 def date_candidates(df: DataFrame, c: str) -> DataFrame:
     """``c`` parsed once: ``_us`` and ``_iso`` (the two exact formats) and ``_ts``
     (the generic parser's timestamp)."""
-    return with_timestamp(df.withColumns({"_us": parse_us(c), "_iso": parse_iso(c)}), c, "_ts")
+    return with_timestamp(df.selectExpr("*", f"{_us(c)} AS _us", f"{_iso(c)} AS _iso"), c, "_ts")
 
 
 def date_of_row() -> Column:
@@ -126,19 +130,16 @@ def date_of_file(df: DataFrame, out: str = "event_date", file_col: str = "_src_f
             .withColumn(out, chosen).drop("_any_us", "_any_iso", "_vote_file"))
 
 
-def _minute(alone: Column, ts: Column) -> Column:
-    return F.coalesce(F.floor(alone / 60), F.hour(ts) * 60 + F.minute(ts)).cast("int")
-
-
-def minute_of_day(c) -> Column:
+def minute_of_day(c: str) -> Column:
     """Minutes after midnight of a clock time (``1:11 AM``, ``1:11:05 AM``,
     ``13:11``) or of a date-time in any accepted spelling (M15)."""
-    return _minute(_clock_seconds(*_clock_groups(_strip(c), f"^{_CLOCK}$", 1)), parse_timestamp(c))
+    return F.expr(_minute(_clock_seconds(*_clock_groups(_strip(c), f"^{_CLOCK}$", 1)), _any(c)))
 
 
 def with_minute_of_day(df: DataFrame, c: str, out: str) -> DataFrame:
     """``minute_of_day`` as a column, step by step (see ``with_timestamp``)."""
     parts = ("_h", "_m", "_sec", "_half")
-    df = with_timestamp(df, c, "_minute_ts").withColumns(dict(zip(parts, _clock_groups(_strip(c), f"^{_CLOCK}$", 1))))
-    df = df.withColumn("_alone", _clock_seconds(*map(F.col, parts)))
-    return df.withColumn(out, _minute(F.col("_alone"), F.col("_minute_ts"))).drop("_minute_ts", "_alone", *parts)
+    groups = _clock_groups(_strip(c), f"^{_CLOCK}$", 1)
+    df = with_timestamp(df, c, "_minute_ts").selectExpr("*", *[f"{x} AS {n}" for x, n in zip(groups, parts)])
+    df = df.selectExpr("*", f"{_clock_seconds(*parts)} AS _alone")
+    return df.selectExpr("*", f"{_minute('_alone', '_minute_ts')} AS {out}").drop("_minute_ts", "_alone", *parts)

@@ -6,7 +6,8 @@ window they fall in by a range join against the 4-row period dimension, so
 overlapping windows work.  Totals are grouping sets over the cells (summing
 cell values, as the export does; a distinct count across cells would give a
 different number).  The wide date x store layout has one column per store that the
-caller lists, one for all other stores and one for the day's total.
+caller lists, one for all other stores and one for the day's total; ``pages``
+has a column for every store.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ def daily_cells_dec(fact: DataFrame, params: ReportParams,
     else:
         rows = exclude_days(window_filter(fact, params, periods), params.excluded)
         tagged = tag_periods(rows, params, periods=periods)
+    tagged = tagged.where("store_id IS NOT NULL")  # groups without a key are dropped (G22)
     payouts = F.col("payouts")
     if "payouts_hist" in fact.columns:
         # Last-year blocks of the date export take the historical payout column
@@ -80,7 +82,8 @@ def daily_wide(cells_dec: DataFrame, store_ids: Sequence[str],
                metrics: Sequence[str] = DAILY_VALUES) -> DataFrame:
     """Per platform, period and metric one row per day plus a Total row
     (``event_date`` null); one column per listed store, ``Other`` for all other
-    stores and ``Total``; missing cells are 0.
+    stores and ``Total``; missing cells are 0.  A listed store whose name is one of
+    the report's own columns gets the column ``store <name>``.
 
     Sums are exact (DECIMAL) until the last cast.  One pass over the cells: the
     metrics become rows and grouping sets add the totals.  The plan depends on
@@ -88,6 +91,8 @@ def daily_wide(cells_dec: DataFrame, store_ids: Sequence[str],
     structs = ", ".join(f"named_struct('metric', '{m}', 'v', CAST(`{m}` AS {MONEY_SUM}))" for m in metrics)
     long = cells_dec.selectExpr("platform", "period", "event_date", "store_id", f"inline(array({structs}))")
     listed = list(dict.fromkeys(str(s) for s in store_ids))
+    taken = {n.lower() for n in ("platform", "period", "metric", "event_date", OTHER, TOTAL)}
+    names = {i: f"store {i}" if i.lower() in taken else i for i in listed}
     column = {i: "'" + i.replace("'", "\\'") + "'" for i in listed}
     other = f"store_id NOT IN ({', '.join(column.values())})" if listed else "TRUE"
 
@@ -96,5 +101,5 @@ def daily_wide(cells_dec: DataFrame, store_ids: Sequence[str],
 
     keys = ["platform", "period", "metric"]
     wide = long.groupingSets([[*keys, "event_date"], keys], *keys, "event_date").agg(
-        *[total(f"store_id = {sql}", i) for i, sql in column.items()], total(other, OTHER), total("TRUE", TOTAL))
-    return wide.select(*keys, "event_date", *[F.col(f"`{c}`") for c in (*listed, OTHER, TOTAL)])
+        *[total(f"store_id = {sql}", names[i]) for i, sql in column.items()], total(other, OTHER), total("TRUE", TOTAL))
+    return wide.select(*keys, "event_date", *[F.col(f"`{c}`") for c in (*names.values(), OTHER, TOTAL)])

@@ -92,11 +92,11 @@ def land(spark: SparkSession, paths: Iterable[str], header_line: int, staging: S
         firsts = firsts.join(first_of_folder(firsts), FILE_COL, "left_semi")
     firsts = firsts.select(F.col(FILE_COL).alias("_file"), (F.col("_first") + (header_line - 1)).alias("_head"))
     at_head = (F.col(FILE_COL) == F.col("_file")) & (F.col("_line") == F.col("_head"))
-    cells = F.array(*[F.coalesce(F.trim(f"c{i}"), F.lit("")) for i in range(width + 1)])
-    heads = staging.put(top.join(firsts, at_head).select("_file", "_head", cells.alias("header")), "heads")
+    cells = ", ".join(f"coalesce(c{i}, '')" for i in range(width + 1))
+    heads = staging.put(top.join(firsts, at_head).selectExpr("_file", "_head", f"array({cells}) AS header"), "heads")
     found = sorted(tuple(r.header) for r in heads.select("header").distinct().collect())
     headers = []
-    if any(cell[width] for cell in found):
+    if any(cell[width].strip() for cell in found):
         return land(spark, paths, header_line, staging, 2 * width, first_per_folder)
     for cell in found:
         names = [c.lstrip("\ufeff").strip() for c in cell]
@@ -105,8 +105,8 @@ def land(spark: SparkSession, paths: Iterable[str], header_line: int, staging: S
         headers.append(_unique(names))
     if not headers:
         return None
-    files = staging.put(heads.join(
-        spark.createDataFrame([(list(c), i) for i, c in enumerate(found)], "header array<string>, layout int"), "header").select("_file", "_head", "layout"), "files")
+    numbers = spark.createDataFrame([(list(c), i) for i, c in enumerate(found)], "header array<string>, layout int")
+    files = heads.join(numbers, "header").select("_file", "_head", "layout")
     rows = raw.join(files, (F.col(FILE_COL) == F.col("_file")) & ((F.col("_block") > 0) | (F.col("_line") > F.col("_head"))))
     return Landed(rows.drop("_file", "_head", "_block", "_line"), files.select(F.col("_file").alias(FILE_COL), "layout"), headers)
 
@@ -414,8 +414,8 @@ def profile(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, staging
     rule = spec.columns.get("date")
     dates = [rule.find(h) if rule is not None else None for h in landed.headers]
     text = _by_layout([None if d is None else h.index(d) for h, d in zip(landed.headers, dates)], "CAST(NULL AS STRING)", lambda i: f"c{i}")
-    d = parse_date_per_row(na_to_null(F.expr(text)))
-    counted = landed.rows.select(F.col(FILE_COL).alias("_file"), d.alias("_d")).groupBy("_file").agg(
+    counted = landed.rows.select(F.col(FILE_COL).alias("_file"), na_to_null(F.expr(text)).alias("_text")).withColumn(
+        "_d", parse_date_per_row("_text")).groupBy("_file").agg(
         F.count(F.lit(1)).alias("rows"), F.min("_d").alias("start_date"), F.max("_d").alias("end_date"))
     names = spark.createDataFrame([(i, ", ".join(h[:10]), x is not None) for i, (h, x) in enumerate(zip(landed.headers, dates))],
                                   "layout int, columns string, date_column_found boolean")

@@ -49,6 +49,40 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def usage(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Number of files below a folder and their bytes (hidden ones left out); zeros if there is none."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return 0, 0
+    files, size, listed = 0, 0, fs.listFiles(p, True)
+    while listed.hasNext():
+        f = listed.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            files, size = files + 1, size + f.getLen()
+    return files, size
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file (metadata)."""
+    fs, p = _fs(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def basename(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 

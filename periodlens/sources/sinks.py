@@ -3,19 +3,24 @@
 The report is written as one dataset per table (Parquet by default, or CSV /
 JSON), each tagged with ``run_id`` and ``operator`` partition columns, so a
 re-run with the same ``run_id`` overwrites only its own partition (dynamic
-partition overwrite) and concurrent runs never clobber each other.  The
+partition overwrite) and concurrent runs never clobber each other.  ``write_run``
+writes all tables of a run or none: readers follow the manifest that commits it.  The
 workbook layout of the source application is presentation; ``format_*``
 gives the same text for a table when a display copy is wanted.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels
+from . import files as fs
 
 PARTITIONS = ("run_id", "operator")
 
@@ -43,15 +48,82 @@ def write_daily(cells: DataFrame, out_dir: str, run_id: str, operator: str = "",
                 fmt: str = "parquet") -> str:
     """K2 / K3: the date export in long form, partitioned by platform, metric
     and period (one folder per block of the source workbook)."""
-    long = cells.select("platform", "period", "event_date", "store_id",
-                        F.inline(F.array(
-                            F.struct(F.lit("Sales").alias("metric"), F.col("sales").cast("double").alias("value")),
-                            F.struct(F.lit("Payouts").alias("metric"), F.col("payouts").cast("double").alias("value")),
-                            F.struct(F.lit("Orders").alias("metric"), F.col("orders").cast("double").alias("value")))))
-    return write_table(long, f"{out_dir.rstrip('/')}/daily", run_id, operator, fmt,
+    return write_table(daily_long(cells), f"{out_dir.rstrip('/')}/daily", run_id, operator, fmt,
                        partition_by=("platform", "metric", "period"))
 
 
+# ---------------------------------------------------------------- whole runs
+
+MANIFESTS = "_manifests"
+
+
+def daily_long(cells: DataFrame) -> DataFrame:
+    """K2 / K3: the date export in long form."""
+    return cells.select("platform", "period", "event_date", "store_id",
+                        F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
+                                           for c, name in (("sales", "Sales"), ("payouts", "Payouts"), ("orders", "Orders"))])))
+
+
+def write_run(spark: SparkSession, tables: Mapping[str, DataFrame], out_dir: str, run_id: str, operator: str = "", fmt: str = "parquet",
+              partitions: Mapping[str, tuple[str, ...]] | None = None) -> str:
+    """K1-K3: all tables of a run, or none of them.
+
+    Tables are written below a hidden folder of the run.  When the last one is
+    there, their folders are renamed to ``out_dir/<table>/run_id=...`` and the run's
+    manifest (schema, number of files and bytes of each table) is renamed into
+    place, which commits it: ``read_run`` knows only runs that have a manifest.  If
+    writing fails, nothing of the run is seen.  A run written again under its old id
+    is not readable until it is whole again.  ``partitions`` names further partition
+    columns of a table.  Returns the manifest's path."""
+    out = out_dir.rstrip("/")
+    hidden, manifest = f"{out}/_runs/{run_id}-{uuid.uuid4().hex[:8]}", f"{out}/{MANIFESTS}/{run_id}.json"
+    entry = {"run_id": run_id, "operator": operator or "default", "format": fmt, "tables": {}}
+    try:
+        for name, df in tables.items():
+            write_table(df, f"{hidden}/{name}", run_id, operator, fmt, (partitions or {}).get(name, ()))
+            files, size = fs.usage(spark, f"{hidden}/{name}/run_id={run_id}")
+            entry["tables"][name] = {"schema": json.loads(df.schema.json()), "files": files, "bytes": size}
+        fs.write_text(spark, f"{hidden}/_manifest", json.dumps(entry))
+        fs.remove(spark, manifest)
+        for name in tables:
+            target = f"{out}/{name}/run_id={run_id}"
+            fs.remove(spark, target)
+            if fs.exists(spark, f"{hidden}/{name}/run_id={run_id}"):  # a table without rows has no partition
+                fs.rename(spark, f"{hidden}/{name}/run_id={run_id}", target)
+        fs.rename(spark, f"{hidden}/_manifest", manifest)
+    finally:
+        fs.remove(spark, hidden)
+    return manifest
+
+
+def runs(spark: SparkSession, out_dir: str) -> list[str]:
+    """Ids of the committed runs."""
+    return [fs.basename(p).removesuffix(".json") for p in fs.glob(spark, f"{out_dir.rstrip('/')}/{MANIFESTS}/*.json")]
+
+
+def read_run(spark: SparkSession, out_dir: str, run_id: str) -> dict[str, DataFrame]:
+    """The tables of a committed run, each with its ``run_id`` and ``operator``.
+
+    Raises ``LookupError`` if the run is not committed, ``ValueError`` if files of it are missing."""
+    out = out_dir.rstrip("/")
+    path = f"{out}/{MANIFESTS}/{run_id}.json"
+    if not fs.exists(spark, path):
+        raise LookupError(f"run {run_id} is not committed in {out}")
+    entry = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+    found = {}
+    for name, t in entry["tables"].items():
+        schema = T.StructType.fromJson(t["schema"]).add("run_id", "string").add("operator", "string")
+        folder = f"{out}/{name}/run_id={run_id}"
+        if fs.usage(spark, folder) != (t["files"], t["bytes"]):
+            raise ValueError(f"table {name} of run {run_id} is not as it was committed")
+        if t["files"] == 0:
+            found[name] = spark.createDataFrame([], schema)
+            continue
+        reader = spark.read.schema(schema).option("basePath", f"{out}/{name}")
+        found[name] = (reader.option("header", True) if entry["format"] == "csv" else reader).format(entry["format"]).load(folder)
+    return found
+
+
 # ---------------------------------------------------------------- K4 display text
 
 def _by_metric(metric: Column, v: Column) -> Column:

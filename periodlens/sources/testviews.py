@@ -122,3 +122,14 @@ def selected_by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(s_suppkey AS STRING) AS store_id",
         "explode(array_compact(array(CASE WHEN s_acctbal > 0 THEN 'DD' END, CASE WHEN s_suppkey % 2 = 0 THEN 'UE' END))) AS platform"
     ).select("platform", "store_id")
+
+
+def campaign_fact_by_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaign rows keyed by discount and line number: discount 0 spends nothing, and the
+    lines from the fourth on have no orders."""
+    return table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").selectExpr(
+        "'promotion' AS channel", "CAST(l_suppkey AS STRING) AS store_id",
+        "concat(CAST(l_discount AS DECIMAL(4,2)), IF(l_linenumber > 3, '-late', '')) AS campaign_key",
+        "l_shipdate AS event_ts", "CAST(l_shipdate AS DATE) AS event_date",
+        f"CAST(IF(l_linenumber > 3, 0, l_quantity) AS {MONEY}) AS orders", f"{_PRICE} AS sales",
+        f"CAST({_PRICE} * CAST(l_discount AS {MONEY}) AS {MONEY}) AS spend")
