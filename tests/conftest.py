@@ -27,6 +27,20 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def built(spark):
+    """A registered query's DataFrame, built once for all tests (some write staged tables)."""
+    from periodlens.plans import QUERIES
+    sf, made = os.environ.get("PERIODLENS_TEST_SF", "/root/testdata/sf0.001"), {}
+
+    def get(name):
+        if name not in made:
+            made[name] = QUERIES[name](spark, sf)
+        return made[name]
+
+    return get
+
+
 @pytest.fixture()
 def tmpdir_fresh():
     return tempfile.mkdtemp(prefix="periodlens-test-")

@@ -17,9 +17,9 @@ def formatted(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cartesian_or_python(spark, name):
-    p = plan(QUERIES[name](spark, SF))
-    for bad in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
+def test_no_cartesian_or_python(built, name):
+    p = plan(built(name))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas"):
         assert bad not in p, f"{name}: {bad}"
 
 
@@ -58,7 +58,23 @@ def test_period_tags_need_no_join(spark):
     assert "Join" not in p and "Generate" in p
 
 
-def test_only_totals_over_cells_expand(spark):
+def test_only_totals_over_cells_expand(built):
     for name in QUERIES:
-        p = plan(QUERIES[name](spark, SF))
-        assert ("Expand" in p) <= (name in ("daily_store_cube", "daily_store_wide")), name
+        p = plan(built(name))
+        assert ("Expand" in p) <= (name in ("daily_store_cube", "daily_store_wide", "daily_store_pages")), name
+
+
+def test_text_is_not_read_by_results(built):
+    """Queries over export text read staged columns; the text itself was scanned once before."""
+    for name in ("clean_orders_dd", "clean_orders_ue", "clean_campaigns", "slots_from_text_times", "rejects_by_reason", "file_profile"):
+        assert "FileScan csv" not in plan(built(name)), name
+
+
+def test_order_counts_come_from_sets(built):
+    p = plan(built("orders_from_daily_sets"))
+    assert "lineitem" not in p and "order_id" not in p and "bitmap" in p
+
+
+def test_windows_as_data_are_equi_joined(built):
+    p = plan(built("window_batch_totals"))
+    assert "NestedLoop" not in p and ("BroadcastHashJoin" in p or "SortMergeJoin" in p) and scans(p) <= 4
