@@ -88,6 +88,14 @@ class Stages:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def as_bytes(column) -> F.Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")

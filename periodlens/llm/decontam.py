@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, PLAIN_WORDS, as_bytes, joined, mix, slices, windows_hash, words
+from .common import MULT, PLAIN_WORDS, as_bytes, joined, mix, slices, unused, windows_hash, words
 
 NGRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -266,19 +266,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
           min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that hold no test item (see ``contamination``), columns unchanged."""
+    """The rows of ``docs`` that hold no test item (see ``contamination``), columns unchanged,
+    whatever their names.  A null text holds none; rows that repeat are judged alike; empty
+    tables give empty ones, and without items every row stays."""
     spark = docs.sparkSession
     schema, names = docs.schema, docs.columns
+    text = unused("__bytes", names)
     for seeds in _seeded(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(seeds)
-        keyed = docs.withColumn("__bytes", as_bytes(text_col))
+        keyed = docs.withColumn(text, as_bytes(text_col))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for b in slices(batches, "__bytes"):
-                data, starts = joined(b.column(b.schema.get_field_index("__bytes")))
+            for b in slices(batches, text):
+                data, starts = joined(b.column(b.schema.get_field_index(text)))
                 _, _, row, h = words(data, starts, PLAIN_WORDS)
-                bad = {text for text, *_ in scores(own, h, row, min_score)}
+                bad = {i for i, *_ in scores(own, h, row, min_score)}
                 keep = [i for i in range(b.num_rows) if i not in bad]
                 if keep:
                     yield b.select(list(range(len(names)))).take(pa.array(keep))

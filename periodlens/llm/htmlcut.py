@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, unused
 
 # Element names of the HTML standard by the role they play here.
 SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video", "title", "head", "button"}
@@ -406,13 +406,14 @@ def extract(pages: DataFrame, html_col: str = "html", weights: np.ndarray | None
     weights = fit(pages, html_col) if weights is None else weights
     added = ["text", "n_blocks", "n_content"]
     kept = [c for c in pages.columns if c != html_col and c not in added]
-    keyed = pages.select(*[F.col(f"`{c}`") for c in kept], as_bytes(F.col(f"`{html_col}`")).alias("__html_bytes"))
+    name = unused("__html_bytes", kept)
+    keyed = pages.select(*[F.col(f"`{c}`") for c in kept], as_bytes(F.col(f"`{html_col}`")).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__html_bytes"):
+        for b in slices(batches, name):
             done = [main_text(t.decode("utf-8", "replace"), weights) for t in b.column(b.num_columns - 1).to_pylist()]
             new = [pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *new], names=[*kept, *added])
 
-    schema = keyed.drop("__html_bytes").schema.add("text", "string").add("n_blocks", "long").add("n_content", "long")
+    schema = keyed.drop(name).schema.add("text", "string").add("n_blocks", "long").add("n_content", "long")
     return keyed.mapInArrow(run, schema)

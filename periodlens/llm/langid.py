@@ -29,7 +29,6 @@ from .common import Stages, as_bytes, joined, slices
 
 BUCKETS = 1 << 14
 GRAM = 4
-MAX_LANGUAGES = 200  # more declared languages than this have no text model of their own: the most frequent are kept
 MIN_SUPPORT = 5  # rows that declare a language before it counts as one
 EVIDENCE = 40.0  # n-grams of one text overlap and repeat; all of them together weigh as so many independent ones
 SMOOTH = 0.5
@@ -137,7 +136,7 @@ class TextModel:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        p = (counts + SMOOTH) / (counts.sum(axis=0, keepdims=True) + SMOOTH * BUCKETS)
+        p = (counts + SMOOTH) / (counts.sum(axis=0, keepdims=True, dtype=np.float64) + SMOOTH * BUCKETS)
         self.table = np.log(p * BUCKETS).astype(np.float32)
 
     def sums(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +151,18 @@ class TextModel:
 
 
 def fit(rows: DataFrame) -> TextModel:
-    """Text model of the declared languages with at least ``MIN_SUPPORT`` rows."""
+    """Text model of all declared languages with at least ``MIN_SUPPORT`` rows.
+
+    Codes have two or three letters, so their number is bounded; each costs ``BUCKETS`` numbers here."""
     support = rows.where("code <> ''").groupBy("code").count().where(F.col("count") >= MIN_SUPPORT)
-    languages = sorted(r["code"] for r in support.orderBy(F.desc("count"), "code").limit(MAX_LANGUAGES).collect())
-    counts = np.zeros((BUCKETS, len(languages)))
+    languages = sorted(r["code"] for r in support.select("code").collect())
+    counts = np.zeros((BUCKETS, len(languages)), np.float32)
+    at = {c: k for k, c in enumerate(languages)}
     if languages:
-        known = rows.where(F.col("code").isin(languages))
-        for r in _language_counts(known).groupBy("code").agg(  # at most MAX_LANGUAGES rows of BUCKETS numbers
-                F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).collect():
-            counts[r["bucket"], languages.index(r["code"])] = r["n"]
+        known = rows.join(support.select("code").hint("broadcast"), "code", "left_semi")
+        for r in _language_counts(known).groupBy("code").agg(  # a row of at most BUCKETS numbers per code
+                F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).toLocalIterator():
+            counts[r["bucket"], at[r["code"]]] = r["n"]
     return TextModel(languages, counts)
 
 
@@ -199,8 +201,14 @@ def identify(rows: DataFrame, text_col: str, declared_col: str | None, url_col:
     or unreadable declaration or address only removes that evidence; ties go to
     the language that sorts first.  Repeated rows give equal rows.  With no
     language to learn, or no rows, nothing is accepted.  An input column named
-    like a result column is replaced.
+    like a result column is replaced; others are kept, whatever their names.
+    Every declared code with at least ``MIN_SUPPORT`` rows has a model (memory: 64 KB
+    per code and task, and codes are two or three letters).
     """
+    own = {c: f"in{i}_{len(rows.columns)}" for i, c in enumerate(rows.columns) if c.lower().startswith("__lid_")}
+    if own:
+        found = identify(rows.withColumnsRenamed(own), *[own.get(c, c) for c in (text_col, declared_col, url_col, host_col)], min_posterior)
+        return found.withColumnsRenamed({v: c for c, v in own.items()})
     stages = Stages(rows.sparkSession, "langid")
     base = rows.drop(*RESULT)
     host = F.coalesce(host_of(url_col) if url_col else F.lit(None), F.lower(F.col(host_col)) if host_col else F.lit(None), F.lit("").cast("string"))
@@ -221,21 +229,22 @@ def identify(rows: DataFrame, text_col: str, declared_col: str | None, url_col:
     counts = stages.put(_text_scores(slim, model).where("__lid_n > 0").select(
         "__lid_code", "__lid_host", _argmax("__lid_text").alias("k")).groupBy("__lid_host", "__lid_code", "k").count())
     seen = np.full((size + 1, size), SMOOTH)  # declaration (none or unknown last) by language
-    code_at = F.coalesce(F.nullif(F.array_position(language, F.col("__lid_code")).cast("int"), F.lit(0)) - 1, F.lit(size))
-    for r in counts.groupBy(code_at.alias("code"), "k").agg(F.sum("count").alias("n")).collect():  # at most (size + 1) * size rows
-        seen[r["code"], r["k"]] += r["n"]
-    declared = np.log(seen / seen.sum(axis=0, keepdims=True))
-    declared[size] = 0.0  # no usable declaration, no evidence
+    at = {c: k for k, c in enumerate(names)}
+    known = F.when(F.col("__lid_code").isin(names), F.col("__lid_code"))
+    for r in counts.groupBy(known.alias("code"), "k").agg(F.sum("count").alias("n")).toLocalIterator():  # at most (size + 1) * size rows
+        seen[at.get(r["code"], size), r["k"]] += r["n"]
+    declared = np.log(seen / seen.sum(axis=0, keepdims=True))  # no row for no usable declaration: no evidence
+    of_code = rows.sparkSession.createDataFrame([(c, [float(x) for x in declared[k]]) for k, c in enumerate(names)], "__lid_known string, __lid_declared array<double>")
     priors = _host_priors(counts, size, stages)
     stages.drop(counts)
     # second pass: the text again, with everything else joined to it
     scored = _text_scores(keyed, model)
     # a host without any readable text has no row of its own: all languages alike
     with_prior = scored.join(priors.withColumnRenamed("__lid_host", "__lid_prior_host"), F.col("__lid_host") == F.col("__lid_prior_host"), "left")
-    # the table of log P(declaration | language) as a constant
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in declared])
-    evidence = F.zip_with(F.zip_with("__lid_text", F.element_at(table, code_at + 1), lambda a, b: a + b),
-                          F.coalesce("__lid_prior", F.array_repeat(F.lit(0.0), size)), lambda a, b: a + b)
+    with_prior = with_prior.join(F.broadcast(of_code), F.col("__lid_code") == F.col("__lid_known"), "left")  # a row per code, of which there are a bounded number
+    none = F.array_repeat(F.lit(0.0), size)
+    evidence = F.zip_with(F.zip_with("__lid_text", F.coalesce("__lid_declared", none), lambda a, b: a + b),
+                          F.coalesce("__lid_prior", none), lambda a, b: a + b)
     with_all = with_prior.withColumn("__lid_all", evidence)
     weights = F.transform("__lid_all", lambda x: F.exp(x - F.array_max("__lid_all")))
     posterior = F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
@@ -255,7 +264,7 @@ def accepted_rows(docs: DataFrame, text_col: str, declared_col: str | None, url_
                   min_posterior: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is identified; columns unchanged, whatever their names."""
     names = docs.columns
-    own = {c: f"__lid_in{i}" for i, c in enumerate(names)}
+    own = {c: f"in{i}" for i, c in enumerate(names)}
     found = identify(docs.toDF(*own.values()), *[own[c] if c else None for c in (text_col, declared_col, url_col, host_col)], min_posterior)
     return found.where("accepted").select(*[F.col(v).alias(c) for c, v in own.items()])
 
@@ -265,23 +274,33 @@ def _host_priors(counts: DataFrame, size: int, stages: Stages) -> DataFrame:
 
     Each level is a table, so Spark can split the hosts of a frequent suffix."""
     host = F.col("__lid_host")
-    tallies = [F.sum(F.when(F.col("k") == k, F.col("count")).otherwise(0)).alias(f"n{k}") for k in range(size)]
-    array = F.array(*[F.col(f"n{k}") for k in range(size)])
-    by_host = stages.put(counts.groupBy("__lid_host").agg(*tallies).select(
-        "__lid_host", domain_of(host).alias("domain"), suffix_of(host).alias("suffix"), array.alias("n")))
-    sums = [F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(size)]
-    by_domain = stages.put(by_host.groupBy("domain", "suffix").agg(*sums).select("domain", "suffix", array.alias("n")))
-    by_suffix = stages.put(by_domain.groupBy("suffix").agg(*sums).select("suffix", array.alias("n")))
-    every = by_suffix.agg(*sums).first()
-    overall = (np.array([x or 0 for x in every]) + STRENGTH / size) / (sum(x or 0 for x in every) + STRENGTH)
+
+    def dense(tallies: DataFrame, *keys: str) -> DataFrame:
+        """One row per key with the number of rows of each language (at most ``size`` entries are collected)."""
+        entries = F.collect_list(F.struct("k", F.col("n").cast("double")))
+        held = tallies.groupBy(*keys).agg(F.map_from_entries(entries).alias("m"))
+        return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("n"))
+
+    of_host = counts.groupBy("__lid_host", "k").agg(F.sum("count").alias("n")).select(
+        "__lid_host", domain_of(host).alias("domain"), suffix_of(host).alias("suffix"), "k", "n")
+    tallied = stages.put(of_host)
+    by_domain_k = stages.put(tallied.groupBy("domain", "suffix", "k").agg(F.sum("n").alias("n")))
+    by_suffix_k = stages.put(by_domain_k.groupBy("suffix", "k").agg(F.sum("n").alias("n")))
+    by_host = dense(tallied, "__lid_host", "domain", "suffix")
+    by_domain = dense(by_domain_k, "domain", "suffix")
+    by_suffix = dense(by_suffix_k, "suffix")
+    every = np.zeros(size)
+    for r in by_suffix_k.groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row per language
+        every[r["k"]] = r["n"]
+    overall = (every + STRENGTH / size) / (every.sum() + STRENGTH)
 
     def smoothed(parent: F.Column) -> F.Column:
-        total = F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b)
+        total = F.aggregate("n", F.lit(0.0), lambda a, b: a + b)
         return F.zip_with("n", parent, lambda x, p: (x + STRENGTH * p) / (total + STRENGTH))
 
     of_suffix = stages.put(by_suffix.select("suffix", smoothed(F.array(*[F.lit(float(p)) for p in overall])).alias("up")))
     of_domain = stages.put(by_domain.join(of_suffix, "suffix").select("domain", "suffix", smoothed(F.col("up")).alias("up")))
-    of_host = by_host.join(of_domain, ["domain", "suffix"]).select("__lid_host", smoothed(F.col("up")).alias("p"))
-    out = stages.put(of_host.select("__lid_host", F.transform("p", lambda p: F.log(p)).alias("__lid_prior")))
-    stages.drop(by_host, by_domain, by_suffix, of_suffix, of_domain)
+    of_each = by_host.join(of_domain, ["domain", "suffix"]).select("__lid_host", smoothed(F.col("up")).alias("p"))
+    out = stages.put(of_each.select("__lid_host", F.transform("p", lambda p: F.log(p)).alias("__lid_prior")))
+    stages.drop(tallied, by_domain_k, by_suffix_k, of_suffix, of_domain)
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, unused
 from .lstm import PAD, Tagger, char_ids
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -339,16 +339,18 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """``docs`` with every span replaced by its kind in angle brackets; spans that
     overlap are replaced together, under the kind of the first.  ``length_col``,
     if it is there, is set to the new number of code points.  Null texts stay
-    null with their length; the other columns and their order are kept."""
+    null with their length; the other columns and their order are kept, whatever their
+    names.  Rows that repeat are replaced alike; an empty table gives an empty one."""
     tagger = tagger or fit(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     schema: StructType = docs.schema
     at = docs.columns.index(text_col)
     n_at = docs.columns.index(length_col) if length_col in docs.columns else None
-    keyed = docs.withColumn("__pii_bytes", as_bytes(text_col))
+    name = unused("__pii_bytes", docs.columns)
+    keyed = docs.withColumn(name, as_bytes(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__pii_bytes"):
+        for b in slices(batches, name):
             texts = [t.decode("utf-8", "replace") for t in b.column(b.num_columns - 1).to_pylist()]
             given = b.column(at).is_valid().to_pylist()
             new = [replaced(t, base + added) if ok else None for t, ok, (base, added) in zip(texts, given, all_spans(shared.value, texts))]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, as_bytes, slices
+from .common import Stages, as_bytes, slices, unused
 from .components import components
 
 GROUP = 1024
@@ -203,18 +203,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs``, one of each group of near-duplicates: that of the
-    smallest id (smallest content hash among rows of one id).  A row without an
-    id stands for its group only if no row of the group has one.  Columns and
-    their order are kept, whatever their names."""
+    smallest id (smallest content hash among rows of one id, and of rows equal in
+    both that whose columns have the smallest hash).  A row without an id stands for
+    its group only if no row of the group has one.  Rows that repeat stay once; an
+    empty table gives an empty one.  Columns and their order are kept, whatever their
+    names."""
     stages = Stages(docs.sparkSession, "simhash-keep")
     found = stages.put(simhash_components(docs, id_col, text_col, shingle_words, max_bits).withColumnRenamed(id_col, "__id"))
     # the group of a component without ids: its fingerprints have no id to name them, so each fingerprint stands alone
     group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
     best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("content").alias("content")))
+    names = docs.columns
+    keys = [unused(k, names) for k in ("__row_id", "__row_none", "__row_content")]
     kept = stages.put(found.groupBy(group.alias("g")).agg(best.alias("best")).select(
-        F.coalesce("best.id", F.lit(0)).alias("__row_id"), F.col("best.none").alias("__row_none"), F.col("best.content").alias("__row_content")).distinct())
-    keys = ["__row_id", "__row_none", "__row_content"]
+        F.coalesce("best.id", F.lit(0)).alias(keys[0]), F.col("best.none").alias(keys[1]), F.col("best.content").alias(keys[2])).distinct())
     row_id = F.col(id_col).cast("long")
-    row = docs.withColumns({"__row_id": F.coalesce(row_id, F.lit(0)), "__row_none": row_id.isNull(), "__row_content": F.xxhash64(text_col)})
-    out = row.join(kept, keys, "left_semi").dropDuplicates(keys)  # one shuffle: both group by the same keys
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = docs.withColumns({keys[0]: F.coalesce(row_id, F.lit(0)), keys[1]: row_id.isNull(), keys[2]: F.xxhash64(text_col)})
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    out = row.join(kept, keys, "left_semi").groupBy(*keys).agg(F.min_by(whole, order).alias("row"))  # one shuffle: both group by the same keys
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -105,3 +105,18 @@ def test_table_accuracy(spark, sf001):
     right = [r.language == r.declared for r in got]
     assert sum(right) >= 0.98 * len(right)
     assert sum(r.kept for r in got) >= 0.98 * len(right)
+
+
+def test_more_languages_than_two_hundred(spark):
+    """Every declared language with enough rows has a model, however many there are."""
+    import random
+    import string
+    rng = random.Random(3)
+    codes = [a + b for a in string.ascii_lowercase[:13] for b in string.ascii_lowercase][:300]
+    words = {c: ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(30)] for c in codes}
+    rows = [(i, " ".join(rng.choice(words[c]) for _ in range(40)), c) for i, c in enumerate(codes * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, "text", "lang").select("doc_id", "language", "accepted").collect()
+    assert len(got) == len(rows) and all(r.accepted and r.language == rows[r.doc_id][2] for r in got)
+    blank = langid.identify(docs.selectExpr("doc_id", "text", "IF(doc_id >= 1800, NULL, lang) AS lang"), "text", "lang").where("doc_id >= 1800").collect()
+    assert len(blank) == 300 and all(r.language == rows[r.doc_id][2] for r in blank)
