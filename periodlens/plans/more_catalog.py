@@ -6,7 +6,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import compare, daily, facts, insights, marketing, ordersets, pages, ranges, summary
 from ..params import ReportParams
@@ -141,6 +140,3 @@ def display_campaigns(spark, sf):
 def display_store_table(spark, sf):
     """K4: display text of the store table."""
     return sinks.format_store_table(compare.store_table_pre_post(_cmp(spark, sf), _sel(spark, sf)))
-
-
-__all__ = ["SPARSE", "BEFORE", "OVERLAP", "MIDNIGHT", "PAGE_WIDTH", "F"]

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from . import more_catalog as mc
-from .oracle import (_CELLS, _T1_DEC, _campaign_select, _wrap_round, ORACLE, ORDER_FACT, P, SLOT_FACT, T1, WIN, any_window, between, compare_ctes,
-                     compare_select, d, dbl, long_cte, nc_cte, not_excluded, rows_cte, sel_filter, store_compare_sql, summary_rows, totals_by,
-                     totals_select, with_)
+from .oracle import (_CELLS, _T1_DEC, _campaign_select, _wrap_round, ORACLE, ORDER_FACT, P, SLOT_FACT, T1, WIN, between, compare_ctes, compare_select,
+                     dbl, long_cte, nc_cte, not_excluded, rows_cte, summary_rows, totals_by, totals_select, with_)
 
 SQL: dict[str, str] = {}
 W = mc.PAGE_WIDTH
@@ -104,5 +103,3 @@ SQL["display_store_table"] = ("SELECT platform, store_id, " + ", ".join(f"{_mone
 
 _DISPLAY = ("display_summary", "display_campaigns", "display_store_table")
 ORACLE.update({k: v if k in _DISPLAY else _wrap_round(v) for k, v in SQL.items()})
-
-__all__ = ["SQL", "any_window", "d", "sel_filter", "store_compare_sql"]

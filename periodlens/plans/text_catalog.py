@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import daily, marketing, slots
 from ..params import ReportParams
 from ..sources import exports
-from ..sources import testviews as tv
 from ..sources import textexports as tx
-from ..sources.files import upload_group
 from ..staging import Staging
 from .catalog import P, query
 
@@ -127,6 +125,3 @@ def upload_groups(spark, sf):
     grouped = rows.groupBy("upload_group").agg(F.count_distinct(exports.FILE_COL).alias("files"), F.count(F.lit(1)).alias("rows"),
                                                *[F.sum(c).cast("double").alias(c) for c in ("orders", "sales", "spend")])
     return grouped.select("upload_group", "files", "rows", "orders", "sales", "spend")
-
-
-__all__ = ["FIRST_HALF", "upload_group", "tv"]
