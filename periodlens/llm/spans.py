@@ -1,14 +1,18 @@
 """Repeated sentence spans (operator 9).
 
 A text is cut into sentences; one of more than ``MOST_WORDS`` words counts as
-several, cut behind its commas, semicolons and colons, and a clause that is
-still longer every so many words.  In scripts without spaces the characters
+several, cut behind its commas, semicolons and colons.  A clause that is still
+longer is cut before words chosen by their hash: the least hash of every
+``WINDOW`` words, so that a passage has the same cuts wherever it stands, but
+for less than a window at its ends.  In scripts without spaces the characters
 count: two of Han or kana are a word, four of Thai and its like; the sentence
-marks of such scripts end a sentence whatever follows them.  From each sentence on, the shortest run of
-at least ``run`` consecutive sentences with at least ``MIN_WORDS`` words is
-hashed.  Runs are grouped over the whole table, and sentences covered by any
-occurrence of a repeated run but the first are removed.  First is the least
-(id, row, place), rows without id last.
+marks of such scripts end a sentence whatever follows them.  From each piece
+on, the shortest run of consecutive pieces is hashed to 128 bits that holds the
+ends of ``run`` sentences or clauses and ``MIN_WORDS`` words, or two pieces and
+``LONG_WORDS`` words; so are the shortest ones up to the ends of the text and of
+cut clauses.  Runs are grouped over the whole table, and pieces covered
+by any occurrence of a repeated run but the first are removed.  First is the
+least (id, row, place), rows without id last.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -26,6 +31,8 @@ from .common import Stages, as_bytes, slices
 
 MOST_WORDS = 20
 MIN_WORDS = 10
+LONG_WORDS = 24
+WINDOW = 12
 _END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
 _CLAUSE = re.compile(r"[,;:]\s+")
 _WORD = re.compile(r"\S+")
@@ -33,6 +40,7 @@ _WORD = re.compile(r"\S+")
 _HAN = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _THAI = "\u0e01-\u0fff\u1000-\u109f\u1780-\u17ff"
 _UNSPACED = re.compile(f"[{_HAN}{_THAI}]")
+_TOKEN = re.compile(rf"[{_HAN}{_THAI}]|[^\s{_HAN}{_THAI}]+")
 _UNITS = re.compile(rf"(?:[{_HAN}]{{1,2}}|[{_THAI}]{{1,4}})[、，；：。！？｡」』”’）》〉】]*|[^\s{_HAN}{_THAI}]+")
 #: The same ends and clauses with the marks of other scripts; white space between characters of unspaced scripts parts clauses.
 _WIDE_END = re.compile(_END.pattern + r"|[。！？｡।॥؟۔።။។]+[」』”’）》〉】]*\s*")
@@ -43,27 +51,32 @@ def _words(text: str) -> list[str]:
     return text.split() if text.isascii() or not _UNSPACED.search(text) else _UNITS.findall(text)
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence, white space after it included; those without words join the one before."""
-    out: list[tuple[int, int, list[str]]] = []
+def pieces(text: str) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, words, whether a sentence or clause ends with it) of each piece, white space after it included; those without words join the one before."""
+    out: list[tuple[int, int, list[str], bool]] = []
     ends = [m.end() for m in (_END if text.isascii() else _WIDE_END).finditer(text)]
     start = 0
     for end in [*ends, len(text)]:
         own = _words(text[start:end])
         if not own:
             if out and end > start:
-                out[-1] = (out[-1][0], end, out[-1][2])
+                out[-1] = (out[-1][0], end, *out[-1][2:])
                 start = end
             continue
         if len(own) > MOST_WORDS:
-            out += _pieces(text, start, end)
+            out += _clauses(text, start, end)
         else:
-            out.append((start, end, own))
+            out.append((start, end, own, True))
         start = end
     return out
 
 
-def _pieces(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each piece."""
+    return [x[:3] for x in pieces(text)]
+
+
+def _clauses(text: str, start: int, end: int) -> list[tuple[int, int, list[str], bool]]:
     """The clauses of a long sentence; where one is cut does not depend on what stands in the others."""
     out = []
     cuts = [start, *(start + m.end() for m in (_CLAUSE if text.isascii() else _WIDE_CLAUSE).finditer(text[start:end])), end]
@@ -71,37 +84,60 @@ def _pieces(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]
         own = _words(text[a:b])
         if not own:
             if out and b > a:
-                out[-1] = (out[-1][0], b, out[-1][2])
+                out[-1] = (out[-1][0], b, *out[-1][2:])
+            continue
+        if len(own) <= MOST_WORDS:
+            out.append((a, b, own, True))
             continue
-        word = _UNITS if _UNSPACED.search(text[a:b]) else _WORD
-        places = [a + m.start() for m in word.finditer(text[a:b])] if len(own) > MOST_WORDS else []
-        inner = [a, *places[MOST_WORDS::MOST_WORDS], b]
-        out += [(x, y, own[i * MOST_WORDS : (i + 1) * MOST_WORDS]) for i, (x, y) in enumerate(zip(inner, inner[1:]))]
+        inner = [a, *_places(text, a, b), b]
+        parts = [(x, y, _words(text[x:y])) for x, y in zip(inner, inner[1:])]
+        out += [(*p, p[1] == b) for p in parts]
     return out
 
 
-def run_ends(parts: list[tuple[int, int, list[str]]], run: int) -> list[int]:
-    """For each sentence the sentence after its run; shorter than ``parts`` where the text ends too soon for a run."""
-    out, end, held = [], 0, 0
+def _places(text: str, a: int, b: int) -> list[int]:
+    """Where a long clause is cut: before the token that, with the next one, has the least hash of a window, the first of equals."""
+    found = [(m.start(), m.group().lower()) for m in (_WORD if text.isascii() else _TOKEN).finditer(text[a:b])]
+    near = [*(w for _, w in found[1:]), ""]
+    h = np.array([xxhash.xxh64_intdigest(f"{w} {v}".encode("utf-8", "surrogatepass")) for (_, w), v in zip(found, near)], np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(h, min(WINDOW, len(h))).argmin(axis=1)
+    return [a + found[i][0] for i in np.unique(least + np.arange(len(least))).tolist() if i]
+
+
+def _is_run(part: list[tuple[int, int, list[str], bool]], run: int) -> bool:
+    held = sum(len(p[2]) for p in part)
+    return held >= MIN_WORDS and sum(p[3] for p in part) >= run or held >= LONG_WORDS and len(part) >= 2
+
+
+def runs_of(parts: list[tuple[int, int, list[str], bool]], run: int) -> list[tuple[int, int]]:
+    """(first piece, piece after the last): the shortest run from each piece, then the shortest ones up to the ends of
+    the text and of clauses that were cut, where no other ends there."""
+    out, end, held, closed = [], 0, 0, 0
     for i in range(len(parts)):
-        while end < len(parts) and (end - i < run or held < MIN_WORDS):
+        while end < len(parts) and not (closed >= run and held >= MIN_WORDS or end - i >= 2 and held >= LONG_WORDS):
             held += len(parts[end][2])
+            closed += parts[end][3]
             end += 1
-        if end - i < run or held < MIN_WORDS:
+        if not (closed >= run and held >= MIN_WORDS or end - i >= 2 and held >= LONG_WORDS):
             break
-        out.append(end)
+        out.append((i, end))
         held -= len(parts[i][2])
+        closed -= parts[i][3]
+    known = {e for _, e in out}
+    for k in range(1, len(parts)):
+        if (k == len(parts) - 1 or parts[k][3] and not parts[k - 1][3]) and k + 1 not in known:
+            first = k
+            while first and not _is_run(parts[first : k + 1], run):
+                first -= 1
+            if _is_run(parts[first : k + 1], run):
+                out.append((first, k + 1))
     return out
 
 
-def run_hashes(parts: list[tuple[int, int, list[str]]], run: int) -> list[int]:
-    """A signed 64-bit hash of each run of sentences, case ignored."""
-    lines = [" ".join(w).lower() for _, _, w in parts]
-    out = []
-    for i, end in enumerate(run_ends(parts, run)):
-        h = xxhash.xxh64_intdigest("\n".join(lines[i:end]).encode("utf-8", "surrogatepass"))
-        out.append(h - (1 << 64) if h >> 63 else h)
-    return out
+def run_hashes(parts: list[tuple[int, int, list[str], bool]], run: int) -> list[bytes]:
+    """A 128-bit hash of each run of pieces, case ignored."""
+    lines = [" ".join(p[2]).lower() for p in parts]
+    return [xxhash.xxh3_128_digest("\n".join(lines[i:end]).encode("utf-8", "surrogatepass")) for i, end in runs_of(parts, run)]
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
@@ -111,12 +147,12 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for b in slices(batches, "bytes"):
             texts = [t.decode("utf-8", "replace") for t in b.column("bytes").to_pylist()]
-            runs = [run_hashes(sentences(t), run) for t in texts]
+            runs = [run_hashes(pieces(t), run) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(texts)), pa.int64()), b.column("id"), pa.array(texts), pa.array(runs, pa.list_(pa.int64()))], ["row", "id", "text", "runs"])
+                [pa.array(range(row, row + len(texts)), pa.int64()), b.column("id"), pa.array(texts), pa.array(runs, pa.list_(pa.binary()))], ["row", "id", "text", "runs"])
             row += len(texts)
 
-    return rows.mapInArrow(work, "row long, id long, text string, runs array<long>")
+    return rows.mapInArrow(work, "row long, id long, text string, runs array<binary>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
@@ -143,10 +179,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = []
             for text, places in zip(b.column("bytes").to_pylist(), b.column("places").to_pylist()):
                 text = text.decode("utf-8", "replace")
-                parts = sentences(text)
-                ends = run_ends(parts, run) if places else []
-                gone = {k for p in places or () for k in range(p, ends[p])}
-                kept = "".join(text[a:e] for i, (a, e, _) in enumerate(parts) if i not in gone) if gone else text
+                parts = pieces(text)
+                own = runs_of(parts, run) if places else []
+                gone = {k for p in places or () for k in range(*own[p])}
+                kept = "".join(text[a:e] for i, (a, e, *_) in enumerate(parts) if i not in gone) if gone else text
                 out.append((kept, len(parts), len(gone), sum(i - 1 not in gone for i in gone)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64())))],
