@@ -1,11 +1,14 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment (operator 10).
+"""Benchmark decontamination: rare n-gram seeds, then local alignment (operator 10).
 
 Test items come in blocks of bounded size, and each block is shared with all
-tasks; the training texts are never shuffled.  Every word n-gram of an item is
-a seed, however frequent, so that an edited copy is found by whichever of its
-n-grams the edits left.  One pass finds the seeds in each document; seeds whose
-positions imply the same alignment make one candidate passage.  Candidates that
-hold too few of the item's words to reach the score are dropped, and
+tasks; the training texts are never shuffled.  A first pass counts the word
+n-grams of the items over all texts.  Seeds are those that occur at most
+``rare`` times, and those at most ``NEAR`` times as frequent as the item's
+``KEEP`` rarest present ones: a much copied item keeps all its n-grams, one
+with everyday n-grams loses these.  N-grams that occur nowhere are no seeds and
+do not count as rarest.  A second pass finds the seeds in each document; seeds
+whose positions imply the same alignment make one candidate passage.  Candidates
+that hold too few of the item's words to reach the score are dropped, and
 Smith-Waterman over words scores the others against the item.
 """
 
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import MULT, PLAIN_WORDS, as_bytes, joined, mix, slices, unused, windows_hash, words
 
 NGRAM = 3
+RARE, KEEP, NEAR = 1024, 4, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20  # words of test items shared with all tasks at a time
 ALIGN_CELLS = 1 << 18
@@ -78,9 +82,25 @@ class Block:
         self.times = np.concatenate([n for _, n in own])[order] if own else none
 
     def seeds(self) -> Seeds:
+        """Every n-gram of every item."""
         order = np.argsort(self.gram, kind="stable")
         return Seeds(self.gram[order], self.item[order], self.place[order], self)
 
+    def rare_seeds(self, known: np.ndarray, times: np.ndarray, rare: int) -> Seeds:
+        """The n-grams that occur, at most ``rare`` times or little more often than the rarest of their item; ``known`` is sorted."""
+        n = np.zeros(len(self.gram), np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, self.gram), len(known) - 1)
+            n = np.where(known[place] == self.gram, times[place], 0)
+        limit = np.full(len(self.words), rare, np.int64)
+        there = np.flatnonzero(n)
+        order = there[np.lexsort((n[there], self.item[there]))]
+        own, first, size = np.unique(self.item[order], return_index=True, return_counts=True)
+        limit[own] = np.maximum(rare, NEAR * n[order[first + np.minimum(KEEP, size) - 1]])
+        some = np.flatnonzero((n > 0) & (n <= limit[self.item]))
+        some = some[np.argsort(self.gram[some], kind="stable")]
+        return Seeds(self.gram[some], self.item[some], self.place[some], self)
+
 
 def _own(h: np.ndarray, item: np.ndarray | int) -> np.ndarray:
     """Hash of a word as one of an item's."""
@@ -216,13 +236,34 @@ def _scored(seeds: Seeds, h: np.ndarray, found: np.ndarray) -> list[tuple[int, i
     return out
 
 
-def _seeded(items: DataFrame, item_id: str, item_text: str) -> Iterator[Seeds]:
+def _seeded(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, rare: int) -> Iterator[Seeds]:
+    """The seeds of each block of items; ``rows`` has the texts as ``bytes``."""
     for ids, hashes in _items(items, item_id, item_text):
-        yield Block(ids, hashes).seeds()
+        block = Block(ids, hashes)
+        shared = rows.sparkSession.sparkContext.broadcast(block.seeds())
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            total = np.zeros(len(own.gram), np.int64)  # at the first place of each n-gram
+            for b in slices(batches, "bytes"):
+                data, starts = joined(b.column("bytes"))
+                _, _, row, h = words(data, starts, PLAIN_WORDS)
+                for n in own.block.lengths:
+                    g = _found(*_grams(h, row, n), own.gram, own.maybe)[1]
+                    np.add.at(total, np.searchsorted(own.gram, g), 1)
+            seen = np.flatnonzero(total)
+            if len(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(own.gram[seen].view(np.int64)), pa.array(total[seen])], ["gram", "n"])
+
+        counts = rows.select("bytes").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most a block's n-grams
+        gram = counts.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(gram)
+        yield block.rare_seeds(gram[order], counts.column("n").to_numpy()[order], rare)
+        shared.destroy()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", min_score: float = 0.5) -> DataFrame:
+                  item_text: str = "text", min_score: float = 0.5, rare: int = RARE) -> DataFrame:
     """One row per document row and test item whose best alignment scores at least
     ``min_score``: (id, item_id, score, n_passages, start_word, end_word).
 
@@ -230,7 +271,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``start_word`` and ``end_word`` bound the searched passage around the best
     alignment, ``n_passages`` counts the passages that reach the score.  Words are runs of letters
     and digits in ASCII lower case.  A passage must share a run of
-    ``NGRAM`` words with the item.  Null and empty texts match nothing; items
+    ``NGRAM`` words with the item that is rare among the texts (module docstring).  Null and empty texts match nothing; items
     without words or id are skipped; items of fewer than three words must match
     by all their words' run.  Repeated rows each give their rows.
     """
@@ -238,7 +279,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("bytes"))
     schema = "id long, item_id long, score double, n_passages int, start_word long, end_word long"
     out = spark.createDataFrame([], schema)
-    for seeds in _seeded(items, item_id, item_text):
+    for seeds in _seeded(rows, items, item_id, item_text, rare):
         shared = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -265,14 +306,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-          min_score: float = 0.5) -> DataFrame:
+          min_score: float = 0.5, rare: int = RARE) -> DataFrame:
     """The rows of ``docs`` that hold no test item (see ``contamination``), columns unchanged,
     whatever their names.  A null text holds none; rows that repeat are judged alike; empty
     tables give empty ones, and without items every row stays."""
     spark = docs.sparkSession
     schema, names = docs.schema, docs.columns
     text = unused("__bytes", names)
-    for seeds in _seeded(items, item_id, item_text):
+    for seeds in _seeded(docs.select(as_bytes(text_col).alias("bytes")), items, item_id, item_text, rare):
         shared = spark.sparkContext.broadcast(seeds)
         keyed = docs.withColumn(text, as_bytes(text_col))
 

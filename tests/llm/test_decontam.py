@@ -127,7 +127,40 @@ def test_few_seeds_held_at_a_time(spark, edited, monkeypatch):
         own = decontam.words(*decontam._one((t or "").encode()), decontam.PLAIN_WORDS)[3]
         h.append(own)
         row += [k] * len(own)
-    seeds = next(decontam._seeded(bench, "item_id", "text"))
+    seeds = decontam.Block(*next(decontam._items(bench, "item_id", "text"))).seeds()
     all_at_once = sorted(decontam.scores(seeds, decontam.np.concatenate(h), decontam.np.array(row), 0.5))
     monkeypatch.setattr(decontam, "FOUND_ROWS", 5)
     assert sorted(decontam.scores(seeds, decontam.np.concatenate(h), decontam.np.array(row), 0.5)) == all_at_once and len(all_at_once) >= len(want)
+
+
+def test_everyday_ngrams_are_no_seeds():
+    """An item of common n-grams with a few rare ones makes candidates only where those stand; one copied often keeps all."""
+    rng = random.Random(6)
+    item = [f"w{k}" for k in range(36)]
+    common = [" ".join(item[k : k + 3]) for k in range(0, 30)]
+    docs = [" ".join(rng.choice(common) if rng.random() < 0.3 else f"x{rng.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    hot = [f"h{k}" for k in range(36)]
+    docs += [" ".join(item), *[" ".join(hot)] * 300]
+    own = [decontam.words(*decontam._one(t.encode()), decontam.PLAIN_WORDS)[3] for t in (" ".join(item), " ".join(hot), "never seen in any text")]
+    block = decontam.Block(decontam.np.concatenate([[k] * (len(h) + 1) for k, h in enumerate(own)]), decontam.np.concatenate([decontam.np.append(h, decontam.np.uint64(0)) for h in own]))
+    h = [decontam.words(*decontam._one(t.encode()), decontam.PLAIN_WORDS)[3] for t in docs]
+    row = decontam.np.repeat(range(len(docs)), [len(x) for x in h])
+    h = decontam.np.concatenate(h)
+    known, times = decontam.np.unique(decontam._grams(h, row, 3)[0], return_counts=True)
+    few = block.rare_seeds(known, times, rare=10)
+    found = lambda seeds: {(int(x[0]), int(x[1])) for part in decontam.candidates(seeds, h, row) for x in part}
+    every = found(block.seeds())
+    assert sum(i == 0 for _, i in every) > 350 and {i for _, i in found(few)} == {0, 1}
+    assert sum(i == 0 for _, i in found(few)) < 40 and (400, 0) in found(few)
+    assert (few.item == 1).sum() == 34 and not (few.item == 2).any()
+
+
+def test_copies_of_a_frequent_item_stay_found(spark):
+    """Exact copies far above ``rare``, edited ones beside them."""
+    rng = random.Random(7)
+    text = " ".join(f"q{k}" for k in range(36))
+    docs = [(k, text) for k in range(60)] + [(100 + k, " ".join(f"e{rng.randrange(99)}" if rng.random() < 0.2 else w for w in text.split())) for k in range(40)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, text)], "item_id long, text string")
+    want = brute(docs, [(1, text)])
+    assert len(want) > 90 and {(r.doc_id, r.item_id): r.score for r in decontam.contamination(df, bench, rare=1).collect()} == pytest.approx(want)
+    assert decontam.clean(df, bench, rare=1).count() == len(docs) - len(want)
