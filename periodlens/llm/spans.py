@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -97,11 +96,21 @@ def _clauses(text: str, start: int, end: int) -> list[tuple[int, int, list[str],
 
 def _places(text: str, a: int, b: int) -> list[int]:
     """Where a long clause is cut: before the token that, with the next one, has the least hash of a window, the first of equals."""
-    found = [(m.start(), m.group().lower()) for m in (_WORD if text.isascii() else _TOKEN).finditer(text[a:b])]
-    near = [*(w for _, w in found[1:]), ""]
-    h = np.array([xxhash.xxh64_intdigest(f"{w} {v}".encode("utf-8", "surrogatepass")) for (_, w), v in zip(found, near)], np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(h, min(WINDOW, len(h))).argmin(axis=1)
-    return [a + found[i][0] for i in np.unique(least + np.arange(len(least))).tolist() if i]
+    found = list((_WORD if text.isascii() else _TOKEN).finditer(text, a, b))
+    low = [m.group().lower().encode("utf-8", "surrogatepass") for m in found]
+    h = [xxhash.xxh64_intdigest(w + b" " + v) for w, v in zip(low, [*low[1:], b""])]
+    out, best = [], -1
+    for last in range(min(WINDOW, len(h)) - 1, len(h)):
+        first = max(0, last - WINDOW + 1)
+        if best < first:
+            best = min(range(first, last + 1), key=h.__getitem__)
+        elif h[last] < h[best]:
+            best = last
+        else:
+            continue
+        if best:
+            out.append(found[best].start())
+    return out
 
 
 def _is_run(part: list[tuple[int, int, list[str], bool]], run: int) -> bool:
@@ -147,12 +156,17 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for b in slices(batches, "bytes"):
             texts = [t.decode("utf-8", "replace") for t in b.column("bytes").to_pylist()]
-            runs = [run_hashes(pieces(t), run) for t in texts]
+            runs, sizes = [], []
+            for t in texts:
+                parts = pieces(t)
+                runs.append(run_hashes(parts, run))
+                sizes.append(len(parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(texts)), pa.int64()), b.column("id"), pa.array(texts), pa.array(runs, pa.list_(pa.binary()))], ["row", "id", "text", "runs"])
+                [pa.array(range(row, row + len(texts)), pa.int64()), b.column("id"), pa.array(texts), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.binary()))],
+                ["row", "id", "text", "n_sentences", "runs"])
             row += len(texts)
 
-    return rows.mapInArrow(work, "row long, id long, text string, runs array<binary>")
+    return rows.mapInArrow(work, "row long, id long, text string, n_sentences long, runs array<binary>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
@@ -177,17 +191,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "bytes"):
             out = []
-            for text, places in zip(b.column("bytes").to_pylist(), b.column("places").to_pylist()):
+            for text, size, places in zip(b.column("bytes").to_pylist(), b.column("n_sentences").to_pylist(), b.column("places").to_pylist()):
                 text = text.decode("utf-8", "replace")
+                if not places:
+                    out.append((text, size, 0, 0))
+                    continue
                 parts = pieces(text)
-                own = runs_of(parts, run) if places else []
-                gone = {k for p in places or () for k in range(*own[p])}
-                kept = "".join(text[a:e] for i, (a, e, *_) in enumerate(parts) if i not in gone) if gone else text
-                out.append((kept, len(parts), len(gone), sum(i - 1 not in gone for i in gone)))
+                own = runs_of(parts, run)
+                gone = {k for p in places for k in range(*own[p])}
+                kept = "".join(text[a:e] for i, (a, e, *_) in enumerate(parts) if i not in gone)
+                out.append((kept, size, len(gone), sum(i - 1 not in gone for i in gone)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64())))],
                 ["id", "text", "n_sentences", "n_removed", "n_spans"])
 
     # hashed by row at every size: no broadcast of small inputs only, and no sort of the texts
-    marked = whole.join(marks.hint("shuffle_hash"), "row", "left").select("id", F.col("text").cast("binary").alias("bytes"), "places")
+    marked = whole.join(marks.hint("shuffle_hash"), "row", "left").select("id", F.col("text").cast("binary").alias("bytes"), "n_sentences", "places")
     return marked.mapInArrow(remove, "id long, text string, n_sentences long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
