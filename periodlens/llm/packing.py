@@ -128,7 +128,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     [*(b.column(c) for c in names), pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], [*names, "sequence_id", "offset"])
 
     schema = "id long, piece int, start long, length long, ids_crc32 long, ids array<int>, sequence_id long, offset long"
-    ranked = short.join(base, ["part", "length"]).select(*names, (F.col("base") + F.col("local")).alias("rank"))
+    # a row per partition and length: grows with the input, so it is shuffled, never broadcast
+    ranked = short.join(base.hint("shuffle_hash"), ["part", "length"]).select(*names, (F.col("base") + F.col("local")).alias("rank"))
     planned = ranked.mapInArrow(place, schema)
     alone = cut_up.where(F.col("length") == length).select(
         *names, (-1 - F.col("part") * F.lit(1 << 33) - F.col("local")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
