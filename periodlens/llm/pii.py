@@ -6,7 +6,8 @@ written around the rules ("at", "dot", missing plus sign, odd separators), set
 into text of the sample.  It reads every character of every text in
 overlapping windows; spans of neighbouring windows are reconciled per text.  A
 found span is added if its digits or names pass the checks of its kind and it
-does not touch a base span.
+does not touch a base span.  Windows in which no such span can lie are left
+out, which changes no result (see ``tag_texts``).
 """
 
 from __future__ import annotations
@@ -247,13 +248,70 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, np.minimum(k * STRIDE, np.maximum(lengths[text] - WINDOW, 0))
 
 
-def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Reconciled spans of the tagger in each text."""
+_AT = re.compile(r"(?:@|\b(?:at|AT)\b\s*+(?:[\])])?+)\s*+(?=[A-Za-z0-9-])")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_DOT = re.compile(r"\.|\s*+[\[(]?+\s*+(?:dot|DOT)\b")
+_NUMBERS = re.compile(r"[0-9+(][0-9\s().+\[\]-]*")
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Stretches (start, end), in no order, one of which every ``plausible`` span of the text shares a character with.
+
+    A plausible name holds an @ or "at" that a label and a dot or "dot" follow: the first character of
+    the @ or "at" is such a stretch.  A plausible number lies whole in a run of digits, blanks and marks
+    that has four digits and three dots, or eight digits.  Each is found in one pass over the text."""
+    out, end, dotted = [], 0, False
+    for m in _AT.finditer(text):
+        if m.end() >= end:
+            end = _LABEL.match(text, m.end()).end()
+            dotted = bool(_DOT.match(text, end)) or "dot" in text[m.end() : end] or "DOT" in text[m.end() : end]
+        if dotted:
+            out.append((m.start(), m.start() + 1))
+    for m in _NUMBERS.finditer(text):
+        if m.end() - m.start() >= 7:
+            run = m.group()
+            n = len(_digits(run))
+            if n >= 8 or n >= 4 and run.count(".") >= 3:
+                out.append(m.span())
+    return out
+
+
+def _near(first: np.ndarray, start: np.ndarray, text: int, a: int, b: int) -> slice:
+    """The windows of a text that share a character with a stretch of it."""
+    own = start[first[text] : first[text + 1]]
+    return slice(first[text] + int(np.searchsorted(own, a - WINDOW, side="right")), first[text] + int(np.searchsorted(own, b)))
+
+
+def tag_texts(tagger: Tagger, texts: list[str], screen: bool = False) -> list[list[Span]]:
+    """Reconciled spans of the tagger in each text; with ``screen`` perhaps without some that are not ``plausible``.
+
+    The screen decodes the windows that share a character with one of ``places``, then all windows that a
+    span found there reaches into, until no more come.  So the spans of a window left out overlap none that were
+    found: they neither grow nor hide one, and what they would make together shares no character with a place."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    ids = np.append(char_ids("".join(texts)), np.uint8(PAD))
-    first = np.concatenate([[0], np.cumsum(lengths)])
     text, start = windows(lengths)
     raw: list[list[Span]] = [[] for _ in texts]
+    wanted = np.full(len(text), not screen)
+    of_text = np.searchsorted(text, np.arange(len(texts) + 1))
+    if screen:
+        for i, t in enumerate(texts):
+            for a, b in places(t):
+                wanted[_near(of_text, start, i, a, b)] = True
+        if not wanted.any():
+            return raw
+    ids = np.append(char_ids("".join(texts)), np.uint8(PAD))
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    done = np.zeros(len(text), bool)
+    while len(todo := np.flatnonzero(wanted & ~done)):
+        for i, span in _decoded(tagger, ids, first, lengths, text[todo], start[todo]):
+            raw[i].append(span)
+            wanted[_near(of_text, start, i, *span[1:])] = True
+        done[todo] = True
+    return [reconcile(x) for x in raw]
+
+
+def _decoded(tagger: Tagger, ids: np.ndarray, first: np.ndarray, lengths: np.ndarray, text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, Span]]:
+    """(text, span) of all spans of the given windows that are theirs to decide."""
     for at in range(0, len(text), BATCH):
         rows, begin = text[at : at + BATCH], start[at : at + BATCH]
         place = begin[:, None] + np.arange(WINDOW)
@@ -270,8 +328,7 @@ def tag_texts(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
                 while e < WINDOW and own[e] == 2 * kind + 2:
                     e += 1
                 if s < high and e > low:
-                    raw[rows[r]].append((kind, int(begin[r]) + s, min(int(begin[r]) + e, n)))
-    return [reconcile(x) for x in raw]
+                    yield int(rows[r]), (kind, int(begin[r]) + s, min(int(begin[r]) + e, n))
 
 
 def reconcile(spans: list[Span]) -> list[Span]:
@@ -299,10 +356,10 @@ def trimmed(text: str, span: Span) -> Span:
     return k, a, b
 
 
-def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
+def all_spans(tagger: Tagger, texts: list[str], screen: bool = True) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, spans that the tagger adds) of each text."""
     out = []
-    for text, found in zip(texts, tag_texts(tagger, texts)):
+    for text, found in zip(texts, tag_texts(tagger, texts, screen)):
         base, added = base_spans(text), []
         for s in found:
             s = trimmed(text, s)

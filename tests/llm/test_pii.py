@@ -96,6 +96,45 @@ def test_skipped_windows_have_no_better_path(tagger):
     assert (tagger.decode(ids) == best).all()
 
 
+PARTS = ["joe", "a.b", " at ", " [at] ", "(at)", "@", " @ ", "at", "AT", "-at-", " dot ", "(dot)", ".", " [ dot ] ", "-dot", "host", "com", "+1 (499) 555-6503", "10", "255", " . ",
+         "[.]", "4111 1111 1111 1111", "4111  1111 - 1111.1111", "5556503", "0049 30 1234 5678", " ", "-", "(", "]", "\n", "\u2003", "é", "\U0001f600", " looked at the sun. ", "x" * 250]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14), st.integers(0, 60), st.integers(1, 60))
+def test_places_meet_every_plausible_span(parts, a, n):
+    text = "".join(parts)
+    s = pii.trimmed(text, (0, a, min(a + n, len(text))))
+    if s[1] < s[2] and any(pii.plausible(k, text[s[1] : s[2]]) for k in range(4)):
+        assert any(x < s[2] and y > s[1] for x, y in pii.places(text))
+
+
+def test_places_of_invented_spans():
+    rng = random.Random(3)
+    for _ in range(4000):
+        kind = rng.randrange(4)
+        new = pii.invented(rng, kind)
+        if pii.plausible(kind, new):
+            text, at = f"at most é {new}, 12 of", 10
+            assert any(x < at + len(new) and y > at for x, y in pii.places(text)), new
+
+
+def test_places_are_linear():
+    pii.places("at-" * 100_000 + "at" + " " * 300_000 + "]" + " " * 300_000 + "@x" + " " * 300_000 + "1 " * 300_000 + "@" * 300_000)
+
+
+def test_screen_changes_nothing(spark, sf001, tagger):
+    rng = random.Random(17)
+    texts = [r.text or "" for r in read(spark, sf001, "documents").collect()]
+    for i in range(0, len(texts), 3):  # some texts with spans, plain and split by the edge of a window, set in
+        for _ in range(rng.randint(1, 6)):
+            at = rng.choice([rng.randint(0, len(texts[i])), max(0, pii.STRIDE * rng.randint(0, 4) + rng.randint(-30, 40))])
+            texts[i] = f"{texts[i][:at]} {pii.invented(rng, rng.randrange(4))} {texts[i][at:]}"
+    texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 60))) for _ in range(300)] + [" ".join(pii.invented(rng, 3) for _ in range(200))]
+    want = pii.all_spans(tagger, texts, screen=False)
+    assert pii.all_spans(tagger, texts) == want and sum(len(a) for _, a in want) > 50
+
+
 def test_gradient():
     t, rng = Tagger(2, hidden=3), np.random.default_rng(0)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
