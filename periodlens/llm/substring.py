@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import suffix
@@ -42,6 +42,8 @@ MOST_OWN = 63  # strings of a window
 PART_BYTES = 8 << 20
 BUCKET_BYTES = 128 << 20  # of text, whose keys one task compares
 CHUNK_BYTES = 2 << 20  # of windows, sorted at a time
+KEY_BYTES = 32 << 20  # of text, whose windows one task compares
+MOST_BUCKETS = 50_000  # of the table of texts, half of what Spark allows; more parts than that share buckets
 NO_ID = (1 << 63) - 1  # stands for a null id, so that it is the largest
 
 
@@ -343,6 +345,13 @@ def _cutter(keep: bool):
     return run
 
 
+def _numbered(spark: SparkSession, count: int) -> DataFrame:
+    """(slot, part): part numbers for the slots from 0 to ``count`` - 1 that Spark's bucketing puts into a bucket
+    each.  Consecutive numbers would leave some buckets empty and give others several parts."""
+    some = spark.range(math.ceil(count * (math.log(count) + 12)))
+    return some.groupBy(F.pmod(F.hash("id"), F.lit(count)).cast("long").alias("slot")).agg(F.min("id").alias("part"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per document row: (id, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
@@ -358,23 +367,35 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.withColumn("sha", F.unhex(F.sha2("bytes", 256)))
     total = rows.agg(F.coalesce(F.sum(F.length("bytes").cast("long")), F.lit(0))).first()[0]
     # the texts in parts, once: every later step finds its part in place.  A part has no key of the
-    # data, so no text, id or source makes one larger than the others.
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_BYTES))
-    part = F.pmod(F.xxhash64("id", "sha"), F.lit(count).cast("long")).alias("part")
-    least = stages.put(keyed.groupBy("sha").agg(F.min("id").alias("id")).select(part, "id", "sha"))
-    parts = stages.bucketed(keyed.select(part, "id", "sha", "bytes"), "part", count)
+    # data, so no text, id or source makes one larger than the others; rows without an id are one row per text.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = max(tasks, math.ceil(total / PART_BYTES))
+    slot = F.pmod(F.xxhash64("id", "sha"), F.lit(count).cast("long"))
+    numbers = stages.put(_numbered(spark, count).coalesce(1)) if count <= MOST_BUCKETS else None
+
+    def dealt(df: DataFrame) -> DataFrame:
+        if numbers is None:  # many parts a bucket, so that they even out
+            return df.withColumn("part", slot)
+        found = df.withColumn("slot", slot).join(F.broadcast(numbers), "slot", "left")  # at most MOST_BUCKETS rows
+        return found.withColumn("part", F.coalesce("part", "slot")).drop("slot")
+
+    least = stages.put(dealt(keyed.groupBy("sha").agg(F.min("id").alias("id"))).select("part", "id", "sha"))
+    no_id = keyed.where("doc is null").groupBy("id", "sha").agg(F.first("bytes").alias("bytes"))
+    texts = keyed.where("doc is not null").select("id", "sha", "bytes").unionByName(no_id)
+    parts = stages.bucketed(dealt(texts).select("part", "id", "sha", "bytes"), "part", min(count, MOST_BUCKETS))
     stages.release()
     parted = parts.groupBy("part")
-    keys = parted.cogroup(least.groupBy("part")).applyInArrow(_keys(max(32, math.ceil(total / BUCKET_BYTES))), "part long, bucket int, keys binary, times binary")
-    shared = stages.put(keys.groupBy("bucket").applyInArrow(_shared, "part long, keys binary, many binary"))
+    buckets = max(32, math.ceil(total / BUCKET_BYTES))
+    keys = parted.cogroup(least.groupBy("part")).applyInArrow(_keys(buckets), "part long, bucket int, keys binary, times binary")
+    shared = stages.put(keys.repartition(max(tasks, buckets), "bucket").groupBy("bucket").applyInArrow(_shared, "part long, keys binary, many binary"))
     stages.release()
     right = least.unionByName(shared, allowMissingColumns=True)
     found = parted.cogroup(right.groupBy("part")).applyInArrow(
         _distinct_windows, "part long, key long, content long, own int, least long, window binary")
-    marks = stages.put(found.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "part long, key long, content long, mask long"))
+    marks = stages.put(found.repartition(max(tasks, math.ceil(total / KEY_BYTES)), "key").sortWithinPartitions("key").mapInArrow(_compare, "part long, key long, content long, mask long"))
     stages.release()
     first = stages.put(parted.cogroup(right.unionByName(marks, allowMissingColumns=True).groupBy("part")).applyInArrow(_cutter(keep_text), CUT))
-    stages.drop(parts, shared, marks, least)
+    stages.drop(parts, shared, marks, least, *([numbers] if numbers is not None else []))
     stages.release()
     first = first.withColumnsRenamed({"id": "first_id", "n_bytes": "first_bytes"})
     every = keyed.select("doc", "id", "sha", F.length("bytes").cast("long").alias("n_bytes"))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from periodlens.llm import queries, substring, suffix
 from periodlens.llm.common import read
@@ -47,9 +48,17 @@ def odd_docs():
     return docs
 
 
-@pytest.mark.parametrize("many", [substring.MANY, 2])
-def test_odd_texts(spark, monkeypatch, many):
+def test_parts_are_dealt_one_to_a_bucket(spark):
+    for n in (1, 8, 102, 3750):
+        rows = substring._numbered(spark, n).select("slot", F.pmod(F.hash("part"), F.lit(n)).alias("bucket")).collect()
+        assert sorted(r.slot for r in rows) == list(range(n)) and all(r.slot == r.bucket for r in rows)
+
+
+@pytest.mark.parametrize("many, buckets", [(substring.MANY, substring.MOST_BUCKETS), (2, 5)])
+def test_odd_texts(spark, monkeypatch, many, buckets):
     monkeypatch.setattr(substring, "MANY", many)
+    monkeypatch.setattr(substring, "MOST_BUCKETS", buckets)
+    monkeypatch.setattr(substring, "KEY_BYTES", 30_000)
     monkeypatch.setattr(substring, "PART_BYTES", 3000)
     monkeypatch.setattr(substring, "CHUNK_BYTES", 2000)
     docs = odd_docs()
