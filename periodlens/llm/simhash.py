@@ -214,12 +214,17 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
     best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("content").alias("content")))
     names = docs.columns
-    keys = [unused(k, names) for k in ("__row_id", "__row_none", "__row_content")]
+    keys = [unused(k, names) for k in ("__row_id", "__row_none", "__row_content", "__row_order")]
+    many = unused("__row_many", names)
     kept = stages.put(found.groupBy(group.alias("g")).agg(best.alias("best")).select(
         F.coalesce("best.id", F.lit(0)).alias(keys[0]), F.col("best.none").alias(keys[1]), F.col("best.content").alias(keys[2])).distinct())
     row_id = F.col(id_col).cast("long")
-    row = docs.withColumns({keys[0]: F.coalesce(row_id, F.lit(0)), keys[1]: row_id.isNull(), keys[2]: F.xxhash64(text_col)})
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    out = row.join(kept, keys, "left_semi").groupBy(*keys).agg(F.min_by(whole, order).alias("row"))  # one shuffle: both group by the same keys
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
+    row = docs.withColumns(dict(zip(keys, (F.coalesce(row_id, F.lit(0)), row_id.isNull(), F.xxhash64(text_col), order))))
+    # which rows stay is settled on hashes; whole rows are joined once, and only those that repeat are grouped
+    each = row.select(*keys).join(kept, keys[:3], "left_semi").groupBy(*keys).agg(F.count("*").alias(many))
+    chosen = stages.put(each.groupBy(*keys[:3]).agg(F.min(F.struct(keys[3], many)).alias("least")).select(*keys[:3], "least.*"))
+    stages.drop(found, kept)
+    out = row.join(chosen, keys)
+    out = out.where(F.col(many) == 1).unionByName(out.where(F.col(many) > 1).dropDuplicates(keys))
+    return out.select(*[F.col(f"`{c}`") for c in names])
