@@ -42,6 +42,16 @@ def test_one_per_group_has_a_defined_tie(spark):
     assert len(kept) == 1
 
 
+def test_one_per_group_keeps_repeated_rows_once(spark):
+    """Rows equal in every column, with and without an id, beside others of their id; columns that cannot be hashed."""
+    a, b, c = ("one text with these few words", "quite another text about trains", "x y z")
+    rows = [(1, a, {"k": 1}, 5)] * 3 + [(1, a, {"k": 1}, 6)] * 2 + [(None, b, None, 5)] * 4 + [(2, None, None, None)] * 2 + [(3, c, {}, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, __row_order int").repartition(4)
+    got = simhash.one_per_group(df)
+    assert got.schema == df.schema
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (None, b), (2, None), (3, c)], key=str)
+
+
 def test_identify(docs):
     got = langid.identify(docs, "text", "lang", host_col="source")
     assert got.columns == docs.columns + langid.RESULT and got.where("__lid_bytes = 7 AND __LID_CODE = 7").count() == docs.count()
