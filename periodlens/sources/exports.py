@@ -93,7 +93,9 @@ def land(spark: SparkSession, paths: Iterable[str], header_line: int, staging: S
     firsts = firsts.select(F.col(FILE_COL).alias("_file"), (F.col("_first") + (header_line - 1)).alias("_head"))
     at_head = (F.col(FILE_COL) == F.col("_file")) & (F.col("_line") == F.col("_head"))
     cells = ", ".join(f"coalesce(c{i}, '')" for i in range(width + 1))
-    heads = staging.put(top.join(firsts, at_head).selectExpr("_file", "_head", f"array({cells}) AS header"), "heads")
+    # Tables with a row per file are broadcast by name: the planner takes a join's size for the product of its
+    # sides, and staged cells of few distinct values for small, so it would broadcast the cells.
+    heads = staging.put(top.join(F.broadcast(firsts), at_head).selectExpr("_file", "_head", f"array({cells}) AS header"), "heads")
     found = sorted(tuple(r.header) for r in heads.select("header").distinct().collect())
     headers = []
     if any(cell[width].strip() for cell in found):
@@ -106,8 +108,8 @@ def land(spark: SparkSession, paths: Iterable[str], header_line: int, staging: S
     if not headers:
         return None
     numbers = spark.createDataFrame([(list(c), i) for i, c in enumerate(found)], "header array<string>, layout int")
-    files = heads.join(numbers, "header").select("_file", "_head", "layout")
-    rows = raw.join(files, (F.col(FILE_COL) == F.col("_file")) & ((F.col("_block") > 0) | (F.col("_line") > F.col("_head"))))
+    files = heads.join(F.broadcast(numbers), "header").select("_file", "_head", "layout")
+    rows = raw.join(F.broadcast(files), (F.col(FILE_COL) == F.col("_file")) & ((F.col("_block") > 0) | (F.col("_line") > F.col("_head"))))
     return Landed(rows.drop("_file", "_head", "_block", "_line"), files.select(F.col("_file").alias(FILE_COL), "layout"), headers)
 
 
@@ -228,7 +230,7 @@ def _with_period(rows: DataFrame, files_by_period: dict[str, str]) -> DataFrame:
     spark, same = rows.sparkSession, r"^([A-Za-z0-9+.-]+:)/+"
     names = spark.createDataFrame([(period, fs.qualified(spark, path)) for period, path in files_by_period.items()], "period string, _name string")
     on = F.regexp_replace(FILE_COL, same, "$1/") == F.regexp_replace("_name", same, "$1/")
-    return rows.join(names, on).drop("_name")
+    return rows.join(F.broadcast(names), on).drop("_name")
 
 
 def orders_by_period_files(spark: SparkSession, files_by_period: dict[str, str],

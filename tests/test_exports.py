@@ -335,3 +335,15 @@ def test_large_file_in_many_splits(spark, tmpdir_fresh):
         assert f.count() == 30_000 and int(f.agg({"sales": "sum"}).first()[0]) == sum(range(30_000))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_cells_are_streamed_and_only_file_tables_broadcast(spark, tmpdir_fresh):
+    """A long column of few values is a small Parquet file; its rows still do not go to the driver."""
+    paths = {p: fx.write_csv(os.path.join(tmpdir_fresh, f"ue-{p}.csv"), [[i % 2] for i in range(20000)], header=["New customers"]) for p in ("pre", "post")}
+    landed = exports.land(spark, list(paths.values()), 1)
+    plan = landed.rows._jdf.queryExecution().executedPlan()
+    assert landed.rows.count() == 40000
+    built = [ln for ln in plan.toString().splitlines() if "HashJoin" in ln and "_block" in ln]
+    assert built and all("BuildRight" in ln for ln in built), plan.toString()
+    got = exports.legacy_ue_new_customer_totals(spark, paths)
+    assert rows(got.selectExpr("period", "CAST(new_customers AS INT) AS n"), "period", "n") == [("post", 10000), ("pre", 10000)]
