@@ -69,10 +69,13 @@ class Landed:
 
 def raw_cells(spark: SparkSession, paths: Sequence[str], width: int = WIDTH) -> DataFrame:
     """All lines of the files as text cells, with the file, where the line's split starts,
-    and a number that grows along each split."""
-    schema = ", ".join(f"c{i} string" for i in range(width + 1))
+    and a number that grows along each split.
+
+    The schema has one column more than is read: a pruned scan fills short lines with
+    nulls, a whole one raises (and catches) an error for each."""
+    schema = ", ".join(f"c{i} string" for i in range(width + 2))
     return spark.read.schema(schema).option("mode", "PERMISSIVE").csv(list(paths)).select(
-        "*", F.col("_metadata.file_path").alias(FILE_COL), F.col("_metadata.file_block_start").alias("_block"),
+        *[f"c{i}" for i in range(width + 1)], F.col("_metadata.file_path").alias(FILE_COL), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"))
 
 

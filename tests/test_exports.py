@@ -347,3 +347,42 @@ def test_cells_are_streamed_and_only_file_tables_broadcast(spark, tmpdir_fresh):
     assert built and all("BuildRight" in ln for ln in built), plan.toString()
     got = exports.legacy_ue_new_customer_totals(spark, paths)
     assert rows(got.selectExpr("period", "CAST(new_customers AS INT) AS n"), "period", "n") == [("post", 10000), ("pre", 10000)]
+
+
+def test_short_lines_are_no_errors(spark, tmpdir_fresh):
+    """The scan's schema is pruned, so lines of fewer cells are filled with nulls and longer ones cut, without an error for each."""
+    path = os.path.join(tmpdir_fresh, "a.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n1,"x,y"\n\n2\n1,2,3,4,5,6\n')
+    raw = exports.raw_cells(spark, [path], 3)
+    scan = [ln for ln in raw._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan csv" in ln][0]
+    assert "ReadSchema: struct<c0:string,c1:string,c2:string,c3:string>" in scan
+    assert raw._jdf.queryExecution().analyzed().collectLeaves().head().relation().dataSchema().size() > 4
+    assert rows(raw, "c0", "c1", "c2", "c3") == [("1", "2", "3", "4"), ("1", "x,y", None, None), ("2", None, None, None), ("a", "b", None, None)]
+
+
+ODD_DATES = ["1/5/2025", "01/05/2025", " 2/3/2025 ", "2025-1-5", "2025-01-05", "20250105", "2025/1/5", "Jan 5, 2025", "january 5 2025", "5 Jan 2025", "5-Jan-2025", "31/1/2025",
+             "2/30/2025", "2025-02-30", "-5-1-1", "5 jan  2025", "1/5/2025 1:11 AM", "2025-01-05T13:11:05", "2025-01-05 25:00", "Jan 5, 2025 1:11 PM", "1:11 AM", "13:11", "soon",
+             "1/2", "-", "/", "a b c", "5 Foo 2025", "2025", "", None, "2025-01-05 13:11:05.123456", "+12025-01-05", "1/5/12025"]
+
+
+def test_text_of_another_format_does_not_reach_a_parser(spark):
+    """Parsers see only text that may be of their format, with the values that they give alone."""
+    from periodlens.functions import dates
+    df = spark.createDataFrame([(t,) for t in ODD_DATES], "t string")
+    plain = {"us": "try_to_date(trim(t), 'M/d/yyyy')", "iso": "try_to_date(trim(t), 'yyyy-M-d')", "named": "try_to_date(initcap(trim(t)), 'd MMM yyyy')"}
+    own = {"us": dates._us("t"), "iso": dates._iso("t"), "named": dates._parsed("initcap(trim(t))", dates.NAMED_DATE)}
+    assert all(sql.startswith("CASE WHEN") for sql in own.values())
+    for k, sql in own.items():
+        assert df.where(f"NOT ({sql}) <=> ({plain[k]})").collect() == [], k
+    typed = dates.date_candidates(df, "t").withColumn("alone", dates.parse_timestamp("t"))
+    assert typed.where("NOT _ts <=> alone").collect() == []
+    clocks = dates.with_minute_of_day(df, "t", "m").withColumn("alone", dates.minute_of_day("t"))
+    assert clocks.where("NOT m <=> alone").collect() == []
+
+
+def test_vote_of_files_is_broadcast(spark):
+    from periodlens.functions import dates
+    df = spark.range(1000).selectExpr("concat('f', id % 3) AS _src_file", "'1/5/2025' AS t")
+    plan = dates.date_of_file(dates.date_candidates(df, "t").hint("merge"), "d").where("d IS NOT NULL")
+    assert "ResolvedHint (strategy=broadcast)" in plan._jdf.queryExecution().analyzed().toString() and plan.count() == 1000
