@@ -31,6 +31,10 @@ _REWRITES = ((r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), (r"^(\d{4})/(\d{1,2})/(\d
              (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$2 $1 $3"),
              (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})$", "$1 $2 $3"))
 NAMED_DATE = "d MMM yyyy"
+# What every text of a format holds.  A parser reports other text by an exception, caught
+# for each row, so text that cannot be of the format does not reach it.
+_HOLDS = {US_DATE: "/", ISO_DATE: "-"}
+_NAMED_LIKE = r"^[^ ]+ [A-Za-z]+ [^ ]+$"
 
 # The parsers are SQL text over a column name or SQL expression ``c``: one JVM
 # object per expression, and the same text serves as one expression or step by step.
@@ -40,12 +44,18 @@ def _strip(c: str) -> str:
     return f"trim(CAST({c} AS STRING))"
 
 
+def _parsed(s: str, pattern: str) -> str:
+    """The date of a text without outer spaces in one format, else null."""
+    like = f"contains({s}, '{_HOLDS[pattern]}')" if pattern in _HOLDS else f"{s} RLIKE r'{_NAMED_LIKE}'"
+    return f"CASE WHEN {like} THEN try_to_date({s}, '{pattern}') END"
+
+
 def _us(c: str) -> str:
-    return f"try_to_date({_strip(c)}, '{US_DATE}')"
+    return _parsed(_strip(c), US_DATE)
 
 
 def _iso(c: str) -> str:
-    return f"try_to_date({_strip(c)}, '{ISO_DATE}')"
+    return _parsed(_strip(c), ISO_DATE)
 
 
 def _clock_groups(s: str, pattern: str, group: int) -> list[str]:
@@ -70,7 +80,7 @@ def _day_text(s: str) -> str:
 
 
 def _timestamp(s: str, day: str, clock: str) -> str:
-    date = f"coalesce(try_to_date({day}, '{US_DATE}'), try_to_date({day}, '{ISO_DATE}'), try_to_date(initcap({day}), '{NAMED_DATE}'))"
+    date = f"coalesce({_parsed(day, US_DATE)}, {_parsed(day, ISO_DATE)}, {_parsed(f'initcap({day})', NAMED_DATE)})"
     return (f"coalesce(CAST({date} AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, coalesce({clock}, 0)), "
             f"CASE WHEN NOT {s} RLIKE r'^\\d+$' THEN try_cast({s} AS TIMESTAMP_NTZ) END)")
 
@@ -109,7 +119,11 @@ def with_timestamp(df: DataFrame, c: str, out: str) -> DataFrame:
 def date_candidates(df: DataFrame, c: str) -> DataFrame:
     """``c`` parsed once: ``_us`` and ``_iso`` (the two exact formats) and ``_ts``
     (the generic parser's timestamp)."""
-    return with_timestamp(df.selectExpr("*", f"{_us(c)} AS _us", f"{_iso(c)} AS _iso"), c, "_ts")
+    df = df.selectExpr("*", f"{_us(c)} AS _us", f"{_iso(c)} AS _iso")
+    # of text in an exact format the generic parser makes midnight of the same day: only other text goes through its patterns
+    df = df.selectExpr("*", "CAST(coalesce(_us, _iso) AS TIMESTAMP_NTZ) AS _midnight", f"CASE WHEN _us IS NULL AND _iso IS NULL THEN {c} END AS _other")
+    df = with_timestamp(df, "_other", "_ts")
+    return df.withColumn("_ts", F.expr("coalesce(_midnight, _ts)")).drop("_midnight", "_other")
 
 
 def date_of_row() -> Column:
@@ -121,12 +135,13 @@ def date_of_file(df: DataFrame, out: str = "event_date", file_col: str = "_src_f
     """File-level cascade (C10, C12) over candidates (see ``date_candidates``): each
     file votes for the first format that parses any of its rows.
 
-    The vote reads two staged columns and has one row per file; adaptive
-    execution broadcasts it when it is small."""
+    The vote reads two staged columns and has one row per file; it is broadcast by
+    name, as the planner takes a grouping for about as large as its input and would
+    shuffle and sort the rows by their few files."""
     vote = df.groupBy(F.col(file_col).alias("_vote_file")).agg(
         F.max(F.col("_us").isNotNull()).alias("_any_us"), F.max(F.col("_iso").isNotNull()).alias("_any_iso"))
     chosen = F.expr("CASE WHEN _any_us THEN _us WHEN _any_iso THEN _iso ELSE to_date(_ts) END")
-    return (df.join(vote, F.col(file_col).eqNullSafe(F.col("_vote_file")), "left")
+    return (df.join(F.broadcast(vote), F.col(file_col).eqNullSafe(F.col("_vote_file")), "left")
             .withColumn(out, chosen).drop("_any_us", "_any_iso", "_vote_file"))
 
 
@@ -140,6 +155,7 @@ def with_minute_of_day(df: DataFrame, c: str, out: str) -> DataFrame:
     """``minute_of_day`` as a column, step by step (see ``with_timestamp``)."""
     parts = ("_h", "_m", "_sec", "_half")
     groups = _clock_groups(_strip(c), f"^{_CLOCK}$", 1)
-    df = with_timestamp(df, c, "_minute_ts").selectExpr("*", *[f"{x} AS {n}" for x, n in zip(groups, parts)])
-    df = df.selectExpr("*", f"{_clock_seconds(*parts)} AS _alone")
-    return df.selectExpr("*", f"{_minute('_alone', '_minute_ts')} AS {out}").drop("_minute_ts", "_alone", *parts)
+    df = df.selectExpr("*", *[f"{x} AS {n}" for x, n in zip(groups, parts)])
+    df = df.selectExpr("*", f"{_clock_seconds(*parts)} AS _alone").drop(*parts)
+    df = with_timestamp(df.selectExpr("*", f"CASE WHEN _alone IS NULL THEN {c} END AS _dated"), "_dated", "_minute_ts")
+    return df.selectExpr("*", f"{_minute('_alone', '_minute_ts')} AS {out}").drop("_minute_ts", "_alone", "_dated")
