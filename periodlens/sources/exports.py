@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_candidates, date_of_file, date_of_row, parse_date_per_row, with_minute_of_day
+from ..functions.dates import date_candidates, date_of_file, date_of_row, with_minute_of_day
 from ..functions.numeric import MONEY, na_to_null, safe_decimal
 from ..staging import Staging
 from . import files as fs
@@ -419,8 +419,8 @@ def profile(spark: SparkSession, paths: Iterable[str], spec: SourceSpec, staging
     rule = spec.columns.get("date")
     dates = [rule.find(h) if rule is not None else None for h in landed.headers]
     text = _by_layout([None if d is None else h.index(d) for h, d in zip(landed.headers, dates)], "CAST(NULL AS STRING)", lambda i: f"c{i}")
-    counted = landed.rows.select(F.col(FILE_COL).alias("_file"), na_to_null(F.expr(text)).alias("_text")).withColumn(
-        "_d", parse_date_per_row("_text")).groupBy("_file").agg(
+    texts = landed.rows.select(F.col(FILE_COL).alias("_file"), na_to_null(F.expr(text)).alias("_text"))
+    counted = date_candidates(texts, "_text").withColumn("_d", date_of_row()).groupBy("_file").agg(
         F.count(F.lit(1)).alias("rows"), F.min("_d").alias("start_date"), F.max("_d").alias("end_date"))
     names = spark.createDataFrame([(i, ", ".join(h[:10]), x is not None) for i, (h, x) in enumerate(zip(landed.headers, dates))],
                                   "layout int, columns string, date_column_found boolean")

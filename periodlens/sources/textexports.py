@@ -12,7 +12,6 @@ written by one task and read by as many as its size asks for.
 from __future__ import annotations
 
 import uuid
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,15 +80,27 @@ def _lines(rows: DataFrame, file: str, variants: dict[int, list[tuple[str, str]]
 
 
 def write_lines(lines: DataFrame, folder: str) -> list[str]:
-    """One text file per ``_file`` below ``folder``, its lines by ``_order``; the paths."""
+    """One text file per ``_file`` below ``folder``, its lines by ``_order``; the paths.
+
+    A file is one partition and nothing is sorted: the file's first lines (``_order`` 0 and 1,
+    as few as the files' names) are put before the first row that its task sees."""
     spark, parts = lines.sparkSession, f"{folder}/_parts-{uuid.uuid4().hex[:6]}"
-    sorted_ = lines.repartition("_file").sortWithinPartitions("_file", "_order").select("_file", "line")
-    sorted_.write.partitionBy("_file").text(parts)
+    heads: dict[str, list] = {}
+    for r in lines.where("_order < 2 AND _file IS NOT NULL").select("_file", "_order", "line").collect():
+        heads.setdefault(r["_file"], []).append((r["_order"], r["line"]))
+    if not heads:
+        return []
+    names = sorted(heads)
+    numbers = spark.createDataFrame([(n, i, "\n".join(t for _, t in sorted(heads[n]))) for i, n in enumerate(names)], "_name string, _number int, _head string")
+    on = F.broadcast(numbers.select("_name", "_number")), F.col("_file") == F.col("_name")
+    dealt = lines.where("_order = 2").join(*on).select("_number", "line").repartitionById(len(names), "_number")
+    placed = dealt.join(F.broadcast(numbers.select("_number", "_head")), "_number").select("_head", "line", (F.monotonically_increasing_id() % (1 << 33) == 0).alias("_first"))
+    placed.select(F.expr("IF(_first, concat_ws('\n', _head, line), line)").alias("value")).write.text(parts)
     out = []
-    for made in fs.glob(spark, f"{parts}/_file=*/part-*"):
-        name = unquote(made.rsplit("/", 2)[1].removeprefix("_file="))
-        fs.rename(spark, made, f"{folder}/{name}")
-        out.append(f"{folder}/{name}")
+    for made in fs.glob(spark, f"{parts}/part-*"):
+        path = f"{folder}/{names[int(made.rsplit('/part-', 1)[1].split('-')[0])]}"
+        fs.rename(spark, made, path)
+        out.append(path)
     return sorted(out)
 
 

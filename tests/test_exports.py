@@ -386,3 +386,20 @@ def test_vote_of_files_is_broadcast(spark):
     df = spark.range(1000).selectExpr("concat('f', id % 3) AS _src_file", "'1/5/2025' AS t")
     plan = dates.date_of_file(dates.date_candidates(df, "t").hint("merge"), "d").where("d IS NOT NULL")
     assert "ResolvedHint (strategy=broadcast)" in plan._jdf.queryExecution().analyzed().toString() and plan.count() == 1000
+
+
+def test_exports_are_written_whole_without_sorting(spark, tmpdir_fresh, monkeypatch):
+    """One file per name, its banner and header on top, its lines below, dealt by number and not sorted."""
+    from pyspark.sql import DataFrame
+    from periodlens.sources import textexports as tx
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", None)
+    data = spark.range(0, 3000, 1, 5).selectExpr("id % 30 AS f", "id").repartition(7)
+    lines = tx._lines(data, "concat('sub ', f % 3, '/f=', f, '.csv')", {0: [("A,a", "id")], 1: [("B", "id"), ("A", "f")]}, "CAST(f % 2 AS INT)", "banner")
+    paths = tx.write_lines(lines, os.path.join(tmpdir_fresh, "out"))
+    assert len(paths) == len(set(paths)) == 30
+    for f in range(30):
+        with open(os.path.join(tmpdir_fresh, "out", f"sub {f % 3}", f"f={f}.csv")) as h:
+            banner, head, *rest = h.read().splitlines()
+        assert (banner, head) == ("banner", "B,A" if f % 2 else '"A,a"')
+        assert sorted(rest) == sorted(f"{i},{f}" if f % 2 else str(i) for i in range(f, 3000, 30))
+    assert tx.write_lines(lines.where("false"), os.path.join(tmpdir_fresh, "none")) == []
