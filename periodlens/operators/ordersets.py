@@ -35,10 +35,12 @@ def number_orders(staging: Staging, rows: DataFrame, known: DataFrame | None = N
 
 def daily_sets(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """``platform, store_id, event_date, bucket, orders`` (bitmap): the state that is stored."""
-    # one row per order and day first, so that a hot store's rows are combined where they are
-    days = rows.select(*STORE, "order_id", "event_date").distinct().join(numbers, [*STORE, "order_id"])
-    return days.groupBy(*STORE, "event_date", F.expr("bitmap_bucket_number(number)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(number))").alias("orders"))
+    # one row per order and day first, so that a hot store's rows are combined where they are; the numbers
+    # grow with the orders and are stored small, so they are not to be broadcast for their file size
+    days = rows.select(*STORE, "order_id", "event_date").distinct().join(numbers.hint("merge"), [*STORE, "order_id"])
+    # numbers are shuffled, not bitmaps of 4 KB: most stores have few orders a day, and none more than a bucket's
+    bits = days.select(*STORE, "event_date", F.expr("bitmap_bucket_number(number)").alias("bucket"), F.expr("bitmap_bit_position(number)").alias("_bit"))
+    return bits.repartition(*STORE, "event_date", "bucket").groupBy(*STORE, "event_date", "bucket").agg(F.expr("bitmap_construct_agg(_bit)").alias("orders"))
 
 
 def united(*sets: DataFrame) -> DataFrame:

@@ -201,3 +201,15 @@ def test_missing_files_of_a_run_are_noticed(spark, tmpdir_fresh):
     os.remove(os.path.join(folder, part))
     with pytest.raises(ValueError, match="table a"):
         sinks.read_run(spark, tmpdir_fresh, "r1")
+
+
+def test_bitmaps_are_not_shuffled(spark):
+    """The numbers of a store, day and bucket meet before their bitmap is made, and are not broadcast."""
+    rows = spark.range(3000).selectExpr("IF(id < 1500, 'DD', 'UE') AS platform", "CAST(id % 7 AS STRING) AS store_id", "id % 900 AS order_id", "date_add(DATE'2025-01-01', CAST(id % 11 AS INT)) AS event_date")
+    sets = ordersets.daily_sets(rows, ordersets.number_orders(Staging(spark), rows))
+    p = sets._jdf.queryExecution().executedPlan().toString()
+    whole, partial = p.index("bitmap_construct_agg"), p.index("partial_bitmap_construct_agg")
+    assert "Exchange" not in p[whole:partial] and "BroadcastExchange" not in p
+    want = rows.selectExpr("platform", "store_id", "event_date", "order_id").distinct().groupBy("platform", "store_id", "event_date").count().collect()
+    got = sets.selectExpr("platform", "store_id", "event_date", "bitmap_count(orders) AS n").collect()
+    assert {(r.platform, r.store_id, r.event_date): r.n for r in got} == {(r.platform, r.store_id, r.event_date): r["count"] for r in want}
