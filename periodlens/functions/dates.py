@@ -63,6 +63,19 @@ def _clock_groups(s: str, pattern: str, group: int) -> list[str]:
     return [f"regexp_extract({s}, r'{pattern}', {group + i})" for i in range(4)]
 
 
+def _cut(s: str, pattern: str, groups: str) -> str:
+    """The text as ``groups`` of ``pattern``, behind which a last line end may stand; unchanged if the pattern
+    does not match.  One match instead of one per group."""
+    return f"regexp_replace({s}, r'{pattern}[\\s\\S]*', '{groups}')"
+
+
+def _clock_parts(cut: str, s: str) -> list[str]:
+    """Hours, minutes, seconds and half of the day from a text cut into ``h:m:sec:half``, as ``_clock_groups`` has
+    them: empty if the pattern did not match.  A match has separators that the cut text has not, so they differ."""
+    first = [f"substring_index({cut}, ':', {i})" for i in range(1, 5)]
+    return [f"IF({cut} = {s}, '', {x})" for x in (first[0], *[f"substring_index({f}, ':', -1)" for f in first[1:]])]
+
+
 def _clock_seconds(h: str, m: str, sec: str, half: str) -> str:
     """Seconds after midnight; null if the groups are no valid clock."""
     hour = (f"CASE WHEN {half} = '' THEN CAST({h} AS INT) WHEN CAST({h} AS INT) BETWEEN 1 AND 12 "
@@ -71,9 +84,8 @@ def _clock_seconds(h: str, m: str, sec: str, half: str) -> str:
             f"THEN ({hour}) * 3600 + CAST({m} AS INT) * 60 + coalesce(CAST(nullif({sec}, '') AS INT), 0) END")
 
 
-def _day_text(s: str) -> str:
+def _day_text(day: str) -> str:
     """The date part of a text, other spellings rewritten to the three formats."""
-    day = f"regexp_extract({s}, r'{_DATE_AND_CLOCK}', 1)"
     for pattern, to in _REWRITES:
         day = f"regexp_replace({day}, r'{pattern}', '{to}')"
     return day
@@ -89,9 +101,17 @@ def _minute(alone: str, ts: str) -> str:
     return f"CAST(coalesce(floor({alone} / 60), hour({ts}) * 60 + minute({ts})) AS INT)"
 
 
+def _apart(column: str) -> str:
+    """The column itself, in a projection that is not fused with its neighbours.
+
+    A lambda keeps a projection out of whole-stage code.  All parsers fused make one method of
+    more than 8,000 bytes, which the JVM never compiles but interprets for every row."""
+    return f"transform(array({column}), v -> v)[0] AS {column}"
+
+
 def _any(c: str) -> str:
     s = _strip(c)
-    return _timestamp(s, _day_text(s), _clock_seconds(*_clock_groups(s, _DATE_AND_CLOCK, 2)))
+    return _timestamp(s, _day_text(f"regexp_extract({s}, r'{_DATE_AND_CLOCK}', 1)"), _clock_seconds(*_clock_groups(s, _DATE_AND_CLOCK, 2)))
 
 
 def parse_timestamp(c: str) -> Column:
@@ -111,8 +131,10 @@ def with_timestamp(df: DataFrame, c: str, out: str) -> DataFrame:
     generated code stays small."""
     parts = ("_h", "_m", "_sec", "_half")
     df = df.selectExpr("*", f"{_strip(c)} AS _s")
-    df = df.selectExpr("*", f"{_day_text('_s')} AS _day", *[f"{x} AS {n}" for x, n in zip(_clock_groups("_s", _DATE_AND_CLOCK, 2), parts)])
-    df = df.selectExpr("*", f"{_clock_seconds(*parts)} AS _clock")
+    df = df.selectExpr("*", f"{_cut('_s', _DATE_AND_CLOCK, '$2:$3:$4:$5:$1')} AS _cut")
+    day = "IF(_cut = _s, '', substr(_cut, length(substring_index(_cut, ':', 4)) + 2))"
+    df = df.selectExpr("* EXCEPT (_cut)", f"{_day_text(day)} AS _day", *[f"{x} AS {n}" for x, n in zip(_clock_parts("_cut", "_s"), parts)])
+    df = df.selectExpr("* EXCEPT (_s)", _apart("_s"), f"{_clock_seconds(*parts)} AS _clock")
     return df.selectExpr("*", f"{_timestamp('_s', '_day', '_clock')} AS {out}").drop("_s", "_clock", "_day", *parts)
 
 
@@ -154,8 +176,8 @@ def minute_of_day(c: str) -> Column:
 def with_minute_of_day(df: DataFrame, c: str, out: str) -> DataFrame:
     """``minute_of_day`` as a column, step by step (see ``with_timestamp``)."""
     parts = ("_h", "_m", "_sec", "_half")
-    groups = _clock_groups(_strip(c), f"^{_CLOCK}$", 1)
-    df = df.selectExpr("*", *[f"{x} AS {n}" for x, n in zip(groups, parts)])
-    df = df.selectExpr("*", f"{_clock_seconds(*parts)} AS _alone").drop(*parts)
+    df = df.selectExpr("*", f"{_strip(c)} AS _text").selectExpr("*", f"{_cut('_text', f'^{_CLOCK}$', '$1:$2:$3:$4')} AS _cut")
+    df = df.selectExpr("* EXCEPT (_cut, _text)", *[f"{x} AS {n}" for x, n in zip(_clock_parts("_cut", "_text"), parts)])
+    df = df.selectExpr("* EXCEPT (_half)", _apart("_half")).selectExpr("*", f"{_clock_seconds(*parts)} AS _alone").drop(*parts)
     df = with_timestamp(df.selectExpr("*", f"CASE WHEN _alone IS NULL THEN {c} END AS _dated"), "_dated", "_minute_ts")
     return df.selectExpr("*", f"{_minute('_alone', '_minute_ts')} AS {out}").drop("_minute_ts", "_alone", "_dated")

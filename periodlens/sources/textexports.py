@@ -68,11 +68,14 @@ def _lines(rows: DataFrame, file: str, variants: dict[int, list[tuple[str, str]]
     keyed = rows.withColumn("_file", F.expr(file)).withColumn("_variant", F.expr(variant))
     parts = []
     for v, columns in variants.items():
-        own = keyed.where(F.col("_variant") == v)
         line = F.to_csv(F.struct(*[F.expr(sql).alias(f"c{i}") for i, (_, sql) in enumerate(columns)]), options)
-        parts.append(own.select("_file", F.lit(2).alias("_order"), line.alias("line")))
-        head = ([(0, banner)] if banner else []) + [(1, ",".join(f'"{h}"' if "," in h else h for h, _ in columns))]
-        parts.append(own.select("_file").distinct().select("_file", F.inline(F.array(*[F.struct(F.lit(o).alias("_order"), F.lit(t).alias("line")) for o, t in head]))))
+        parts.append(keyed.where(F.col("_variant") == v).select("_file", F.lit(2).alias("_order"), line.alias("line")))
+    # One grouping for all variants; ``_order`` is a literal, so who asks for lines or for heads reads the rows only for these.
+    found = keyed.where(F.col("_variant").isin(*variants)).select("_file", "_variant").distinct()
+    heads = {v: ",".join(f'"{h}"' if "," in h else h for h, _ in columns) for v, columns in variants.items()}
+    for order, texts in ([(0, dict.fromkeys(variants, banner))] if banner else []) + [(1, heads)]:
+        text = F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col("_variant"))
+        parts.append(found.select("_file", F.lit(order).alias("_order"), text.alias("line")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

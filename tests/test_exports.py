@@ -403,3 +403,51 @@ def test_exports_are_written_whole_without_sorting(spark, tmpdir_fresh, monkeypa
         assert (banner, head) == ("banner", "B,A" if f % 2 else '"A,a"')
         assert sorted(rest) == sorted(f"{i},{f}" if f % 2 else str(i) for i in range(f, 3000, 30))
     assert tx.write_lines(lines.where("false"), os.path.join(tmpdir_fresh, "none")) == []
+
+
+def test_parsers_are_compiled(spark, tmpdir_fresh, monkeypatch):
+    """No method made for typed rows has more than 8,000 bytes: the JVM interprets larger ones for every row."""
+    import re
+    from periodlens.staging import Staging
+    path = fx.dd_file(tmpdir_fresh, [["11/1/2025", "1:11 AM", "101", "o1", "10.50", "8.00", "7.00"]])
+    put, sizes = Staging.put, {}
+
+    def watched(self, df, name="table"):
+        code = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+        sizes[name] = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        return put(self, df, name)
+
+    monkeypatch.setattr(Staging, "put", watched)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert exports.order_rows(spark, [path], specs.DD_ORDERS, Staging(spark)).count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(sizes["typed"]) > 1 and max(sizes["typed"]) < 8000
+
+
+def test_clock_groups_are_cut_by_one_match(spark):
+    """Also behind line ends, colons in the date part and text that holds what a cut text looks like."""
+    from periodlens.functions import dates
+    texts = [day + sep + clock + end for day in ("1/5/2025", "Mar 5, 1998", "", "1:2:3:4", "::::") for sep in (" ", "T", ", ", "\n", "")
+             for clock in ("1:11 AM", "13:11", "13:11:05", "1:11:05.123 pm", "25:00", "1:1", "") for end in ("", "\n", "\r\n", "x")]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for step, alone in ((dates.with_timestamp, dates.parse_timestamp), (dates.with_minute_of_day, dates.minute_of_day)):
+        both = step(df, "t", "a").withColumn("b", alone("t"))
+        assert both.where("a IS NOT NULL").count() > 30 and both.where("NOT a <=> b").collect() == []
+    assert "regexp_extract(" not in dates.with_minute_of_day(df, "t", "a")._jdf.queryExecution().analyzed().toString()
+
+
+def test_lines_and_heads_read_only_their_rows(spark, tmpdir_fresh):
+    """The rows are read once for the heads of all variants, and once a variant for the lines."""
+    from periodlens.sources import textexports as tx
+    spark.range(50).selectExpr("id % 4 AS f", "id").write.parquet(f"{tmpdir_fresh}/rows")
+    rows_ = spark.read.parquet(f"{tmpdir_fresh}/rows")
+    lines = tx._lines(rows_, "concat('f', f)", {0: [("A", "id")], 1: [("B", "id")]}, "CAST(f % 2 AS INT)", None)
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert scans(lines.where("_order < 2 AND _file IS NOT NULL")) == 1 and scans(lines.where("_order = 2")) == 2
+    assert rows(lines.where("_order < 2"), "_file", "_order", "line") == [("f0", 1, "A"), ("f1", 1, "B"), ("f2", 1, "A"), ("f3", 1, "B")]
